@@ -33,33 +33,36 @@ def _hashed(df: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     return df.select(*keep, F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)).alias("h"))
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that evaluates ``value`` once for all its uses in ``body``, wherever the optimizer moves the expression."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def _seeds(h: str, mask: str) -> str:
     at = [f"get({h}, i + {x})" for x, c in enumerate(mask) if c == "1"]
     return f"transform(case when size({h}) >= {len(mask)} then sequence(0, size({h}) - {len(mask)}) else cast(array() as array<int>) end, i -> xxhash64('{mask}', {', '.join(at)}))"
 
 
 def _keys(rows: DataFrame, h: str, masks: list[str], pos: str) -> DataFrame:
-    """One row for each mask and position: key and ``pos``."""
-    seeds = rows
-    for x, m in enumerate(masks):
-        seeds = seeds.withColumn(f"_s{x}", F.expr(_seeds(h, m)))
-    n = [f"size(_s{x})" for x in range(len(masks))]
-    every = seeds.selectExpr(*rows.columns, f"concat({', '.join(f'_s{x}' for x in range(len(masks)))}) as _s", f"array({', '.join(n)}) as _n")
-    flat = every.selectExpr(*rows.columns, "_n", "posexplode(_s) as (_p, key)")
+    """One row for each mask and position: key and ``pos``. (An outer generator: no filter is inferred from it.)"""
+    every = rows.selectExpr(*rows.columns, _let("a", h, f"concat({', '.join(_seeds('a', m) for m in masks)})") + " as _s")
+    flat = every.selectExpr(*rows.columns, "posexplode_outer(_s) as (_p, key)")
     where, before = "_p", "0"
-    for x in range(len(masks) - 1):
-        before = f"{before} + _n[{x}]"
+    for m in masks[:-1]:
+        before = f"{before} + greatest(size({h}) - {len(m) - 1}, 0)"
         where = f"case when _p >= {before} then _p - ({before}) else {where} end"
     return flat.selectExpr(*rows.columns, "key", f"{where} as {pos}")
 
 
 def _verify(hits: DataFrame) -> DataFrame:
     """hits: doc_id, item_id, h, ih, diag -> those whose best window suffices."""
-    same = "transform(sequence(0, size(ih) - 1), j -> case when j + diag >= 0 and get(h, j + diag) = get(ih, j) then 1 else 0 end)"
-    hits = hits.selectExpr("doc_id", "item_id", "diag", f"{same} as m", "size(ih) as n").withColumn("w", F.least("n", F.lit(WINDOW)))
-    hits = hits.withColumn("best", F.expr("array_max(transform(sequence(1, n - w + 1), j -> struct(aggregate(slice(m, j, w), 0, (a, x) -> a + x) as c, -j as j)))"))
-    good = hits.where(F.col("best.c") >= F.ceil(F.col("w") * SHARE))
-    return good.selectExpr("doc_id", "item_id", "best.c / w as share", "aggregate(m, 0, (a, x) -> a + x) as matched", "n as item_words", "diag - best.j - 1 as doc_word")
+    same = _let("d", "h", _let("t", "ih", "transform(sequence(0, size(t) - 1), j -> case when j + diag >= 0 and get(d, j + diag) = get(t, j) then 1 else 0 end)"))
+    w = f"least(size(a), {WINDOW})"
+    best = f"array_max(transform(sequence(1, size(a) - {w} + 1), j -> struct(aggregate(slice(a, j, {w}), 0, (s, x) -> s + x) as c, -j as j)))"
+    found = _let("a", same, f"struct({best} as best, aggregate(a, 0, (s, x) -> s + x) as matched)")
+    hits = hits.selectExpr("doc_id", "item_id", "diag", f"least(size(ih), {WINDOW}) as w", "size(ih) as n", f"{found} as f")
+    good = hits.where(F.col("f.best.c") >= F.ceil(F.col("w") * SHARE))
+    return good.selectExpr("doc_id", "item_id", "f.best.c / w as share", "f.matched as matched", "n as item_words", "diag - f.best.j - 1 as doc_word")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:

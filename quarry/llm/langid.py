@@ -58,6 +58,12 @@ def _pieces(text: str):
         yield text[at : at + _PIECE]
 
 
+def _posterior(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    z = sums * np.minimum(1.0, TEMPER * len(ORDERS) / np.maximum(sizes, 1))[:, None]
+    z = np.exp(z - z.max(1, keepdims=True))
+    return z / z.sum(1, keepdims=True)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
@@ -117,10 +123,9 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                     sizes[i] += len(k)
             pred, conf = ["und"] * n, np.zeros(n)
             if len(use):
-                z = sums[use] * np.minimum(1.0, TEMPER * len(ORDERS) / np.maximum(sizes[use], 1))[:, None]
-                z = np.exp(z - z.max(1, keepdims=True))
+                z = _posterior(sums[use], sizes[use])
                 best = z.argmax(1)
-                conf[use] = z.max(1) / z.sum(1)
+                conf[use] = z.max(1)
                 for i, k in zip(use, best):
                     pred[i] = m.langs[k]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred), pa.array(conf)], ["doc_id", "lang_pred", "score"])
@@ -132,3 +137,33 @@ def identify(docs: DataFrame, fold: bool = True) -> DataFrame:
     """Fit on the labelled rows outside the held-out fold and judge all rows: doc_id, held_out, lang_pred, score."""
     train = docs.where(~held_out()) if fold else docs
     return predict(docs, fit(train)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is known with at least ``min_score``; same columns.
+
+    The classifier learns from the labelled rows of ``docs`` themselves; without any, rows with a letter stay.
+    """
+    model = fit(docs)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    if not model.langs:
+        return docs.where(letters)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        m = shared.value
+        for b in batches:
+            good = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                sums, size = m.prior.astype(np.float64), 0
+                for p in _pieces(b.column(at)[i].as_py()):
+                    k = _grams(p)
+                    sums, size = sums + m.logp.take(k, 0).sum(0, dtype=np.float64), size + len(k)
+                good[i] = _posterior(sums[None, :], np.array([size])).max() >= min_score
+            yield b.filter(pa.array(good))
+
+    return docs.where(letters).mapInArrow(keep, docs.schema)
