@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import code, evaluation, graph, lifecycle, retrieval, stream, temporal
 
-def _modules() -> list:
-    return []
+MODULES = (temporal, retrieval, graph, lifecycle, code, evaluation, stream)
 
 
 def queries() -> dict:
-    return {k: q for m in _modules() for k, (q, _) in m.CATALOG.items()}
+    return {k: q for m in MODULES for k, (q, _) in m.CATALOG.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {k: sql for m in _modules() for k, (_, sql) in m.CATALOG.items() if sql}
+    return {k: sql for m in MODULES for k, (_, sql) in m.CATALOG.items() if sql}

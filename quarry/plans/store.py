@@ -1,0 +1,23 @@
+"""Stored intermediate tables: iterative plans cut their lineage by a table in the shared folder."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[int, str] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (base or _OWN.setdefault(id(spark.sparkContext), "file://" + tempfile.mkdtemp(prefix="quarry-"))).rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{folder(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
