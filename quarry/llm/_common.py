@@ -47,6 +47,15 @@ def partitions_for(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // per_task), 1)
 
 
+#: Rows of a narrow table that may be broadcast: a few dozen bytes each, so some MB.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows are within the bound; else the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 # ---------------------------------------------------------------- hashing in numpy
 
 U = np.uint64
@@ -163,17 +172,60 @@ def _reduced(s: DataFrame) -> DataFrame:
     return s.groupBy("u").agg(F.min("v").alias("m"))
 
 
+#: Links up to this many (64 MB) are merged by one task; beyond, by rounds over all tasks. The components are the same.
+ONE_TASK_LINKS = 4_000_000
+
+
+def _forest(most: int, roots: bool):
+    """mapInArrow: (u, v) -> (node, component) of the links seen; a forest of at most ``most`` links is held at once."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        up: dict[int, int] = {}
+
+        def find(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y] if y in up else y
+                x = y
+            return x
+
+        def out():
+            pairs = [(n, find(n)) for n in list(up)]
+            pairs = pairs if roots else [p for p in pairs if p[0] != p[1]]
+            up.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["node", "component"])
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                u, v = find(u), find(v)
+                if u != v:
+                    up[max(u, v)] = min(u, v)
+            if len(up) > most:
+                yield out()
+        yield out()
+
+    return run
+
+
 def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges(u, v)``; longs, self-loops ignored.
 
-    Large-star and small-star rounds: each is one pre-aggregated minimum and one equi-join, so a hub of any degree is
-    summed map-side and split by the adaptive join. Every round is a table in the shared folder.
+    Each task first reduces its links to a forest. A forest of up to ``ONE_TASK_LINKS`` links is merged by one task.
+    A larger one goes through large-star and small-star rounds: each is one pre-aggregated minimum and one equi-join,
+    so a hub of any degree is summed map-side and split by the adaptive join. Every round is a table in the shared
+    folder.
     """
-    e = stored(
-        edges.where("u <> v and u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-        f"{name}-edges",
-    )
-    mark, before = None, []
+    links = edges.where("u <> v and u is not null and v is not null").select("u", "v")
+    forest = stored(links.mapInArrow(_forest(1_000_000, False), "u long, v long"), f"{name}-forest")
+    if forest.count() <= ONE_TASK_LINKS:
+        return forest.coalesce(1).mapInArrow(_forest(1 << 62, True), "node long, component long")
+    return star_rounds(forest, name, max_rounds)
+
+
+def star_rounds(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
+    e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-edges")
+    mark = None
     for _ in range(max_rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark or not now[0]:

@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import U, connected_components, discard, mix, mix_int, partitions_for, shingles, stored, word_hashes
+from ._common import U, bounded, connected_components, discard, mix, mix_int, partitions_for, shingles, stored, word_hashes
 
 BITS = 1024
 LEAF, FAN = 32, 8
@@ -344,4 +344,4 @@ def _first_cells(todo: DataFrame, packs: int) -> DataFrame:
 
 def _verified(docs: DataFrame, cells: DataFrame, words: int, num: int, den: int) -> DataFrame:
     one = docs.withColumnRenamed("doc_id", "rep").where("rep is not null")
-    return cells.join(one, "rep").groupBy("cell").applyInArrow(_cells(words, num, den), "u long, v long")
+    return bounded(cells).join(one, "rep").groupBy("cell").applyInArrow(_cells(words, num, den), "u long, v long")
