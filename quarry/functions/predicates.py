@@ -49,7 +49,7 @@ def _holds(v: Column, wanted) -> Column:
         return reduce(lambda a, b: a & b, parts, F.schema_of_variant(v).startswith("OBJECT"))
     if isinstance(wanted, list):
         items = F.try_variant_get(v, "$", "array<variant>")
-        parts = [F.exists(items, lambda e, x=x: F.coalesce(_holds(e, x), F.lit(False))) for x in wanted]
+        parts = [_some(items, x) for x in wanted]
         return reduce(lambda a, b: a & b, parts, items.isNotNull())
     kind = F.schema_of_variant(v)
     if wanted is None:
@@ -61,6 +61,10 @@ def _holds(v: Column, wanted) -> Column:
     return (kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")) & (F.try_variant_get(v, "$", "double") == float(wanted))
 
 
+def _some(items: Column, wanted) -> Column:
+    return F.exists(items, lambda e: F.coalesce(_holds(e, wanted), F.lit(False)))
+
+
 def metadata_condition(column: Column, rule: dict) -> Column:
     """The condition language {field, op, value} and {and: [...]} over JSON text; ops eq, ne, in, not_in, exists."""
     if "and" in rule:
