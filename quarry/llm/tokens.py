@@ -5,8 +5,8 @@ A file set is a folder of ``part-NNNNN.ids`` (little-endian unsigned 16- or 32-b
 Parts are ranges of ascending doc_id; their bases are prefix sums of the parts' totals, in ``bases.json``. Files are
 written under a name of the attempt and renamed, so repeated tasks leave one file each.
 
-Defined results: null text is empty and has only the end id; null doc_ids come first; rows with the same doc_id keep
-their order by text. An empty table writes no part. Texts are encoded whole. Extra columns are ignored.
+Defined results: null text is empty and has only the end id; null doc_ids come first; rows with the same doc_id are
+ordered by a hash of their text. An empty table writes no part. Texts are encoded whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._common import fresh_path, partitions_for
 
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 700_000
 _STATE: dict = {}
 
 
@@ -41,59 +41,71 @@ class Encoder:
     def __init__(self, path: str):
         import re
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.words: dict[str, bytes] = {}
-        self.odd = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f᠎​-‏ -  -⁯﻿\ud800-\udfff]")
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, k in self.tok.get_vocab().items():
+            self.last[k] = token.endswith("</w>")
+        self.by_word = bool(self.last.any())  # other vocabularies encode whole texts
+        self.letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        self.odd = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\u180e\u200b-\u200f\u2028-\u202e\u2060-\u206f\ufeff\ud800-\udfff]").search
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, ws: list[str], to: dict[str, bytes]) -> None:
+        """Lower-case words of plain letters are one piece each, and normal already: many are encoded as one text by
+        the bare model and told apart by the tokens that end a word."""
+        size = self.dtype.itemsize
+        for at in range(0, len(ws), 2000):
+            part = ws[at : at + 2000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            cut = ((np.flatnonzero(self.last[ids]) + 1) * size).tolist()
+            raw = ids.tobytes()
+            to.update(zip(part, map(raw.__getitem__, map(slice, [0, *cut], cut)), strict=True))
+
     def _learn(self, fresh: set[str]) -> None:
-        words = self.words
+        """Encode new words; kept are the words as they stand in texts, not their stems or lower-cased forms."""
+        words, letters = self.words, self.letters
         if len(words) + len(fresh) > _CACHE_WORDS:
             words.clear()
-        stems = {}
-        for w in fresh:
-            if len(w) > 1 and w[-1] in ".," and w[-2].isalpha():
-                stems[w] = w[:-1]
-        need = [w for w in fresh if w not in stems] + [".", ","]
-        for s in set(stems.values()):
-            if s not in words and s not in fresh:
-                need.append(s)
-        lower = {}
-        for w in need:
-            lower.setdefault(w.lower() if w.isascii() else w, []).append(w)
-        known = [k for k in lower if k not in words]
-        for k, ids in zip(known, self._raw(known)):
-            words[k] = ids
-        for k, ws in lower.items():
-            ids = words[k]
-            for w in ws:
-                words[w] = ids
-        for w, s in stems.items():
-            words[w] = words[s] + words[w[-1]]
+        stems = {w: w[:-1].lower() for w in fresh if w[-1] in ".," and letters(w, 0, len(w) - 1)}
+        plain = {w: w.lower() for w in fresh if w not in stems and letters(w)}
+        rest = [w for w in fresh if w not in stems and w not in plain] + [".", ","]
+        known: dict[str, bytes] = {}
+        self._plain([k for k in {*plain.values(), *stems.values()}], known)
+        rest_ids = self._raw(rest)
+        words.update(zip(rest, rest_ids))
+        words.update(zip(plain, map(known.__getitem__, plain.values())))
+        mark = {".": rest_ids[-2], ",": rest_ids[-1]}
+        words.update({w: known[k] + mark[w[-1]] for w, k in stems.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
-        for t in texts:
-            if self.odd.search(t):
-                out += self._raw([t])
-                continue
-            ws = t.split()
-            try:
+        for at in range(0, len(texts), 256):
+            part = texts[at : at + 256]
+            split = [t.split() if self.by_word and not self.odd(t) else None for t in part]
+            fresh = set().union(*[ws for ws in split if ws]).difference(self.words)
+            whole = len(self.words) + len(fresh) <= _CACHE_WORDS
+            if fresh and whole:
+                self._learn(fresh)
+            for t, ws in zip(part, split):
+                if ws is None:
+                    out += self._raw([t])
+                    continue
+                if not whole and (new := set(ws).difference(self.words)):
+                    self._learn(new)
+                    if new := set(ws).difference(self.words):  # the cache was emptied
+                        self._learn(new)
                 out.append(b"".join(map(self.words.__getitem__, ws)))
-            except KeyError:
-                self._learn({w for w in ws if w not in self.words})
-                try:
-                    out.append(b"".join(map(self.words.__getitem__, ws)))
-                except KeyError:  # the cache was emptied
-                    self._learn(set(ws))
-                    out.append(b"".join(map(self.words.__getitem__, ws)))
         return out
 
 
@@ -145,7 +157,9 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str, end_id: int, per
     fs.create_dir(path, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = partitions_for(spark, rows.count(), per_part)
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # the range borders are sampled: a hash of the text splits repeats of an id, and no text reaches the driver
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
 
     def write(batches):
         import pyarrow as pa
