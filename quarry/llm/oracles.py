@@ -1,3 +1,56 @@
-"""DuckDB SQL for the contract queries that SQL can express."""
+"""DuckDB SQL for the contract queries that SQL can express on whole tables.
 
-ORACLES: dict[str, str] = {}
+Left out: op1 (a fitted classifier), op4 (its hash), op5 and op9 (a tokenizer library), op6 and op7 (verification over
+aligned regions) and op10 (random draws); tests hold these against brute force.
+"""
+
+from __future__ import annotations
+
+from . import secretscan, urlfilter
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _url_filters() -> str:
+    pattern = ", ".join(f"case when regexp_matches(lower(url), {_text(r.pattern)}) then {_text(r.name)} end" for r in urlfilter.PATTERN_RULES)
+    rule, verdict = "", ""
+    for r in sorted(urlfilter.BASE_RULES, key=lambda r: (-len(r.name), r.name)):
+        at = f"when (host = {_text(r.host)} or ends_with(host, {_text('.' + r.host)})) and starts_with(path, {_text(r.path)})"
+        rule, verdict = f"{rule} {at} then {_text(r.name)}", f"{verdict} {at} then {_text(r.verdict)}"
+    return f"""with r as (select page_id, url, case when contains(url, '://') then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+ h as (select page_id, translate(regexp_extract(rest, '(?s)^[^/?#]*'), '{_UPPER}', '{_LOWER}') as host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path, list_min(list_filter([{pattern}], lambda x: x is not null)) as pattern_rule from r)
+ select page_id, host, path, case {rule} end as rule, case {verdict} when pattern_rule is not null then 'block' else 'allow' end as verdict, pattern_rule from h"""
+
+
+_JACCARD = rf"""with recursive t as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+ s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as sh from t),
+ n as (select doc_id, count(*) as n from s group by 1),
+ p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b using (sh) where a.doc_id < b.doc_id group by 1, 2),
+ l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 90 * (a.n + b.n - c)),
+ e as (select x, y from l union select y, x from l),
+ r as (select x as node, x as c from e union select e.y, r.c from r join e on e.x = r.node)
+ select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.c, d.doc_id) as component_id from documents d left join n using (doc_id) left join (select node, min(c) as c from r group by 1) m on m.node = d.doc_id"""
+
+
+def _secret_scans() -> str:
+    parts = []
+    for i, r in enumerate(secretscan.BASE_RULES + secretscan.MORE_RULES):
+        p = _text(r.pattern)
+        parts.append(
+            f"select doc_id, {i} as o, {_text(r.kind)} as kind, list_sum(list_transform(b[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) as s, length(m[k]) as n from "
+            f"(select *, unnest(range(1, len(m) + 1)) as k from (select doc_id, regexp_extract_all(x, {p}, 0) as m, string_split_regex(x, {p}) as b, regexp_extract_all(x, {p}, {r.group}) as t from d where regexp_matches(x, {p}))) where length(t[k]) >= {r.least}"
+        )
+    line = "kind || ':' || cast(s as bigint) || ':' || cast(s + n as bigint)"
+    base = ", ".join(f"count(*) filter (o = {i}) as n_{r.kind}" for i, r in enumerate(secretscan.BASE_RULES))
+    k = len(secretscan.BASE_RULES)
+    return f"""with d as (select doc_id, coalesce(text, '') as x from documents), f as ({' union all '.join(parts)}),
+ g as (select doc_id, {base}, string_agg({line}, ',' order by s, o) filter (o < {k}) as b, string_agg({line}, ',' order by s, o) as a from f group by 1)
+ select d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) as n_{r.kind}' for r in secretscan.BASE_RULES)}, sha256(coalesce(b, '')) as base_sha256, coalesce(a, '') as spans from d left join g using (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op2_url_filters": _url_filters(), "op3_ngram_jaccard_join": _JACCARD, "op8_secret_scans": _secret_scans()}
