@@ -67,35 +67,72 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, per_level: int | None =
     return seen
 
 
+def _small_pagerank(rows: DataFrame, kind: str, iterations: int, damping: float, tolerance: float | None) -> DataFrame:
+    """(node, r, out_degree) of a graph whose counted edges fit one task. ``rows``: edges, and seeds with a null dst."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        t = pa.Table.from_batches(list(batches)).to_pandas()
+        edge = t[t["dst"].notna()]
+        nodes = sorted(set(t["src"]) | set(edge["dst"]))
+        at = {n: i for i, n in enumerate(nodes)}
+        a, b = edge["src"].map(at).to_numpy(np.int64), edge["dst"].map(at).to_numpy(np.int64)
+        w = edge["weight"].to_numpy(np.float64)
+        start = np.zeros(len(nodes))
+        seeds = sorted(set(t.loc[t["dst"].isna(), "src"].map(at)))
+        if seeds:
+            start[seeds] = 1.0 / len(seeds)
+        total, degree = np.bincount(a, w, len(nodes)), np.bincount(a, minlength=len(nodes))
+        p = w / total[a] if len(a) else w
+        r = start
+        for _ in range(iterations):
+            new = (1 - damping) * start + damping * (np.bincount(b, r[a] * p, len(nodes)) + r[degree == 0].sum() * start)
+            moved, r = np.abs(new - r).sum(), new
+            if tolerance is not None and moved < tolerance:
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(r), pa.array([int(d) or None for d in degree], pa.int64())], ["node", "r", "out_degree"])
+
+    return rows.coalesce(1).mapInArrow(run, f"node {kind}, r double, out_degree long")
+
+
 def pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = CONFIG.ppr_iterations, damping: float = CONFIG.ppr_damping, tolerance: float | None = None, dampen_hubs: bool = True) -> DataFrame:
     """Personalised PageRank (node, score): weighted transitions, dangling mass to the seeds (node), each an equal share.
 
-    ``tolerance`` stops early on the L1 change; without it all iterations run. Hubs: score / sqrt(out-degree)."""
-    e = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    ``tolerance`` stops early on the L1 change; without it all iterations run. Hubs: score / sqrt(out-degree). A graph
+    of at most ``broadcast_rows`` edges is iterated by one task, a larger one by joins over all tasks."""
+    e = stored(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "ppr-graph")
+    s = seeds.select("node").distinct()
+    if e.count() <= CONFIG.broadcast_rows:
+        kind = e.schema["src"].dataType.simpleString()
+        rows = e.union(s.select(F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(None).cast("double").alias("weight")))
+        final = _small_pagerank(rows, kind, iterations, damping, tolerance)
+    else:
+        final = _joined_pagerank(e, s, iterations, damping, tolerance)
+    score = F.col("r") / F.sqrt(F.greatest(F.coalesce("out_degree", F.lit(1)), F.lit(1))) if dampen_hubs else F.col("r")
+    return final.select("node", score.alias("score"))
+
+
+def _joined_pagerank(e: DataFrame, s: DataFrame, iterations: int, damping: float, tolerance: float | None) -> DataFrame:
     out = e.groupBy("src").agg(F.sum("weight").alias("total"), F.count("*").alias("out_degree"))
     step = stored(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "ppr-edges")
-    s = seeds.select("node").distinct()
     n_seeds = s.count()
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).union(s).distinct()
     base = nodes.join(s.withColumn("t", F.lit(1.0 / max(1, n_seeds))), "node", "left").join(out.select(F.col("src").alias("node"), "out_degree"), "node", "left")
     base = stored(base.select("node", F.coalesce("t", F.lit(0.0)).alias("t"), "out_degree"), "ppr-nodes")
     ranks = base.select("node", F.col("t").alias("r"))
-    for i in range(iterations):
-        dangling = ranks.join(base.where("out_degree is null").select("node"), "node", "left_semi").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
+    for _ in range(iterations):
+        lost = ranks.join(base.where("out_degree is null").select("node"), "node", "left_semi").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
         got = ranks.join(step, ranks.node == step.src).groupBy("dst").agg(F.sum(F.col("r") * F.col("p")).alias("in"))
-        new = base.join(got, base.node == got.dst, "left").crossJoin(F.broadcast(dangling))
-        new = new.select("node", ((1 - damping) * F.col("t") + damping * (F.coalesce("in", F.lit(0.0)) + F.col("lost") * F.col("t"))).alias("r"))
+        new = base.join(got, base.node == got.dst, "left")
+        new = stored(new.select("node", ((1 - damping) * F.col("t") + damping * (F.coalesce("in", F.lit(0.0)) + F.lit(lost) * F.col("t"))).alias("r")), "ppr-ranks")
         if tolerance is not None:
-            new = stored(new, "ppr-ranks")
             moved = new.withColumnRenamed("r", "r2").join(ranks, "node").agg(F.sum(F.abs(F.col("r2") - F.col("r")))).first()[0] or 0.0
-            ranks = new
-            if moved < tolerance:
-                break
-        else:
-            ranks = stored(new, "ppr-ranks") if i % 3 == 2 else new
-    final = ranks.join(base, "node")
-    score = F.col("r") / F.sqrt(F.greatest(F.coalesce("out_degree", F.lit(1)), F.lit(1))) if dampen_hubs else F.col("r")
-    return final.select("node", score.alias("score"))
+        ranks = new
+        if tolerance is not None and moved < tolerance:
+            break
+    return ranks.join(base, "node").select("node", "r", "out_degree")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

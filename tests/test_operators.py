@@ -53,6 +53,8 @@ def test_ppr_mass(spark):
     s = spark.createDataFrame([("a",)], "node string")
     got = {r.node: r.score for r in graph.pagerank(e, s, dampen_hubs=False).collect()}
     assert abs(sum(got.values()) - 1) < 1e-6 and got["a"] > got["c"]
+    joined = {r.node: r.r for r in graph._joined_pagerank(e, s, 15, 0.5, None).collect()}
+    assert all(abs(joined[n] - x) < 1e-12 for n, x in got.items())
 
 
 def test_bfs_grows(spark):
