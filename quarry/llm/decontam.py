@@ -4,9 +4,9 @@ Fixed masks ignore some token positions; the hashes of the others, taken at ever
 documents, are joined. A hit fixes a diagonal on which the item's words are compared with the document's; the pair
 counts if some window of the item has enough equal words, so substitutions between hits are tolerated.
 
-The items' hashes are broadcast only when their counted size is below ``MAX_BROADCAST``; beyond, hits are found by a
-shuffled join of narrow rows and the words joined back. Verification happens for each hit on its own, so no group of
-hits, documents or items is ever gathered.
+The items' hashes are broadcast only when their counted size is below ``MAX_BROADCAST``; beyond, the join shuffles.
+Distinct diagonals are joined back to their texts and verified each on its own, so no group of hits, documents or items
+is ever gathered.
 
 Defined results: words are lower-cased runs of letters and digits; null texts have none. Items of fewer words than a
 mask are sought by their whole sequence; items below ``MIN_WORDS`` words are no evidence and give nothing. Rows with
@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._common import bounded, stored
+
 # 1 marks a compared position.
 MASKS = ("1101101011", "1110010111")
 MIN_WORDS = 5
@@ -43,15 +45,15 @@ def _seeds(h: str, mask: str) -> str:
     return f"transform(case when size({h}) >= {len(mask)} then sequence(0, size({h}) - {len(mask)}) else cast(array() as array<int>) end, i -> xxhash64('{mask}', {', '.join(at)}))"
 
 
-def _keys(rows: DataFrame, h: str, masks: list[str], pos: str) -> DataFrame:
-    """One row for each mask and position: key and ``pos``. (An outer generator: no filter is inferred from it.)"""
-    every = rows.selectExpr(*rows.columns, _let("a", h, f"concat({', '.join(_seeds('a', m) for m in masks)})") + " as _s")
-    flat = every.selectExpr(*rows.columns, "posexplode_outer(_s) as (_p, key)")
+def _keys(rows: DataFrame, h: str, masks: list[str], pos: str, keep: list[str]) -> DataFrame:
+    """One row for each mask and position: ``keep``, key and ``pos``. (An outer generator: no filter is inferred from it.)"""
+    every = rows.selectExpr(*keep, f"size({h}) as _n", _let("a", h, f"concat({', '.join(_seeds('a', m) for m in masks)})") + " as _s")
+    flat = every.selectExpr(*keep, "_n", "posexplode_outer(_s) as (_p, key)")
     where, before = "_p", "0"
     for m in masks[:-1]:
-        before = f"{before} + greatest(size({h}) - {len(m) - 1}, 0)"
+        before = f"{before} + greatest(_n - {len(m) - 1}, 0)"
         where = f"case when _p >= {before} then _p - ({before}) else {where} end"
-    return flat.selectExpr(*rows.columns, "key", f"{where} as {pos}")
+    return flat.where("key is not null").selectExpr(*keep, "key", f"{where} as {pos}")
 
 
 def _verify(hits: DataFrame) -> DataFrame:
@@ -67,7 +69,6 @@ def _verify(hits: DataFrame) -> DataFrame:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """doc_id, item_id, share (best window), matched, item_words, doc_word: a row for each pair that overlaps."""
-    docs = _hashed(docs, "text", [F.col("doc_id")])
     items = _hashed(benchmark, "text", [F.col("item_id")]).withColumnRenamed("h", "ih").where(f"size(ih) >= {MIN_WORDS}")
     span = min(len(m) for m in masks)
     short = [r["n"] for r in items.where(F.size("ih") < span).select(F.size("ih").alias("n")).distinct().collect()]  # fewer than the span
@@ -75,18 +76,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = M
     tally = items.agg(F.count("*").alias("c"), F.sum(F.pow(F.size("ih").cast("double"), 2)).alias("s")).first()
     small = (tally["s"] or 0) * len(use) * 8 + tally["c"] * 64 <= MAX_BROADCAST
     # whole-sequence masks are for the items of that very length
-    index = _keys(items, "ih", use, "ipos")
+    index = _keys(items, "ih", use, "ipos", ["item_id"])
     if short:
-        plain = _keys(items, "ih", list(masks), "ipos")
+        plain = _keys(items, "ih", list(masks), "ipos", ["item_id"])
         for n in sorted(short):
-            plain = plain.unionByName(_keys(items.where(F.size("ih") == n), "ih", ["1" * n], "ipos"))
+            plain = plain.unionByName(_keys(items.where(F.size("ih") == n), "ih", ["1" * n], "ipos", ["item_id"]))
         index = plain
-    seeds = _keys(docs, "h", use, "pos")
-    if small:
-        hits = seeds.join(F.broadcast(index), "key").selectExpr("doc_id", "item_id", "h", "ih", "pos - ipos as diag")
-    else:
-        narrow = seeds.select("doc_id", "key", "pos").join(index.select("item_id", "key", "ipos"), "key")
-        narrow = narrow.selectExpr("doc_id as d", "item_id as t", "pos - ipos as diag").distinct()
-        hits = narrow.join(docs, F.col("d").eqNullSafe(F.col("doc_id"))).join(items, F.col("t").eqNullSafe(F.col("item_id"))).select("doc_id", "item_id", "h", "ih", "diag")
-    best = _verify(hits).groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "matched", "item_words", (-F.col("doc_word")).alias("at"))).alias("b"))
+    # only keys and positions are unfolded, never a document's words: a row for each position would copy them
+    seeds = _keys(_hashed(docs, "text", [F.col("doc_id").alias("d")]), "h", use, "pos", ["d"])
+    index = index.select(F.col("item_id").alias("t"), "key", "ipos")
+    hits = seeds.join(F.broadcast(index) if small else index, "key").selectExpr("d", "t", "pos - ipos as diag").distinct()
+    hits = stored(hits, "leak-hits")
+    texts = docs.select("doc_id", "text")
+    near = bounded(hits).join(texts, F.col("d").eqNullSafe(F.col("doc_id"))).join(items, F.col("t").eqNullSafe(F.col("item_id")))
+    near = _hashed(near, "text", [F.col(c) for c in ("doc_id", "item_id", "ih", "diag")])
+    # written before it is grouped: else the optimizer would sort the hits with their word arrays
+    best = stored(_verify(near), "leaks").groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "matched", "item_words", (-F.col("doc_word")).alias("at"))).alias("b"))
     return best.select("doc_id", "item_id", "b.share", "b.matched", "b.item_words", (-F.col("b.at")).alias("doc_word"))
