@@ -166,4 +166,6 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
                 good[i] = _posterior(sums[None, :], np.array([size])).max() >= min_score
             yield b.filter(pa.array(good))
 
-    return docs.where(letters).mapInArrow(keep, docs.schema)
+    # by position: any column names pass through
+    plain = docs.where(letters).toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

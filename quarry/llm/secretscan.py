@@ -202,7 +202,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) ->
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, mask: str = "<SECRET>") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mask`` (overlapping spans by one); same columns."""
-    found = find_spans(docs, rules)
+    # by position: any column names pass through
+    plain = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    found = find_spans(plain, rules)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def add(acc, x):
@@ -214,4 +216,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, m
     tail = F.expr("substring(text, _done.at + 1)")
     clean = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.concat(F.array_join(F.col("_done")["out"], ""), tail))
     out = found.withColumn("_done", done)
-    return out.select(*[clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[clean.alias(c) if c == "text" else F.col(c) for c in plain.columns]).toDF(*docs.columns)
