@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import decontam, langid, packing, secretscan, simjoin
-from quarry.llm._common import stored
+from quarry.llm._common import bounded, stored
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` whose doc_id is not in ``ids(gone)``; rows with a null doc_id stay."""
-    return docs.join(ids.distinct(), docs["doc_id"] == ids["gone"], "left_anti")
+    ids = stored(ids.distinct(), "pipeline-gone")
+    return docs.join(bounded(ids), docs["doc_id"] == ids["gone"], "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
     leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, stored(leaks.select(F.col("doc_id").cast("long").alias("gone")), "pipeline-leaks"))
+    return _without(docs, leaks.select(F.col("doc_id").cast("long").alias("gone")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
