@@ -18,6 +18,9 @@ are compared as 64-bit hashes. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -48,22 +51,37 @@ def _band_starts(upto: int) -> list[int]:
 _STARTS = np.array(_band_starts(1 << 40), np.int64)
 
 
+@lru_cache(None)
+def band_plan(band: int, num: int, den: int) -> tuple[int, int, int]:
+    """(parts, spare, least) of a size band: parts beyond those that may differ are spare, so that a set may leave out
+    as many parts of fewer than ``least`` shingles; ``least`` is as large as few sets have more such parts."""
+    low, largest = int(_STARTS[band]), int(_STARTS[band + 1]) - 1
+    need = (den - num) * 2 * largest // (den + num) + 1
+    for least in (3, 2, 1):
+        m = need
+        for _ in range(6):
+            lam = low / m
+            weak = math.exp(-lam) * sum(lam**k / math.factorial(k) for k in range(least))
+            m = math.ceil(need / (1 - min(0.5, 1.5 * weak)))
+        if weak <= 0.08 or least == 1:
+            spare = m - need + (need > 4)
+            return need + spare, spare, least
+    raise AssertionError
+
+
 def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the parts of a sorted set; any two linked sets have a key in common."""
     n = len(s)
     band = int(np.searchsorted(_STARTS, n, "right")) - 1
     out = []
     while band < len(_STARTS) - 1 and int(_STARTS[band]) <= max(n, n * den // num):
-        largest = int(_STARTS[band + 1]) - 1
-        differ = (den - num) * 2 * largest // (den + num)
-        spare = differ * 6 // 100 + (differ > 20) * 2
-        m = differ + 1 + spare
+        m, spare, least = band_plan(band, num, den)
         part = ((s >> U(32)) * U(m)) >> U(32)
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         size = np.diff(np.append(first, n))
         ids = part[first]
         sums = np.add.reduceat(mix(s), first, dtype=U)
-        strong = size >= 3
+        strong = size >= least
         # at least spare + 1 parts agree: leaving out no more than spare of one's own weak parts keeps one of them
         if m - int(strong.sum()) <= spare:
             ids, sums = ids[strong], sums[strong]
