@@ -319,3 +319,24 @@ def test_op6_runs():
         fit = [(a, z) for a, z in fit if (a == 0 or not found[a - 1]) and (z == n or not found[z])]
         want = [(a, z) for a, z in fit if not any((b, y) != (a, z) and b <= a and z <= y for b, y in fit)]
         assert [q[:2] for q in passages.runs(found, 20)] == want
+
+
+def test_op6_frequent_lines(spark, prose):
+    """A passage made of stock lines that earlier documents hold one by one, and a line that recurs before the passage."""
+    import random
+
+    r = random.Random(5)
+    rows, pairs = [], []
+    lines = [" ".join(f"{x}{i}" for x in prose(100 + i, 8).split()) for i in range(42)]
+    for k, line in enumerate(lines):
+        rows += [(k * 3 + j, prose(1000 + k * 3 + j, 60) + " " + line + " " + prose(2000 + k * 3 + j, 60)) for j in range(3)]
+    for n in range(12):
+        passage = " ".join(r.sample(lines, 7))
+        pairs.append((1000 + 2 * n, 1001 + 2 * n))
+        rows += [(d, prose(3000 + d, 55) + " " + passage + " " + prose(4000 + d, 55)) for d in pairs[-1]]
+    passage = " ".join(lines[:7])
+    rows += [(500, " ".join(prose(5000 + i, 60) + " " + x for i, x in enumerate(lines[:7])) + prose(6000, 60) + " " + passage), (501, passage)]
+    pairs.append((500, 501))
+    got = {(q.doc_id, q.match_doc_id) for q in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")).collect()}
+    lost = {p for p in pairs if p not in got}
+    assert not lost, f"{len(lost)} of {len(pairs)} lost"
