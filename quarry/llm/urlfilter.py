@@ -1,8 +1,8 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-Every rule lists literal tokens (runs of a-z and 0-9) that any URL it fits must hold. A rule is filed under the token
-that fewest URLs of the corpus hold; a URL's tokens fetch candidate rules, and only those run their regular
-expression. The index is a folded array literal of hash buckets, so judging a URL is one projection without a shuffle.
+Every rule lists literal tokens (runs of a-z and 0-9) that any URL it fits must hold, or tokens of which any URL it fits
+holds one. A rule is filed under the token that fewest URLs of the corpus hold, or under each of its alternatives; a
+URL's tokens fetch candidate rules, and only those run their regular expression. The index is a folded array literal of hash buckets, so judging a URL is one projection without a shuffle.
 
 Base rules are (host, path) suffix rules: a rule fits its host and all subdomains if the path starts with the rule's
 path; the longest fitting rule wins, ties alphabetically. Where none fits, the method's verdict holds: block if a
@@ -38,11 +38,13 @@ class BaseRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """``pattern`` is searched in the lower-cased URL; each of ``literals`` is a whole token of any URL it fits."""
+    """``pattern`` is searched in the lower-cased URL; each of ``literals`` is a whole token of any URL it fits, and so is
+    at least one of ``any_of``, if there are any."""
 
     name: str
     pattern: str
-    literals: tuple[str, ...]
+    literals: tuple[str, ...] = ()
+    any_of: tuple[str, ...] = ()
 
 
 # The base rules.
@@ -56,13 +58,13 @@ PATTERN_RULES = (
     PatternRule("poker", r"://([^/?#]*[.-])?poker[.-]", ("poker",)),
     PatternRule("porn", r"://([^/?#]*[.-])?porn[.-]", ("porn",)),
     PatternRule("xxx", r"://([^/?#]*[.-])?xxx[./-]", ("xxx",)),
-    PatternRule("payday-loans", r"payday[-_/]loans?\b", ("payday",)),
-    PatternRule("cheap-pills", r"cheap[-_/]pills\b", ("cheap", "pills")),
+    PatternRule("payday-loans", r"payday[-_/]loans?\b", any_of=("loan", "loans")),
+    PatternRule("cheap-pills", r"cheap[-_/]pills\b", ("pills",)),
     PatternRule("wp-login", r"/wp[-_]login\b", ("wp", "login")),
     PatternRule("wp-admin", r"/wp[-_]admin\b", ("wp", "admin")),
-    PatternRule("ad-server", r"://ads?\.|/ads/", ("ads",)),
+    PatternRule("ad-server", r"://ads?\.|/ads/", any_of=("ad", "ads")),
     PatternRule("doubleclick", r"://([^/?#]*\.)?doubleclick\.", ("doubleclick",)),
-    PatternRule("session-id", r"[?&;](phpsessid|jsessionid)=", ("phpsessid",)),
+    PatternRule("session-id", r"[?&;](phpsessid|jsessionid)=", any_of=("jsessionid", "phpsessid")),
     PatternRule("java-session", r"[?&;]jsessionid=", ("jsessionid",)),
 )
 
@@ -98,16 +100,16 @@ def rarest_index(rules: tuple[PatternRule, ...], counts: dict[str, int]) -> tupl
 
     buckets: list[list[dict]] = [[] for _ in range(size)]
     for r in rules:
-        if not r.literals:
+        if not (r.literals or r.any_of):
             raise ValueError(f"rule {r.name} has no literal token")
-        key = min(r.literals, key=lambda t: (counts.get(t, 0), t))
-        buckets[zlib.crc32(key.encode()) % size].append({"token": key, "name": r.name, "pattern": r.pattern})
+        for key in {min(r.literals, key=lambda t: (counts.get(t, 0), t))} if r.literals else set(r.any_of):
+            buckets[zlib.crc32(key.encode()) % size].append({"token": key, "name": r.name, "pattern": r.pattern})
     return json.dumps(buckets), size
 
 
 def judge(pages: DataFrame, rules=PATTERN_RULES, base=BASE_RULES, url: str = "url", page_id: str = "page_id") -> DataFrame:
     """page_id, host, path, rule, verdict, pattern_rule (the alphabetically first pattern rule that fits)."""
-    literals = sorted({t for r in rules for t in r.literals})
+    literals = sorted({t for r in rules for t in r.literals + r.any_of})
     for t in literals:
         if re.search(TOKEN, t):
             raise ValueError(f"{t!r} is not a token")

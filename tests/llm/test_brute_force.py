@@ -340,3 +340,20 @@ def test_op6_frequent_lines(spark, prose):
     got = {(q.doc_id, q.match_doc_id) for q in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")).collect()}
     lost = {p for p in pairs if p not in got}
     assert not lost, f"{len(lost)} of {len(pairs)} lost"
+
+
+def test_op2_literals(spark):
+    """URLs with each rule's words between all sorts of neighbours, against the patterns run on every URL."""
+    parts = ["spam-farm", "link.farm", "doorway", "casino", "poker", "porn", "xxx", "payday-loan", "payday_loans", "payday/loans", "cheap-pills", "cheap_pills", "cheap/pills", "wp-login", "wp_admin", "ad", "ads", "doubleclick", "phpsessid=1", "jsessionid=1"]
+    urls = [u for x in parts for a in ("", "best", "super-", "9") for z in ("", ".", "-", "x", "/", "_") for u in (f"http://{a}{x}{z}example.org/", f"http://a.{a}{x}{z}com/q", f"http://a.com/{a}{x}{z}", f"http://a.com/?{a}{x}{z}")]
+    for url in urls:
+        held = set(re.split(urlfilter.TOKEN, url))
+        for r in urlfilter.PATTERN_RULES:
+            if re.search(r.pattern, url):
+                assert held >= set(r.literals) and (not r.any_of or held & set(r.any_of)), (r.name, url)
+    assert {r.name for r in urlfilter.PATTERN_RULES} == {r.name for r in urlfilter.PATTERN_RULES for u in urls if re.search(r.pattern, u)}
+    # whatever the counts of the corpus, each rule is found
+    for more in ([], ["http://a.com/pills"] * 9 + ["http://a.com/loan/ads/"] * 9):
+        df = spark.createDataFrame(list(enumerate(urls + more)), "page_id long, url string")
+        got = {q.page_id: q.pattern_rule for q in urlfilter.judge(df).collect()}
+        assert got == {i: min([r.name for r in urlfilter.PATTERN_RULES if re.search(r.pattern, u)], default=None) for i, u in enumerate(urls + more)}
