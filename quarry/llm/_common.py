@@ -62,8 +62,8 @@ U = np.uint64
 _B = 0x9E3779B97F4A7C15 | 1
 _BINV = pow(_B, -1, 1 << 64)
 _PIECE = 1 << 20
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -92,8 +92,37 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POW, _INV = _powers(_B, _PIECE + 1), _powers(_BINV, _PIECE + 1)
 
 
-def _piece_words(buf: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word (start, end, 64-bit hash) of the bytes; a word also ends at each position of ``breaks``."""
+def _sums(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """The polynomial of each span of at most ``_PIECE`` bytes, as if it began the buffer."""
+    total = np.zeros(len(buf) + 1, U)
+    x = (LOWER[buf] if lower else buf).astype(U)
+    x += U(1)
+    x *= _POW[: len(buf)]
+    np.cumsum(x, dtype=U, out=total[1:])
+    return (total[end] - total[start]) * _INV[start]
+
+
+def _hashed(sums: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix(sums ^ (length.astype(U) << U(32)))
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of spans of bytes, in order and apart; a buffer beyond the bound holds one long span or few."""
+    if len(buf) <= _PIECE:
+        return _hashed(_sums(buf, start, end, lower), end - start)
+    sums = np.zeros(len(start), U)
+    for at in range(0, len(buf), _PIECE):
+        a, z = np.clip(start - at, 0, _PIECE), np.clip(end - at, 0, _PIECE)
+        k = np.flatnonzero(a < z)
+        part = _sums(buf[at : at + _PIECE], a[k], z[k], lower)
+        # what lies in an earlier piece comes before: shift by its length
+        done = np.maximum(at - start[k], 0)
+        sums[k] += part * np.array([pow(_B, int(d), 1 << 64) if d else 1 for d in done], U)
+    return _hashed(sums, end - start)
+
+
+def _words(buf: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word starts and ends in the bytes; a word also ends at each position of ``breaks``."""
     n = len(buf)
     ws = _SPACE[buf]
     first = np.empty(n, bool)
@@ -106,18 +135,11 @@ def _piece_words(buf: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.n
     last[:-1] = ws[1:]
     b = breaks[(breaks > 0) & (breaks <= n)] - 1
     last[b] = True
-    ends = np.flatnonzero(last & ~ws) + 1
-    total = np.zeros(n + 1, U)
-    np.cumsum(((_LOWER[buf] if lower else buf).astype(U) + U(1)) * _POW[:n], dtype=U, out=total[1:])
-    h = (total[ends] - total[starts]) * _INV[starts]
-    return starts, ends, mix(h ^ ((ends - starts).astype(U) << U(32)))
-
+    return starts, np.flatnonzero(last & ~ws) + 1
 
-def word_hashes(texts, lower: bool = True):
-    """Yield (index of the first text, word hashes, word offsets of each text) for runs of texts of bounded bytes.
 
-    ``texts``: a pyarrow string array. Words are runs of bytes other than space and 0x09-0x0D. Null texts have no word.
-    """
+def text_buffers(texts) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a pyarrow string array; null texts are empty."""
     import pyarrow as pa
 
     arr = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
@@ -125,30 +147,48 @@ def word_hashes(texts, lower: bool = True):
     if arr.null_count:
         arr = arr.fill_null("")
     if not len(arr):
-        return
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
     off = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
-    data = np.frombuffer(arr.buffers()[2], np.uint8) if arr.buffers()[2] is not None else np.zeros(0, np.uint8)
-    i, n = 0, len(arr)
+    return off, np.frombuffer(arr.buffers()[2], np.uint8) if arr.buffers()[2] is not None else np.zeros(0, np.uint8)
+
+
+def pieces_of(data: np.ndarray, lo: int, hi: int, most: int = _PIECE):
+    """Ranges of the bytes from ``lo`` to ``hi``, of at most ``most`` bytes; they end after white space where a word
+    does not fill one, and a longer word stays whole in a longer range."""
+    while lo < hi:
+        end = min(hi, lo + most)
+        if end < hi:
+            gap = np.flatnonzero(_SPACE[data[lo:end]])
+            if len(gap):
+                end = lo + int(gap[-1]) + 1
+            else:
+                while end < hi and not len(gap):
+                    gap = np.flatnonzero(_SPACE[data[end : end + most]])
+                    end = end + int(gap[0]) + 1 if len(gap) else min(hi, end + most)
+        yield lo, end
+        lo = end
+
+
+def word_hashes(texts, lower: bool = True):
+    """Yield (index of the first text, word hashes, word offsets of each text) for runs of texts of bounded bytes.
+
+    ``texts``: a pyarrow string array. Words are runs of bytes other than space and 0x09-0x0D, hashed whole however long.
+    Null texts have no word.
+    """
+    off, data = text_buffers(texts)
+    i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + _PIECE, "right")) - 1)
         j = min(j, n)
         lo, hi = int(off[i]), int(off[j])
-        if hi - lo <= _PIECE:
-            if hi == lo:
-                yield i, np.zeros(0, U), np.zeros(j - i + 1, np.int64)
-            else:
-                starts, _, h = _piece_words(data[lo:hi], off[i:j] - lo, lower)
-                yield i, h, np.searchsorted(starts, off[i : j + 1] - lo)
-        else:  # one text beyond the bound: cut it at white space; a longer word is cut as well, alike in every text
-            parts, at = [], lo
-            while at < hi:
-                end = min(at + _PIECE, hi)
-                if end < hi:
-                    space = np.flatnonzero(_SPACE[data[at:end]])
-                    end = at + int(space[-1]) + 1 if len(space) else end
-                parts.append(_piece_words(data[at:end], np.zeros(0, np.int64), lower)[2])
-                at = end
-            h = np.concatenate(parts)
+        if hi == lo:
+            yield i, np.zeros(0, U), np.zeros(j - i + 1, np.int64)
+        elif hi - lo <= _PIECE:
+            buf = data[lo:hi]
+            starts, ends = _words(buf, off[i:j] - lo)
+            yield i, span_hashes(buf, starts, ends, lower), np.searchsorted(starts, off[i : j + 1] - lo)
+        else:  # one text beyond the bound
+            h = np.concatenate([span_hashes(data[a:z], *_words(data[a:z], np.zeros(0, np.int64)), lower) for a, z in pieces_of(data, lo, hi)])
             yield i, h, np.array([0, len(h)], np.int64)
         i = j
 
