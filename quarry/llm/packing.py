@@ -6,19 +6,22 @@ end to end along the curve; the stream is cut every 4096 ids. The last, shorter
 lengths are powers of two, so nothing is padded.
 
 Ranges are cut by quantiles of (key, hash of the doc_id): a group of copies of any size has one key but is split by
-the hash. Tokens are made once, sorted by range, and stored; range bases are prefix sums of the ranges' totals.
+the hash. Tokens and keys are made once and stored; range bases are prefix sums of the ranges' totals, so rows are cut
+into pieces as they come sorted from one shuffle.
 
 Defined results: null text is empty and has only the end id; null and repeated doc_ids are rows like others (ordered
-by their place in the range). An empty table gives no pieces. Extra columns are ignored.
+by key, doc_id and ids). An empty table gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import U, discard, mix, stored, word_hashes
-from .tokens import crc32_u32, encoder, vocabulary_path
+from ._common import U, mix, stored, word_hashes
+from .tokens import encoder, vocabulary_path
 
 LENGTH = 4096
 DIMS, BITS_EACH = 3, 10
@@ -85,60 +88,59 @@ def _cuts(total: int, length: int = LENGTH) -> tuple[int, np.ndarray]:
     return full, np.array(borders + [at], np.int64)
 
 
+#: Ranges at most: their borders are held by the driver and sent with a task. Beyond, ranges grow and their sort spills.
+MAX_RANGES = 8192
+
+
+def _sequences(lo: np.ndarray, n: np.ndarray, full: int, rest: np.ndarray, length: int):
+    """(document, sequence, start and end in the stream) of every piece of documents at ``lo`` with ``n`` ids each."""
+
+    def of(x):
+        return np.where(x < full * length, x // length, full + np.searchsorted(rest, x, "right") - 1)
+
+    def begin(seq):
+        return np.where(seq < full, seq * length, rest[np.clip(seq - full, 0, len(rest) - 1)])
+
+    first, count = of(lo), of(lo + n - 1) - of(lo) + 1
+    row = np.repeat(np.arange(len(lo)), count)
+    seq = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, seq, begin(seq), np.maximum(lo[row], begin(seq)), np.minimum(lo[row] + n[row], begin(seq + 1))
+
+
 def pack(docs: DataFrame, vocab: str | None = None, end_id: int = 2, length: int = LENGTH, per_range: int = 16 << 20) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece of a document."""
     spark = docs.sparkSession
     vocab = vocab or vocabulary_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def order(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            doc = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(curve_order(b.column(1), doc)), b.column(2)], ["o", "size"])
-
-    sized = rows.select("doc_id", "text", F.octet_length("text").cast("long").alias("size")).mapInArrow(order, "o long, size long")
-    sized = stored(sized, "pack-order")
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // per_range))
-    cuts = sized.agg(F.percentile_approx("o", [x / parts for x in range(1, parts)] or [0.5], 10_000).alias("q")).first()["q"] or []
-    discard(sized)
-    borders = np.array(sorted(set(cuts)), np.int64)
-
     def tokenise(batches):
         import pyarrow as pa
 
         enc = encoder(vocab)
-        end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            at = 0
+            for ids, size in enc.encode_array(b.column(1), end_id):
+                part = b.slice(at, len(size))
+                at += len(size)
                 o = curve_order(part.column(1), part.column(0).fill_null(-1).to_numpy(zero_copy_only=False))
-                ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
-                where = np.searchsorted(borders, o, "right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(o), pa.array(where), pa.array(ids, pa.binary()), pa.array([enc.dtype.str] * len(ids))], ["doc_id", "o", "rng", "ids", "dtype"])
-
-    made = rows.mapInArrow(tokenise, "doc_id long, o long, rng int, ids binary, dtype string")
-    made = made.repartition(len(borders) + 1, "rng").sortWithinPartitions("rng", "o", "doc_id", "ids")
+                off = np.concatenate(([0], np.cumsum(size * ids.itemsize))).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(o), pa.array(size), raw], ["doc_id", "o", "n", "ids"])
+
+    made = stored(rows.mapInArrow(tokenise, "doc_id long, o long, n long, ids binary"), "pack-tokens")
+    total = made.agg(F.sum("n")).first()[0] or 0
+    parts = min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // per_range)))
+    cuts = made.agg(F.percentile_approx("o", [x / parts for x in range(1, parts)] or [0.5], max(10_000, 16 * parts)).alias("q")).first()["q"] or []
+    borders = np.array(sorted(set(cuts)), np.int64)
 
-    def lay(batches):
+    @F.arrow_udf("int")
+    def range_of(o):
         import pyarrow as pa
 
-        last, at = None, 0
-        for b in batches:
-            rng, pos = b.column(2).to_numpy(), []
-            size = np.dtype(b.column(4)[0].as_py()).itemsize if b.num_rows else 2
-            for r, x in zip(rng, b.column(3)):
-                if r != last:
-                    last, at = r, 0
-                pos.append(at)
-                at += len(x.as_py()) // size
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(pos, pa.int64())], ["doc_id", "rng", "ids", "dtype", "pos"])
-
-    laid = stored(made.mapInArrow(lay, "doc_id long, rng int, ids binary, dtype string, pos long"), "pack-laid")
-    width = F.when(F.col("dtype") == "<u2", 2).otherwise(4)
-    sums = {r["rng"]: r["n"] for r in laid.groupBy("rng").agg(F.sum(F.octet_length("ids") / width).cast("long").alias("n")).collect()}  # a row a range
+        return pa.array(np.searchsorted(borders, o.to_numpy(), "right").astype(np.int32))
+
+    placed = made.withColumn("rng", range_of("o"))
+    sums = {r["rng"]: r["n"] for r in placed.groupBy("rng").agg(F.sum("n").alias("n")).collect()}  # a row a range
     base, at = {}, 0
     for r in sorted(sums):
         base[r] = at
@@ -148,22 +150,28 @@ def pack(docs: DataFrame, vocab: str | None = None, end_id: int = 2, length: int
     def cut(batches):
         import pyarrow as pa
 
+        last, at = None, 0
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for doc, r, raw, dtype, pos in zip(*[c.to_pylist() for c in b.columns]):
-                ids = np.frombuffer(raw, dtype)
-                lo = base[r] + pos
-                a, z = lo, lo + len(ids)
-                while a < z:
-                    if a < full * length:
-                        seq, first = a // length, a // length * length
-                        stop = min(z, first + length)
-                    else:
-                        k = int(np.searchsorted(rest, a, "right")) - 1
-                        seq, first, stop = full + k, int(rest[k]), min(z, int(rest[k + 1]))
-                    for c, x in zip(cols, (doc, a - lo, stop - a, crc32_u32(ids[a - lo : stop - lo]), len(ids), seq, a - first)):
-                        c.append(x)
-                    a = stop
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return laid.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+            if not b.num_rows:
+                continue
+            rng, n = b.column(1).to_numpy(), b.column(2).to_numpy()
+            off = np.frombuffer(b.column(3).buffers()[1], np.int32)[b.column(3).offset :][: b.num_rows + 1]
+            width = int(off[1] - off[0]) // int(n[0])
+            ids = np.frombuffer(b.column(3).buffers()[2], f"<u{width}", int(off[-1] - off[0]) // width, int(off[0]))
+            # the rows of a range come together and in order
+            cum = np.cumsum(n) - n
+            new = np.flatnonzero(np.concatenate(([rng[0] != last], rng[1:] != rng[:-1])))
+            shift = np.full(len(n), at, np.int64)
+            for k in new:
+                shift[k:] = base[int(rng[k])] - cum[k]
+            lo = cum + shift
+            last, at = rng[-1], int(lo[-1] + n[-1])
+            row, seq, begin, a, z = _sequences(lo, n, full, rest, length)
+            wide = memoryview(ids.astype("<u4")).cast("B")
+            x = (cum[row] + a - lo[row]) * 4
+            crc = [crc32(wide[i:j]) for i, j in zip(x.tolist(), (x + (z - a) * 4).tolist())]
+            cols = [a - lo[row], z - a, np.array(crc, np.int64), n[row], seq, a - begin]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *map(pa.array, cols)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    laid = placed.select("doc_id", "rng", "n", "ids", "o").repartitionById(len(borders) + 1, F.col("rng")).sortWithinPartitions("rng", "o", "doc_id", "ids")
+    return laid.select("doc_id", "rng", "n", "ids").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
