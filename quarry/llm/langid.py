@@ -6,7 +6,7 @@ sparse document-by-bucket product in numpy.
 
 Defined results: null text or text without a letter is ``und`` with score 0; so is every text if nothing was learned.
 Rows with null text or null language teach nothing. Ties go to the alphabetically first language. Texts are scored
-whole, in pieces of bounded size. Input columns other than those named are ignored; repeated rows are judged each.
+whole, in pieces of bounded size (n-grams across their borders included). Input columns other than those named are ignored; repeated rows are judged each.
 """
 
 from __future__ import annotations
@@ -20,13 +20,14 @@ from ._common import U
 
 #: At most about this many documents of each language are learned from (chosen by a hash of their id).
 FIT_DOCS_PER_LANG = 3000
-#: A label set beyond this is not a set of languages.
-MAX_LANGS = 1000
+#: A label set beyond this is not a set of languages, and an error: at this bound the broadcast matrix has 66 MB.
+MAX_LANGS = 250
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: n-grams per text beyond which evidence counts no further, for the score only: n-grams are not independent.
 TEMPER = 40.0
 _PIECE = 1 << 19
+_BLOCK = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -36,26 +37,27 @@ class Model:
     prior: np.ndarray
 
 
-def _grams(text: str) -> np.ndarray:
-    """Buckets of the character n-grams of the lower-cased text; white space and digits count as one boundary."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-    c = np.where((c <= 64) | ((c >= 91) & (c <= 96)) | ((c >= 123) & (c <= 191)), U(1), c)
-    if len(c) > 1:
-        c = c[np.concatenate(([True], (c[1:] != 1) | (c[:-1] != 1)))]
-    out, h = [], np.zeros(len(c), U)
-    for n in range(1, max(ORDERS) + 1):
-        if len(c) < n:
-            break
-        h = h[: len(c) - n + 1] * U(0x9E3779B97F4A7C15) + c[n - 1 :] + U(n)
-        if n in ORDERS:
-            x = h * U(0xD6E8FEB86659FD93)
-            out.append((x >> U(48)).astype(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def _pieces(text: str):
+def _grams(text: str):
+    """Yield buckets of the character n-grams of the lower-cased text, piece by piece; white space, digits and marks
+    count as one boundary."""
+    most = max(ORDERS)
+    tail = np.zeros(0, U)
     for at in range(0, len(text), _PIECE):
-        yield text[at : at + _PIECE]
+        c = np.frombuffer(text[at : at + _PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+        c = np.where((c <= 64) | ((c >= 91) & (c <= 96)) | ((c >= 123) & (c <= 191)), U(1), c)
+        c = np.concatenate((tail, c))
+        c = c[np.concatenate(([True], (c[1:] != 1) | (c[:-1] != 1)))]
+        out, h = [], np.zeros(len(c), U)
+        for n in range(1, most + 1):
+            if len(c) < n:
+                break
+            h = h[: len(c) - n + 1] * U(0x9E3779B97F4A7C15) + c[n - 1 :] + U(n)
+            if n in ORDERS:
+                # those that end before this piece were counted with the last one
+                x = h[max(0, len(tail) - n + 1) :] * U(0xD6E8FEB86659FD93)
+                out.append((x >> U(48)).astype(np.int64))
+        tail = c[1 - most :]
+        yield np.concatenate(out)
 
 
 def _posterior(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -64,6 +66,33 @@ def _posterior(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
+def _evidence(m: Model, texts) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probabilities of each text, its number of n-grams): the sparse matrix of bucket counts by text times the
+    matrix of the model, in blocks of bounded size. Null texts have no n-gram."""
+    sums, sizes = np.tile(m.prior.astype(np.float64), (len(texts), 1)), np.zeros(len(texts))
+    rows, buckets, held = [], [], 0
+
+    def flush():
+        start = np.cumsum([0, *map(len, buckets[:-1])])
+        np.add.at(sums, rows, np.add.reduceat(m.logp.take(np.concatenate(buckets), 0), start, 0, np.float64))
+        rows.clear()
+        buckets.clear()
+
+    for i, t in enumerate(texts):
+        for k in _grams(t.as_py()) if t.is_valid else ():
+            if len(k):
+                rows.append(i)
+                buckets.append(k)
+                sizes[i] += len(k)
+                held += len(k)
+            if held * len(m.langs) >= _BLOCK:
+                flush()
+                held = 0
+    if held:
+        flush()
+    return sums, sizes
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
@@ -87,8 +116,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         for b in batches:
             for g, t in zip(b.column(0).to_pylist(), b.column(1)):
                 acc = sums.setdefault(g, np.zeros(BUCKETS, np.int64))
-                for p in _pieces(t.as_py()):
-                    acc += np.bincount(_grams(p), minlength=BUCKETS)
+                for k in _grams(t.as_py()):
+                    acc += np.bincount(k, minlength=BUCKETS)
         for g, acc in sums.items():
             k = np.flatnonzero(acc)
             yield pa.RecordBatch.from_arrays([pa.array([g] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(acc[k])], ["g", "k", "c"])
@@ -113,20 +142,12 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
         m = shared.value
         for b in batches:
             n = b.num_rows
-            sums, sizes = np.tile(m.prior.astype(np.float64), (n, 1)), np.zeros(n)
-            use = np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False).astype(bool)) if m.langs else ()
-            for i in use:
-                for p in _pieces(b.column(1)[int(i)].as_py()):
-                    k = _grams(p)
-                    # a sparse row times the matrix: bucket counts on the left, log-probabilities on the right
-                    sums[i] += m.logp.take(k, 0).sum(0, dtype=np.float64)
-                    sizes[i] += len(k)
             pred, conf = ["und"] * n, np.zeros(n)
+            use = np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False).astype(bool)) if m.langs else ()
             if len(use):
-                z = _posterior(sums[use], sizes[use])
-                best = z.argmax(1)
+                z = _posterior(*_evidence(m, b.column(1).take(pa.array(use))))
                 conf[use] = z.max(1)
-                for i, k in zip(use, best):
+                for i, k in zip(use, z.argmax(1)):
                     pred[i] = m.langs[k]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred), pa.array(conf)], ["doc_id", "lang_pred", "score"])
 
@@ -149,23 +170,13 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     if not model.langs:
         return docs.where(letters)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
-    def keep(batches):
-        import numpy as np
+    # only the text goes to Python and only a flag comes back
+    @F.arrow_udf("boolean")
+    def known(text):
         import pyarrow as pa
 
-        m = shared.value
-        for b in batches:
-            good = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                sums, size = m.prior.astype(np.float64), 0
-                for p in _pieces(b.column(at)[i].as_py()):
-                    k = _grams(p)
-                    sums, size = sums + m.logp.take(k, 0).sum(0, dtype=np.float64), size + len(k)
-                good[i] = _posterior(sums[None, :], np.array([size])).max() >= min_score
-            yield b.filter(pa.array(good))
-
-    # by position: any column names pass through
-    plain = docs.where(letters).toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+        sums, sizes = _evidence(shared.value, text)
+        return pa.array((_posterior(sums, sizes).max(1) >= min_score) & text.is_valid().to_numpy(False))
+
+    return docs.where(letters).where(known("text"))
