@@ -212,38 +212,50 @@ def _reduced(s: DataFrame) -> DataFrame:
     return s.groupBy("u").agg(F.min("v").alias("m"))
 
 
-#: Links up to this many (64 MB) are merged by one task; beyond, by rounds over all tasks. The components are the same.
-ONE_TASK_LINKS = 4_000_000
+#: Links up to this many (32 MB) are merged by one task; beyond, by rounds over all tasks. The components are the same.
+ONE_TASK_LINKS = 2_000_000
+
+
+def components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node that each is connected with) of links in arrays."""
+    if not len(u):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b, up = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        ra, rb = up[a], up[b]
+        apart = ra != rb
+        if not apart.any():
+            return nodes, nodes[up]
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        # the larger root goes under the smallest root that it is linked with, then every node under its root
+        np.minimum.at(up, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(up, above := up[up]):
+            up = above
 
 
 def _forest(most: int, roots: bool):
-    """mapInArrow: (u, v) -> (node, component) of the links seen; a forest of at most ``most`` links is held at once."""
+    """mapInArrow: (u, v) -> (node, component) of the links seen; a forest of at most ``most`` links is held at once,
+    and as many links beside it. ``roots``: roots have a row too."""
 
     def run(batches):
         import pyarrow as pa
 
-        up: dict[int, int] = {}
-
-        def find(x):
-            while (y := up.setdefault(x, x)) != x:
-                up[x] = up[y] if y in up else y
-                x = y
-            return x
-
-        def out():
-            pairs = [(n, find(n)) for n in list(up)]
-            pairs = pairs if roots else [p for p in pairs if p[0] != p[1]]
-            up.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["node", "component"])
+        def out(n, c):
+            keep = slice(None) if roots else n != c
+            return pa.RecordBatch.from_arrays([pa.array(n[keep], pa.int64()), pa.array(c[keep], pa.int64())], ["node", "component"])
 
+        held, links = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for b in batches:
-            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                u, v = find(u), find(v)
-                if u != v:
-                    up[max(u, v)] = min(u, v)
-            if len(up) > most:
-                yield out()
-        yield out()
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            links += b.num_rows
+            if links >= most:
+                n, c = components(*map(np.concatenate, zip(*held)))
+                if np.count_nonzero(n != c) > most // 2 and not roots:
+                    yield out(n, c)
+                    n, c = n[:0], c[:0]
+                held, links = [(n, c)], 0
+        yield out(*components(*map(np.concatenate, zip(*held))))
 
     return run
 
@@ -257,9 +269,9 @@ def connected_components(edges: DataFrame, name: str, max_rounds: int = 60) -> D
     folder.
     """
     links = edges.where("u <> v and u is not null and v is not null").select("u", "v")
-    forest = stored(links.mapInArrow(_forest(1_000_000, False), "u long, v long"), f"{name}-forest")
+    forest = stored(links.mapInArrow(_forest(500_000, False), "u long, v long"), f"{name}-forest")
     if forest.count() <= ONE_TASK_LINKS:
-        return forest.coalesce(1).mapInArrow(_forest(1 << 62, True), "node long, component long")
+        return forest.coalesce(1).mapInArrow(_forest(500_000, True), "node long, component long")
     return star_rounds(forest, name, max_rounds)
 
 
