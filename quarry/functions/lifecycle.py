@@ -5,57 +5,76 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def lifecycle_state(valid_until: Column, reason: Column, superseded_by: Column, as_of: Column) -> Column:
-    closed = valid_until.isNotNull() & (valid_until <= as_of)
-    return (
-        F.when(superseded_by.isNotNull() & closed, "superseded")
-        .when(closed & reason.startswith("archived"), "archived")
-        .when(closed & reason.startswith("rejected"), "rejected")
-        .when(closed & reason.startswith("superseded"), "superseded")
-        .when(closed, "invalidated")
-        .otherwise("active")
+# Reasons that name how a record was closed.
+SUPERSEDED, REJECTED, ARCHIVED = "superseded", "learning_rejected", "learning_archived"
+LEARNING_KINDS = ("user_preference", "project_lesson", "project_pattern", "project_pitfall", "workflow_rule")
+LEARNING_STATUSES = ("candidate", "confirmed", "rule", "rejected", "superseded", "archived")
+SCOPE_LEVELS = ("global", "project", "workspace", "mode", "agent", "session")
+CREATED_FROM = ("manual", "plugin", "migration", "promotion", "supersede", "consolidation")
+
+
+def lifecycle_state(valid_until: Column, reason: Column, superseded_by: Column, learning: Column | None = None) -> Column:
+    """A record with an end is closed, whenever that is: its reason says how. ``learning``: the JSON object of a typed
+    learning, whose own rule then holds."""
+    closed = (
+        F.when((reason == SUPERSEDED) | superseded_by.isNotNull(), "superseded").when(reason == REJECTED, "rejected").when(reason == ARCHIVED, "archived").otherwise("invalidated")
     )
+    plain = F.when(valid_until.isNotNull(), closed).otherwise("active")
+    if learning is None:
+        return plain
+    return F.when(learning.isNotNull(), learning_lifecycle(F.get_json_object(learning, "$.status"), valid_until, reason, superseded_by)).otherwise(plain)
 
 
 def eligible_after(valid_until: Column, days: int) -> Column:
     return valid_until + F.make_dt_interval(F.lit(days))
 
 
-def learning_lifecycle(status: Column, valid_until: Column, as_of: Column) -> Column:
-    return (
-        F.when(status == "rejected", "rejected").when(status == "archived", "archived").when(status == "superseded", "superseded")
-        .when(valid_until.isNotNull() & (valid_until <= as_of), "expired").when(status.isin("confirmed", "rule"), "active").otherwise("pending")
-    )
+def learning_lifecycle(status: Column, valid_until: Column, reason: Column, superseded_by: Column) -> Column:
+    """Of a closed record the reason decides, of an open one the status; an open one of an ended status is unknown."""
+    closed = F.when(reason == REJECTED, "rejected").when(reason == ARCHIVED, "archived").when((reason == SUPERSEDED) | superseded_by.isNotNull(), "superseded").otherwise("invalidated")
+    still = F.when(status.isin("confirmed", "rule"), "active").when(status.isin("rejected", "archived", "superseded"), "unknown").otherwise("candidate")
+    return F.when(valid_until.isNotNull(), closed).otherwise(still)
 
 
 def learning_memory_type(kind: Column, status: Column) -> Column:
-    return F.when(status == "rule", "procedural").when(kind.isin("preference", "rule", "workflow"), "procedural").when(kind == "incident", "episodic").otherwise("semantic")
+    return F.when((kind == "workflow_rule") | (status == "rule"), "procedural").when(kind == "project_lesson", "episodic").otherwise("semantic")
 
 
 # Legal moves of a learning's status, and of an index job.
 LEARNING_MOVES = (("candidate", "confirmed"), ("candidate", "rule"), ("confirmed", "rule"), ("candidate", "rejected"), ("confirmed", "rejected"), ("candidate", "archived"), ("confirmed", "archived"), ("rule", "archived"), ("candidate", "superseded"), ("confirmed", "superseded"), ("rule", "superseded"))
-JOB_MOVES = (("queued", "running"), ("queued", "cancelled"), ("running", "completed"), ("running", "failed"), ("running", "cancelled"), ("failed", "queued"))
+JOB_MOVES = (
+    ("queued", "running"), ("running", "interrupted"), ("running", "completed"), ("running", "failed"), ("running", "cancel_requested"), ("interrupted", "resumable"), ("resumable", "running"),
+    ("cancel_requested", "cancelled"), ("cancelled", "abandoned"),
+)
 
 
 def legal_move(old: Column, new: Column, moves=LEARNING_MOVES) -> Column:
     return F.concat_ws(">", old, new).isin(*[f"{a}>{b}" for a, b in moves])
 
 
-def legacy_class(content: Column) -> Column:
-    """struct(kind, status, outcome, reason) of a record written before learnings were typed."""
-    low = F.lower(content)
-    has = lambda *ws: _any([F.contains(low, F.lit(w)) for w in ws])
-    make = lambda k, s, o, r: F.struct(F.lit(k).alias("kind"), F.lit(s).alias("status"), F.lit(o).alias("outcome"), F.lit(r).alias("reason"))
-    p = lambda x: content.rlike(rf"^\s*{x}:")
+def legacy_class(content: Column, metadata: Column, scope_level: str = "global", extract_research: bool = False, allowed: list[str] | None = None) -> Column:
+    """struct(kind, status, outcome, reason) of a record written before learnings were typed, by its prefix and, for
+    USER records, by its JSON metadata."""
+    make = lambda k, s, o, r: F.struct(F.lit(k).cast("string").alias("kind"), F.lit(s).cast("string").alias("status"), F.lit(o).alias("outcome"), F.lit(r).alias("reason"))
+    body = F.regexp_replace(content, r"^\s+", "")
+    p = body.startswith
+    hints = F.translate(F.coalesce(metadata, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rule, preference = F.contains(hints, F.lit("rule")), F.contains(hints, F.lit("preference"))  # the other hints hold "rule"
+    typed = F.coalesce(F.get_json_object(metadata, "$.learning.schema_version").rlike("^[0-9]+$"), F.lit(False))
+    out = F.when(typed, make(None, None, "already_migrated", "record already has metadata.learning.schema_version"))
+    if allowed is not None:
+        out = out.when(~_any([content.startswith(a) for a in allowed] or [F.lit(False)]), make(None, None, "skipped", "content prefix is not in prefix_allowlist"))
+    if scope_level not in SCOPE_LEVELS:
+        return out.otherwise(make(None, None, "skipped", "invalid target scope"))
     return (
-        F.when(p("TASK") | p("EPIC"), make("none", "none", "skip", "task_record"))
-        .when(p("DECISION"), make("decision", "confirmed", "migrate", "decision_prefix"))
-        .when(p("USER") & has("prefer", "always", "never"), make("preference", "confirmed", "migrate", "user_preference"))
-        .when(p("USER"), make("preference", "candidate", "migrate", "user_prefix"))
-        .when(has("lesson", "learned", "root cause"), make("lesson", "candidate", "migrate", "lesson_hint"))
-        .when(has("workflow", "runbook"), make("workflow", "candidate", "migrate", "workflow_hint"))
-        .when(p("CONTEXT") | p("PROJECT") | p("RESEARCH"), make("none", "none", "review", "context_prefix"))
-        .otherwise(make("none", "none", "skip", "no_signal"))
+        out.when(p("USER \u2014 Preference:"), make("user_preference", "confirmed", "eligible", "USER \u2014 Preference prefix"))
+        .when(p("USER:") & rule, make("workflow_rule", "rule", "eligible", "USER metadata rule hint"))
+        .when(p("USER:") & preference, make("user_preference", "confirmed", "eligible", "USER metadata preference hint"))
+        .when(p("USER:"), make(None, None, "ambiguous", "USER prefix requires preference/rule metadata or caller rule"))
+        .when(p("CONTEXT:") & F.lit(scope_level == "project"), make("project_pattern", "candidate", "eligible", "CONTEXT project scope"))
+        .when(p("RESEARCH:") & F.lit(extract_research), make("project_lesson", "candidate", "eligible", "RESEARCH explicit lesson extraction"))
+        .when(p("TASK:") | p("EPIC:"), make(None, None, "skipped", "TASK and EPIC records are excluded by default"))
+        .otherwise(make(None, None, "ambiguous", "no eligible legacy learning prefix matched"))
     )
 
 
@@ -78,12 +97,11 @@ def with_observation_prefix(content: Column) -> Column:
 
 
 def learning_errors(metadata: Column) -> Column:
-    """Errors of a learning's JSON metadata, in a fixed order; empty if it is sound."""
-    m = F.from_json(metadata, "struct<schema_version:int,kind:string,status:string,scope:string,confidence:double>")
+    """Fields of a learning's JSON that are missing or unsound, in a fixed order; empty if it is sound."""
+    at = lambda path: F.get_json_object(metadata, f"$.{path}")
+    among = lambda path, values: F.coalesce(at(path).isin(*values), F.lit(False))
     tests = (
-        (m["schema_version"].isNull() | (m["schema_version"] != 1), "schema_version"),
-        (~F.coalesce(m["kind"].isin("preference", "decision", "lesson", "workflow", "rule", "incident"), F.lit(False)), "kind"),
-        (~F.coalesce(m["status"].isin("candidate", "confirmed", "rule", "rejected", "archived", "superseded"), F.lit(False)), "status"),
-        (~F.coalesce(m["confidence"].between(0.0, 1.0), F.lit(False)), "confidence"),
+        (F.coalesce(at("schema_version") == "1", F.lit(False)), "schema_version"), (among("kind", LEARNING_KINDS), "kind"), (among("status", LEARNING_STATUSES), "status"),
+        (F.coalesce(at("confidence").try_cast("double").between(0.0, 1.0), F.lit(False)), "confidence"), (among("scope.level", SCOPE_LEVELS), "scope"), (among("source.created_from", CREATED_FROM), "source"),
     )
-    return F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in tests]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(~c, F.lit(n)) for c, n in tests]), lambda x: x.isNotNull())

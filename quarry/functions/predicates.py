@@ -96,41 +96,55 @@ def generation_visible(generation: int | None, column: str = "generation") -> Co
 
 
 # Directories, files and suffixes that a corpus scan skips.
-SKIP_DIRS = ("node_modules", "target", "dist", "build", "vendor", "venv", ".venv", "__pycache__", ".git", ".idea", ".vscode", "coverage", ".next", ".gradle")
-LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "cargo.lock", "poetry.lock", "gemfile.lock", "composer.lock", "go.sum")
-GENERATED_SUFFIXES = (".min.js", ".min.css", ".bundle.js", ".pb.go", ".g.dart", ".freezed.dart", "_pb2.py", ".generated.ts", ".designer.cs")
-# Extensions of code files and their languages.
+SKIP_DIRS = (
+    "build", "dist", "out", "target", "node_modules", ".npm", ".yarn", ".pnp", ".dart_tool", ".pub-cache", ".gradle", ".android", "Pods", ".symlinks", "__pycache__", ".venv", "venv",
+    ".mypy_cache", ".pytest_cache", ".ruff_cache", "egg-info", ".cargo", ".idea", ".vscode", ".vs", "coverage", ".nyc_output", ".terraform", ".generated", ".next", ".nuxt", ".svelte-kit",
+)
+LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "cargo.lock", "pubspec.lock", "gemfile.lock", "poetry.lock")
+GENERATED_SUFFIXES = (".g.dart", ".freezed.dart", ".gr.dart", ".config.dart", ".mocks.dart", ".arb", ".pb.swift", ".min.js", ".min.css", ".bundle.js", ".map", ".d.ts")
+GENERATED_DIR = "generated"
+# Extensions of code files, and the languages of those that have one.
+CODE_EXTENSIONS = (
+    "rs", "py", "js", "ts", "jsx", "tsx", "go", "java", "dart", "c", "cpp", "cc", "cxx", "h", "hpp", "hh", "hxx", "m", "mm", "rb", "php", "swift", "kt", "kts", "scala", "sh", "bash", "zsh",
+)
 LANGUAGES = {
-    "rs": "rust", "py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript",
-    "cjs": "javascript", "go": "go", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp",
-    "swift": "swift", "dart": "dart", "kt": "kotlin", "kts": "kotlin", "m": "objective_c", "mm": "objective_c", "rb": "unknown", "php": "unknown", "cs": "unknown",
+    "rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "dart": "dart", "c": "c",
+    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "m": "objective_c", "mm": "objective_c",
 }
-# Markers in the first 8192 characters of generated sources.
-STRONG_MARKERS = ("@generated", "code generated by", "automatically generated by", "this file is auto-generated")
-WEAK_MARKERS = ("auto-generated", "autogenerated", "generated by")
-DO_NOT_EDIT = ("do not edit", "do not modify")
+# Markers in the first 8192 characters of generated sources. A weak one counts beside a request not to edit.
+STRONG_MARKERS = ("generated by the protocol buffer compiler", "generated by the swift generator plugin for the protocol buffer compiler", "generated by the swift generator", "@generated")
+WEAK_MARKERS = ("auto-generated", "automatically generated", "this file was generated", "generated code", "generated file", "code generated")
+DO_NOT_EDIT = ("do not edit", "do not modify", "do not change")
+# What tells the language of a header.
+OBJECTIVE_C_MARKERS = ("@interface", "@protocol", "@class", "@implementation", "#import <Foundation/", '#import "')
+CPP_MARKERS = ("namespace ", "template <", "class ", "std::", "public:", "private:", "protected:")
+
+
+def _some_of(text: Column, markers) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in markers])
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    """Lower-cased, of the last name; none if the name only begins with a dot."""
+    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
 
 
 def path_kept(path: Column) -> Column:
-    """Outside skipped and hidden directories, neither a lock file nor a generated one, with a code extension."""
+    """Outside skipped and hidden directories, neither a hidden file nor a lock file nor a generated one, with a code
+    extension."""
     low = F.lower(path)
-    parts = F.split(low, "/")
+    parts = F.split(low, r"[/\\]")
     dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     name = F.element_at(parts, -1)
-    bad = F.arrays_overlap(dirs, F.array(*[F.lit(x) for x in SKIP_DIRS])) | F.exists(parts, lambda p: p.startswith(".")) | name.isin(*LOCK_FILES)
+    bad = F.arrays_overlap(dirs, F.array(*[F.lit(x.lower()) for x in (*SKIP_DIRS, GENERATED_DIR)])) | F.exists(parts, lambda p: p.startswith(".") & ~p.isin(".", "..")) | name.isin(*LOCK_FILES)
     for s in GENERATED_SUFFIXES:
         bad = bad | name.endswith(s)
-    return ~bad & extension(path).isin(*LANGUAGES)
+    return ~bad & extension(path).isin(*CODE_EXTENSIONS)
 
 
 def generated_header(content: Column) -> Column:
-    head = F.lower(F.left(content, F.lit(8192)))
-    any_of = lambda xs: reduce(lambda a, b: a | b, [F.contains(head, F.lit(x)) for x in xs])
-    return any_of(STRONG_MARKERS) | (any_of(WEAK_MARKERS) & any_of(DO_NOT_EDIT))
+    head = F.translate(F.left(content, F.lit(8192)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _some_of(head, STRONG_MARKERS) | (_some_of(head, WEAK_MARKERS) & _some_of(head, DO_NOT_EDIT))
 
 
 def glob_regex(glob: str) -> str:
@@ -152,14 +166,14 @@ def globs(path: Column, include=(), exclude=()) -> Column:
 
 
 def language(path: Column, content: Column | None = None) -> Column:
-    """By extension; headers are Objective-C, else C++, else C by what they hold."""
+    """By extension; headers are Objective-C, else C++, else C by what they hold (unknown where that is not given)."""
     by_ext = F.create_map(*[x for k, v in LANGUAGES.items() for x in (F.lit(k), F.lit(v))])
     out = F.coalesce(F.try_element_at(by_ext, extension(path)), F.lit("unknown"))
     if content is None:
         return out
-    objc = F.contains(content, F.lit("@interface")) | F.contains(content, F.lit("@protocol")) | F.contains(content, F.lit("#import"))
-    cpp = F.contains(content, F.lit("class ")) | F.contains(content, F.lit("namespace ")) | F.contains(content, F.lit("template<")) | F.contains(content, F.lit("std::"))
-    return F.when(extension(path) == "h", F.when(objc, "objective_c").when(cpp, "cpp").otherwise("c")).otherwise(out)
+    held = F.coalesce(content, F.lit(""))
+    header = F.when(_some_of(held, OBJECTIVE_C_MARKERS), "objective_c").when(_some_of(held, CPP_MARKERS), "cpp").otherwise("c")
+    return F.when(extension(path) == "h", header).otherwise(out)
 
 
 def protected(content: Column, importance: Column) -> Column:

@@ -57,13 +57,41 @@ def dedup_key(content: Column, content_hash: Column) -> Column:
     return F.coalesce(F.concat(F.lit("h:"), content_hash), F.concat(F.lit("c:"), F.lower(normalize_space(content))))
 
 
+# What marks a wrapped prompt, its context block, task headings in order of rank, and the longest query.
+WRAPPERS = ("<system-reminder", "<Work_Context>", "<!-- MEMORY_MCP_INTERNAL_INITIATOR -->")
+CONTEXT_OPEN, CONTEXT_CLOSE = "<Work_Context>", "</Work_Context>"
+TASK_MARKERS = ("## 1. TASK", "## TASK", "# TASK", "TASK:")
+QUERY_CHARS = 4096
+_WHITE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def _from_last(text: Column, marker: str) -> Column:
+    return F.concat(F.lit(marker), F.substring_index(text, marker, -1))
+
+
+def _task_section(text: Column) -> Column:
+    """From the last heading of the first kind that the text has; null without one."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(m)), _from_last(text, m)) for m in TASK_MARKERS])
+
+
 def effective_query(text: Column) -> Column:
-    """struct(query, origin): the part of a prompt that asks, white space collapsed, 4096 characters at most."""
-    task = F.regexp_extract(text, r"(?s)(?:^|\n)\s*TASK:\s*(.*?)(?:\n\s*[A-Z]{4,}:|$)", 1)
-    tail = F.substring_index(text, "\n---\n", -1)
-    query = F.when(task != "", task).when(F.contains(text, F.lit("\n---\n")), tail).otherwise(text)
-    origin = F.when(task != "", "task_section").when(F.contains(text, F.lit("\n---\n")), "tail").otherwise("raw")
-    return F.struct(F.left(normalize_space(query), F.lit(4096)).alias("query"), origin.alias("origin"))
+    """struct(query, origin, original_chars, effective_chars, truncated): the part of a prompt that asks, white space
+    collapsed, ``QUERY_CHARS`` characters at most. Only wrapped prompts are taken apart."""
+    has = lambda m: F.contains(text, F.lit(m))
+    blank = lambda c: c.rlike(f"^[{_WHITE}]*$")
+    after = F.when(has(CONTEXT_CLOSE), F.substring_index(text, CONTEXT_CLOSE, -1))
+    rest = after.isNotNull() & ~blank(after)
+    pick = lambda q, o: F.struct(q.alias("q"), F.lit(o).alias("o"))
+    chosen = (
+        F.when(~(has(WRAPPERS[0]) | has(WRAPPERS[1]) | has(WRAPPERS[2])), pick(text, "direct"))
+        .when(rest & _task_section(after).isNotNull(), pick(_task_section(after), "task_section")).when(rest, pick(after, "post_work_context"))
+        .when(_task_section(text).isNotNull(), pick(_task_section(text), "task_section")).when(has(CONTEXT_OPEN), pick(_from_last(text, CONTEXT_OPEN), "work_context"))
+        .otherwise(pick(text, "prompt_context"))
+    )
+    chosen = let(chosen, lambda c: F.when(blank(c["q"]) & ~blank(text), pick(text, "direct_fallback")).otherwise(c))
+    flat = lambda c: F.trim(F.regexp_replace(c, f"[{_WHITE}]+", " "))
+    cut = lambda t, o: let(F.rtrim(F.left(t, F.lit(QUERY_CHARS))), lambda q: F.struct(q.alias("query"), o.alias("origin"), F.char_length(text).alias("original_chars"), F.char_length(q).alias("effective_chars"), (F.char_length(t) > QUERY_CHARS).alias("truncated")))
+    return let(chosen, lambda c: let(flat(c["q"]), lambda t: cut(t, c["o"])))
 
 
 def prefix_of(content: Column) -> Column:
@@ -78,7 +106,12 @@ def token_estimate(content: Column) -> Column:
 def task_priority(content: Column) -> Column:
     low = F.lower(content)
     flag = lambda c, w: F.when(c, w).otherwise(0)
-    return flag(F.contains(low, F.lit("in_progress")), 4) + flag(F.contains(low, F.lit("current")), 2) + flag(F.contains(content, F.lit("[ ]")), 1)
+    return flag(F.contains(low, F.lit("in_progress")), 4) + flag(F.contains(low, F.lit("current:")), 2) + flag(F.contains(low, F.lit("[ ]")), 1)
+
+
+def active_task(content: Column) -> Column:
+    low = F.lower(content)
+    return F.contains(low, F.lit("in_progress")) | F.contains(low, F.lit("current:")) | F.contains(low, F.lit("[ ]"))
 
 
 def word_set(content: Column) -> Column:
@@ -141,41 +174,41 @@ def parse_time(text: Column) -> Column:
 # ---------------------------------------------------------------- lexical rerank
 
 
-def lexical_rerank(query: str, terms: list[str], path: Column, name: Column, context: Column, content: Column, is_code: bool) -> Column:
-    """0 to 1: where the query and its terms stand in path, name, context and content."""
+def lexical_rerank(query: Column, terms: Column, path: Column, name: Column, context: Column, content: Column, is_code: Column) -> Column:
+    """0 to 1: a term counts once, where it stands first of name, path, context and content; name, path and the whole
+    query are strong evidence. ``query`` is lower-cased, ``terms`` an array."""
     lo = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    p, n, x, c = lo(path), lo(name), lo(context), lo(content)
-    has = lambda col, t: F.contains(col, F.lit(t))
-    q = query.strip().lower()
-    score = F.when(F.lit(len(q) >= 4) & (has(p, q) | has(n, q) | has(x, q)), 1.8).otherwise(0.0)
-    use = [t for t in terms if len(t) >= 2]
-    covered, strong = F.lit(0), F.lit(False)
-    for t in use:
-        score = score + F.when(has(n, t), 0.7).otherwise(0.0) + F.when(has(p, t), 0.55).otherwise(0.0) + F.when(has(x, t), 0.45).otherwise(0.0) + F.when(has(c, t), 0.2).otherwise(0.0)
-        covered = covered + F.when(has(n, t) | has(p, t) | has(x, t) | has(c, t), 1).otherwise(0)
-        strong = strong | has(n, t) | has(p, t) | has(x, t)
-    if use:
-        score = score + covered / F.lit(float(len(use))) * 0.8
-    if is_code:
-        score = score + F.when(strong, 0.8).otherwise(0.0)
-    score = score - F.when((F.octet_length(F.coalesce(content, F.lit(""))) < 96) & ~strong, 0.6).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(4.0), score)) / 4.0
-
-
-def symbol_exactness(query: str, terms: list[str], name: Column, signature: Column) -> Column:
-    q = query.strip().lower()
-    n, s = F.lower(name), F.lower(F.coalesce(signature, F.lit("")))
-    score = F.when(n == q, 2.2).when(F.contains(n, F.lit(q)), 1.6).when(F.contains(s, F.lit(q)), 0.8).otherwise(0.0)
-    own, covered = identifier_tokens(name), F.lit(0)
-    for t in terms:
-        tok, sub = F.array_contains(own, t), F.contains(n, F.lit(t)) | F.contains(s, F.lit(t))
-        score = score + F.when(tok, 0.55).when(sub, 0.35).otherwise(0.0)
-        covered = covered + F.when(tok | sub, 1).otherwise(0)
-    if terms:
-        score = score + covered / F.lit(float(len(terms))) * 0.8
-    return F.greatest(F.lit(0.0), F.least(F.lit(4.0), score)) / 4.0
-
-
-def symbol_probes(query: str, terms: list[str]) -> list[str]:
-    longest = sorted((t for t in terms if len(t) >= 3), key=lambda t: (-len(t), t))[:4]
-    return sorted({query.strip(), *longest} - {""})
+    use = F.filter(terms, lambda t: F.char_length(t) >= 2)
+
+    def body(f):
+        whole = (F.octet_length(query) >= 4) & (F.contains(f["p"], query) | F.contains(f["n"], query) | F.contains(f["x"], query))
+        weight = lambda t: F.when(F.contains(f["n"], t), 0.7).when(F.contains(f["p"], t), 0.55).when(F.contains(f["x"], t), 0.45).when(F.contains(f["c"], t), 0.2).otherwise(0.0)
+        got = F.transform(use, weight)
+        strong = whole | F.exists(got, lambda w: w >= 0.55)
+        share = F.when(F.size(terms) > 0, 0.8 * F.size(F.filter(got, lambda w: w > 0)) / F.size(terms)).otherwise(0.0)
+        raw = F.when(whole, 1.8).otherwise(0.0) + F.aggregate(got, F.lit(0.0), lambda a, w: a + w) + share
+        raw = raw + F.when(is_code & strong, 0.8).otherwise(0.0) - F.when((F.octet_length(F.coalesce(content, F.lit(""))) < 96) & ~strong, 0.6).otherwise(0.0)
+        return F.greatest(F.lit(0.0), F.least(F.lit(4.0), raw)) / 4.0
+
+    return let(F.struct(lo(path).alias("p"), lo(name).alias("n"), lo(context).alias("x"), lo(content).alias("c")), body)
+
+
+def symbol_exactness(query: Column, terms: Column, name: Column, signature: Column) -> Column:
+    """0 to 1: how exactly a symbol's name and signature meet the lower-cased query and its terms."""
+    def body(f):
+        n, s, own = f["n"], f["s"], f["own"]
+        long = F.octet_length(query) >= 4
+        raw = F.when(n == query, 2.2).when(long & F.contains(n, query), 1.6).otherwise(0.0) + F.when((s != "") & long & F.contains(s, query), 0.8).otherwise(0.0)
+        use = F.filter(terms, lambda t: F.char_length(t) >= 2)
+        got = F.transform(use, lambda t: F.when(F.array_contains(own, t), 0.55).when(F.contains(n, t) | F.contains(s, t), 0.35).otherwise(0.0))
+        raw = raw + F.aggregate(got, F.lit(0.0), lambda a, w: a + w) + F.when(F.size(terms) > 0, 0.8 * F.size(F.filter(got, lambda w: w > 0)) / F.size(terms)).otherwise(0.0)
+        return F.greatest(F.lit(0.0), F.least(F.lit(4.0), raw)) / 4.0
+
+    return let(F.struct(F.lower(name).alias("n"), F.lower(F.coalesce(signature, F.lit(""))).alias("s"), identifier_tokens(name).alias("own")), body)
+
+
+def symbol_probes(query: Column, terms: Column) -> Column:
+    """The trimmed query and its four longest terms of three characters or more, sorted and distinct."""
+    ranked = F.array_sort(F.transform(F.filter(terms, lambda t: F.octet_length(t) >= 3), lambda t: F.struct((-F.octet_length(t)).alias("n"), t.alias("t"))))
+    longest = F.transform(F.slice(ranked, 1, 4), lambda x: x["t"])
+    return F.array_sort(F.array_distinct(F.filter(F.concat(F.array(F.trim(query)), longest), lambda q: q != "")))

@@ -18,24 +18,23 @@ def line_windows(files: DataFrame, id_col: str, text_col: str, lines: int = WIND
 
 
 def structural_chunks(files: DataFrame, id_col: str, text_col: str, most: int = MAX_CHUNK, least: int = MIN_CHUNK) -> DataFrame:
-    """(id, chunk, start_line, end_line, content): paragraphs gathered up to ``most`` characters.
+    """(id, chunk, start_line, end_line, content): paragraphs gathered up to ``most`` bytes.
 
-    Lines count on through dropped chunks. A chunk closed by the next paragraph ends one line before it; the last chunk
-    ends at the line counter itself."""
+    A chunk closed by the next paragraph ends one line before it and is kept whatever its length; the last one ends at the
+    line counter itself and has at least ``least`` bytes."""
     kind = "struct<s:int,e:int,c:string>"
     zero = F.struct(F.lit("").alias("cur"), F.lit(1).alias("start"), F.lit(1).alias("line"), F.array().cast(f"array<{kind}>").alias("out"))
-    newlines = lambda s: F.char_length(s) - F.char_length(F.replace(s, F.lit("\n"), F.lit("")))
-
-    def close(s, end: Column):
-        return F.when(F.char_length(F.trim(s["cur"])) >= least, F.concat(s["out"], F.array(F.struct(s["start"].alias("s"), end.cast("int").alias("e"), s["cur"].alias("c"))))).otherwise(s["out"])
+    # lines of a paragraph: one that ends with a line break has no further, empty line
+    lines = lambda s: F.char_length(s) - F.char_length(F.replace(s, F.lit("\n"), F.lit(""))) + F.when((s == "") | s.endswith("\n"), 0).otherwise(1)
+    closed = lambda s, end: F.concat(s["out"], F.array(F.struct(s["start"].alias("s"), end.cast("int").alias("e"), s["cur"].alias("c"))))
 
     def add(s, p):
-        full = (s["cur"] != "") & (F.char_length(s["cur"]) + F.char_length(p) > most)
+        full = (s["cur"] != "") & (F.octet_length(s["cur"]) + F.octet_length(p) > most)
         cur = F.when(full | (s["cur"] == ""), p).otherwise(F.concat(s["cur"], F.lit("\n\n"), p))
         start = F.when(full, s["line"]).otherwise(s["start"])
-        return F.struct(cur.alias("cur"), start.cast("int").alias("start"), (s["line"] + newlines(p) + 2).cast("int").alias("line"), F.when(full, close(s, s["line"] - 1)).otherwise(s["out"]).alias("out"))
+        return F.struct(cur.alias("cur"), start.cast("int").alias("start"), (s["line"] + lines(p) + 1).cast("int").alias("line"), F.when(full, closed(s, s["line"] - 1)).otherwise(s["out"]).alias("out"))
 
-    folded = F.aggregate(F.split(F.col(text_col), "\n\n"), zero, add, lambda s: close(s, s["line"]))
+    folded = F.aggregate(F.split(F.col(text_col), "\n\n"), zero, add, lambda s: F.when(F.octet_length(s["cur"]) >= least, closed(s, s["line"])).otherwise(s["out"]))
     flat = files.select(F.col(id_col).alias("id"), F.posexplode(folded).alias("chunk", "x"))
     return flat.select("id", "chunk", F.col("x.s").alias("start_line"), F.col("x.e").alias("end_line"), F.col("x.c").alias("content"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import CONFIG
-from ..plans.store import stored
+from ..workspace import stored
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -67,6 +67,23 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, per_level: int | None =
     return seen
 
 
+def iterate(a, b, w, n: int, seeds: list[int], iterations: int, damping: float, tolerance: float | None):
+    """(scores, out-degrees) of nodes 0 to n - 1 of a graph in arrays: edges from ``a`` to ``b`` with weights ``w``."""
+    import numpy as np
+
+    start = np.zeros(n)
+    start[seeds or slice(None)] = 1.0 / (len(set(seeds)) or max(1, n))
+    total, degree = np.bincount(a, w, n), np.bincount(a, minlength=n)
+    p = np.divide(w, total[a], out=np.zeros(len(a)), where=total[a] != 0)
+    r = start
+    for _ in range(iterations):
+        new = (1 - damping) * start + damping * (np.bincount(b, r[a] * p, n) + r[total == 0].sum() * start)
+        moved, r = np.abs(new - r).sum(), new
+        if tolerance is not None and moved < tolerance:
+            break
+    return r, degree
+
+
 def _small_pagerank(rows: DataFrame, kind: str, iterations: int, damping: float, tolerance: float | None) -> DataFrame:
     """(node, r, out_degree) of a graph whose counted edges fit one task. ``rows``: edges, and seeds with a null dst."""
 
@@ -80,25 +97,16 @@ def _small_pagerank(rows: DataFrame, kind: str, iterations: int, damping: float,
         at = {n: i for i, n in enumerate(nodes)}
         a, b = edge["src"].map(at).to_numpy(np.int64), edge["dst"].map(at).to_numpy(np.int64)
         w = edge["weight"].to_numpy(np.float64)
-        start = np.zeros(len(nodes))
         seeds = sorted(set(t.loc[t["dst"].isna(), "src"].map(at)))
-        if seeds:
-            start[seeds] = 1.0 / len(seeds)
-        total, degree = np.bincount(a, w, len(nodes)), np.bincount(a, minlength=len(nodes))
-        p = w / total[a] if len(a) else w
-        r = start
-        for _ in range(iterations):
-            new = (1 - damping) * start + damping * (np.bincount(b, r[a] * p, len(nodes)) + r[degree == 0].sum() * start)
-            moved, r = np.abs(new - r).sum(), new
-            if tolerance is not None and moved < tolerance:
-                break
+        r, degree = iterate(a, b, w, len(nodes), seeds, iterations, damping, tolerance)
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(r), pa.array([int(d) or None for d in degree], pa.int64())], ["node", "r", "out_degree"])
 
     return rows.coalesce(1).mapInArrow(run, f"node {kind}, r double, out_degree long")
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = CONFIG.ppr_iterations, damping: float = CONFIG.ppr_damping, tolerance: float | None = None, dampen_hubs: bool = True) -> DataFrame:
-    """Personalised PageRank (node, score): weighted transitions, dangling mass to the seeds (node), each an equal share.
+    """Personalised PageRank (node, score): weighted transitions, dangling mass to the seeds (node), each an equal share;
+    without a seed every node is one.
 
     ``tolerance`` stops early on the L1 change; without it all iterations run. Hubs: score / sqrt(out-degree). A graph
     of at most ``broadcast_rows`` edges is iterated by one task, a larger one by joins over all tasks."""
@@ -119,6 +127,8 @@ def _joined_pagerank(e: DataFrame, s: DataFrame, iterations: int, damping: float
     step = stored(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "ppr-edges")
     n_seeds = s.count()
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).union(s).distinct()
+    if not n_seeds:
+        s, n_seeds = nodes, nodes.count()
     base = nodes.join(s.withColumn("t", F.lit(1.0 / max(1, n_seeds))), "node", "left").join(out.select(F.col("src").alias("node"), "out_degree"), "node", "left")
     base = stored(base.select("node", F.coalesce("t", F.lit(0.0)).alias("t"), "out_degree"), "ppr-nodes")
     ranks = base.select("node", F.col("t").alias("r"))
@@ -148,6 +158,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         label = new.select("node", "c")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return label.select("node", F.col("c").alias("component"))
 
 

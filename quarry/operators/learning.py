@@ -29,11 +29,14 @@ def move(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.select("id", F.when(ok, F.col("new")).otherwise(F.col("status")).alias("status"), ok.alias("accepted"))
 
 
-def migration_plan(mem: DataFrame, existing: DataFrame) -> DataFrame:
-    """(id, kind, status, outcome, reason, already): ``existing``: (source_id, content_hash, kind, scope) of typed rows."""
-    c = mem.withColumn("c", life.legacy_class(F.col("content")))
+def migration_plan(mem: DataFrame, existing: DataFrame, **rules) -> DataFrame:
+    """(id, kind, status, outcome, reason, already): ``existing``: (source_id, content_hash, kind, scope) of typed rows.
+
+    An eligible record is already migrated if a typed row names it as its source (primary), or has its content, kind and
+    scope (fallback). ``rules``: see ``legacy_class``."""
+    c = mem.withColumn("c", life.legacy_class(F.col("content"), F.col("metadata"), **rules))
     by_id = existing.select(F.col("source_id").alias("id")).where("id is not null").distinct().withColumn("m1", F.lit(True))
     by_hash = existing.where("content_hash is not null").select("content_hash", F.col("kind").alias("k"), F.col("scope").alias("s")).distinct().withColumn("m2", F.lit(True))
     both = c.join(by_id, "id", "left").join(by_hash.withColumnRenamed("content_hash", "h"), (F.col("content_hash") == F.col("h")) & (F.col("c.kind") == F.col("k")) & (F.col("namespace") == F.col("s")), "left")
-    already = F.when(F.col("m1"), "source_id").when(F.col("m2"), "content")
-    return both.select("id", "c.kind", "c.status", F.when(already.isNotNull() & (F.col("c.outcome") == "migrate"), "skip").otherwise(F.col("c.outcome")).alias("outcome"), "c.reason", already.alias("already"))
+    already = F.when(F.col("c.outcome") == "eligible", F.when(F.col("m1"), "primary").when(F.col("m2"), "fallback"))
+    return both.select("id", "c.kind", "c.status", F.when(already.isNotNull(), "already_migrated").otherwise(F.col("c.outcome")).alias("outcome"), "c.reason", already.alias("already"))

@@ -7,10 +7,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import lifecycle as life, scoring, text
 from ..functions.predicates import protected
 from .joins import duplicates
+from .store import first_rows
+
+
+def _state(mem: DataFrame) -> Column:
+    learning = F.get_json_object("metadata", "$.learning") if "metadata" in mem.columns else None
+    return life.lifecycle_state(F.col("valid_until"), F.col("invalidation_reason"), F.col("superseded_by"), learning)
 
 
 def retention_view(mem: DataFrame, as_of: Column, days: int) -> DataFrame:
-    state = life.lifecycle_state(F.col("valid_until"), F.col("invalidation_reason"), F.col("superseded_by"), as_of)
+    state = _state(mem)
     pinned = protected(F.col("content"), F.col("importance_score"))
     after = life.eligible_after(F.col("valid_until"), days)
     return mem.select(
@@ -37,10 +43,11 @@ def capacity_archive(mem: DataFrame, as_of: Column, soft_limit: int, ratio: floa
     if n <= soft_limit:
         return live.limit(0).select("id", F.lit(0.0).alias("score"))
     take = n - int(soft_limit * ratio)
-    anchor = F.coalesce("last_accessed_at", "ingestion_time")
+    anchor = F.coalesce("event_time", "ingestion_time")
     score = F.round(F.col("importance_score") * scoring.decay(scoring.age_days(anchor, as_of), F.col("access_count"), F.col("memory_type")) * (1 + scoring.reinforcement(F.col("access_count"))), 8)
-    low = live.select("id", score.alias("score"), anchor.alias("anchor")).orderBy("score", "anchor", "id").limit(take)
-    return low.where(F.unix_micros("anchor") <= F.unix_micros(as_of) - recent_minutes * 60_000_000).select("id", "score")
+    low = first_rows(live.select("id", score.alias("score"), anchor.alias("anchor"), "last_accessed_at"), ["score", "anchor", "id"], take)
+    grace = F.unix_micros("last_accessed_at") > F.unix_micros(as_of) - recent_minutes * 60_000_000
+    return low.where(~F.coalesce(grace, F.lit(False))).select("id", "score")
 
 
 def consolidation_plan(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -51,10 +58,10 @@ def consolidation_plan(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 def audit(mem: DataFrame, as_of: Column, days: int) -> DataFrame:
     """One row of counts: states, purge readiness, operator flags."""
-    state = life.lifecycle_state(F.col("valid_until"), F.col("invalidation_reason"), F.col("superseded_by"), as_of)
+    state = _state(mem)
     after = life.eligible_after(F.col("valid_until"), days)
     m = mem.withColumn("state", state)
-    names = ("active", "superseded", "archived", "rejected", "invalidated")
+    names = ("active", "candidate", "superseded", "archived", "rejected", "invalidated", "unknown")
     return m.agg(
         F.count("*").alias("total"), *[F.count_if(F.col("state") == s).alias(s) for s in names], F.count_if(after <= as_of).alias("purge_ready"),
         F.count_if(F.col("superseded_by").isNotNull() & F.col("valid_until").isNull()).alias("replacement_without_invalidation"),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import CONFIG
 from ..functions import scoring, text
+from ..workspace import stored
+from .index import LexicalIndex
 
 
 def bounded(df: DataFrame, rows: int = CONFIG.broadcast_rows) -> DataFrame:
@@ -18,34 +20,20 @@ def top_k(ranked: DataFrame, k: int, by: list[str], score: str = "score", tie: s
     return ranked.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def tokenized(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), *keep, text.tokens(F.col(text_col)).alias("tokens"))
-
-
-def corpus_stats(tok: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    return tok.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(CONFIG.empty_avgdl)).alias("avgdl"))
-
-
-def postings(tok: DataFrame, terms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., id, dl, term, tf) of the terms wanted; a document's repeats are counted in its own row."""
-    flat = tok.select("id", *by, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return flat.join(terms, "term", "left_semi").groupBy("id", *by, "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, by: tuple[str, ...] = (), k1: float = CONFIG.k1, b: float = CONFIG.b) -> DataFrame:
+def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = CONFIG.k1, b: float = CONFIG.b) -> DataFrame:
     """(q_id, by..., id, score) of every document that holds a query term; statistics are of the whole corpus (or of
     each ``by`` group), whatever is filtered afterwards. ``queries``: (q_id, text); repeated query terms count again."""
-    tok = tokenized(docs, id_col, text_col, by)
+    by = list(index.by)
     wanted = queries.select("q_id", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("q_id", "term").agg(F.count("*").alias("qtf"))
-    terms = bounded(wanted.select("term").distinct())
-    post = postings(tok, terms, by)
-    stats = corpus_stats(tok, by)
+    post = index.postings.join(bounded(wanted.select("term").distinct()), "term")
     df = post.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    df = df.join(F.broadcast(stats) if not by else stats, list(by)) if by else df.crossJoin(F.broadcast(stats))
+    df = df.join(index.stats, by) if by else df.crossJoin(F.broadcast(index.stats))  # one row of statistics
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = post.join(df, [*by, "term"]).select("id", *by, "term", weight.alias("w"))
-    return scored.join(bounded(wanted), "term").groupBy("q_id", *by, "id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
+    # a query's terms carry their weights: postings meet them once, and scores are summed before they are shuffled
+    keys = [*by, "term"]
+    weights = bounded(wanted.join(df, "term").select("q_id", *keys, (idf * F.col("qtf") * (k1 + 1.0)).alias("w"), "avgdl"))
+    part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
+    return index.postings.join(weights, keys).groupBy("q_id", *by, "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def tf_search(docs: DataFrame, query: str, limit: int, id_col: str, text_col: str) -> DataFrame:
@@ -57,15 +45,94 @@ def tf_search(docs: DataFrame, query: str, limit: int, id_col: str, text_col: st
     return hit.select(F.col(id_col).alias("id"), F.round(text.term_frequency(F.col(text_col), words), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(q_id, id, score, rank): exact. ``vectors``: (id, v); ``queries``: (q_id, qv), a stated batch, in blocks of rows.
+#: Queries and rows of a block of a vector search.
+QUERY_BLOCK, ROW_BLOCK = 4096, 100_000
+
 
-    Norms are taken once for each side; the batch is broadcast when its counted rows allow, else joined in blocks."""
-    vs = vectors.select("id", "v", scoring.norm(F.col("v")).alias("vn"))
-    qs = queries.select("q_id", "qv", scoring.norm(F.col("qv")).alias("qn"))
-    pairs = vs.join(bounded(qs), F.lit(True))
-    scored = pairs.select("q_id", "id", F.round(scoring.dot(F.col("v"), F.col("qv")) / (F.col("vn") * F.col("qn")), 6).alias("score"))
-    return top_k(scored, k, ["q_id"])
+def _nearest(ids: list, rows, q_ids: list, queries, k: int):
+    """The ``k`` nearest rows of each query in a block, ties by id: lists (q_id, id, score). Vectors without length, or of
+    another length than the queries, are near nothing."""
+    import numpy as np
+
+    out: tuple[list, list, list] = ([], [], [])
+    if not len(ids) or not len(q_ids):
+        return out
+    size = lambda m: np.sqrt((m * m).sum(1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sim = np.round((queries @ rows.T) / (size(queries)[:, None] * size(rows)[None, :]), 6)
+    sim = np.where(np.isnan(sim), -np.inf, sim)
+    least = np.partition(sim, -min(k, len(ids)), 1)[:, -min(k, len(ids))]
+    for q, s, low in zip(q_ids, sim, least):
+        near = np.flatnonzero((s >= low) & (s > -np.inf))
+        for j in sorted(near.tolist(), key=lambda j: (-s[j], ids[j]))[:k]:  # noqa: B023
+            out[0].append(q)
+            out[1].append(ids[j])
+            out[2].append(float(s[j]))
+    return out
+
+
+def _matrix(column, dim: int | None = None):
+    """(rows that have vectors of the dimension, their matrix) of a list array."""
+    import numpy as np
+
+    size = column.value_lengths().to_pylist()
+    dim = dim if dim is not None else next((n for n in size if n), 0)
+    use = [i for i, n in enumerate(size) if n == dim and dim]
+    flat = column.take(__import__("pyarrow").array(use, "int64")).flatten().to_numpy(zero_copy_only=False) if use else np.zeros(0)
+    return use, flat.astype(np.float64).reshape(len(use), dim) if use else np.zeros((0, dim))
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(q_id, id, score, rank): exact. ``vectors``: (id, v); ``queries``: (q_id, qv), a stated set, against all rows.
+
+    Up to ``QUERY_BLOCK`` counted queries are sent to each task; more are dealt to blocks, as the rows are, and each
+    block of rows meets each block of queries. Blocks are matrix products that keep their nearest ``k``."""
+    import numpy as np
+
+    spark = vectors.sparkSession
+    vs, qs = vectors.select("id", F.col("v").cast("array<double>").alias("v")), queries.select("q_id", F.col("qv").cast("array<double>").alias("qv"))
+    schema = f"q_id {qs.schema['q_id'].dataType.simpleString()}, id {vs.schema['id'].dataType.simpleString()}, score double"
+    few = qs.limit(QUERY_BLOCK + 1).collect() if qs.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK else None  # at most a block
+    if few is not None:
+        held = [r for r in few if r["qv"]]
+        by_dim: dict[int, list] = {}
+        for r in held:
+            by_dim.setdefault(len(r["qv"]), []).append(r)
+        shared = spark.sparkContext.broadcast({d: ([r["q_id"] for r in rs], np.array([r["qv"] for r in rs])) for d, rs in by_dim.items()})
+
+        def search(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                for dim, (q_ids, q) in shared.value.items():
+                    use, m = _matrix(b.column(1), dim)
+                    ids = b.column(0).take(pa.array(use, pa.int64())).to_pylist()
+                    got = _nearest(ids, m, q_ids, q, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(got, kinds)], ["q_id", "id", "score"])
+
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(qs.schema["q_id"].dataType), to_arrow_type(vs.schema["id"].dataType), to_arrow_type(qs.selectExpr("0D as x").schema["x"].dataType)]
+        return top_k(vs.mapInArrow(search, schema), k, ["q_id"])
+    rows, asked = max(1, -(-vs.count() // ROW_BLOCK)), -(-qs.count() // QUERY_BLOCK)
+    left = vs.select(F.pmod(F.xxhash64("id"), F.lit(rows)).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked - 1).cast("long"))).alias("q"), "id", "v")
+    right = qs.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("r"), F.pmod(F.xxhash64("q_id"), F.lit(asked)).alias("q"), "q_id", "qv")
+
+    def cell(a, b):
+        import pyarrow as pa
+
+        a, b = a.combine_chunks(), b.combine_chunks()
+        out: list[list] = [[], [], []]
+        qv, v = b.column("qv").combine_chunks(), a.column("v").combine_chunks()
+        for dim in {n for n in qv.value_lengths().to_pylist() if n}:
+            uq, q = _matrix(qv, dim)
+            ur, m = _matrix(v, dim)
+            got = _nearest(a.column("id").take(pa.array(ur, pa.int64())).to_pylist(), m, b.column("q_id").take(pa.array(uq, pa.int64())).to_pylist(), q, k)
+            for c, x in zip(out, got):
+                c += x
+        return pa.table({"q_id": pa.array(out[0], b.schema.field("q_id").type), "id": pa.array(out[1], a.schema.field("id").type), "score": pa.array(out[2], pa.float64())})
+
+    return top_k(left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(cell, schema), k, ["q_id"])
 
 
 def rrf(channels: DataFrame, weights: dict[str, float], limit: int, k: int = CONFIG.rrf_k) -> DataFrame:
@@ -97,26 +164,81 @@ def ordered_union(first: DataFrame, second: DataFrame, by: list[str]) -> DataFra
 def rerank_memory(fused: DataFrame, mem: DataFrame, as_of: Column) -> DataFrame:
     """Fused ids with importance and decay applied; ids are joined back to their rows only after the cut."""
     rows = fused.join(mem, "id")
-    age = scoring.age_days(F.coalesce("last_accessed_at", "ingestion_time"), as_of)
+    age = scoring.age_days(F.coalesce("event_time", "ingestion_time"), as_of)
     dec = scoring.decay(age, F.col("access_count"), F.col("memory_type"))
     return rows.withColumn("fused", F.col("score")).withColumn("score", F.round(F.col("score") * scoring.importance_boost(F.col("importance_score")) * dec * (1 + scoring.reinforcement(F.col("access_count"))), 8))
 
 
-def recall(mem: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, where: Column, as_of: Column, limit: int, graph: DataFrame | None = None, min_score: float | None = None) -> DataFrame:
-    """Hybrid recall for a batch: vector and lexical channels (and a given graph channel), fusion, rerank, dedup."""
+def graph_channel(ordered: DataFrame, nodes: DataFrame, edges: DataFrame, seeds: int = 20) -> DataFrame:
+    """(q_id, id, score): PageRank on the subgraph that the candidates of each query induce.
+
+    ``ordered``: (q_id, id, rank), a bounded list for each query, so each query's graph is iterated by one task;
+    ``nodes``: (node) of the graph; ``edges``: (src, dst, weight). The first ``seeds`` candidates that are nodes are the
+    seeds; without one there are no scores."""
+    kind = ordered.schema["id"].dataType.simpleString()
+    mine = stored(ordered.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("q_id", "id", "rank"), "graph-candidates")
+    ends = lambda c: mine.select("q_id", F.col("id").alias(c))
+    inner = edges.join(ends("src"), "src").join(ends("dst"), ["q_id", "dst"]).select("q_id", "src", "dst", F.col("weight").cast("double").alias("weight"), F.lit(None).cast("int").alias("rank"))
+    rows = inner.unionByName(mine.select("q_id", F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(None).cast("double").alias("weight"), F.col("rank").cast("int").alias("rank")))
+
+    def run(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        from .graph import iterate
+
+        t = table.to_pandas()
+        at = {n: i for i, n in enumerate(sorted(t.loc[t["rank"].notna(), "src"]))}
+        e = t[t["rank"].isna()]
+        start = [at[n] for n in t[(t["rank"] <= seeds)]["src"]]
+        if not start:
+            return pa.table({"q_id": [], "id": [], "score": []}, schema=out)
+        r, degree = iterate(e["src"].map(at).to_numpy(np.int64), e["dst"].map(at).to_numpy(np.int64), e["weight"].to_numpy(np.float64), len(at), start, CONFIG.ppr_iterations, CONFIG.ppr_damping, CONFIG.ppr_tolerance)
+        return pa.table({"q_id": [key[0].as_py()] * len(at), "id": list(at), "score": r / np.sqrt(np.maximum(degree, 1))}, schema=out)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    text_schema = f"q_id {ordered.schema['q_id'].dataType.simpleString()}, id {kind}, score double"
+    out = to_arrow_schema(spark_schema(text_schema))
+    return rows.groupBy("q_id").applyInArrow(run, text_schema)
+
+
+def spark_schema(text_schema: str):
+    from pyspark.sql.types import _parse_datatype_string
+
+    return _parse_datatype_string(text_schema)
+
+
+def single_channel(ranked: DataFrame, mem: DataFrame, limit: int, min_score: float | None = None) -> DataFrame:
+    """Search by one channel: (q_id, id, score, rank) without repeats of a content, weak ones cut after the limit.
+
+    ``ranked``: (q_id, id, score), already filtered; scores above 1 count as 1."""
+    rows = ranked.join(mem.select("id", "content", "content_hash"), "id").withColumn("score", F.least(F.lit(1.0), F.col("score")))
+    out = top_k(keep_best(rows, text.dedup_key(F.col("content"), F.col("content_hash")), ["q_id"]), limit, ["q_id"])
+    return out if min_score is None else out.where(F.col("score") >= max(0.0, min(1.0, min_score)))
+
+
+def recall(
+    mem: DataFrame, index: LexicalIndex, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, where: Column, as_of: Column, limit: int, graph: tuple[DataFrame, DataFrame] | None = None,
+    min_score: float | None = None, weights: tuple[float, float, float] = CONFIG.memory_weights,
+) -> DataFrame:
+    """Hybrid recall for a batch: vector, lexical and graph channels, fusion, rerank, dedup, least score.
+
+    ``graph``: (nodes, edges) of the entities; the vector candidates in order, then the lexical ones, seed it."""
     from ..config import overfetch
 
     fetch, ok = overfetch(limit, True), mem.where(where).select("id")
-    lexical = top_k(bm25_scores(mem, queries, "id", "content").join(ok, "id", "left_semi"), fetch, ["q_id"]).select("q_id", F.lit("bm25").alias("channel"), "id", "score")
-    vector = cosine_topk(vectors.join(ok, "id", "left_semi"), query_vectors, fetch).select("q_id", F.lit("vector").alias("channel"), "id", "score")
-    every = lexical.unionByName(vector)
+    lexical = stored(top_k(bm25_scores(index, queries).join(ok, "id", "left_semi"), fetch, ["q_id"]).select("q_id", "id", "score", "rank"), "recall-lexical")
+    vector = stored(cosine_topk(vectors.join(ok, "id", "left_semi"), query_vectors, fetch).select("q_id", "id", "score", "rank"), "recall-vector")
+    tag = lambda df, c: df.select("q_id", F.lit(c).alias("channel"), "id", "score")
+    every = tag(lexical, "bm25").unionByName(tag(vector, "vector"))
     if graph is not None:
-        every = every.unionByName(graph.select("q_id", F.lit("ppr").alias("channel"), "id", "score"))
-    v, b, p = CONFIG.memory_weights
+        every = every.unionByName(tag(graph_channel(ordered_union(vector, lexical, ["q_id"]), *graph), "ppr"))
+    v, b, p = weights
     fused = rrf(every, {"vector": v, "bm25": b, "ppr": p}, limit).drop("rank")
     scored = rerank_memory(fused, mem, as_of)
     best = keep_best(scored, text.dedup_key(F.col("content"), F.col("content_hash")), ["q_id"])
-    if min_score is not None:
-        best = best.where(F.col("score") >= max(0.0, min(1.0, min_score)))
     out = top_k(best, limit, ["q_id"])
+    if min_score is not None:
+        out = out.where(F.col("score") >= max(0.0, min(1.0, min_score)))
     return out.withColumn("channels", scoring.channels(F.col("vector_score"), F.col("bm25_score"), F.col("ppr_score")))

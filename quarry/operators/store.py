@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
+from ..workspace import stored
 
 
 def patch(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -44,6 +45,23 @@ def page(rows: DataFrame, order: str, limit: int, offset: int = 0, tie: str = "i
     return rows.orderBy(F.desc(order), F.asc(tie)).offset(offset).limit(limit)
 
 
+def first_rows(rows: DataFrame, order: list[str], n: int, per_part: int = 100_000) -> DataFrame:
+    """The first ``n`` rows in a total order, however many: ranges of the order are taken whole up to the one in which the
+    ``n``-th row falls, and only that one is numbered."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // per_part))
+    # stored: the borders of the ranges must not be drawn anew
+    dealt = stored(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "first-rows")
+    cut, left = -1, n
+    for r in sorted(dealt.groupBy("_part").agg(F.count("*").alias("c")).collect()):  # a row a range
+        cut = r["_part"]
+        if left <= r["c"]:
+            break
+        left -= r["c"]
+    edge = dealt.where(F.col("_part") == cut).withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).where(F.col("_n") <= left)
+    return dealt.where(F.col("_part") < cut).drop("_part").unionByName(edge.drop("_part", "_n"))
+
+
 def truncated(rows: DataFrame, order: list, limit: int) -> DataFrame:
     """``limit`` rows, each with whether there were more."""
     w = Window.orderBy(*order)
@@ -71,9 +89,10 @@ def parse_jsonl(lines: DataFrame, schema: str, required: list[str]) -> DataFrame
     missing = F.filter(F.array(*[F.when(F.col("row")[c].isNull(), F.lit(c)) for c in required]), lambda x: x.isNotNull())
     error = F.when(F.col("v").isNull(), "malformed").when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ",")))
     out = got.select("line_no", error.alias("error"), "row")
-    n = F.count("*").over(Window.partitionBy("row.id"))
-    dup = F.col("error").isNull() & (n > 1)
-    out = out.withColumn("error", F.when(dup, F.concat(F.lit("duplicate id: "), F.col("row.id").cast("string"))).otherwise(F.col("error")))
+    # ids of sound lines that recur: counted, so neither bad lines nor the copies of an id are gathered
+    again = out.where("error is null").groupBy(F.col("row.id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1")
+    out = out.join(again, F.col("error").isNull() & (F.col("row.id") == F.col("_id")), "left")
+    out = out.withColumn("error", F.when(F.col("_n").isNotNull(), F.concat(F.lit("duplicate id: "), F.col("row.id").cast("string"))).otherwise(F.col("error"))).drop("_id", "_n")
     return out.withColumn("row", F.when(F.col("error").isNull(), F.col("row")))
 
 

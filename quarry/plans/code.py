@@ -4,26 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import predicates as P, text
-from ..operators import corpus as C, joins as J, store
+from ..functions import lifecycle as life, predicates as P, text
+from ..operators import code_search as CS, corpus as C, index, joins as J, store
 from ..sources.tables import table
+from .retrieval import bm25_sql, tokens_sql
 
-TERMS = ["steel", "brass", "small"]
+def _asked(s, d):
+    """Parts as chunks and symbols, each with one of a few queries and its terms."""
+    q = "element_at(array('{}'), cast(p_partkey % 6 + 1 as int))".format("', '".join(QUERIES))
+    p = table(s, d, "part").withColumn("q", F.expr(q)).withColumn("terms", F.array_distinct(F.split("q", "[ #]")))
+    return p.withColumn("name", F.when(F.col("p_partkey") % 5 > 0, F.concat(F.initcap(F.element_at(F.split("p_name", " "), 1)), F.element_at(F.split("p_name", " "), 2)))).withColumn("path", F.concat_ws("/", F.lower("p_type"), F.col("p_brand")))
+
+
+QUERIES = ("small ring", "widget", "economy", "brand#2", "red x", "hotgear")
 
 
 def lexical_rerank(s, d):
-    p = table(s, d, "part")
-    score = text.lexical_rerank("steel brass", TERMS, F.col("p_type"), F.col("p_name"), F.col("p_brand"), F.concat_ws(" ", "p_name", "p_type", "p_brand"), True)
+    p = _asked(s, d)
+    body = F.when(F.col("p_partkey") % 3 == 0, F.repeat("p_name", 12)).otherwise(F.col("p_name"))
+    score = text.lexical_rerank(F.col("q"), F.col("terms"), F.col("path"), F.col("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")), body, F.col("p_partkey") % 4 == 0)
     return p.select("p_partkey", F.round(score, 6).alias("score"))
 
 
 def symbol_exactness(s, d):
-    p = table(s, d, "part")
-    return p.select("p_partkey", F.round(text.symbol_exactness("brand", ["brand", "part"], F.col("p_brand"), F.col("p_name")), 6).alias("score"))
+    p = _asked(s, d)
+    score = text.symbol_exactness(F.col("q"), F.col("terms"), F.coalesce("name", F.lit("widget")), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("fn "), F.col("p_name"))))
+    return p.select("p_partkey", F.round(score, 6).alias("score"))
+
+
+def symbol_probes(s, d):
+    p = _asked(s, d)
+    return p.select("p_partkey", F.array_join(text.symbol_probes(F.concat(F.lit(" "), F.col("q")), F.concat("terms", F.split("p_name", " "), F.array(F.lower("p_type"), F.lit("is")))), "|").alias("probes"))
 
 
 def symbol_search(s, d):
-    p = table(s, d, "part").where(F.contains(F.lower("p_name"), F.lit("1")) & F.startswith("p_brand", F.lit("Brand#1")))
+    """Symbols whose name holds the query, of one type, in order; with the count of all."""
+    p = table(s, d, "part").where(F.contains(F.lower("p_name"), F.lit("ring")) & F.startswith("p_brand", F.lit("Brand#1")))
     total = p.agg(F.count("*").alias("total"))
     return p.select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(20).crossJoin(F.broadcast(total))
 
@@ -52,7 +68,7 @@ def ppr_to_chunks(s, d):
 
 
 def tightest_parent(s, d):
-    return J.tightest_parent(_symbols(s, d).where("start % 2 = 0"), "file")
+    return J.tightest_parent(_symbols(s, d), "file")
 
 
 def _refs(s, d):
@@ -75,9 +91,9 @@ def resolve_relations(s, d):
 
 def freshness_map(s, d):
     docs = table(s, d, "documents").select(F.col("doc_id").alias("path"), F.md5("text").alias("content_hash"))
-    serving = docs.where("path % 9 <> 0").withColumn("completed", F.col("path") % 8 != 0)
-    indexing = docs.where("path % 2 = 0").withColumn("content_hash", F.when(F.col("path") % 10 == 0, F.lit("x")).otherwise(F.col("content_hash"))).withColumn("completed", F.col("path") % 12 != 0)
-    return J.freshness(docs.select("path"), serving, indexing)
+    serving = docs.where("path % 9 <> 0").withColumn("content_hash", F.when(F.col("path") % 14 == 0, F.lit("")).otherwise(F.col("content_hash")))
+    indexing = docs.where("path % 2 = 0").withColumn("content_hash", F.when(F.col("path") % 10 == 0, F.lit("x")).when(F.col("path") % 14 == 0, F.lit("")).otherwise(F.col("content_hash"))).withColumn("completed", F.col("path") % 12 != 0)
+    return J.freshness(docs.select("path"), serving, indexing, docs.where("path % 7 = 3").select("path"))
 
 
 def _snap(s, d):
@@ -100,30 +116,120 @@ def line_windows(s, d):
 
 def structural_chunks(s, d):
     docs = table(s, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return C.structural_chunks(docs, "doc_id", "text").select("id", "chunk", "start_line", "end_line", F.md5("content").alias("digest"))
+    return C.structural_chunks(docs, "doc_id", "text", most=1000).select("id", "chunk", "start_line", "end_line", F.md5("content").alias("digest"))
 
 
 def generated_header(s, d):
     p = table(s, d, "pages")
-    head = F.concat(F.when(F.col("page_id") % 3 == 0, "/* Code generated by x */").when(F.col("page_id") % 3 == 1, "// autogenerated, DO NOT EDIT").otherwise("// generated by hand"), F.col("html"))
+    heads = ("/* Code generated by x */", "// Code generated by x. DO NOT EDIT.", "// generated by hand", "// @Generated", "# Auto-generated, do not change", "// Generated by the protocol buffer compiler", "// autogenerated, do not edit")
+    head = F.concat(F.element_at(F.array(*[F.lit(h) for h in heads]), (F.col("page_id") % 7 + 1).cast("int")), F.lit("\n"), F.col("html"))
     return p.select("page_id", P.generated_header(head).alias("generated"))
 
 
+PATHS = ("rs", "py", "h", "min.js", "txt", "kt", "lock", "d.ts", "ts", "scala", "pb.swift", "mm", "cs")
+TOPS = ("src", "node_modules", "Lib/.git", "a/target", "lib", "x/generated", ".hidden", "egg-info", "out", "vendor")
+
+
 def _paths(s, d):
-    ext = F.element_at(F.array(*[F.lit(x) for x in ("rs", "py", "h", "min.js", "txt", "kt", "lock")]), (F.col("page_id") % 7 + 1).cast("int"))
-    top = F.element_at(F.array(*[F.lit(x) for x in ("src", "node_modules", ".git", "lib/target", "lib")]), (F.col("page_id") % 5 + 1).cast("int"))
-    return table(s, d, "pages").select("page_id", "html", F.concat(top, F.lit("/f"), F.col("page_id"), F.lit("."), ext).alias("path"))
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("page_id") % len(xs) + 1).cast("int"))
+    return table(s, d, "pages").select("page_id", "html", F.concat(pick(TOPS), F.when(F.col("page_id") % 11 == 0, "/.f").otherwise("/f"), F.col("page_id"), F.lit("."), pick(PATHS)).alias("path"))
 
 
 def path_filter(s, d):
-    return _paths(s, d).where(P.path_kept(F.col("path")) & P.globs(F.col("path"), ["**/*.rs", "**/*.h", "src/*.py"], ["lib/f1*"])).select("page_id", "path")
+    return _paths(s, d).where(P.path_kept(F.col("path"))).select("page_id", "path", P.globs(F.col("path"), ["**/*.rs", "**/*.h", "src/*.py"], ["lib/f1*"]).alias("chosen"))
 
 
 def language_detect(s, d):
-    body = F.when(F.col("page_id") % 2 == 0, "class A {}").when(F.col("page_id") % 3 == 0, "@interface A").otherwise("int x;")
+    body = F.element_at(F.array(*[F.lit(x) for x in ("class A {}", "@interface A", "int x;", "#import \"a.h\"", "namespace x", "#import <x>", "  private: int y")]), (F.col("page_id") % 7 + 1).cast("int"))
     return _paths(s, d).select("page_id", P.language(F.col("path"), body).alias("language"))
 
 
+def job_moves(s, d):
+    """Every wanted move of an index job's state, and whether it is legal."""
+    states = F.array(*[F.lit(x) for x in STATES])
+    n = table(s, d, "orders").select("o_orderkey", F.element_at(states, (F.col("o_orderkey") % 10 + 1).cast("int")).alias("old"), F.element_at(states, (F.floor(F.col("o_orderkey") / 10) % 10 + 1).cast("int")).alias("new"))
+    return n.select("o_orderkey", "old", "new", life.legal_move(F.col("old"), F.col("new"), life.JOB_MOVES).alias("legal"))
+
+
+STATES = ("queued", "running", "paused", "interrupted", "resumable", "completed", "failed", "cancel_requested", "cancelled", "abandoned")
+
+
+def code_corpus(s, d):
+    """(chunks, symbols, relations): parts as code, some as symbols, each calling the seventh after it."""
+    p = _asked(s, d).withColumn("name", F.coalesce("name", F.concat(F.lit("get_"), F.translate("p_name", " ", "_"))))
+    other = F.translate("p_brand", "#", "_")
+    chunks = p.select(
+        F.col("p_partkey").alias("id"), F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/"), F.lower("p_brand"), F.lit(".rs")).alias("file_path"), F.concat(F.lit("fn "), "name", F.lit("() { "), "p_name", F.lit("; "), other, F.lit("() }")).alias("content"),
+        F.when(F.col("p_size") % 3 == 0, "python").otherwise("rust").alias("language"), (F.col("p_partkey") % 60 * 10).alias("start_line"), (F.col("p_partkey") % 60 * 10 + 8).alias("end_line"),
+        F.when(F.col("p_partkey") % 4 == 0, "other").otherwise("function").alias("chunk_type"), F.when(F.col("p_partkey") % 5 > 0, F.col("name")).alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("mod::"), other)).alias("context_path"),
+    )
+    symbols = p.where("p_partkey % 3 = 0").select("p_partkey", "name", F.concat(F.lit("fn "), "name", F.lit("()")).alias("signature")).join(chunks.select(F.col("id").alias("p_partkey"), "file_path", "start_line"), "p_partkey")
+    symbols = symbols.select(F.col("p_partkey").alias("id"), "name", "signature", "file_path", (F.col("start_line") + F.col("p_partkey") % 25).alias("start_line"), (F.col("start_line") + F.col("p_partkey") % 25 + 3).alias("end_line"))
+    relations = symbols.select(F.col("id").alias("src"), (F.col("id") + 21).alias("dst")).join(symbols.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return chunks, symbols, relations
+
+
+CODE_QUERIES = ("small ring", "SmallRing", "get_red_bolt", "hot gear fn", "brand#2 widget", "getRedWidget", "blue::gizmo", "economy", "Widget impl", "cold")
+
+
+def _code_search(s, d):
+    chunks, symbols, relations = code_corpus(s, d)
+    body = chunks.withColumn("text", text.document_text(F.col("file_path"), F.col("name"), F.col("context_path"), F.col("content")))
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    queries = s.createDataFrame([(i, q) for i, q in enumerate(CODE_QUERIES)], "q_id long, query string")
+    asks = v.where(F.col("id") < len(CODE_QUERIES)).select(F.col("id").alias("q_id"), F.col("v").alias("qv"))
+    return chunks, symbols, relations, index.build(body, "id", "text"), queries, v, v.join(symbols.select("id"), "id", "left_semi"), asks
+
+
+def recall_code(s, d):
+    return _rounded(CS.recall_code(*_code_search(s, d), 10))
+
+
+def recall_code_filtered(s, d):
+    chunks, symbols, relations, ix, queries, v, sv, asks = _code_search(s, d)
+    mapped = symbols.select(F.col("id").alias("symbol_id"), F.col("id").alias("chunk_id"), F.lit(0.9).alias("score")).where("symbol_id % 2 = 0")
+    return _rounded(CS.recall_code(chunks, symbols, relations, ix, queries, v, sv, asks, 10, CS.Filters("src/small", "RUST", "function"), mapped=mapped))
+
+
+def recall_code_degraded(s, d):
+    return _rounded(CS.recall_code(*_code_search(s, d), 10, hybrid=False))
+
+
+def recall_code_projects(s, d):
+    chunks, symbols, relations, _, queries, v, sv, asks = _code_search(s, d)
+
+    def one(project, limit):
+        mine = chunks.where(F.split("file_path", "/")[1] == project)
+        body = mine.withColumn("text", text.document_text(F.col("file_path"), F.col("name"), F.col("context_path"), F.col("content")))
+        own = symbols.where(F.split("file_path", "/")[1] == project)
+        return CS.recall_code(mine, own, relations, index.build(body, "id", "text"), queries, v.join(mine.select("id"), "id", "left_semi"), sv.join(own.select("id"), "id", "left_semi"), asks, limit)
+
+    return _rounded(CS.across_projects(one, ["small", "economy"], 5))
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, 6).alias(c) if c.endswith("score") else c for c in df.columns])
+
+
+def search_code(s, d):
+    _, _, _, ix, queries, v, _, asks = _code_search(s, d)
+    return CS.search_code(ix, queries, v, asks, 20)
+
+
+def serving_plan(s, d):
+    o = table(s, d, "orders")
+    g = lambda m: F.when(F.col("o_orderkey") % m > 0, F.col("o_custkey") % 5)
+    plan = CS.serving_plan(g(2), F.when(F.col("o_orderkey") % 3 > 0, g(5)), F.when(F.col("o_orderkey") % 3 > 0, g(7)), F.when(F.col("o_orderkey") % 3 > 0, g(11)), F.when(F.col("o_orderkey") % 4 > 0, F.lit(3)), F.col("o_orderkey") % 13 == 0, F.col("o_orderkey") % 17 > 0)
+    return o.select("o_orderkey", plan.alias("p")).select("o_orderkey", "p.*")
+
+
+def result_freshness(s, d):
+    k = F.col("o_orderkey")
+    g = lambda m: F.when(k % m > 0, k % 3)
+    state = CS.result_freshness(F.when(k % 6 == 0, "partial").when(k % 10 == 0, "unavailable"), g(4), F.when(k % 7 > 0, k % 2), F.when(k % 5 > 0, F.lit(1)), k % 11 == 0, k % 13 == 0)
+    return table(s, d, "orders").select("o_orderkey", state.alias("freshness"))
+
+
 def abandoned_generations(s, d):
     docs = table(s, d, "documents").selectExpr("source as project_id", "doc_id % 6 as generation")
     return C.abandoned_generations([docs, docs.where("generation < 3")], docs.select("project_id").distinct().withColumn("generation", F.lit(5).cast("long")))
@@ -155,21 +261,65 @@ def source_symbols(s, d):
 
 _SY = "sy as (select l_suppkey as file, l_orderkey * 10 + l_linenumber as id, l_partkey % 1000 as s, l_partkey % 1000 + cast(l_quantity as bigint) as e from lineitem)"
 _CK = "ck as (select l_suppkey as file, l_orderkey as id, l_orderkey % 1000 as s, l_orderkey % 1000 + 20 as e from lineitem where l_linenumber = 1)"
-_OV = f"{_SY}, {_CK}, ov as (select sy.file, sy.id as a_id, ck.id as b_id, case when ck.s <= sy.e and sy.s <= ck.e then 1.0 when least(abs(ck.s - sy.s), abs(ck.e - sy.e)) <= 6 then 0.65 when least(abs(ck.s - sy.s), abs(ck.e - sy.e)) <= 16 then 0.35 else 0.0 end::double as overlap from sy join ck using (file))"
+_OV = f"{_SY}, {_CK}, ov as (select sy.file, sy.id as a_id, ck.id as b_id, case when ck.s <= sy.e and sy.s <= ck.e then 1.0 when least(abs(ck.s - sy.s), abs(ck.e - sy.s)) <= 6 then 0.65 when least(abs(ck.s - sy.s), abs(ck.e - sy.s)) <= 16 then 0.35 else 0.0 end::double as overlap from sy join ck using (file))"
 _RF = "rf as (select c_custkey as ref_id, 'n' || (c_custkey % 60) as name, 'd' || (c_nationkey % 5) || '/f' || (c_custkey % 7) as fp from customer)"
 _DF = "df as (select s_suppkey as id, 'n' || (s_suppkey % 50) as name, 'd' || (s_nationkey % 5) || '/f' || (s_suppkey % 7) as sp from supplier)"
 _RS = "select ref_id, id as symbol_id, score from (select *, row_number() over (partition by ref_id order by score desc, id) as n from (select ref_id, id, case when fp = sp then 100 when split_part(fp, '/', 1) = split_part(sp, '/', 1) then 50 else 0 end as score from rf join %s using (name))) where n = 1"
-_PT = "pt as (select page_id, (['src','node_modules','.git','lib/target','lib'])[cast(page_id % 5 + 1 as int)] || '/f' || page_id || '.' || (['rs','py','h','min.js','txt','kt','lock'])[cast(page_id % 7 + 1 as int)] as path from pages)"
+_list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_PT = f"pt as (select page_id, ({_list(TOPS)})[cast(page_id % 10 + 1 as int)] || (case when page_id % 11 = 0 then '/.f' else '/f' end) || page_id || '.' || ({_list(PATHS)})[cast(page_id % 13 + 1 as int)] as path from pages)"
+_Q = f"""q0 as (select *, ({_list(QUERIES)})[cast(p_partkey % 6 + 1 as int)] as q from part), qs as (select *, list_distinct(string_split_regex(q, '[ #]')) as terms,
+ case when p_partkey % 5 > 0 then upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) || split_part(p_name, ' ', 2) end as name, lower(p_type) || '/' || p_brand as path from q0)"""
+_LEX = f"""{_Q}, f as (select p_partkey, q, terms, lower(path) as p, lower(coalesce(name, '')) as n, case when p_partkey % 2 = 0 then lower(p_name) else '' end as x, case when p_partkey % 3 = 0 then repeat(p_name, 12) else p_name end as body from qs),
+ g as (select *, (contains(p, q) or contains(n, q) or contains(x, q)) and strlen(q) >= 4 as whole, list_transform(list_filter(terms, lambda t: length(t) >= 2), lambda t: case when contains(n, t) then 0.7 when contains(p, t) then 0.55 when contains(x, t) then 0.45 when contains(lower(body), t) then 0.2 else 0.0 end) as w from f),
+ h as (select *, whole or len(list_filter(w, lambda v: v >= 0.55)) > 0 as strong from g)
+ select p_partkey, round(greatest(0.0, least(4.0, case when whole then 1.8 else 0.0 end + coalesce(list_sum(w), 0) + 0.8 * len(list_filter(w, lambda v: v > 0)) / len(terms) + case when p_partkey % 4 = 0 and strong then 0.8 else 0.0 end - case when strlen(body) < 96 and not strong then 0.6 else 0.0 end))::double / 4, 6) as score from h"""
+_EXACT = f"""{_Q}, f as (select p_partkey, q, terms, lower(coalesce(name, 'widget')) as n, case when p_partkey % 2 = 0 then 'fn ' || lower(p_name) else '' end as s, {tokens_sql("coalesce(name, 'widget')")} as own from qs),
+ g as (select *, list_transform(list_filter(terms, lambda t: length(t) >= 2), lambda t: case when list_contains(own, t) then 0.55 when contains(n, t) or contains(s, t) then 0.35 else 0.0 end) as w from f)
+ select p_partkey, round(greatest(0.0, least(4.0, case when n = q then 2.2 when strlen(q) >= 4 and contains(n, q) then 1.6 else 0.0 end + case when strlen(q) >= 4 and contains(s, q) then 0.8 else 0.0 end + coalesce(list_sum(w), 0) + 0.8 * len(list_filter(w, lambda v: v > 0)) / len(terms)))::double / 4, 6) as score from g"""
+_PROBES = f"""{_Q}, t as (select p_partkey, q, unnest(list_concat(terms, string_split(p_name, ' '), [lower(p_type), 'is'])) as t from qs), r as (select p_partkey, t from (select *, row_number() over (partition by p_partkey order by length(t) desc, t) as n from t where length(t) >= 3) where n <= 4 union select p_partkey, q from qs)
+ select p_partkey, string_agg(t, '|' order by t) as probes from r group by 1"""
+_CHUNKS = r"""with recursive d as (select doc_id as id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) as ps from documents),
+ u as (select id, unnest(ps) as p, unnest(range(1, len(ps) + 1)) as k from d), pl as (select id, k, p, length(p) - length(replace(p, chr(10), '')) + case when p = '' or ends_with(p, chr(10)) then 0 else 1 end as n from u),
+ f as (select id, 0::bigint as k, ''::varchar as cur, 1::bigint as start, 1::bigint as line, null::varchar as done, 0::bigint as s, 0::bigint as e, 0::bigint as c from d
+  union all select id, nk, case when flush or cur = '' then p else cur || chr(10) || chr(10) || p end, case when flush then line else start end, line + n + 1, case when flush then cur end, start, line - 1, c + case when flush then 1 else 0 end
+   from (select f.id, f.cur, f.start, f.line, f.c, pl.p, pl.n, pl.k as nk, f.cur <> '' and strlen(f.cur) + strlen(pl.p) > 1000 as flush from f join pl on pl.id = f.id and pl.k = f.k + 1) x),
+ l as (select id, max(k) as k from f group by 1)
+ select id, cast(c - 1 as int) as chunk, cast(s as int) as start_line, cast(e as int) as end_line, md5(done) as digest from f where done is not null
+ union all select f.id, cast(c as int), cast(start as int), cast(line as int), md5(cur) from f join l using (id, k) where strlen(cur) >= 10"""
+_LEGAL = "'queued>running','running>interrupted','running>completed','running>failed','running>cancel_requested','interrupted>resumable','resumable>running','cancel_requested>cancelled','cancelled>abandoned'"
 _SN = "sn as (select doc_id as path, md5(text) as hash from documents)"
 
+_GEN = "case when o_orderkey % {0} > 0 then o_custkey % 5 end"
+_SERVING = f"""g as (select o_orderkey as k, {_GEN.format(2)} as st, case when o_orderkey % 3 > 0 then {_GEN.format(5)} end as b, case when o_orderkey % 3 > 0 then {_GEN.format(7)} end as v, case when o_orderkey % 3 > 0 then {_GEN.format(11)} end as gr, case when o_orderkey % 4 > 0 then 3 end as ix from orders),
+ e as (select k, st, ix, case when coalesce(b, v, gr) is null then st else b end as b, case when coalesce(b, v, gr) is null then st else v end as v, case when coalesce(b, v, gr) is null then st else gr end as gr from g),
+ p as (select k, coalesce(ix > st, false) as behind, case when b is null then 'no_serving_generation' when v is null or gr is null or k % 17 = 0 then 'bm25_lexical_symbol_hydration' when k % 13 = 0 then 'bm25_lexical_fast_path' else 'hybrid_vector_bm25_ppr' end as path from e)
+ select k as o_orderkey, path, behind or path in ('bm25_lexical_symbol_hydration', 'no_serving_generation') as partial, case path when 'no_serving_generation' then path when 'bm25_lexical_symbol_hydration' then 'semantic_or_graph_unavailable' else case when behind then 'stale_serving_generation' end end as reason from p"""
+_FRESH = """f as (select o_orderkey as k, case when o_orderkey % 4 > 0 then o_orderkey % 3 end as i, case when o_orderkey % 7 > 0 then o_orderkey % 2 end as s, case when o_orderkey % 5 > 0 then 1 end as x from orders),
+ t as (select k, case when k % 6 = 0 then 'partial' when k % 10 = 0 then null when s is null then null when i = s and x > s then (case when k % 11 = 0 or k % 13 = 0 then 'stale' end) when i = s then 'fresh' when i is not null then 'stale' when x > s then 'stale' else 'fresh' end as freshness from f) select k as o_orderkey, freshness from t"""
+_CODE = f"""{_Q}, nm as (select p_partkey as id, p_name, p_type, p_brand, name as nm0, coalesce(name, 'get_' || replace(p_name, ' ', '_')) as name from qs),
+ cd as (select id as doc_id, 'src/' || lower(p_type) || '/' || lower(p_brand) || '.rs' as fp, case when id % 5 > 0 then name end as name, case when id % 2 = 0 then 'mod::' || replace(p_brand, '#', '_') end as ctx, 'fn ' || name || '() {{ ' || p_name || '; ' || replace(p_brand, '#', '_') || '() }}' as content from nm),
+ documents as (select doc_id, concat_ws(' ', fp, translate(fp, '/\\._-:', '      '), name, translate(name, '/\\._-:', '      '), ctx, translate(ctx, '/\\._-:', '      '), content) as text from cd),
+ benchmark as (select unnest(range({len(CODE_QUERIES)})) as item_id, unnest({_list(CODE_QUERIES)}) as text)"""
+
 CATALOG = {
-    "lexical_rerank": (lexical_rerank, None),
-    "symbol_exactness": (symbol_exactness, None),
-    "symbol_search": (symbol_search, "select p_partkey, p_name, count(*) over () as total from part where contains(lower(p_name), '1') and starts_with(p_brand, 'Brand#1') order by p_name, p_partkey limit 20"),
+    "recall_code": (recall_code, None),
+    "recall_code_filtered": (recall_code_filtered, None),
+    "recall_code_degraded": (recall_code_degraded, None),
+    "recall_code_projects": (recall_code_projects, None),
+    "search_code": (search_code, f"""with {_CODE}, {bm25_sql()}, cs as (select q.vec_id as q_id, e.vec_id as id, round(list_dot_product(e.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 6) as score from embeddings e, embeddings q where q.vec_id < {len(CODE_QUERIES)}),
+ r as (select q_id, id, 0 as src, row_number() over (partition by q_id order by score desc, id) as n from cs union all select q_id, id, 1, row_number() over (partition by q_id order by score desc, id) from bm), u as (select q_id, id, min(src * 1000 + n) as place from r where n <= 20 group by 1, 2)
+ select q_id, id, src, rank from (select q_id, id, cast(place // 1000 as int) as src, row_number() over (partition by q_id order by place, id) as rank from u) where rank <= 20"""),
+    "serving_plan": (serving_plan, f"with {_SERVING}"),
+    "result_freshness": (result_freshness, f"with {_FRESH}"),
+    "lexical_rerank": (lexical_rerank, f"with {_LEX}"),
+    "symbol_exactness": (symbol_exactness, f"with {_EXACT}"),
+    "symbol_probes": (symbol_probes, f"with {_PROBES}"),
+    "job_moves": (job_moves, f"with n as (select o_orderkey, ({_list(STATES)})[cast(o_orderkey % 10 + 1 as int)] as old, ({_list(STATES)})[cast((o_orderkey // 10) % 10 + 1 as int)] as new from orders) select *, (old || '>' || new) in ({_LEGAL}) as legal from n"),
+    "symbol_search": (symbol_search, "select p_partkey, p_name, count(*) over () as total from part where contains(lower(p_name), 'ring') and starts_with(p_brand, 'Brand#1') order by p_name, p_partkey limit 20"),
     "result_filters": (result_filters, r"""select page_id, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) as path from pages where starts_with(regexp_extract(url, '://[^/]*(/[^?#]*)', 1), '/en/') and lower(regexp_extract(html, 'lang="(\w+)"', 1)) = 'en'"""),
     "range_overlap": (range_overlap, f"with {_OV} select * from ov where overlap > 0"),
     "ppr_to_chunks": (ppr_to_chunks, f"with {_OV} select b_id, max(round((a_id % 991) / 991.0::double, 6)) as score from ov where overlap = 1 group by 1 order by 2 desc, 1 limit 40"),
-    "tightest_parent": (tightest_parent, f"""with {_SY}, it as (select *, row_number() over (partition by file order by s, e desc, id) as pos from sy where s % 2 = 0),
+    "tightest_parent": (tightest_parent, f"""with {_SY}, it as (select *, row_number() over (partition by file order by s, e desc, id) as pos from sy),
  pr as (select c.file, c.id as child, c.s as cs, c.e as ce, p.id as parent, p.s as ps, p.e as pe, row_number() over (partition by c.file, c.pos order by p.pos desc) as n from it c join it p on p.file = c.file and p.pos < c.pos and p.e >= c.e)
  select file, child, parent from pr where n = 1 and not (cs = ps and ce = pe)"""),
     "resolve_priority": (resolve_priority, f"with {_RF}, {_DF} {_RS % 'df'}"),
@@ -177,15 +327,15 @@ CATALOG = {
  select rf.ref_id, coalesce(a.symbol_id, b.symbol_id) as symbol_id, case when coalesce(a.score, b.score) is null then 'unresolved' when a.symbol_id is not null and a.score = 100 then 'observed' else 'inferred' end as relation_class,
  case when coalesce(a.score, b.score) is null then 'none' when a.symbol_id is not null then 'parser' else 'heuristic' end as provenance,
  case when coalesce(a.score, b.score) is null then 'none' when coalesce(a.score, b.score) = 100 then 'exact' when coalesce(a.score, b.score) = 50 then 'likely' else 'ambiguous' end as confidence_class from rf left join a using (ref_id) left join b using (ref_id)"""),
-    "freshness_map": (freshness_map, """select doc_id as path, case when doc_id % 9 = 0 then 'unavailable' when doc_id % 8 = 0 then 'partial' when doc_id % 10 = 0 then 'stale' when doc_id % 12 = 0 then 'partial' else 'fresh' end as freshness from documents"""),
+    "freshness_map": (freshness_map, """select doc_id as path, case when doc_id % 9 = 0 and doc_id % 7 = 3 then 'stale' when doc_id % 9 = 0 then 'unavailable' when doc_id % 2 = 0 and doc_id % 12 = 0 then 'partial' when doc_id % 2 = 0 and (doc_id % 10 = 0 or doc_id % 14 = 0) then 'stale' when doc_id % 2 = 0 then 'fresh' when doc_id % 7 = 3 then 'stale' else 'fresh' end as freshness from documents"""),
     "manifest_diff": (manifest_diff, f"with {_SN}, o as (select * from sn where path % 7 <> 2), n as (select path, case when path % 13 = 0 then 'new' else hash end as hash from sn where path % 6 <> 1) select * from (select coalesce(o.path, n.path) as path, case when n.hash is null then 'delete' when o.hash is null then 'insert' when o.hash <> n.hash then 'update' end as action from o full join n using (path)) where action is not null"),
     "incremental_actions": (incremental_actions, f"with {_SN} select path, case when path % 5 = 0 or path % 11 = 0 then 'delete' when path % 3 <> 0 and path % 4 <> 3 then 'skip' else 'upsert' end as action from sn"),
     "line_windows": (line_windows, r"""with l as (select doc_id as id, string_split(text, chr(10)) as ls from documents), x as (select id, ls, unnest(range((len(ls) - 1) // 3 + 1)) as w from l)
  select id, cast(w as int) as window, cast(w * 3 + 1 as int) as start_line, cast(least(len(ls), w * 3 + 3) as int) as end_line, md5(array_to_string(ls[w * 3 + 1:w * 3 + 3], chr(10))) as digest from x"""),
-    "structural_chunks": (structural_chunks, None),
-    "generated_header": (generated_header, "select page_id, page_id % 3 <> 2 as generated from pages"),
-    "path_filter": (path_filter, rf"with {_PT} select page_id, path from pt where page_id % 5 in (0, 4) and ((page_id % 7 in (0, 2)) or (page_id % 7 = 1 and page_id % 5 = 0)) and not regexp_matches(path, '^lib/f1[^/]*$')"),
-    "language_detect": (language_detect, f"""with {_PT} select page_id, case page_id % 7 when 0 then 'rust' when 1 then 'python' when 2 then (case when page_id % 2 = 0 then 'cpp' when page_id % 3 = 0 then 'objective_c' else 'c' end) when 3 then 'javascript' when 5 then 'kotlin' else 'unknown' end as language from pt"""),
+    "structural_chunks": (structural_chunks, _CHUNKS),
+    "generated_header": (generated_header, "select page_id, page_id % 7 in (1, 3, 4, 5) as generated from pages"),
+    "path_filter": (path_filter, rf"with {_PT} select page_id, path, (ends_with(path, '.rs') or ends_with(path, '.h') or regexp_matches(path, '^src/[^/]*\.py$')) and not regexp_matches(path, '^lib/f1[^/]*$') as chosen from pt where page_id % 10 in (0, 4, 9) and page_id % 11 <> 0 and page_id % 13 in (0, 1, 2, 5, 8, 9, 11)"),
+    "language_detect": (language_detect, f"""with {_PT} select page_id, case page_id % 13 when 0 then 'rust' when 1 then 'python' when 2 then (case when page_id % 7 in (1, 3) then 'objective_c' when page_id % 7 in (0, 4, 6) then 'cpp' else 'c' end) when 3 then 'javascript' when 5 then 'kotlin' when 7 then 'typescript' when 8 then 'typescript' when 10 then 'swift' when 11 then 'objective_c' else 'unknown' end as language from pt"""),
     "abandoned_generations": (abandoned_generations, "select distinct source as project_id, doc_id % 6 as generation from documents where doc_id % 6 <> 5"),
     "index_progress": (index_progress, "select source as project, round((count(*) filter (doc_id % 3 > 0) / count(*)::double) * (0.70::double + 0.30::double * (count(*) filter (doc_id % 4 = 0) / count(*)::double)) * 100, 6) as percent from documents group by 1"),
     "checkpoint_resume": (checkpoint_resume, "select doc_id as path from documents where doc_id % 3 <> 0"),

@@ -62,12 +62,12 @@ def bootstrap_budget(s, d):
 
 def bootstrap_context(s, d):
     pre = F.element_at(F.array(*[F.lit(p + ": ") for p in ("TASK", "DECISION", "CONTEXT", "PROJECT", "USER", "RESEARCH")]), (F.col("id") % 6 + 1).cast("int"))
-    m = memories(s, d).withColumn("content", F.concat(pre, F.when(F.col("id") % 12 == 0, "[ ] current in_progress ").otherwise("[ ] "), F.left("content", F.lit(400))))
-    return L.bootstrap(m, as_of(), 600)
+    m = memories(s, d).withColumn("content", F.concat(pre, F.when(F.col("id") % 12 == 0, "[ ] current: in_progress ").otherwise("[ ] "), F.col("content")))
+    return L.bootstrap(m, as_of(), 6000)
 
 
 def task_priority(s, d):
-    c = F.concat(F.when(F.col("id") % 2 == 0, "in_progress ").otherwise(""), F.when(F.col("id") % 3 == 0, "Current ").otherwise(""), F.when(F.col("id") % 5 == 0, "[ ]").otherwise(""))
+    c = F.concat(F.when(F.col("id") % 2 == 0, "in_progress ").otherwise(""), F.when(F.col("id") % 3 == 0, "Current: ").when(F.col("id") % 7 == 0, "current ").otherwise(""), F.when(F.col("id") % 5 == 0, "[ ]").otherwise(""))
     return memories(s, d).select("id", text.task_priority(c).alias("priority"), text.token_estimate(F.col("content")).alias("tokens"))
 
 
@@ -88,27 +88,31 @@ def learning_moves(s, d):
 
 
 def learning_lifecycle(s, d):
-    m = _learned(s, d).join(memories(s, d).select("id", "valid_until"), "id")
-    return m.select("id", life.learning_lifecycle(F.col("status"), F.col("valid_until"), as_of()).alias("state"), life.learning_memory_type(F.lit("lesson"), F.col("status")).alias("memory_type"))
+    kind, status = (F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("id") % len(xs) + 1).cast("int")) for xs in (life.LEARNING_KINDS, life.LEARNING_STATUSES))
+    state = life.learning_lifecycle(status, F.col("valid_until"), F.col("invalidation_reason"), F.col("superseded_by"))
+    return memories(s, d).select("id", state.alias("state"), life.learning_memory_type(kind, status).alias("memory_type"))
 
 
 def learning_validation(s, d):
-    meta = F.expr("concat('{\"schema_version\":', id % 3, ',\"kind\":\"', case when id % 2 = 0 then 'lesson' else 'other' end, '\",\"status\":\"rule\",\"confidence\":', (id % 13) / 10D, '}')")
+    meta = F.expr("""concat('{"schema_version":', id % 3, ',"kind":"', element_at(array('user_preference', 'project_lesson', 'project_pattern', 'project_pitfall', 'workflow_rule', 'decision'), cast(id % 6 + 1 as int)),
+     '","status":"', element_at(array('candidate', 'confirmed', 'rule', 'rejected', 'superseded', 'archived', 'expired'), cast(id % 7 + 1 as int)), '","confidence":', (id % 13) / 10D,
+     case when id % 4 > 0 then concat(',"scope":{"level":"', element_at(array('project', 'global', 'galaxy'), cast(id % 4 as int)), '"}') else '' end, case when id % 5 > 0 then ',"source":{"created_from":"manual"}' else ',"source":{}' end, '}')""")
     return memories(s, d).select("id", F.array_join(life.learning_errors(meta), ",").alias("errors"))
 
 
 def _prefixed(s, d):
-    pre = F.expr("element_at(array('TASK: ', 'DECISION: ', 'USER: always ', 'USER: ', 'lesson ', 'CONTEXT: ', ''), cast(id % 7 + 1 as int))")
-    return memories(s, d).withColumn("content", F.concat(pre, F.left("content", F.lit(200))))
+    pre = F.expr("element_at(array('TASK: ', 'EPIC: ', 'USER \u2014 Preference: ', 'USER: ', 'CONTEXT: ', 'RESEARCH: ', 'DECISION: ', '  CONTEXT: ', ''), cast(id % 9 + 1 as int))")
+    return memories(s, d).withColumn("content", F.concat(pre, F.col("content")))
 
 
 def legacy_classify(s, d):
-    return _prefixed(s, d).select("id", life.legacy_class(F.col("content")).alias("c")).select("id", "c.*")
+    c = life.legacy_class(F.col("content"), F.col("metadata"), "project", True)
+    return _prefixed(s, d).select("id", c.alias("c")).select("id", "c.*")
 
 
 def migration_plan(s, d):
-    have = memories(s, d).where("id % 9 = 0").selectExpr("case when id % 2 = 0 then id end as source_id", "content_hash", "'decision' as kind", "namespace as scope")
-    return learning.migration_plan(_prefixed(s, d), have)
+    have = memories(s, d).where("id % 5 = 0").selectExpr("case when id % 2 = 0 then id end as source_id", "content_hash", "'project_pattern' as kind", "namespace as scope")
+    return learning.migration_plan(_prefixed(s, d), have, scope_level="project", allowed=["USER", "CONTEXT:", "TASK:", "  "])
 
 
 def import_plan(s, d):
@@ -128,35 +132,53 @@ def embedding_reuse(s, d):
 
 _M = with_views("memories")
 _A = f"timestamp '{AS_OF}'"
-_STATE = f"""case when superseded_by is not null and valid_until <= {_A} then 'superseded' when valid_until <= {_A} and starts_with(invalidation_reason, 'archived') then 'archived'
- when valid_until <= {_A} and starts_with(invalidation_reason, 'rejected') then 'rejected' when valid_until <= {_A} and starts_with(invalidation_reason, 'superseded') then 'superseded' when valid_until <= {_A} then 'invalidated' else 'active' end"""
+_CLOSED = "case when invalidation_reason = 'superseded' or superseded_by is not null then 'superseded' when invalidation_reason = 'learning_rejected' then 'rejected' when invalidation_reason = 'learning_archived' then 'archived' else 'invalidated' end"
+
+
+def _learning_state(status: str) -> str:
+    return f"""case when valid_until is not null then (case when invalidation_reason = 'learning_rejected' then 'rejected' when invalidation_reason = 'learning_archived' then 'archived' when invalidation_reason = 'superseded' or superseded_by is not null then 'superseded' else 'invalidated' end)
+ when {status} in ('confirmed', 'rule') then 'active' when {status} in ('rejected', 'archived', 'superseded') then 'unknown' else 'candidate' end"""
+
+
+_LEARNED = _learning_state("(metadata->>'$.learning.status')")
+_STATE = f"case when json_extract(metadata, '$.learning') is not null then {_LEARNED} when valid_until is not null then {_CLOSED} else 'active' end"
 _PIN = r"(regexp_matches(content, '^\s*(DECISION|PROJECT|USER):') or importance_score >= 4.0)"
 _RV = f"""v as (select id, namespace, {_STATE} as state, {_PIN} as pinned, valid_until is null as missing_valid_until, valid_until + to_days({DAYS}) as ea from memories), rv as (select *, coalesce(ea <= {_A} and not pinned, false) as eligible from v)"""
 _PURGE = "pl as (select id, state, epoch_us(ea) as eligible_us from rv where eligible order by ea, id limit 50)"
 _DUP = "n as (select id, content, content_hash from memories where id % 20 = 0), u as (select n.id as new_id, m.id, 'content_hash' as m from n join memories m using (content_hash) union all select n.id, m.id, 'content' from n join memories m using (content)), du as (select new_id, id, array_to_string(list_sort(list(distinct m)), ',') as matched_by from u where new_id <> id group by 1, 2)"
-_DECAY = f"greatest(0.05, exp(-ln(2) * (greatest(0.0, (epoch_us({_A}) - epoch_us(last_accessed_at)) / 86400000000.0) / (1 + 0.5 * ln(1 + access_count::double))) / case memory_type when 'episodic' then 30.0 when 'procedural' then 365.0 else 180.0 end))"
+_DECAY = f"greatest(0.05, exp(-ln(2) * (greatest(0.0, (epoch_us({_A}) - epoch_us(coalesce(event_time, ingestion_time))) / 86400000000.0) / (1 + 0.5 * ln(1 + access_count::double))) / case memory_type when 'episodic' then 30.0 when 'procedural' then 365.0 else 180.0 end))"
 _LEARN = "le as (select m.id, namespace, (['candidate','confirmed','rule','rejected'])[cast(m.id % 4 + 1 as int)] as status, (m.id % 11) / 10.0::double as confidence, importance_score as importance, toxic = 0 as valid, m.valid_until from memories m join labels on doc_id = m.id)"
-_PRE = "(['TASK: ','DECISION: ','USER: always ','USER: ','lesson ','CONTEXT: ',''])[cast(id % 7 + 1 as int)] || left(content, 200)"
+_PRE = "(['TASK: ','EPIC: ','USER \u2014 Preference: ','USER: ','CONTEXT: ','RESEARCH: ','DECISION: ','  CONTEXT: ',''])[cast(id % 9 + 1 as int)] || content"
+
+
+def _starts(x: str) -> str:
+    return f"starts_with(c, '{x}')"
 
 
-def _hint(*ws):
-    return "(" + " or ".join(f"contains(lower(c), '{w}')" for w in ws) + ")"
+def _class_sql(allowed: list[str] | None = None) -> str:
+    make = lambda k, s, o, r: f"[{k}, {s}, '{o}', '{r}']"
+    none = lambda o, r: make("null", "null", o, r)
+    outside = f"when not ({' or '.join(_starts(x) for x in allowed)}) then {none('skipped', 'content prefix is not in prefix_allowlist')}" if allowed else ""
+    return f"""pc as (select *, ltrim(c) as b, lower(coalesce(metadata, '')) as meta from (select id, {_PRE} as c, content_hash, namespace, metadata from memories)),
+ cl as (select id, content_hash, namespace, case when json_extract(metadata, '$.learning.schema_version') is not null then {none('already_migrated', 'record already has metadata.learning.schema_version')} {outside}
+ when starts_with(b, 'USER \u2014 Preference:') then {make("'user_preference'", "'confirmed'", 'eligible', 'USER \u2014 Preference prefix')}
+ when starts_with(b, 'USER:') and contains(meta, 'rule') then {make("'workflow_rule'", "'rule'", 'eligible', 'USER metadata rule hint')} when starts_with(b, 'USER:') and contains(meta, 'preference') then {make("'user_preference'", "'confirmed'", 'eligible', 'USER metadata preference hint')}
+ when starts_with(b, 'USER:') then {none('ambiguous', 'USER prefix requires preference/rule metadata or caller rule')} when starts_with(b, 'CONTEXT:') then {make("'project_pattern'", "'candidate'", 'eligible', 'CONTEXT project scope')}
+ when starts_with(b, 'RESEARCH:') and {'false' if allowed else 'true'} then {make("'project_lesson'", "'candidate'", 'eligible', 'RESEARCH explicit lesson extraction')} when starts_with(b, 'TASK:') or starts_with(b, 'EPIC:') then {none('skipped', 'TASK and EPIC records are excluded by default')}
+ else {none('ambiguous', 'no eligible legacy learning prefix matched')} end as x from pc)"""
 
 
-_CLASS = f"""pc as (select id, {_PRE} as c, content_hash, namespace from memories), cl as (select id, content_hash, namespace, case when regexp_matches(c, '^\\s*(TASK|EPIC):') then ['none','none','skip','task_record'] when regexp_matches(c, '^\\s*DECISION:') then ['decision','confirmed','migrate','decision_prefix']
- when regexp_matches(c, '^\\s*USER:') and {_hint('prefer', 'always', 'never')} then ['preference','confirmed','migrate','user_preference'] when regexp_matches(c, '^\\s*USER:') then ['preference','candidate','migrate','user_prefix']
- when {_hint('lesson', 'learned', 'root cause')} then ['lesson','candidate','migrate','lesson_hint'] when {_hint('workflow', 'runbook')} then ['workflow','candidate','migrate','workflow_hint']
- when regexp_matches(c, '^\\s*(CONTEXT|PROJECT|RESEARCH):') then ['none','none','review','context_prefix'] else ['none','none','skip','no_signal'] end as x from pc)"""
+_ERRORS = """case when id % 3 <> 1 then 'schema_version' end, case when id % 6 = 5 then 'kind' end, case when id % 7 = 6 then 'status' end, case when id % 13 > 10 then 'confidence' end, case when id % 4 not in (1, 2) then 'scope' end, case when id % 5 = 0 then 'source' end"""
 
 CATALOG = {
     "retention_view": (retention_view, f"{_M.rstrip()}, {_RV} select id, namespace, state, state = 'active' as visible, pinned, missing_valid_until, epoch_us(ea) as eligible_after, eligible from rv"),
     "purge_plan": (purge_plan, f"{_M.rstrip()}, {_RV}, {_PURGE} from pl"),
     "purge_fingerprint": (purge_fingerprint, f"{_M.rstrip()}, {_RV}, {_PURGE} select md5('days=30,limit=50|' || array_to_string(list_sort(list(cast(id as varchar))), ',')) as fingerprint, count(*) as n from pl"),
-    "capacity_archive": (capacity_archive, f"""{_M.rstrip()}, live as (select id, round(importance_score * {_DECAY} * (1 + least(0.5 * ln(1 + access_count::double), 3.0)), 8) as score, last_accessed_at as a from memories where valid_until is null or valid_until > {_A}),
- lo as (select * from (select *, row_number() over (order by score, a, id) as r, count(*) over () as n from live) where r <= n - 80) select id, score from lo where a <= {_A} - interval 5 minute"""),
+    "capacity_archive": (capacity_archive, f"""{_M.rstrip()}, live as (select id, round(importance_score * {_DECAY} * (1 + least(0.5 * ln(1 + access_count::double), 3.0)), 8) as score, coalesce(event_time, ingestion_time) as a, last_accessed_at as l from memories where valid_until is null or valid_until > {_A}),
+ lo as (select * from (select *, row_number() over (order by score, a, id) as r, count(*) over () as n from live) where r <= n - 80) select id, score from lo where l <= {_A} - interval 5 minute"""),
     "duplicate_matches": (duplicate_matches, f"{_M.rstrip()}, {_DUP} select new_id, id, matched_by from du"),
     "consolidation_plan": (consolidation_plan, f"{_M.rstrip()}, {_DUP} select new_id, count(*) as supersedes, md5(array_to_string(list_sort(list(lpad(cast(id as varchar), 20, '0'))), ',')) as fingerprint from du group by 1"),
-    "audit_counts": (audit_counts, f"""{_M.rstrip()}, st as (select *, {_STATE} as state from memories) select count(*) as total, count(*) filter (state = 'active') as active, count(*) filter (state = 'superseded') as superseded, count(*) filter (state = 'archived') as archived, count(*) filter (state = 'rejected') as rejected, count(*) filter (state = 'invalidated') as invalidated,
+    "audit_counts": (audit_counts, f"""{_M.rstrip()}, st as (select *, {_STATE} as state from memories) select count(*) as total, count(*) filter (state = 'active') as active, count(*) filter (state = 'candidate') as candidate, count(*) filter (state = 'unknown') as unknown, count(*) filter (state = 'superseded') as superseded, count(*) filter (state = 'archived') as archived, count(*) filter (state = 'rejected') as rejected, count(*) filter (state = 'invalidated') as invalidated,
  count(*) filter (valid_until + to_days({DAYS}) <= {_A}) as purge_ready, count(*) filter (superseded_by is not null and valid_until is null) as replacement_without_invalidation, count(*) filter (length(content) > 8000) as oversized, count(*) filter (content_hash is null) as missing_hash from st"""),
     "observation_counts": (observation_counts, "select role as source, case when turn = 0 then 'opened' else 'continued' end as event_type, count(*) as n from conversations group by 1, 2"),
     "observation_prefix": (observation_prefix, r"select conv_id, turn, md5(case when regexp_matches(text, '^\s*(TASK|DECISION|CONTEXT|PROJECT|USER|EPIC|RESEARCH):') then text else 'CONTEXT: ' || text end) as digest from conversations"),
@@ -170,12 +192,13 @@ CATALOG = {
  select * from (select *, row_number() over (partition by q_id order by score desc, id) as rank from sc) where rank <= 10"""),
     "learning_moves": (learning_moves, f"""{_M.rstrip()}, {_LEARN}, w as (select id, status, (['confirmed','rule','rejected','candidate','archived'])[cast(id % 5 + 1 as int)] as nw from le), ok as (select *, (status || '>' || nw) in ('candidate>confirmed','candidate>rule','confirmed>rule','candidate>rejected','confirmed>rejected','candidate>archived','confirmed>archived','rule>archived') as accepted from w)
  select id, case when accepted then nw else status end as status, accepted from ok"""),
-    "learning_lifecycle": (learning_lifecycle, f"{_M.rstrip()}, {_LEARN} select id, case when status = 'rejected' then 'rejected' when valid_until <= {_A} then 'expired' when status in ('confirmed','rule') then 'active' else 'pending' end as state, case when status = 'rule' then 'procedural' else 'semantic' end as memory_type from le"),
-    "learning_validation": (learning_validation, f"{_M} select id, array_to_string(list_filter([case when id % 3 <> 1 then 'schema_version' end, case when id % 2 <> 0 then 'kind' end, case when (id % 13) > 10 then 'confidence' end], lambda x: x is not null), ',') as errors from memories"),
-    "legacy_classify": (legacy_classify, f"{_M.rstrip()}, {_CLASS} select id, x[1] as kind, x[2] as status, x[3] as outcome, x[4] as reason from cl"),
-    "migration_plan": (migration_plan, f"""{_M.rstrip()}, {_CLASS}, ex as (select case when id % 2 = 0 then id end as sid, content_hash as h, namespace as sc from memories where id % 9 = 0), i1 as (select distinct sid from ex where sid is not null), i2 as (select distinct h, sc from ex where h is not null),
- j as (select cl.*, case when i1.sid is not null then 'source_id' when i2.h is not null then 'content' end as already from cl left join i1 on i1.sid = id left join i2 on i2.h = content_hash and sc = namespace and x[1] = 'decision')
- select id, x[1] as kind, x[2] as status, case when already is not null and x[3] = 'migrate' then 'skip' else x[3] end as outcome, x[4] as reason, already from j"""),
+    "learning_lifecycle": (learning_lifecycle, f"""{_M.rstrip()}, k as (select *, (['user_preference','project_lesson','project_pattern','project_pitfall','workflow_rule'])[cast(id % 5 + 1 as int)] as kind, (['candidate','confirmed','rule','rejected','superseded','archived'])[cast(id % 6 + 1 as int)] as status from memories)
+ select id, {_learning_state('status')} as state, case when kind = 'workflow_rule' or status = 'rule' then 'procedural' when kind = 'project_lesson' then 'episodic' else 'semantic' end as memory_type from k"""),
+    "learning_validation": (learning_validation, f"{_M} select id, array_to_string(list_filter([{_ERRORS}], lambda x: x is not null), ',') as errors from memories"),
+    "legacy_classify": (legacy_classify, f"{_M.rstrip()}, {_class_sql()} select id, x[1] as kind, x[2] as status, x[3] as outcome, x[4] as reason from cl"),
+    "migration_plan": (migration_plan, f"""{_M.rstrip()}, {_class_sql(['USER', 'CONTEXT:', 'TASK:', '  '])}, ex as (select case when id % 2 = 0 then id end as sid, content_hash as h, namespace as sc from memories where id % 5 = 0), i1 as (select distinct sid from ex where sid is not null), i2 as (select distinct h, sc from ex where h is not null),
+ j as (select cl.*, case when x[3] <> 'eligible' then null when i1.sid is not null then 'primary' when i2.h is not null then 'fallback' end as already from cl left join i1 on i1.sid = id left join i2 on i2.h = content_hash and sc = namespace and x[1] = 'project_pattern')
+ select id, x[1] as kind, x[2] as status, case when already is not null then 'already_migrated' else x[3] end as outcome, x[4] as reason, already from j"""),
     "import_plan": (import_plan, f"""{_M.rstrip()}, p as (select id, superseded_by, case when id % 6 = 0 then 'remap' else 'insert' end as action, case when id % 6 = 0 then id || '-import-' || left(md5(md5(content)), 16) else cast(id as varchar) end as new_id from memories where id % 2 = 0)
  select p.id, p.new_id, p.action, coalesce(q.new_id, cast(p.superseded_by as varchar)) as new_superseded_by from p left join p q on q.id = p.superseded_by"""),
     "embedding_route": (embedding_route, f"{_M} select id, case when length(content) < 4096 then 'sync' else 'queue' end as route, sha256(content) as hash from memories"),

@@ -6,26 +6,39 @@ from pyspark.sql import Window, functions as F
 
 from ..config import CONFIG
 from ..functions import scoring, text
-from ..operators import retrieve as R
+from ..operators import index, retrieve as R
 from ..sources.tables import AS_OF, as_of, memories, table, with_views
+from ..workspace import hadoop_path
 
 
 def _queries(s, d):
     return table(s, d, "benchmark").selectExpr("item_id as q_id", "text")
 
 
+_INDEXES: dict = {}
+
+
+def _index(s, d, by: tuple[str, ...] = ()):
+    """The index of the documents: built once for a session and a state of the files, then read by every query."""
+    fs, path = hadoop_path(s, f"{d}/documents.parquet")
+    files = [fs.getFileStatus(path)] if not fs.getFileStatus(path).isDirectory() else fs.listStatus(path)
+    key = (s.sparkContext.applicationId, d, by, tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files)))
+    if key not in _INDEXES:
+        _INDEXES[key] = index.build(table(s, d, "documents").withColumn("project", F.col("source")), "doc_id", "text", by)
+    return _INDEXES[key]
+
+
 def bm25_topk(s, d):
-    return R.top_k(R.bm25_scores(table(s, d, "documents"), _queries(s, d), "doc_id", "text"), 10, ["q_id"]).select("q_id", "id", "score", "rank")
+    return R.top_k(R.bm25_scores(_index(s, d), _queries(s, d)), 10, ["q_id"]).select("q_id", "id", "score", "rank")
 
 
 def bm25_per_namespace(s, d):
-    docs = table(s, d, "documents").select("doc_id", "text", F.col("source").alias("project"))
-    return R.top_k(R.bm25_scores(docs, _queries(s, d), "doc_id", "text", by=("project",)), 3, ["q_id", "project"]).select("q_id", "project", "id", "score", "rank")
+    return R.top_k(R.bm25_scores(_index(s, d, ("project",)), _queries(s, d)), 3, ["q_id", "project"]).select("q_id", "project", "id", "score", "rank")
 
 
 def bm25_allowed_ids(s, d):
     ok = memories(s, d).where("memory_type = 'semantic'").select("id")
-    scored = R.bm25_scores(table(s, d, "documents"), _queries(s, d), "doc_id", "text").join(ok, "id", "left_semi")
+    scored = R.bm25_scores(_index(s, d), _queries(s, d)).join(ok, "id", "left_semi")
     return R.top_k(scored, 5, ["q_id"]).select("q_id", "id", "score", F.least(F.lit(1.0), "score").alias("clamped"), "rank")
 
 
@@ -46,7 +59,8 @@ def _vectors(s, d):
 
 
 def _vector_queries(s, d):
-    return _vectors(s, d).where("id < 10").select(F.col("id").alias("q_id"), F.col("v").alias("qv"))
+    """Every twentieth vector asks for its neighbours among all."""
+    return _vectors(s, d).where("id % 20 = 0").select(F.col("id").alias("q_id"), F.col("v").alias("qv"))
 
 
 def cosine_topk(s, d):
@@ -63,7 +77,7 @@ def mrl_truncate(s, d):
 
 
 def _channels(s, d):
-    lex = bm25_topk(s, d).where("q_id < 10").select("q_id", F.lit("bm25").alias("channel"), "id", "score")
+    lex = bm25_topk(s, d).select("q_id", F.lit("bm25").alias("channel"), "id", "score")
     vec = R.cosine_topk(_vectors(s, d), _vector_queries(s, d), 10).select("q_id", F.lit("vector").alias("channel"), "id", "score")
     return lex.unionByName(vec)
 
@@ -112,18 +126,44 @@ def hybrid_recall(s, d):
     return _recall(s, d).select("q_id", "id", "score", "rank")
 
 
-def _recall(s, d):
-    queries = _queries(s, d).where("q_id < 10")
-    return R.recall(memories(s, d), queries, _vectors(s, d), _vector_queries(s, d), F.col("valid_until").isNull() | (F.col("valid_until") > as_of()), as_of(), 10)
+def _recall(s, d, graph=None):
+    live = F.col("valid_until").isNull() | (F.col("valid_until") > as_of())
+    return R.recall(memories(s, d), _index(s, d), _queries(s, d), _vectors(s, d), _vector_queries(s, d), live, as_of(), 10, graph)
+
+
+def recall_graph(s, d):
+    """Recall with the graph channel: documents are entities, linked with the next of their source and ten ids on."""
+    m = memories(s, d).select("id", "namespace")
+    edges = m.select(F.col("id").alias("src"), (F.col("id") + 10).alias("dst"), F.lit(1.0).alias("weight")).unionByName(
+        m.selectExpr("id as src", "lead(id) over (partition by namespace order by id) as dst", "cast(1 + id % 3 as double) as weight").where("dst is not null")
+    )
+    return _recall(s, d, (m.select(F.col("id").alias("node")), edges)).select("q_id", "id", "score", "rank", F.round("ppr_score", 8).alias("ppr_score"))
+
+
+def search_memory(s, d):
+    """The lexical channel alone, over records valid now of one namespace."""
+    mem = memories(s, d)
+    ok = mem.where("(valid_until is null or valid_until > timestamp '%s') and memory_type = 'episodic'" % AS_OF).select("id")
+    hits = R.top_k(R.bm25_scores(_index(s, d), _queries(s, d)).join(ok, "id", "left_semi"), 50, ["q_id"]).select("q_id", "id", "score")
+    return R.single_channel(hits, mem, 10, 0.2).select("q_id", "id", "score", "rank")
 
 
 def search_trace(s, d):
     return _recall(s, d).select("q_id", "rank", "id", F.array_join("channels", "+").alias("channels"), F.round("fused", 8).alias("fused"), "namespace")
 
 
+PROMPTS = (
+    "{}", "<system-reminder>x</system-reminder>\n{}", "<Work_Context>\nold\n</Work_Context>\n{}", "<Work_Context>\n## TASK\nold</Work_Context>\n{}\n# TASK\ndo it TASK: not this",
+    "<Work_Context>\n{}\nTASK: first\nTASK: last  one</Work_Context>  \n", "<Work_Context> {} ", "<!-- MEMORY_MCP_INTERNAL_INITIATOR --> {}", "<system-reminder> ## 1. TASK {} # TASK y",
+)
+
+
 def effective_query(s, d):
-    q = table(s, d, "conversations").select("conv_id", "turn", text.effective_query(F.concat_ws("\n", F.col("role"), F.concat(F.lit("TASK: "), F.left("text", F.lit(40))))).alias("e"))
-    return q.select("conv_id", "turn", "e.query", "e.origin")
+    """Turns wrapped in each kind of prompt, whole; every thirteenth is blank and every eleventh very long."""
+    turn = F.when(F.col("conv_id") % 13 == 0, F.lit(" \n\t ")).when(F.col("conv_id") % 11 == 0, F.repeat(F.concat("text", F.lit(" \n ")), 30)).otherwise(F.col("text"))
+    prompt = F.element_at(F.array(*[F.concat(F.lit(p.split("{}")[0]), turn, F.lit(p.split("{}")[1])) for p in PROMPTS]), ((F.col("conv_id") + F.col("turn")) % len(PROMPTS) + 1).cast("int"))
+    q = table(s, d, "conversations").select("conv_id", "turn", text.effective_query(prompt).alias("e"))
+    return q.select("conv_id", "turn", F.md5("e.query").alias("query"), "e.origin", "e.effective_chars", "e.truncated")
 
 
 def query_classes(s, d):
@@ -134,7 +174,7 @@ def query_classes(s, d):
 
 
 def jaccard_similarity(s, d):
-    """Documents against the benchmark items of their hundred: a stated query set in blocks."""
+    """Each turn of a conversation and the one before: overlap of their word sets."""
     a = table(s, d, "conversations").select("conv_id", "turn", text.word_set(F.col("text")).alias("w"))
     b = a.select(F.col("conv_id"), (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
@@ -164,11 +204,11 @@ def bm25_sql(by: str = "", limit_q: str = "") -> str:
 
 def _cos(where: str) -> str:
     return f"""cs as (select q.vec_id as q_id, e.vec_id as id, round(list_dot_product(e.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 6) as score
- from embeddings e, embeddings q where q.vec_id < 10 {where}), cr as (select *, row_number() over (partition by q_id order by score desc, id) as rank from cs)"""
+ from embeddings e, embeddings q where q.vec_id % 20 = 0 {where}), cr as (select *, row_number() over (partition by q_id order by score desc, id) as rank from cs)"""
 
 
 _TOP = "select *, row_number() over (partition by q_id order by score desc, id) as rank from"
-_CH = f"with {bm25_sql()}, {_cos('')}, br as ({_TOP} bm), ch as (select q_id, 'bm25' as channel, id, score from br where rank <= 10 and q_id < 10 union all select q_id, 'vector', id, score from cr where rank <= 10), rk as (select *, row_number() over (partition by q_id, channel order by score desc, id) as r from ch)"
+_CH = f"with {bm25_sql()}, {_cos('')}, br as ({_TOP} bm), ch as (select q_id, 'bm25' as channel, id, score from br where rank <= 10 union all select q_id, 'vector', id, score from cr where rank <= 10), rk as (select *, row_number() over (partition by q_id, channel order by score desc, id) as r from ch)"
 
 
 def _rrf_sql(v: float, b: float) -> str:
@@ -178,13 +218,35 @@ def _rrf_sql(v: float, b: float) -> str:
 _DEC = f"""greatest(0.05, exp(-ln(2) * (greatest(0.0, (epoch_us(timestamp '{AS_OF}') - epoch_us(%s)) / 86400000000.0) / (1 + 0.5 * ln(1 + access_count::double))) / case memory_type when 'episodic' then 30.0 when 'procedural' then 365.0 else 180.0 end))"""
 _REIN = "(1 + least(0.5 * ln(1 + access_count::double), 3.0))"
 _RECALL = f"""{with_views('memories').rstrip()}, {bm25_sql()}, {_cos('')}, ok as (select id from memories where valid_until is null or valid_until > timestamp '{AS_OF}'),
- b2 as ({_TOP} bm where q_id < 10 and id in (select id from ok)), c2 as ({_TOP} cs where id in (select id from ok)),
+ b2 as ({_TOP} bm where id in (select id from ok)), c2 as ({_TOP} cs where id in (select id from ok)),
  ch as (select q_id, 'bm25' as channel, id, score from b2 where rank <= 50 union all select q_id, 'vector', id, score from c2 where rank <= 50),
  rk as (select *, row_number() over (partition by q_id, channel order by score desc, id) as r from ch), {_rrf_sql(0.40, 0.15)},
  sc as (select f.q_id, f.id, f.score as fused, f.vector_score, f.bm25_score, m.namespace, coalesce('h:' || content_hash, 'c:' || lower(trim(regexp_replace(content, '\\s+', ' ', 'g')))) as key,
-  round(f.score * sqrt(greatest(0.25, least(4.0, importance_score))) * {_DEC % 'coalesce(last_accessed_at, ingestion_time)'} * {_REIN}, 8) as score from fr f join memories m using (id) where f.rank <= 10),
+  round(f.score * sqrt(greatest(0.25, least(4.0, importance_score))) * {_DEC % 'coalesce(event_time, ingestion_time)'} * {_REIN}, 8) as score from fr f join memories m using (id) where f.rank <= 10),
  de as (select *, row_number() over (partition by q_id, key order by score desc, id) as n from sc), fin as ({_TOP} de where n = 1)"""
 
+_WS = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _prompts_sql() -> str:
+    """Prompts, what they are taken for, and the part that asks, as cases over the kinds of prompt."""
+    each = " ".join(f"when {i} then concat({_text(p.split('{}')[0])}, t, {_text(p.split('{}')[1])})" for i, p in enumerate(PROMPTS))
+    last = lambda c, m: f"substr({c}, length({c}) - position(reverse({_text(m)}) in reverse({c})) - {len(m) - 2})"
+    task = lambda c: "case " + " ".join(f"when contains({c}, {_text(m)}) then {last(c, m)}" for m in text.TASK_MARKERS) + " end"
+    wrapped = " or ".join(f"contains(x, {_text(w)})" for w in text.WRAPPERS)
+    close = text.CONTEXT_CLOSE
+    return f"""k as (select conv_id, turn, (conv_id + turn) % {len(PROMPTS)} as kind, case when conv_id % 13 = 0 then ' ' || chr(10) || chr(9) || ' ' when conv_id % 11 = 0 then repeat(text || ' ' || chr(10) || ' ', 30) else text end as t from conversations),
+ x as (select conv_id, turn, case kind {each} end as x from k), y as (select *, case when contains(x, '{close}') then string_split(x, '{close}')[-1] end as a from x), z as (select *, regexp_replace(coalesce(a, ''), '{_WS}+', '', 'g') <> '' as rest from y),
+ c as (select *, case when not ({wrapped}) then [x, 'direct'] when rest and ({task('a')}) is not null then [{task('a')}, 'task_section'] when rest then [a, 'post_work_context'] when ({task('x')}) is not null then [{task('x')}, 'task_section']
+  when contains(x, '<Work_Context>') then [{last('x', '<Work_Context>')}, 'work_context'] else [x, 'prompt_context'] end as c from z),
+ f as (select conv_id, turn, c[2] as origin, trim(regexp_replace(c[1], '{_WS}+', ' ', 'g')) as q from c)
+ select conv_id, turn, md5(rtrim(left(q, 4096))) as query, origin, length(rtrim(left(q, 4096))) as effective_chars, length(q) > 4096 as truncated from f"""
+
+
 CATALOG = {
     "bm25_topk": (bm25_topk, f"with {bm25_sql()} select q_id, id, score, rank from ({_TOP} bm) where rank <= 10"),
     "bm25_topk_per_namespace": (bm25_per_namespace, f"with {bm25_sql('project')} select q_id, project, id, score, rank from (select *, row_number() over (partition by q_id, project order by score desc, id) as rank from bm) where rank <= 3"),
@@ -207,7 +269,11 @@ CATALOG = {
     "importance_boost": (importance_boost, f"{with_views('memories')} select id, round(sqrt(greatest(0.25, least(4.0, importance_score))), 6) as boost, round(greatest(0.1, least(5.0, importance_score - 1.0)), 6) as normal from memories"),
     "hybrid_recall": (hybrid_recall, f"{_RECALL} select q_id, id, score, rank from fin where rank <= 10"),
     "search_trace": (search_trace, f"{_RECALL} select q_id, rank, id, array_to_string(list_filter([case when vector_score > 0 then 'vector' end, case when bm25_score > 0 then 'bm25' end], lambda x: x is not null), '+') as channels, fused, namespace from fin where rank <= 10"),
-    "effective_query": (effective_query, r"select conv_id, turn, trim(regexp_replace(left(text, 40), '\s+', ' ', 'g')) as query, 'task_section' as origin from conversations"),
+    "effective_query": (effective_query, f"with {_prompts_sql()}"),
+    "recall_graph": (recall_graph, None),
+    "search_memory": (search_memory, f"""{with_views('memories').rstrip()}, {bm25_sql()}, ok as (select id from memories where (valid_until is null or valid_until > timestamp '{AS_OF}') and memory_type = 'episodic'), b2 as ({_TOP} bm where id in (select id from ok)),
+ sc as (select q_id, id, least(1.0, score) as score, coalesce('h:' || content_hash, 'c:' || lower(trim(regexp_replace(content, '\\s+', ' ', 'g')))) as key from b2 join memories using (id) where rank <= 50), de as (select *, row_number() over (partition by q_id, key order by score desc, id) as n from sc), fin as ({_TOP} de where n = 1)
+ select q_id, id, score, rank from fin where rank <= 10 and score >= 0.2"""),
     "query_classes": (query_classes, None),
     "jaccard_similarity": (jaccard_similarity, r"""with a as (select conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_-]+'), lambda w: length(w) >= 3)) as w from conversations)
  select a.conv_id, a.turn, round(case when len(list_distinct(list_concat(a.w, b.w))) = 0 then 0.0 else len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double end, 6) as jaccard from a join a b on a.conv_id = b.conv_id and b.turn = a.turn + 1"""),

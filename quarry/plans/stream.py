@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..streaming import streams as S
-from .store import folder
+from ..workspace import folder
 
 
 def _stream(s, d):

@@ -127,7 +127,7 @@ def unembedded_scan(s, d):
 
 
 def jsonl_export_import(s, d):
-    from .store import folder
+    from ..workspace import folder
     import uuid
 
     rows = table(s, d, "labels").selectExpr("doc_id as id", "quality", "toxic")

@@ -29,10 +29,11 @@ def memories(spark: SparkSession, sf: str) -> DataFrame:
         "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(doc_id % 300 as int)) as event_time",
         "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(doc_id % 400 as int)) as valid_from",
         "case when doc_id % 5 = 0 then timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(doc_id % 400 + doc_id % 90 + 1 as int)) end as valid_until",
-        "case when doc_id % 5 = 0 then element_at(array('superseded', 'archived: capacity', 'rejected', 'manual'), cast(doc_id % 4 + 1 as int)) end as invalidation_reason",
+        "case when doc_id % 5 = 0 then element_at(array('superseded', 'learning_archived', 'learning_rejected', 'manual'), cast(doc_id % 4 + 1 as int)) end as invalidation_reason",
         "case when doc_id % 15 = 0 then doc_id + 1 end as superseded_by",
         "case when doc_id % 7 <> 0 then md5(text) end as content_hash",
         "timestamp '2024-08-01 00:00:00' + make_interval(0, 0, 0, cast(doc_id % 31 as int), 0, cast(doc_id % 1440 as int)) as last_accessed_at",
+        "case doc_id % 8 when 0 then concat('{\"learning\":{\"schema_version\":1,\"status\":\"', element_at(array('candidate', 'confirmed', 'rule', 'rejected', 'superseded', 'archived'), cast(doc_id % 6 + 1 as int)), '\"}}') when 1 then '{\"tags\":[\"Workflow_Rule\"]}' when 2 then '{\"kind\":\"preference\"}' when 3 then '{\"learning\":{\"status\":\"confirmed\"}}' when 4 then '{}' end as metadata",
     )
 
 
@@ -64,10 +65,11 @@ SQL = {
  timestamp '2024-01-01' + to_days(cast(doc_id % 300 as int)) as event_time,
  timestamp '2024-01-01' + to_days(cast(doc_id % 400 as int)) as valid_from,
  case when doc_id % 5 = 0 then timestamp '2024-01-01' + to_days(cast(doc_id % 400 + doc_id % 90 + 1 as int)) end as valid_until,
- case when doc_id % 5 = 0 then (['superseded','archived: capacity','rejected','manual'])[cast(doc_id % 4 + 1 as int)] end as invalidation_reason,
+ case when doc_id % 5 = 0 then (['superseded','learning_archived','learning_rejected','manual'])[cast(doc_id % 4 + 1 as int)] end as invalidation_reason,
  case when doc_id % 15 = 0 then doc_id + 1 end as superseded_by,
  case when doc_id % 7 <> 0 then md5(text) end as content_hash,
- timestamp '2024-08-01' + to_days(cast(doc_id % 31 as int)) + to_minutes(doc_id % 1440) as last_accessed_at
+ timestamp '2024-08-01' + to_days(cast(doc_id % 31 as int)) + to_minutes(doc_id % 1440) as last_accessed_at,
+ case doc_id % 8 when 0 then '{"learning":{"schema_version":1,"status":"' || (['candidate','confirmed','rule','rejected','superseded','archived'])[cast(doc_id % 6 + 1 as int)] || '"}}' when 1 then '{"tags":["Workflow_Rule"]}' when 2 then '{"kind":"preference"}' when 3 then '{"learning":{"status":"confirmed"}}' when 4 then '{}' end as metadata
  from documents)""",
     "records": """records as (select event_id as id, user_id, event_type, value, props, ts as valid_from,
  lead(ts) over (partition by user_id, event_type order by ts, event_id) as valid_until from events)""",

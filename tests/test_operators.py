@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 from quarry.functions import lifecycle as life, predicates as P, scoring, text
-from quarry.operators import corpus, evaluation, graph, joins, lifecycle, retrieve, store
+from quarry.operators import code_search, corpus, evaluation, graph, index, joins, lifecycle, retrieve, store
 from quarry.sources import files
 from quarry.streaming import streams
 
@@ -41,9 +41,9 @@ def test_decay_halves(spark):
 
 
 def test_path_rules(spark):
-    rows = ["src/a.rs", "node_modules/a.js", ".git/x.py", "a.min.js", "Cargo.lock", "lib/b.kt", "README.md"]
+    rows = ["src/a.rs", "node_modules/a.js", "x/.venv/x.py", ".git/x.py", "ios/Pods/p.swift", "a.min.js", "Cargo.lock", "lib/b.kt", "README.md", "a/.b.py", "a/Generated/c.rs", "a/b.d.ts", "run.zsh"]
     got = spark.createDataFrame([(r,) for r in rows], "p string").where(P.path_kept(F.col("p"))).collect()
-    assert [r.p for r in got] == ["src/a.rs", "lib/b.kt"]
+    assert [r.p for r in got] == ["src/a.rs", "lib/b.kt", "run.zsh"]
     with pytest.raises(ValueError):
         P.glob_regex("/abs/*.py")
 
@@ -135,9 +135,111 @@ def test_nearest_rank(spark):
 
 
 def test_lifecycle_states(spark):
-    df = spark.createDataFrame([(None, None, None), ("2024-01-01", "archived: x", None), ("2024-01-01", "x", "9"), ("2030-01-01", "rejected", None)], "u string, r string, s string")
-    got = df.select(life.lifecycle_state(F.to_timestamp("u"), F.col("r"), F.col("s"), F.to_timestamp(F.lit("2025-01-01"))).alias("x")).collect()
-    assert [g.x for g in got] == ["active", "archived", "superseded", "active"]
+    rows = [(None, None, None, None), ("2024-01-01", "learning_archived", None, None), ("2024-01-01", "x", "9", None), ("2030-01-01", "learning_rejected", None, None), ("2024-01-01", "superseded", None, None), ("2024-01-01", "manual", None, None), (None, None, None, '{"status":"candidate"}'), (None, None, None, '{"status":"rejected"}'), ("2024-01-01", "learning_rejected", "9", '{"status":"rule"}')]
+    df = spark.createDataFrame(rows, "u string, r string, s string, l string")
+    got = df.select(life.lifecycle_state(F.to_timestamp("u"), F.col("r"), F.col("s"), F.col("l")).alias("x")).collect()
+    assert [g.x for g in got] == ["active", "archived", "superseded", "rejected", "superseded", "invalidated", "candidate", "unknown", "rejected"]
+
+
+def test_effective_query(spark):
+    cases = [
+        ("plain  text", "plain text", "direct"), ("<system-reminder>a</system-reminder> TASK: one TASK: two", "TASK: two", "task_section"), ("<Work_Context>c</Work_Context> ask ", "ask", "post_work_context"),
+        ("<Work_Context>c</Work_Context> # TASK x", "# TASK x", "task_section"), ("a <Work_Context> c", "<Work_Context> c", "work_context"), ("<system-reminder x", "<system-reminder x", "prompt_context"), ("   ", "", "direct"),
+    ]
+    df = spark.createDataFrame([(c[0],) for c in cases], "t string")
+    got = [(r.x.query, r.x.origin) for r in df.select(text.effective_query(F.col("t")).alias("x")).collect()]
+    assert got == [c[1:] for c in cases]
+    long = one(spark, text.effective_query(F.col("t")), t="ab " * 3000)
+    assert len(long.query) == 4095 + 1 - (long.query[-1] == " ") and long.truncated and long.original_chars == 9000
+
+
+def test_pagerank_without_seeds(spark):
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("c", "a", 1.0)], "src string, dst string, weight double")
+    none = spark.createDataFrame([], "node string")
+    got = {r.node: r.score for r in graph.pagerank(e, none, dampen_hubs=False).collect()}
+    joined = {r.node: r.r for r in graph._joined_pagerank(e, none, 15, 0.5, None).collect()}
+    assert abs(sum(got.values()) - 1) < 1e-9 and got["a"] > got["b"] > got["c"] > 0 and all(abs(joined[n] - x) < 1e-12 for n, x in got.items())
+
+
+def test_components_unsettled(spark):
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)], "src long, dst long, weight double")
+    assert {r.component for r in graph.components(e).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        graph.components(e, rounds=1)
+
+
+def test_parents_in_pieces(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(f"k{i % 3}", i, a := r.randrange(300), a + r.randrange(120)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, id long, start long, end long")
+    want = set()
+    for k, i, a, z in rows:
+        before = sorted((x[2], -x[3], x[1]) for x in rows if x[0] == k and (x[2], -x[3], x[1]) < (a, -z, i) and x[3] >= z)
+        if before and (before[-1][0], -before[-1][1]) != (a, z):
+            want.add((k, i, before[-1][2]))
+    for spans in (7, 1 << 16):
+        assert {tuple(x) for x in joins.tightest_parent(df, "k", spans).collect()} == want
+
+
+def test_first_rows(spark):
+    df = spark.range(500).selectExpr("id", "id % 7 as a", "xxhash64(id) as b").repartition(5)
+    want = [r.id for r in df.orderBy("a", "b").collect()]
+    for n in (0, 1, 77, 499, 500, 900):
+        assert {r.id for r in store.first_rows(df, ["a", "b"], n, 60).collect()} == set(want[:n])
+
+
+def test_cosine_blocks(spark, monkeypatch):
+    """Sent queries and dealt blocks agree with a plain search; vectors without length or of another length are left out."""
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    vs = [(i, [round(float(x), 1) for x in g.normal(size=4)]) for i in range(90)] + [(90, [0.0] * 4), (91, None), (92, [1.0])]
+    v = spark.createDataFrame(vs, "id long, v array<float>").repartition(4)
+    q = spark.createDataFrame([(i, x) for i, x in vs if i % 5 == 0], "q_id long, qv array<float>")
+    want = {}
+    for i, x in vs[:90]:
+        if i % 5 == 0:
+            a = np.array(x, np.float32).astype(float)
+            sims = [(-round(float(a @ (b := np.array(y, np.float32).astype(float)) / np.sqrt(a @ a) / np.sqrt(b @ b)), 6), j) for j, y in vs[:90] if any(y)]
+            want[i] = [j for _, j in sorted(sims)[:6]]
+    for block, rows in ((4096, 100_000), (3, 20)):
+        monkeypatch.setattr(retrieve, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieve, "ROW_BLOCK", rows)
+        got = {}
+        for r in retrieve.cosine_topk(v, q, 6).orderBy("q_id", "rank").collect():
+            got.setdefault(r.q_id, []).append(r.id)
+        assert got == want
+
+
+def test_index_terms(spark):
+    """The index has the terms that the Column tokenizer has."""
+    texts = ["getHTTPServer2x fooBar foo_bar", "Éa ßZ 日本 x2Y", None, "", "plain plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    ix = index.build(df, "id", "t")
+    want = {(r.id, x): r.ts.count(x) for r in df.select("id", text.tokens(F.col("t")).alias("ts")).collect() for x in r.ts}
+    assert {(r.id, r.term): r.tf for r in ix.postings.collect()} == want and ix.stats.first()["n"] == 5
+
+
+def test_graph_channel(spark):
+    ordered = spark.createDataFrame([(q, i, r + 1) for q, ids in ((1, [5, 3, 9, 4]), (2, [8]), (3, [100])) for r, i in enumerate(ids)], "q_id int, id long, rank int")
+    edges = spark.createDataFrame([(5, 3, 1.0), (3, 4, 2.0), (4, 5, 1.0), (9, 5, 1.0), (5, 9, 3.0), (5, 77, 9.0), (8, 5, 1.0)], "src long, dst long, weight double")
+    got = {(r.q_id, r.id): r.score for r in retrieve.graph_channel(ordered, spark.range(50).withColumnRenamed("id", "node"), edges, seeds=2).collect()}
+    inner = edges.where("src in (3, 4, 5, 9) and dst in (3, 4, 5, 9)")
+    want = {r.node: r.score for r in graph.pagerank(inner, spark.createDataFrame([(5,), (3,)], "node long"), tolerance=1e-6).collect()}
+    assert set(got) == {(1, 5), (1, 3), (1, 9), (1, 4), (2, 8)} and all(abs(got[1, n] - x) < 1e-9 for n, x in want.items())
+
+
+def test_symbol_probes_and_exact(spark):
+    sym = spark.createDataFrame([(1, "parseQuery", "fn parseQuery()", "a.rs", 10, 20), (2, "query", None, "b.rs", 1, 3), (3, "other", "fn other(query)", "a.rs", 30, 40)], "id long, name string, signature string, file_path string, start_line long, end_line long")
+    chunks = spark.createDataFrame([(11, "a.rs", 12, 15), (12, "a.rs", 23, 28), (13, "b.rs", 2, 9), (14, "a.rs", 90, 95)], "id long, file_path string, start_line long, end_line long")
+    asked = spark.createDataFrame([(0, "parseQuery")], "q_id int, query string").select("q_id", "query", F.lower("query").alias("low"), text.identifier_tokens(F.col("query")).alias("terms"), F.lit(True).alias("codeish"))
+    seeds = code_search.probe_symbols(asked, sym)
+    assert {r.id for r in seeds.collect()} == {1, 2}
+    got = {r.id: round(r.exact, 4) for r in code_search.exact_channel(asked, seeds, sym, chunks, asked.select("q_id", F.lit(14).cast("long").alias("id")), None, code_search.Filters()).collect()}
+    top = min(4.0, 2.2 + 0.8 + 3 * 0.55 + 0.8) / 4
+    assert got[11] == round(top, 4) and got[12] == round(top * 0.35, 4) and 14 not in got
 
 
 def test_flush_by_size(spark, tmp_path):
