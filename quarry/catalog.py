@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import code, evaluation, graph, lifecycle, retrieval, stream, temporal
+from .plans import code, evaluation, graph, lifecycle, retrieval, stream, temporal, tools
 
-MODULES = (temporal, retrieval, graph, lifecycle, code, evaluation, stream)
+MODULES = (temporal, retrieval, graph, lifecycle, code, evaluation, stream, tools)
 
 
 def queries() -> dict:

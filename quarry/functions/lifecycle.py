@@ -91,9 +91,45 @@ def route_embedding(kind: Column, content: Column) -> Column:
 
 
 def with_observation_prefix(content: Column) -> Column:
+    """The trimmed content, as context unless it has a record prefix; null if it is blank."""
     from .text import PREFIXES
 
-    return F.when(content.rlike(rf"^\s*({'|'.join(PREFIXES)}):"), content).otherwise(F.concat(F.lit("CONTEXT: "), content))
+    body = F.regexp_replace(content, r"^\s+|\s+$", "")
+    return F.when(body == "", F.lit(None).cast("string")).when(body.rlike(rf"^({'|'.join(PREFIXES)}):"), body).otherwise(F.concat(F.lit("CONTEXT: "), body))
+
+
+def _object(metadata: Column) -> Column:
+    """A JSON object as map<string, variant>; any other value under ``source_metadata``; null as an empty map."""
+    plain = F.from_json(metadata, "map<string, variant>")
+    other = F.map_from_arrays(F.array(F.lit("source_metadata")), F.array(F.try_parse_json(metadata)))
+    return F.when(metadata.isNull(), F.from_json(F.lit("{}"), "map<string, variant>")).when(F.schema_of_variant(F.try_parse_json(metadata)).startswith("OBJECT"), plain).otherwise(other)
+
+
+def _with(entries: Column, name: str, value: Column) -> Column:
+    kept = F.map_filter(entries, lambda k, v: k != name)
+    return F.map_concat(kept, F.map_from_arrays(F.array(F.lit(name)), F.array(F.parse_json(F.to_json(value)))))
+
+
+def observation_metadata(metadata: Column, source: Column, event_type: Column, confidence: Column, redaction: Column) -> Column:
+    """The JSON metadata of an observation; confidence is kept within 0 and 1, a blank redaction state is unknown."""
+    state = F.coalesce(F.nullif(F.trim(redaction), F.lit("")), F.lit("unknown"))
+    seen = F.struct(
+        F.lit(1).alias("schema_version"), F.trim(source).alias("source"), F.trim(event_type).alias("event_type"), F.when(confidence.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))).alias("confidence"),
+        state.alias("redaction_state"), F.lit("memory_observation_create").alias("created_from"),
+    )
+    return F.to_json(_with(_object(metadata), "observation", seen))
+
+
+def import_metadata(metadata: Column, source_id: Column, imported_id: Column, target: str, origin: Column, strategy: str, at: Column) -> Column:
+    """The JSON metadata of an imported record: what an earlier import left is moved to ``source_migration``."""
+    m = _object(metadata)
+    old, older = F.try_element_at(m, F.lit("migration")), F.try_element_at(m, F.lit("source_migration"))
+    rest = F.map_filter(m, lambda k, v: ~k.isin("migration", "source_migration") | ((k == "source_migration") & old.isNull()))
+    both = F.parse_json(F.to_json(F.struct(old.alias("migration"), older.alias("source_migration"))))
+    moved = F.when(older.isNotNull(), both).otherwise(old)
+    held = F.when(old.isNull(), rest).otherwise(F.map_concat(rest, F.map_from_arrays(F.array(F.lit("source_migration")), F.array(moved))))
+    now = F.struct(F.lit(1).alias("schema_version"), source_id.alias("source_id"), imported_id.alias("imported_id"), F.lit(target).alias("target_project_id"), origin.alias("source_project_id"), at.alias("imported_at"), F.lit(strategy).alias("conflict_strategy"))
+    return F.to_json(_with(held, "migration", now))
 
 
 def learning_errors(metadata: Column) -> Column:

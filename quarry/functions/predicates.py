@@ -178,3 +178,9 @@ def language(path: Column, content: Column | None = None) -> Column:
 
 def protected(content: Column, importance: Column) -> Column:
     return content.rlike(r"^\s*(DECISION|PROJECT|USER):") | (importance >= 4.0)
+
+
+def destructive_guard(id: str | None = None, include_status: list[str] | None = None, **scope_values) -> None:
+    """Raise unless a deletion names an id, a scope (user_id, agent_id, run_id, namespace) or states."""
+    if not (id and id.strip()) and not include_status and all(v is None for v in scope_values.values()):
+        raise ValueError("a destructive operation needs an id, a scope or a status filter")

@@ -148,3 +148,29 @@ def progress(files_done: Column, files: Column, embedded: Column, chunks: Column
     share = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
     return F.round(share(files_done, files) * (0.70 + 0.30 * share(embedded, chunks)) * 100, 6)
 
+
+
+#: Larger files are recorded as failed, not read further.
+MAX_FILE_BYTES = 1_000_000
+
+
+def index_project(files: DataFrame, known: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One generation of a project from its files (file_path, language, content): ``files`` with what became of each,
+    ``chunks``, ``symbols``, ``references`` and ``relations`` between symbols.
+
+    Generated files are skipped and oversized ones fail; the others are chunked, and their symbols and references read in
+    the same job. ``known``: symbols (id, name, file_path) of earlier generations."""
+    from ..functions.predicates import generated_header
+    from ..functions.text import symbol_id
+    from .joins import resolve_relations
+
+    state = F.when(generated_header(F.col("content")), "skipped").when(F.octet_length("content") > MAX_FILE_BYTES, "failed").otherwise("indexed")
+    marked = files.withColumn("state", state)
+    good = marked.where("state = 'indexed'").select("file_path", "language", "content")
+    chunks = structural_chunks(good, "file_path", "content").withColumnRenamed("id", "file_path")
+    symbols = extract_symbols(good).withColumn("id", symbol_id(F.lit("project"), F.col("file_path"), F.col("name"), F.col("start_line").cast("string")))
+    refs = extract_references(good, symbols)
+    refs = refs.withColumn("ref_id", F.xxhash64("file_path", "line_number", "relation_type", "to_name", "owner")).withColumn("name", F.col("to_name"))
+    fresh = symbols.select("id", "name", "file_path")
+    relations = resolve_relations(refs.select("ref_id", "name", "file_path").distinct(), fresh, fresh.limit(0) if known is None else known)
+    return {"files": marked.select("file_path", "state"), "chunks": chunks, "symbols": symbols, "references": refs, "relations": relations}

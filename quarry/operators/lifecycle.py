@@ -69,6 +69,21 @@ def audit(mem: DataFrame, as_of: Column, days: int) -> DataFrame:
     )
 
 
+def status(mem: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """(reason, count, total, valid, invalidated, purge_eligible): a row for each reason of a closed record, or one."""
+    view = retention_view(mem, as_of, days).where("eligible").agg(F.count("*").alias("purge_eligible"))
+    live = F.col("valid_until").isNull() | (F.col("valid_until") > as_of)
+    totals = mem.agg(F.count("*").alias("total"), F.count_if(live).alias("valid"), F.count_if(F.col("valid_until").isNotNull()).alias("invalidated"))
+    reasons = mem.where("valid_until is not null").groupBy(F.col("invalidation_reason").alias("reason")).agg(F.count("*").alias("count"))
+    # totals are one row each
+    return totals.crossJoin(F.broadcast(view)).join(reasons, F.lit(True), "left").select("reason", "count", "total", "valid", "invalidated", "purge_eligible")
+
+
+def readiness(statuses: DataFrame) -> DataFrame:
+    """(known_projects, ready_projects) of (project_id, status)."""
+    return statuses.agg(F.count("*").alias("known_projects"), F.count_if(F.col("status") == "completed").alias("ready_projects"))
+
+
 def budgeted(rows: DataFrame, group: str, order: list[str], tokens: str, budget: int, limit: int, key: str = "id") -> DataFrame:
     """(group, id, tokens): in order, rows that still fit the budget; one that doesn't is skipped; at most ``limit``.
 

@@ -45,6 +45,15 @@ def tf_search(docs: DataFrame, query: str, limit: int, id_col: str, text_col: st
     return hit.select(F.col(id_col).alias("id"), F.round(text.term_frequency(F.col(text_col), words), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def phrase_search(docs: DataFrame, query: str, limit: int, id_col: str, text_col: str) -> DataFrame:
+    """Documents that hold the whole query, whatever the case, by its occurrences per byte."""
+    low = F.lower(F.col(text_col))
+    hits = (F.char_length(low) - F.char_length(F.replace(low, F.lit(query.lower()), F.lit("")))) / len(query)
+    score = F.greatest(F.lit(0.01), F.least(F.lit(1.0), hits / (F.octet_length(low) + 1) * 1000))
+    found = docs.where(F.contains(low, F.lit(query.lower()))).select(F.col(id_col).alias("id"), F.round(score, 6).alias("score"))
+    return found.orderBy(F.desc("score"), "id").limit(limit)
+
+
 #: Queries and rows of a block of a vector search.
 QUERY_BLOCK, ROW_BLOCK = 4096, 100_000
 

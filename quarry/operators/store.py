@@ -73,6 +73,32 @@ def conditional_counts(df: DataFrame, by: list[str], **conditions: Column) -> Da
     return df.groupBy(*by).agg(F.count("*").alias("total"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
 
 
+def insert(base: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """``base`` and new records (id, content, memory_type, importance_score, scopes): typed, hashed and stamped; a missing
+    type is semantic, a missing importance 1, others are kept within 0.1 and 5. An unknown type is an error of the job."""
+    kind = F.lower(F.trim("memory_type"))
+    known = F.when(F.col("memory_type").isNull(), "semantic").when(kind.isin("episodic", "semantic", "procedural"), kind).otherwise(F.raise_error(F.concat(F.lit("unknown memory type: "), F.col("memory_type"))).cast("string"))
+    row = new.withColumns({
+        "memory_type": known, "importance_score": F.when(F.col("importance_score").isNull(), 1.0).otherwise(F.greatest(F.lit(0.1), F.least(F.lit(5.0), "importance_score"))), "content_hash": text.content_hash(F.col("content")),
+        "embedding_state": F.lit("pending"), "event_time": now, "ingestion_time": now, "valid_from": now,
+    })
+    return base.unionByName(row.select(*[c for c in base.columns if c in row.columns]), allowMissingColumns=True)
+
+
+def stale_embeddings(rows: DataFrame) -> DataFrame:
+    """Records whose vector is stale or missing, without the vectors."""
+    return without_vectors(rows.where((F.col("embedding_state") == "stale") | F.col("embedding").isNull()))
+
+
+def without_vectors(rows: DataFrame) -> DataFrame:
+    return rows.drop("embedding")
+
+
+def reset(rows: DataFrame, project: str, column: str = "project_id") -> DataFrame:
+    """Everything but one project's rows; rows of no project stay."""
+    return rows.where(~F.col(column).eqNullSafe(F.lit(project)))
+
+
 # ---------------------------------------------------------------- JSONL
 
 

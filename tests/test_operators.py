@@ -242,6 +242,28 @@ def test_symbol_probes_and_exact(spark):
     assert got[11] == round(top, 4) and got[12] == round(top * 0.35, 4) and 14 not in got
 
 
+def test_destructive_guard():
+    P.destructive_guard(id="7")
+    P.destructive_guard(namespace="n", user_id=None)
+    P.destructive_guard(include_status=["rejected"])
+    for bad in ({}, {"id": " "}, {"namespace": None}, {"include_status": []}):
+        with pytest.raises(ValueError):
+            P.destructive_guard(**bad)
+
+
+def test_unknown_memory_type(spark):
+    base = spark.createDataFrame([(1, "a", "semantic", 1.0)], "id long, content string, memory_type string, importance_score double")
+    new = spark.createDataFrame([(2, "b", "odd", None)], base.schema)
+    with pytest.raises(Exception, match="unknown memory type"):
+        store.insert(base, new, F.current_timestamp()).collect()
+
+
+def test_observation_without_confidence(spark):
+    df = spark.createDataFrame([(None, None), ('{"x":[1]}', 7.0)], "m string, c double")
+    got = [json.loads(r.o) for r in df.select(life.observation_metadata(F.col("m"), F.lit("s"), F.lit("e"), F.col("c"), F.lit(None).cast("string")).alias("o")).collect()]
+    assert got[0]["observation"].get("confidence") is None and got[1]["observation"]["confidence"] == 1.0 and got[1]["x"] == [1] and got[0]["observation"]["redaction_state"] == "unknown"
+
+
 def test_flush_by_size(spark, tmp_path):
     rows = spark.createDataFrame([("p", f"f{i}", i) for i in range(5)] + [("q", "z", 1)], "project string, path string, seq long")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
