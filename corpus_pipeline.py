@@ -1,4 +1,10 @@
-"""The corpus pipeline: language ID, near-duplicate join, decontamination, secret scan, packing."""
+"""The corpus pipeline: language ID, near-duplicate join, decontamination, secret scan, packing.
+
+Every stage takes any rows: null or empty texts go in the first stage, and where a later one meets them they are kept and
+packed as an end id; repeated rows are rows each, but of a group of near duplicates (rows with one doc_id count as one
+document) the document with the smallest doc_id stays, with all its rows. Rows with a null doc_id are never dropped by id.
+Extra columns pass through to the last stage. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +14,10 @@ from quarry.llm import decontam, langid, packing, secretscan, simjoin
 from quarry.llm._common import bounded, stored
 
 
+#: Shorter benchmark items are no evidence against a document.
+EVIDENCE = decontam.SHORT
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` whose doc_id is not in ``ids(gone)``; rows with a null doc_id stay."""
     ids = stored(ids.distinct(), "pipeline-gone")
@@ -26,9 +36,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item of ``EVIDENCE`` words or more go; those with a null doc_id are joined with
+    no decision and stay."""
     leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, leaks.select(F.col("doc_id").cast("long").alias("gone")))
+    return _without(docs, leaks.where(F.col("item_words") >= EVIDENCE).select(F.col("doc_id").cast("long").alias("gone")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
