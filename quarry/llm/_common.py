@@ -2,49 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_OWN: dict[int, str] = {}
-
-
-def workspace(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = _OWN.setdefault(id(spark.sparkContext), "file://" + tempfile.mkdtemp(prefix="quarry-"))
-    return base.rstrip("/")
+from ..workspace import discard, fresh_path, stored  # noqa: F401
 
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{workspace(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+def partitions_for(spark: SparkSession, rows: int, per_task: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // per_task), 1)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quarry_path = path
-    return out
+def tidy(run):
+    """``run`` over a task's batches, after which the worker gives freed memory back: it may idle beside other stages."""
 
+    def tidied(batches):
+        import ctypes
 
-def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that no later plan reads."""
-    for t in tables:
-        path = getattr(t, "_quarry_path", None)
-        if path:
-            jvm = t.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        import pyarrow as pa
 
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
-def partitions_for(spark: SparkSession, rows: int, per_task: int) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // per_task), 1)
+    return tidied
 
 
 #: Rows of a narrow table that may be broadcast: a few dozen bytes each, so some MB.

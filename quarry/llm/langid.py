@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import U
+from ._common import U, tidy
 
 #: At most about this many documents of each language are learned from (chosen by a hash of their id).
 FIT_DOCS_PER_LANG = 3000
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             k = np.flatnonzero(acc)
             yield pa.RecordBatch.from_arrays([pa.array([g] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(acc[k])], ["g", "k", "c"])
 
-    got = sample.mapInArrow(count, "g string, k int, c long").groupBy("g", "k").agg(F.sum("c").alias("c")).toPandas()
+    got = sample.mapInArrow(tidy(count), "g string, k int, c long").groupBy("g", "k").agg(F.sum("c").alias("c")).toPandas()
     table = np.full((BUCKETS, len(langs)), 0.5)
     table[got["k"].to_numpy(), got["g"].map({g: x for x, g in enumerate(langs)}).to_numpy()] += got["c"].to_numpy()
     logp = np.log(table / table.sum(0)).astype(np.float32)
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                     pred[i] = m.langs[k]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred), pa.array(conf)], ["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(score), f"doc_id {kind}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, fold: bool = True) -> DataFrame:

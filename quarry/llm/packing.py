@@ -20,7 +20,7 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import U, mix, stored, word_hashes
+from ._common import U, mix, stored, tidy, word_hashes
 from .tokens import encoder, vocabulary_path
 
 LENGTH = 4096
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, vocab: str | None = None, end_id: int = 2, length: int
                 raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(o), pa.array(size), raw], ["doc_id", "o", "n", "ids"])
 
-    made = stored(rows.mapInArrow(tokenise, "doc_id long, o long, n long, ids binary"), "pack-tokens")
+    made = stored(rows.mapInArrow(tidy(tokenise), "doc_id long, o long, n long, ids binary"), "pack-tokens")
     total = made.agg(F.sum("n")).first()[0] or 0
     parts = min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // per_range)))
     cuts = made.agg(F.percentile_approx("o", [x / parts for x in range(1, parts)] or [0.5], max(10_000, 16 * parts)).alias("q")).first()["q"] or []
@@ -174,4 +174,4 @@ def pack(docs: DataFrame, vocab: str | None = None, end_id: int = 2, length: int
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *map(pa.array, cols)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     laid = placed.select("doc_id", "rng", "n", "ids", "o").repartitionById(len(borders) + 1, F.col("rng")).sortWithinPartitions("rng", "o", "doc_id", "ids")
-    return laid.select("doc_id", "rng", "n", "ids").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return laid.select("doc_id", "rng", "n", "ids").mapInArrow(tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import U, bounded, components, connected_components, mix, mix_int, partitions_for, shingles, stored, word_hashes
+from ._common import U, bounded, components, connected_components, mix, mix_int, partitions_for, shingles, stored, tidy, word_hashes
 
 BITS = 1024
 LEAF, FAN = 32, 8
@@ -214,7 +214,7 @@ def key_groups(docs: DataFrame, w: int, num: int, den: int, buckets: int, most:
         at = np.arange(n.sum()) + np.repeat(start[one] - (np.cumsum(n) - n), n)
         return pa.table({"comp": pa.array(np.repeat(name[one].astype(np.int64), n)), "rep": pa.array(ids[at])})
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "comp long, rep long").distinct()
+    return docs.where("doc_id is not null").select("text").mapInArrow(tidy(run), "bucket int, blob binary").groupBy("bucket").applyInArrow(meet, "comp long, rep long").distinct()
 
 
 # ---------------------------------------------------------------- signature trees
@@ -428,7 +428,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         raise ValueError("a similarity below one half")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    feats = stored(docs.mapInArrow(_features(words), "doc_id long, n long, h1 long, h2 long, sig binary"), f"{name}-sets")
+    feats = stored(docs.mapInArrow(tidy(_features(words)), "doc_id long, n long, h1 long, h2 long, sig binary"), f"{name}-sets")
     total = feats.agg(F.sum("n")).first()[0] or 0
     buckets = partitions_for(spark, int(total * max(0.2, 2.5 * (den - num) / (den + num))), 1 << 20)
     sets = feats.where("n > 0 and doc_id is not null")

@@ -18,7 +18,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import LOWER, U, fresh_path, partitions_for, pieces_of, span_hashes, text_buffers
+from ._common import LOWER, U, fresh_path, partitions_for, pieces_of, span_hashes, text_buffers, tidy
 
 _RUN = 1 << 20
 _SLOTS = 1 << 21
@@ -318,7 +318,7 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str, end_id: int, per
             _put(folder, f"{name}.doc", attempt, [k.tobytes() for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([len(lens)]), pa.array([int(off[-1])]), pa.array([enc.dtype.str])], ["part", "docs", "ids", "dtype"])
 
-    got = sorted(rows.mapInArrow(write, "part int, docs long, ids long, dtype string").collect())  # a row a part
+    got = sorted(rows.mapInArrow(tidy(write), "part int, docs long, ids long, dtype string").collect())  # a row a part
     bases, at, row = [], 0, 0
     for r in got:
         bases.append({"part": r["part"], "docs": r["docs"], "ids": r["ids"], "base": at, "row": row, "dtype": r["dtype"]})
