@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from quarry.llm import packing, passages, queries, secretscan, sharding, simjoin, tokens, urlfilter
+from quarry.llm import decontam, packing, passages, queries, secretscan, sharding, simjoin, tokens, urlfilter
 
 Q = queries.queries()
 
@@ -70,9 +70,13 @@ def test_op3(spark, sf, docs, w, num):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in df.collect()} == {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_op3_blocks(spark, prose, monkeypatch):
+@pytest.mark.parametrize("leaf", [4, 32])
+def test_op3_blocks(spark, prose, monkeypatch, leaf):
     """A group of several blocks: chains whose ends are not alike, and sets that link only across blocks."""
     monkeypatch.setattr(simjoin, "BLOCK_SETS", 8)
+    monkeypatch.setattr(simjoin, "BLOCK_SIGNATURES", 8)
+    monkeypatch.setattr(simjoin, "LEAF", leaf)
+    monkeypatch.setattr(simjoin, "FEW", 1 if leaf < 32 else 4)
     import random
 
     r, base, rows = random.Random(5), words(prose(3, 200)), []
@@ -151,13 +155,23 @@ def test_op5(spark, sf, ids):
     assert sorted(map(tuple, Q["op5_token_files"](spark, sf).collect())) == want
 
 
-def test_encoder_on_odd_text():
+def test_encoder_on_odd_text(monkeypatch):
     from tokenizers import Tokenizer
 
     tok, enc = Tokenizer.from_file(tokens.vocabulary_path()), tokens.Encoder(tokens.vocabulary_path())
     texts = ["It's DON'T we'll. a.b, x., ... <|endoftext|> <|startoftext|>x", "É é ＡＢ ﬁ ß İI Σας ΣΑΣ.", "a​b c d　e\x1cf\x85g", "日本語、テキスト。 🙂👩‍👩‍👧 १२३ ½", "\t\n  ", "", "#a @b 3.14 10,000. 'tis o'clock,", "İ, ŉ. ẞ, ǅ."]
     tok.encode_special_tokens = True
-    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    import random
+
+    r = random.Random(1)
+    texts += ["".join(r.choice("aA bB \n\t.,'’sS3é9É-_ ß語　 ́ﬁ(\")İΣς🙂\x1c\u200b\x85¤×÷") for _ in range(r.randrange(300))) for _ in range(600)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    same = lambda: [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want
+    assert same() and same()
+    # small buffers, and a table that is emptied again and again
+    monkeypatch.setattr(tokens, "_RUN", 64)
+    enc.table = tokens.PieceTable(16, enc.dtype)
+    assert same()
 
 
 def test_op6_exact_repeats(spark, sf, docs):
@@ -298,7 +312,8 @@ def test_op6_one_changed_word(prose):
             for side, text in enumerate((w, v)):
                 around = [f"around{side}x{i}" for i in range(30)]
                 text = pa.array([" ".join(around + text + around[::-1])])
-                blobs.append(next(passages._regions([pa.record_batch([text, pa.array([side]), pa.array([0]), pa.array([side]), pa.array([0]), pa.array([n + 55])], names=list("tdpsaz"))])).column(4))
+                on = pa.array([[{"a": 0, "z": n + 55}]])
+                blobs.append(next(passages._regions([pa.record_batch([text, pa.array([side]), on], names=list("tdo"))])).column(2))
             one = pa.record_batch([pa.array([1]), pa.array([2]), pa.array([0]), pa.array([0]), *blobs], names=["x", "p", "xa", "pa", "xw", "pw"])
             got = next(passages._verify([one]))
             # nearer to an end than a shingle, the changed word may be left out if 50 equal words remain
@@ -357,3 +372,164 @@ def test_op2_literals(spark):
         df = spark.createDataFrame(list(enumerate(urls + more)), "page_id long, url string")
         got = {q.page_id: q.pattern_rule for q in urlfilter.judge(df).collect()}
         assert got == {i: min([r.name for r in urlfilter.PATTERN_RULES if re.search(r.pattern, u)], default=None) for i, u in enumerate(urls + more)}
+
+
+def test_op1_naive_bayes(spark, prose, monkeypatch):
+    """Predictions and scores against naive Bayes in plain Python, with texts cut into many pieces."""
+    import math
+
+    from quarry.llm import langid
+
+    monkeypatch.setattr(langid, "_PIECE", 7)
+    rows = [(i, prose(i, 4 + i % 5) + (" Über 12 ß" if i % 3 else " 日本 x"), "ab"[i % 2] if i < 30 else None) for i in range(40)]
+    rows = [(i, t if i % 2 else t.upper() + " zzz", g) for i, t, g in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(t):
+        c = [1 if o <= 64 or 91 <= o <= 96 or 123 <= o <= 191 else o for o in map(ord, t.lower())]
+        c = [x for i, x in enumerate(c) if not i or x != 1 or c[i - 1] != 1]
+        out = collections.Counter()
+        for n in (1, 2, 3):
+            for i in range(len(c) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 0x9E3779B97F4A7C15 + c[i + k] + k + 1) % 2**64
+                out[h * 0xD6E8FEB86659FD93 % 2**64 >> 48] += 1
+        return out
+
+    total = {g: sum((grams(t) for _, t, x in rows if x == g), collections.Counter()) for g in "ab"}
+    size = {g: sum(c.values()) + 0.5 * langid.BUCKETS for g, c in total.items()}
+    for r in langid.predict(df, langid.fit(df)).collect():
+        c = grams(rows[r.doc_id][1])
+        n = sum(c.values())
+        z = {g: (sum(k * math.log((total[g][b] + 0.5) / size[g]) for b, k in c.items()) - math.log(2)) * min(1, langid.TEMPER * 3 / n) for g in "ab"}
+        best = max("ab", key=lambda g: z[g])
+        assert r.lang_pred == best and abs(r.score - 1 / sum(math.exp(v - z[best]) for v in z.values())) < 1e-4
+
+
+def test_op3_long_words(spark):
+    """Words beyond the buffers' bound are whole words."""
+    rows = [(1, "x" * 5_000_000), (2, "X" * 5_000_000), (3, "x" * 4_999_999 + "y"), (4, "a " + "x" * 3_000_000 + " b c"), (5, None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in simjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (2, 4), 5: (0, 5)}
+
+
+def test_op7_masks_leave_no_gap():
+    import itertools
+
+    for n in range(5, decontam.WINDOW + 1):
+        gone = n - -(-4 * n // 5)
+        fits = [{k + x for x, c in enumerate(m) if c == "1"} for m in decontam.masks_for(n) for k in range(n - len(m) + 1)]
+        assert all(any(not f & set(out) for f in fits) for out in itertools.combinations(range(n), gone)), n
+
+
+def brute_leaks(docs, items):
+    word = r"[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]|[^\W_\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]+"
+    out = set()
+    for i, t in docs:
+        d = re.findall(word, (t or "").lower())
+        for k, x in items:
+            b = re.findall(word, (x or "").lower())
+            w = min(20, len(b))
+            for g in range(-len(b), len(d)):
+                same = [0 <= g + j < len(d) and d[g + j] == b[j] for j in range(len(b))]
+                if b and max(sum(same[j : j + w]) for j in range(len(b) - w + 1)) >= -(-4 * w // 5):
+                    out.add((i, k))
+    return out
+
+
+def test_op7_brute_force(spark, prose, monkeypatch):
+    """All lengths of items, with as many words replaced as the share allows and one more; broadcast and shuffled."""
+    import random
+
+    r = random.Random(4)
+    items = [(n, prose(500 + n, n)) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 15, 17, 19, 20, 21, 33)] + [(100, "日本語の文章です。漢字"), (101, "  "), (102, None)]
+    docs = []
+    for n, t in items[:-3]:
+        for k in range(14):
+            w, gone = t.split(), n // 5 + k // 10
+            for x in r.sample(range(n), min(n, gone)):
+                w[x] = "replaced"
+            docs.append((len(docs), " ".join([prose(len(docs), r.randrange(12)), *w, prose(900 + len(docs), r.randrange(12))])))
+    docs += [(5000, "前文。日本語の文章です、漢字！後"), (5001, "日本語の文章だす漢字"), (5002, None), (None, items[9][1]), (5003, items[12][1].replace(" ", "  -- ").upper())]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(docs, items)
+    assert {(q.doc_id, q.item_id) for q in decontam.find_leaks(d, b).collect()} == want and len(want) > 150
+    monkeypatch.setattr(decontam, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(decontam, "STRETCH", 3)
+    assert {(q.doc_id, q.item_id) for q in decontam.find_leaks(d, b).collect()} == want
+
+
+def test_op3_shared_passage(spark, prose):
+    """Texts of many lengths that share a passage and are not alike stay apart; copies with few changes do not."""
+    import random
+
+    r, passage, rows = random.Random(7), prose(70, 60), []
+    for i in range(150):
+        own = prose(100 + i, r.randrange(20, 400))
+        rows.append((2 * i, own + " " + passage))
+        w = rows[-1][1].split()
+        for _ in range(r.randrange(1 + len(w) // 60)):
+            w[r.randrange(len(w))] = "changed"
+        rows.append((2 * i + 1, " ".join(w)))
+    sets = {i: frozenset(tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)) for i, t in rows}
+    got = {x.doc_id: x.component_id for x in simjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id"), 5, 80).collect()}
+    link = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert got == {i: min(i, i ^ 1) if link(i, i ^ 1) else i for i in sets}
+    assert not any(link(a, b) for a in sets for b in sets if a // 2 < b // 2)
+
+
+def test_components_by_rounds(spark, monkeypatch):
+    """The forest of one task and the rounds over all tasks agree."""
+    import random
+
+    from quarry.llm import _common
+
+    r = random.Random(9)
+    links = [(i, i + 1) for i in range(60)] + [(r.randrange(100, 400), r.randrange(100, 400)) for _ in range(200)] + [(500, k) for k in range(501, 560)] + [(7, 7), (None, 3)]
+    df = spark.createDataFrame(links, "u long, v long").repartition(5)
+    one = sorted(map(tuple, _common.connected_components(df, "one").collect()))
+    monkeypatch.setattr(_common, "ONE_TASK_LINKS", 0)
+    many = sorted(set(map(tuple, _common.connected_components(df, "many").collect())))
+    assert many == one and dict(one)[60] == 0 and dict(one)[559] == 500
+
+
+def test_op6_part_held_by_an_earlier_document(spark, prose):
+    """Pairs that share 50 or 60 words, part of which a document with a smaller id holds too: all are found."""
+    import random
+
+    r, rows, pairs = random.Random(11), [], []
+    for n in range(120):
+        long = 50 + 10 * (n % 2)
+        shared = " ".join(f"{w}{n}" for w in prose(n, long).split())
+        held = " ".join(shared.split()[: (30, 40, 45)[n % 3]])
+        for d, body in ((3 * n, held), (3 * n + 1, shared), (3 * n + 2, shared)):
+            rows.append((d, f"{prose(9000 + d, r.randrange(10, 70))} {body} {prose(20000 + d, r.randrange(10, 70))}"))
+        pairs.append((3 * n + 1, 3 * n + 2))
+    got = {(q.doc_id, q.match_doc_id) for q in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")).collect()}
+    assert not [p for p in pairs if p not in got]
+
+
+def test_op6_recall_of_near_passages(spark, prose):
+    """Passages of 50 to 120 words with words replaced at random, as many as similarity 0.8 allows: nine of ten or more
+    are found, also where an earlier document holds lines of them."""
+    import random
+
+    r, rows, pairs = random.Random(12), [], []
+    for n in range(150):
+        w = [f"{x}{n}" for x in prose(n, r.randrange(50, 121)).split()]
+        v = list(w)
+        sets = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+        while True:
+            z = list(v)
+            z[r.randrange(5, len(w) - 5)] = f"new{r.random()}"
+            if len(sets(w) & sets(z)) < 0.8 * len(sets(w) | sets(z)):
+                break
+            v = z
+        around = lambda d, x: f"{prose(9000 + d, r.randrange(10, 70))} {' '.join(x)} {prose(20000 + d, r.randrange(10, 70))}"
+        at = r.randrange(len(w) - 20)
+        rows += [(3 * n, around(3 * n, w[at : at + 20])), (3 * n + 1, around(3 * n + 1, w)), (3 * n + 2, around(3 * n + 2, v))]
+        pairs.append((3 * n + 1, 3 * n + 2))
+    got = {(q.doc_id, q.match_doc_id) for q in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")).collect()}
+    found = sum(p in got for p in pairs) / len(pairs)
+    assert found >= 0.9, found

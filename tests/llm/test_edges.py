@@ -34,7 +34,7 @@ def test_empty(empty, name):
 def test_leaks_odd(spark, odd, empty, prose):
     b = spark.createDataFrame([(1, prose(1, 300), 1, "k"), (2, None, 1, "k"), (None, "", 1, "k"), (3, "few words", 1, "k"), (4, "one", 1, "k")], BENCH)
     got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(odd, b).collect()}
-    assert got == {(1, 1), (2, 1), (10, 1), (None, 1)}
+    assert got == {(1, 1), (2, 1), (10, 1), (None, 1), (6, 4)}
     assert decontam.find_leaks(empty, b).count() == 0 and decontam.find_leaks(odd, b.where("1 = 0")).count() == 0
 
 
