@@ -73,10 +73,10 @@ def encode(s: Column) -> Column:
 MAX_BUCKETS = 4096
 
 
-def next_by_id(rows: DataFrame, carry: list[str], per_bucket: int = 5_000) -> DataFrame:
+def next_by_id(rows: DataFrame, carry: list[str], per_bucket: int = 5_000, prepare=lambda rows: rows) -> DataFrame:
     """Add ``next_<c>`` for each of ``carry``: the values of the row after it in descending doc_id, the first after the last.
 
-    ``rows``: doc_id long, text, and more. Rows are dealt to buckets of doc_id by quantiles and ordered within each; a
+    ``rows``: doc_id long, text, and more; ``prepare`` adds columns to each row, once, after the buckets are known. Rows are dealt to buckets of doc_id by quantiles and ordered within each; a
     bucket also gets a copy of the first row of the bucket that follows, so no row looks beyond its own bucket.
     """
     n = rows.count()
@@ -88,13 +88,15 @@ def next_by_id(rows: DataFrame, carry: list[str], per_bucket: int = 5_000) -> Da
     top = stored(rows.groupBy("_b").agg(F.max("doc_id").alias("top")), "fingerprint-tops")
     present = sorted(r["_b"] for r in top.collect())  # as many as buckets
     if not present:
+        rows = prepare(rows)
         return rows.select(*[c for c in rows.columns if c not in ("_b", "_copy")], *[F.col(c).alias(f"next_{c}") for c in carry])
     before = F.create_map(*[x for i, b in enumerate(present) for x in (F.lit(b), F.lit(present[i - 1]))])
     others = [c for c in rows.columns if c not in ("_b", "_copy")]
     firsts = rows.join(top.withColumnRenamed("_b", "_t"), (F.col("_b") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("top")))
     firsts = firsts.groupBy("_b").agg(F.min(F.struct("text", *[c for c in others if c != "text"])).alias("f"))
     copies = firsts.select(*[F.col("f")[c].alias(c) for c in others], before[F.col("_b")].alias("_b"), F.lit(True).alias("_copy"))
-    every = rows.unionByName(copies)
+    every = prepare(rows.unionByName(copies))
+    others = [c for c in every.columns if c not in ("_b", "_copy")]
     over = "partition by _b order by _copy, doc_id desc nulls last, text asc nulls first"
     step = every.selectExpr("*", f"lead(struct({', '.join(carry)})) over ({over}) as _next").where("not _copy")
     return step.select(*others, *[F.col("_next")[c].alias(f"next_{c}") for c in carry])
@@ -103,8 +105,7 @@ def next_by_id(rows: DataFrame, carry: list[str], per_bucket: int = 5_000) -> Da
 def edited_likeness(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
     """Fingerprint each text and the text whose last third is replaced by the start of the next document's."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", sketch(F.col("text"), words, k).alias("s"))
-    near = next_by_id(rows, ["text", "s"])
+    near = next_by_id(rows, ["text", "s"], prepare=lambda r: r.withColumn("s", sketch(F.col("text"), words, k)))
     near = near.withColumn("n_chars", F.char_length("text").cast("long"))
     near = near.withColumn("edited", F.expr("concat(left(text, int(n_chars - floor(n_chars / 3))), left(next_text, int(floor(n_chars / 3))))"))
     near = near.select("doc_id", "n_chars", "s", "next_s", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited"), words, k).alias("e"))
