@@ -1,12 +1,12 @@
 """DuckDB SQL for the contract queries that SQL can express on whole tables.
 
 Left out: op1 (a fitted classifier), op4 (its hash), op5 and op9 (a tokenizer library), op6 and op7 (verification over
-aligned regions) and op10 (random draws); tests hold these against brute force.
+aligned regions), op10 (random draws) and op12 (hashed order of blocks); tests hold these against brute force.
 """
 
 from __future__ import annotations
 
-from . import secretscan, urlfilter
+from . import codebooks, secretscan, urlfilter
 
 
 def _text(s: str) -> str:
@@ -53,4 +53,36 @@ def _secret_scans() -> str:
  select d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) as n_{r.kind}' for r in secretscan.BASE_RULES)}, sha256(coalesce(b, '')) as base_sha256, coalesce(a, '') as spans from d left join g using (doc_id)"""
 
 
-ORACLES: dict[str, str] = {"op2_url_filters": _url_filters(), "op3_ngram_jaccard_join": _JACCARD, "op8_secret_scans": _secret_scans()}
+def _filter_audit() -> str:
+    """Every order and step by counting documents over the flags, without survivors of subsets."""
+    failing = "(case when a then 1 else 0 end + case when b then 2 else 0 end + case when c then 4 else 0 end + case when d then 8 else 0 end + case when e then 16 else 0 end)"
+    return rf"""with x as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as x from documents), w as (select *, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda v: v <> '') as w from x),
+ f as (select doc_id, part, len(w) < 200 as a, 100 * len(list_distinct(w)) < 50 * len(w) as b, 100 * length(regexp_replace(x, '[^A-Z]+', '', 'g')) > 2 * length(x) as c, regexp_matches(x, '[#$%&*|]') as d, doc_id > min(doc_id) over (partition by x) as e from w),
+ l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+ m as (select part, {failing} as m, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from f left join l using (doc_id) group by 1, 2),
+ i as (select unnest(range(5)) as i), o as (select a.i as a, b.i as b, c.i as c, d.i as d, e.i as e from i a, i b, i c, i d, i e where a.i not in (b.i, c.i, d.i, e.i) and b.i not in (c.i, d.i, e.i) and c.i not in (d.i, e.i) and d.i <> e.i),
+ s as (select 'ABCDE'[a + 1] || 'ABCDE'[b + 1] || 'ABCDE'[c + 1] || 'ABCDE'[d + 1] || 'ABCDE'[e + 1] as filter_order, k as step, [a, b, c, d, e][k] as f, [0, 1 << a, (1 << a) + (1 << b), (1 << a) + (1 << b) + (1 << c), 31 - (1 << e)][k] as before from o, (select unnest(range(1, 6)) as k)),
+ t as (select part, filter_order, step, f, sum(case when m & (before | (1 << f)) = 0 then n else 0 end) as kept, sum(case when m & before = 0 and m & (1 << f) > 0 then n else 0 end) as removed, sum(case when m & before > 0 and m & (1 << f) > 0 then n else 0 end) as redundant,
+  sum(case when m = 1 << f then n else 0 end) as unique_fails, sum(case when m & before = 0 and m & (1 << f) > 0 then good else 0 end) as good_lost, sum(case when m & before = 0 and m & (1 << f) > 0 then toxic else 0 end) as toxic_lost from m, s group by 1, 2, 3, 4)
+ select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley from t"""
+
+
+def _vector_codes() -> str:
+    """The rounds one after the other, a table of entries each."""
+    width = "len(v) // 8"
+    q = f"""with recursive k as (select vec_id, label, list_transform(embedding, lambda x: cast(floor({codebooks.SCALE} * cast(x as double)) as bigint)) as v, row_number() over () as r from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ p as (select r, p, list_slice(v, p * ({width}) + 1, (p + 1) * ({width})) as x from k, (select unnest(range(8)) as p)),
+ b0 as (select p, e, x from (select r, row_number() over (order by vec_id, v) - 1 as e from k where vec_id is not null) join p using (r) where e < {codebooks.ENTRIES})"""
+    near = "select r, p, arg_min(e, d * 256 + e) as e, min(d) as d from (select r, p.p, e, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from p join {0} b using (p)) group by 1, 2"
+    for i in range(codebooks.ROUNDS):
+        q += f""", a{i} as materialized ({near.format(f'b{i}')}), m{i} as (select p, e, i, cast(floor_sum as bigint) as x from (select p, e, i, (s - ((s % n) + n) % n) // n as floor_sum from (select p, e, i, cast(sum(x[i]) as bigint) as s, count(*) as n from a{i} join p using (r, p), (select unnest(range(1, 1 + (select max({width}) // 1 from k))) as i) group by 1, 2, 3))),
+ b{i + 1} as materialized (select p, e, coalesce(n.x, b.x) as x from b{i} b left join (select p, e, list(x order by i) as x from m{i} group by 1, 2) n using (p, e))"""
+    last = f"b{codebooks.ROUNDS}"
+    return f"""{q}, z as ({near.format(last)}), c as (select r, string_agg(printf('%02x', cast(e as int)), '' order by p) as code, cast(sum(d) as bigint) as error from z group by 1),
+ h as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) as codebooks_sha256 from {last})
+ select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from k join c using (r), h"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_url_filters": _url_filters(), "op3_ngram_jaccard_join": _JACCARD, "op8_secret_scans": _secret_scans(), "op11_filter_audit": _filter_audit(), "op13_vector_codes": _vector_codes(),
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, packing, passages, secretscan, sharding, simjoin, tokens, urlfilter
+from . import audit, codebooks, decontam, fingerprint, langid, mixing, packing, passages, secretscan, sharding, simjoin, tokens, urlfilter
 from .oracles import ORACLES
 
 
@@ -25,6 +25,9 @@ def queries() -> dict:
         "op8_secret_scans": lambda s, d: secretscan.scan(docs(s, d)),
         "op9_packing": lambda s, d: packing.pack(docs(s, d), end_id=2),
         "op10_sharding": lambda s, d: sharding.shard_rows(docs(s, d)),
+        "op11_filter_audit": lambda s, d: audit.interactions(docs(s, d), _table(s, d, "labels")),
+        "op12_source_mixing": lambda s, d: mixing.mixed_shares(docs(s, d)),
+        "op13_vector_codes": lambda s, d: codebooks.coded(_table(s, d, "embeddings")),
     }
 
 
