@@ -60,31 +60,44 @@ EXTENDS = r"\b(?:extends|implements|:\s*public)\s+(\w+)|class\s+\w+\(([\w.]+)\)|
 KEYWORDS = ("if", "for", "while", "switch", "match", "return", "fn", "def", "func", "function", "class", "catch", "sizeof", "fun", "elif", "and", "or", "not", "print")
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    return files.select("file_path", "language", F.posexplode(F.split("content", "\n")).alias("pos", "line")).withColumn("line_number", F.col("pos") + 1)
+def _defined(line: Column, language: Column) -> Column:
+    """struct(symbol_type, name) of the definition on a line, by its language's patterns alone; null if there is none."""
+    out = None
+    for lang, rules in DEFINITIONS.items():
+        found = [F.when(F.regexp_extract(line, p, 1) != "", F.struct(F.lit(kind).alias("symbol_type"), F.regexp_extract(line, p, 1).alias("name"))) for kind, p in rules]
+        out = F.when(language == lang, F.coalesce(*found)) if out is None else out.when(language == lang, F.coalesce(*found))
+    return out
 
 
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """(file_path, name, symbol_type, start_line, end_line, signature): a symbol reaches to the line before the next
-    definition at its indentation or less."""
-    rows = _lines(files)
-    found = []
-    for lang, rules in DEFINITIONS.items():
-        for kind, pattern in rules:
-            name = F.regexp_extract("line", pattern, 1)
-            found.append(F.when((F.col("language") == lang) & (name != ""), F.struct(F.lit(kind).alias("symbol_type"), name.alias("name"))))
-    defs = rows.withColumn("d", F.coalesce(*found)).where("d is not null")
-    defs = defs.select("file_path", "line_number", "d.name", "d.symbol_type", signature(F.col("line")).alias("signature"), F.char_length(F.regexp_extract("line", r"^(\s*)", 1)).alias("indent"))
-    last = files.select("file_path", F.size(F.split("content", "\n")).alias("n"))
-    near = defs.withColumn("later", F.collect_list(F.struct("line_number", "indent")).over(_following()))
-    end = F.get(F.filter("later", lambda x: x["indent"] <= F.col("indent")), F.lit(0))["line_number"]
-    return near.withColumn("end0", end).join(last, "file_path").select("file_path", "name", "symbol_type", F.col("line_number").alias("start_line"), F.coalesce(F.col("end0") - 1, F.col("n")).alias("end_line"), "signature")
+def _ends(batches):
+    """(row, n, starts, indents) -> (row, ends): each start's last line, before the next one at its indentation or less."""
+    import pyarrow as pa
+
+    for b in batches:
+        ends, at = [], [0]
+        for n, starts, indents in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            mine, open_ = [n] * len(starts), []
+            for i, (s, w) in enumerate(zip(starts, indents)):
+                while open_ and indents[open_[-1]] >= w:
+                    mine[open_.pop()] = s - 1
+                open_.append(i)
+            ends += mine
+            at.append(len(ends))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ends, pa.int32()))], ["row", "ends"])
 
 
-def _following():
-    from pyspark.sql import Window
+def extract_symbols(files: DataFrame) -> DataFrame:
+    """(file_path, name, symbol_type, start_line, end_line, signature): a symbol reaches to the line before the next
+    definition at its indentation or less.
 
-    return Window.partitionBy("file_path").orderBy("line_number").rowsBetween(1, Window.unboundedFollowing)
+    A file is a row from end to end: its definitions are an array, whose ends a stack finds in one pass; nothing is
+    shuffled."""
+    each = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("line"), _defined(x, F.col("language")).alias("d"), F.char_length(F.regexp_extract(x, r"^(\s*)", 1)).alias("indent"), signature(x).alias("signature")))
+    row = files.select("file_path", F.size(F.split("content", "\n")).alias("n"), F.filter(each, lambda x: x["d"].isNotNull()).alias("defs")).where(F.size("defs") > 0)
+    kept = row.select(F.struct("file_path", "defs").alias("row"), "n", F.transform("defs", lambda x: x["line"]).alias("starts"), F.transform("defs", lambda x: x["indent"]).alias("indents"))
+    out = kept.mapInArrow(_ends, f"row {kept.schema['row'].dataType.simpleString()}, ends array<int>")
+    flat = out.select("row.file_path", F.explode(F.arrays_zip(F.col("row.defs").alias("def"), F.col("ends").alias("end"))).alias("x"))
+    return flat.select("file_path", "x.def.d.name", "x.def.d.symbol_type", F.col("x.def.line").alias("start_line"), F.col("x.end").alias("end_line"), "x.def.signature")
 
 
 def signature(line: Column) -> Column:
@@ -92,19 +105,26 @@ def signature(line: Column) -> Column:
     return F.left(F.trim(F.regexp_replace(F.regexp_replace(line, r"\s*[{:]\s*$", ""), r"\s+", " ")), F.lit(500))
 
 
+#: Lines of a stretch in which references meet the symbols that cover it.
+STRETCH = 64
+
+
 def extract_references(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(file_path, owner, owner_line, to_name, relation_type, line_number): calls, imports, extends; the owner is the
-    first symbol whose lines cover the reference, else ``global``, line 0."""
-    rows = _lines(files)
+    first symbol whose lines cover the reference and whose name it isn't, else ``global``, line 0.
+
+    References and symbols meet by file and stretch of lines, so a long file is joined by pieces."""
+    rows = files.select("file_path", F.posexplode(F.split("content", "\n")).alias("pos", "line")).withColumn("line_number", F.col("pos") + 1)
     calls = F.filter(F.regexp_extract_all("line", F.lit(CALL), F.lit(1)), lambda n: ~n.isin(*KEYWORDS))
     tag = lambda xs, kind: F.transform(xs, lambda n: F.struct(F.lit(kind).alias("relation_type"), n.alias("to_name")))
     one = lambda p, g: F.filter(F.array(F.regexp_extract("line", p, g)), lambda n: n != "")
     parents = F.concat(one(EXTENDS, 1), one(EXTENDS, 2), one(EXTENDS, 3))
-    refs = rows.select("file_path", "line_number", F.explode(F.concat(tag(calls, "calls"), tag(one(IMPORTS, 1), "imports"), tag(parents, "extends"))).alias("r"))
-    refs = refs.select("file_path", "line_number", "r.relation_type", "r.to_name", F.monotonically_increasing_id().alias("n"))
-    s = symbols.select(F.col("file_path").alias("sf"), F.col("name").alias("owner"), F.col("start_line").alias("sl"), F.col("end_line").alias("el"))
-    both = refs.join(s, (F.col("file_path") == F.col("sf")) & F.col("line_number").between(F.col("sl"), F.col("el")) & (F.col("owner") != F.col("to_name")), "left")
-    first = both.groupBy("n", "file_path", "line_number", "relation_type", "to_name").agg(F.min(F.struct("sl", "owner")).alias("o"))
+    refs = rows.select("file_path", "line_number", F.posexplode(F.concat(tag(calls, "calls"), tag(one(IMPORTS, 1), "imports"), tag(parents, "extends"))).alias("k", "r"))
+    refs = refs.select("file_path", "line_number", "k", "r.relation_type", "r.to_name", F.floor(F.col("line_number") / STRETCH).cast("long").alias("stretch"))
+    part = lambda c: F.floor(F.col(c) / STRETCH).cast("long")
+    s = symbols.select(F.col("file_path").alias("sf"), F.col("name").alias("owner"), F.col("start_line").alias("sl"), F.col("end_line").alias("el"), F.explode(F.sequence(part("start_line"), part("end_line"))).alias("at"))
+    both = refs.join(s, (F.col("file_path") == F.col("sf")) & (F.col("stretch") == F.col("at")) & F.col("line_number").between(F.col("sl"), F.col("el")) & (F.col("owner") != F.col("to_name")), "left")
+    first = both.groupBy("file_path", "line_number", "k", "relation_type", "to_name").agg(F.min(F.struct("sl", "owner")).alias("o"))
     return first.select("file_path", F.coalesce("o.owner", F.lit("global")).alias("owner"), F.coalesce("o.sl", F.lit(0)).alias("owner_line"), "to_name", "relation_type", "line_number")
 
 
@@ -158,19 +178,23 @@ def index_project(files: DataFrame, known: DataFrame | None = None) -> dict[str,
     """One generation of a project from its files (file_path, language, content): ``files`` with what became of each,
     ``chunks``, ``symbols``, ``references`` and ``relations`` between symbols.
 
-    Generated files are skipped and oversized ones fail; the others are chunked, and their symbols and references read in
-    the same job. ``known``: symbols (id, name, file_path) of earlier generations."""
+    Generated files are skipped and oversized ones fail; the others are stored once, then chunked; their symbols and
+    references are stored too, as relations read them several times. ``known``: symbols (id, name, file_path) of earlier
+    generations."""
     from ..functions.predicates import generated_header
     from ..functions.text import symbol_id
+    from ..workspace import stored
     from .joins import resolve_relations
 
     state = F.when(generated_header(F.col("content")), "skipped").when(F.octet_length("content") > MAX_FILE_BYTES, "failed").otherwise("indexed")
-    marked = files.withColumn("state", state)
+    # what isn't indexed keeps its state only
+    marked = files.withColumn("state", state).withColumn("content", F.when(F.col("state") == "indexed", F.col("content")))
+    marked = stored(marked.select("file_path", "language", "content", "state"), "index-files")
     good = marked.where("state = 'indexed'").select("file_path", "language", "content")
     chunks = structural_chunks(good, "file_path", "content").withColumnRenamed("id", "file_path")
-    symbols = extract_symbols(good).withColumn("id", symbol_id(F.lit("project"), F.col("file_path"), F.col("name"), F.col("start_line").cast("string")))
-    refs = extract_references(good, symbols)
-    refs = refs.withColumn("ref_id", F.xxhash64("file_path", "line_number", "relation_type", "to_name", "owner")).withColumn("name", F.col("to_name"))
+    symbols = stored(extract_symbols(good).withColumn("id", symbol_id(F.lit("project"), F.col("file_path"), F.col("name"), F.col("start_line").cast("string"))), "index-symbols")
+    refs = extract_references(good, symbols).withColumn("ref_id", F.xxhash64("file_path", "line_number", "relation_type", "to_name", "owner")).withColumn("name", F.col("to_name"))
+    refs = stored(refs, "index-references")
     fresh = symbols.select("id", "name", "file_path")
     relations = resolve_relations(refs.select("ref_id", "name", "file_path").distinct(), fresh, fresh.limit(0) if known is None else known)
     return {"files": marked.select("file_path", "state"), "chunks": chunks, "symbols": symbols, "references": refs, "relations": relations}

@@ -56,14 +56,24 @@ def reset_project(s, d):
 
 
 def index_project(s, d):
-    """A generated source tree, a file a supplier: what becomes of each file, and how much is read from it."""
-    head = F.when(F.col("s_suppkey") % 7 == 0, "# @generated\n").when(F.col("s_suppkey") % 11 == 0, F.repeat(F.lit("# filler\n"), 120_000)).otherwise("")
-    body = F.concat(head, F.lit("import os\nclass C"), "s_suppkey", F.lit(":\n    def run_"), "s_suppkey", F.lit("(self):\n        return run_"), (F.col("s_suppkey") + 1).cast("string"), F.lit("(1)\n"))
-    files = table(s, d, "supplier").select(F.concat(F.lit("src/s"), "s_suppkey", F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), body.alias("content"))
+    """A generated source tree, a file a supplier: what becomes of each file, and how much is read from it.
+
+    Every seventh file is generated, every eleventh too large; every third class is the base of the next."""
+    k = F.col("s_suppkey")
+    # from the row, so that no constant of a megabyte stands in the plan
+    filler = F.repeat(F.concat(F.lit("# filler "), F.substring("s_name", 1, 4), F.lit("\n")), 80_000)
+    head = F.when(k % 7 == 0, "# @generated\n").when(k % 11 == 0, filler).otherwise("")
+    body = F.concat(head, F.lit("import os\nclass C"), k, F.when(k % 3 == 0, F.concat(F.lit("(C"), k + 1, F.lit(")"))).otherwise(""), F.lit(":\n    def run_"), k, F.lit("(self):\n        return run_"), k + 1, F.lit("(1)\n\ndef main():\n    C"), k, F.lit("().close()\n"))
+    files = table(s, d, "supplier").select(F.concat(F.lit("src/s"), k, F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), body.alias("content"))
     got = C.index_project(files)
     n = lambda t, c: got[t].groupBy("file_path").agg(F.count("*").alias(c))
-    met = got["references"].select("file_path", "ref_id").distinct().join(got["relations"].where("symbol_id is not null").select("ref_id"), "ref_id").groupBy("file_path").agg(F.count("*").alias("resolved"))
-    out = got["files"].join(n("chunks", "chunks"), "file_path", "left").join(n("symbols", "symbols"), "file_path", "left").join(n("references", "refs"), "file_path", "left").join(met, "file_path", "left")
+    lines = got["symbols"].groupBy("file_path").agg(F.sum(F.col("end_line") - F.col("start_line") + 1).cast("long").alias("symbol_lines"))
+    owned = got["references"].groupBy("file_path").agg(F.count_if(F.col("owner") != "global").alias("owned"))
+    met = got["references"].select("file_path", "ref_id").distinct().join(got["relations"], "ref_id")
+    met = met.groupBy("file_path").agg(*[F.count_if(F.col("relation_class") == c).alias(c) for c in ("observed", "inferred", "unresolved")])
+    out = got["files"]
+    for t in (n("chunks", "chunks"), n("symbols", "symbols"), lines, n("references", "refs"), owned, met):
+        out = out.join(t, "file_path", "left")
     return out.na.fill(0)
 
 
@@ -81,5 +91,8 @@ CATALOG = {
     "status": (status, f"{_M}, {_RV} select r.*, t.*, p.* from (select invalidation_reason as reason, count(*) as count from memories where valid_until is not null group by 1) r, (select count(*) as total, count(*) filter (valid_until is null or valid_until > {_A}) as valid, count(*) filter (valid_until is not null) as invalidated from memories) t, (select count(*) as purge_eligible from rv where eligible) p"),
     "readiness": (readiness, "select count(*) as known_projects, count(*) filter (m % 2 = 0) as ready_projects from (select source, max(doc_id) as m from documents group by 1)"),
     "reset_project": (reset_project, "select doc_id, source as project_id from documents where source is distinct from 'src1'"),
-    "index_project": (index_project, None),
+    "index_project": (index_project, """with k as (select s_suppkey as k, s_suppkey % 7 = 0 as g, s_suppkey % 7 <> 0 and s_suppkey % 11 = 0 as f, case when s_suppkey % 3 = 0 then 1 else 0 end as sub from supplier),
+ n as (select k.*, case when not g and not f then 1 else 0 end as ok, case when k + 1 in (select k from k where not g and not f) then 1 else 0 end as next from k)
+ select 'src/s' || k || '.py' as file_path, case when g then 'skipped' when f then 'failed' else 'indexed' end as state, ok as chunks, ok * 3 as symbols, ok * (4 + 3 + 3) as symbol_lines, ok * (6 + 2 * sub) as refs, ok * (4 + sub) as owned,
+  ok * (3 + sub) as observed, ok * next * (1 + sub) as inferred, ok * (2 + (1 - next) * (1 + sub)) as unresolved from n"""),
 }
