@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import CONFIG, code_overfetch
 from ..functions import text
 from ..workspace import stored
+from .gram_index import GramIndex, build as gram_index, holding
 from .index import LexicalIndex
 from .joins import overlap_score
 from .retrieve import bm25_scores, bounded, cosine_topk, graph_channel, ordered_union, top_k
@@ -22,9 +23,6 @@ from .retrieve import bm25_scores, bounded, cosine_topk, graph_channel, ordered_
 EXACT_LEAST, EXACT_SYMBOLS, EXACT_FILES, EXACT_MAPPED, EXACT_ADDED, PROBE_HITS, SYMBOL_SEEDS = 0.45, 20, 8, 80, 40, 20, 20
 # Weights of the lexical and the exact score, of queries about code and of others.
 LEXICAL_WEIGHT, EXACT_WEIGHT = (0.02, 0.008), (0.035, 0.0)
-#: Probes that are compared with all symbols in one pass.
-PROBE_BLOCK = 20_000
-
 
 @dataclass(frozen=True)
 class Filters:
@@ -56,117 +54,164 @@ def search_code(index: LexicalIndex, queries: DataFrame, vectors: DataFrame, que
     return both.where(F.col("rank") <= limit)
 
 
-def probe_symbols(asked: DataFrame, symbols: DataFrame, path_prefix: str | None = None) -> DataFrame:
-    """(q_id, id, pos): symbols whose name holds a probe of the query, the first ``PROBE_HITS`` by name of each probe.
+def _keyed(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with its query's key: the query's id, and with projects as a key one for each (query, project)."""
+    return df.withColumn("key", F.concat_ws("\t", F.col("q_id").cast("string"), *by) if by else F.col("q_id"))
+
+
+def _file(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the file of a row, whatever project it is of."""
+    return df.withColumn("file", F.concat_ws("\t", *by, "file_path"))
+
+
+def probe_symbols(asked: DataFrame, grams: GramIndex, path_prefix: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """(q_id, by..., id, pos): symbols whose name holds a probe of the query, the first ``PROBE_HITS`` by name of each
+    probe (and of each ``by``).
 
-    ``asked``: (q_id, query, terms). Distinct probes meet all symbols in blocks that are sent to each task."""
+    ``asked``: (q_id, query, terms); ``grams``: the index of the symbols' names."""
+    by = by or []
     rows = asked.select("q_id", F.posexplode(text.symbol_probes(F.col("query"), F.col("terms"))).alias("n", "probe"))
-    probes = stored(rows.select(F.lower("probe").alias("p")).distinct(), "probes")
-    blocks = max(1, -(-probes.count() // PROBE_BLOCK))
-    s = symbols if path_prefix is None else symbols.where(F.col("file_path").startswith(path_prefix))
-    s = s.select("id", F.lower("name").alias("low"), "name")
-    hits = None
-    for b in range(blocks):
-        some = probes.where(F.pmod(F.xxhash64("p"), F.lit(blocks)) == b)
-        one = s.join(F.broadcast(some), F.contains(F.col("low"), F.col("p"))).select("p", "id", "name")
-        hits = one if hits is None else hits.unionByName(one)
-    w = Window.partitionBy("p").orderBy("name", "id")
-    first = hits.withColumn("k", F.row_number().over(w)).where(F.col("k") <= PROBE_HITS)
-    mine = rows.join(first, F.lower("probe") == F.col("p")).groupBy("q_id", "id").agg(F.min(F.struct("n", "k")).alias("at"))
-    return mine.select("q_id", "id", F.row_number().over(Window.partitionBy("q_id").orderBy("at", "id")).alias("pos"))
+    hits = holding(grams, rows.select(F.lower("probe").alias("p")))
+    hits = hits if path_prefix is None else hits.where(F.col("file_path").startswith(path_prefix))
+    w = Window.partitionBy("p", *by).orderBy("name", "id")
+    first = hits.select("p", *by, "id", "name").withColumn("k", F.row_number().over(w)).where(F.col("k") <= PROBE_HITS)
+    mine = rows.join(first, F.lower("probe") == F.col("p")).groupBy("q_id", *by, "id").agg(F.min(F.struct("n", "k")).alias("at"))
+    return mine.select("q_id", *by, "id", F.row_number().over(Window.partitionBy("q_id", *by).orderBy("at", "id")).alias("pos"))
 
 
 def exact_channel(asked: DataFrame, seeds: DataFrame, symbols: DataFrame, chunks: DataFrame, found: DataFrame, mapped: DataFrame | None, filters: Filters) -> DataFrame:
-    """(q_id, id, exact): the best of exactness times overlap of the exact symbols with chunks of their files.
+    """(key, id, exact): the best of exactness times overlap of the exact symbols with chunks of their files.
 
-    ``found``: (q_id, id), chunks of the other channels; ``mapped``: (symbol_id, chunk_id, score) made when indexing.
+    ``found``: (key, id), chunks of the other channels; ``mapped``: (symbol_id, chunk_id, score) made when indexing.
     Chunks of the first ``EXACT_FILES`` files are opened; of other files only those found count."""
-    scored = seeds.join(asked.where("codeish"), "q_id").join(symbols, "id")
+    scored = seeds.join(asked.where("codeish"), "key").join(symbols, "id")
     score = text.symbol_exactness(F.col("low"), F.col("terms"), F.col("name"), F.col("signature"))
     scored = scored.withColumn("exactness", score).where(F.col("exactness") >= EXACT_LEAST)
-    w = Window.partitionBy("q_id").orderBy(F.desc("exactness"), "pos")
-    best = stored(scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= EXACT_SYMBOLS).select("q_id", F.col("id").alias("symbol_id"), "exactness", "file_path", "start_line", "end_line"), "exact-symbols")
-    files = best.select("q_id", "file_path").distinct().withColumn("f", F.row_number().over(Window.partitionBy("q_id").orderBy("file_path"))).where(F.col("f") <= EXACT_FILES)
-    body = chunks.where(filters.keep()).select("id", "file_path", F.col("start_line").alias("a"), F.col("end_line").alias("z"))
-    pool = bounded(files).join(body, "file_path").select("q_id", "id", "file_path", "a", "z")
-    pool = pool.unionByName(bounded(found).join(body, "id").select("q_id", "id", "file_path", "a", "z"))
+    w = Window.partitionBy("key").orderBy(F.desc("exactness"), "pos")
+    best = stored(scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= EXACT_SYMBOLS).select("key", F.col("id").alias("symbol_id"), "exactness", "file", "start_line", "end_line"), "exact-symbols")
+    files = best.select("key", "file").distinct().withColumn("f", F.row_number().over(Window.partitionBy("key").orderBy("file"))).where(F.col("f") <= EXACT_FILES)
+    body = chunks.where(filters.keep()).select("id", "file", F.col("start_line").alias("a"), F.col("end_line").alias("z"))
+    pool = bounded(files).join(body, "file").select("key", "id", "file", "a", "z")
+    pool = pool.unionByName(bounded(found).join(body, "id").select("key", "id", "file", "a", "z"))
     if mapped is not None:
-        near = best.join(mapped, "symbol_id").select("q_id", F.col("chunk_id").alias("id"), F.col("score").alias("m"))
-        near = near.groupBy("q_id", "id").agg(F.max("m").alias("m"))
-        near = near.withColumn("n", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("m"), "id"))).where(F.col("n") <= EXACT_MAPPED).drop("n")
+        near = best.join(mapped, "symbol_id").select("key", F.col("chunk_id").alias("id"), F.col("score").alias("m"))
+        near = near.groupBy("key", "id").agg(F.max("m").alias("m"))
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("m"), "id"))).where(F.col("n") <= EXACT_MAPPED).drop("n")
         near = near.join(body, "id")
-        pool = pool.unionByName(near.select("q_id", "id", "file_path", "a", "z"))
-    both = pool.distinct().join(best, ["q_id", "file_path"])
-    both = both.withColumn("exact", F.least(F.lit(1.0), F.col("exactness") * overlap_score(F.col("start_line"), F.col("end_line"), F.col("a"), F.col("z")))).select("q_id", "id", "exact")
+        pool = pool.unionByName(near.select("key", "id", "file", "a", "z"))
+    both = pool.distinct().join(best, ["key", "file"])
+    both = both.withColumn("exact", F.least(F.lit(1.0), F.col("exactness") * overlap_score(F.col("start_line"), F.col("end_line"), F.col("a"), F.col("z")))).select("key", "id", "exact")
     if mapped is not None:
-        both = both.unionByName(near.select("q_id", "id", F.col("m").alias("exact")))
-    return both.where("exact > 0").groupBy("q_id", "id").agg(F.max("exact").alias("exact"))
+        both = both.unionByName(near.select("key", "id", F.col("m").alias("exact")))
+    return both.where("exact > 0").groupBy("key", "id").agg(F.max("exact").alias("exact"))
 
 
 def symbol_graph_channel(lexical: DataFrame, near: DataFrame, symbols: DataFrame, relations: DataFrame, found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(q_id, id, score): PageRank over the symbols near a query, best of those whose lines a found chunk shares."""
-    ordered = ordered_union(near, lexical.select("q_id", "id", F.col("pos").alias("rank")), ["q_id"])
+    """(key, id, score): PageRank over the symbols near a query, best of those whose lines a found chunk shares."""
+    ordered = ordered_union(near.withColumnRenamed("key", "q_id"), lexical.select(F.col("key").alias("q_id"), "id", F.col("pos").alias("rank")), ["q_id"])
     edges = relations.select("src", "dst", F.lit(1.0).alias("weight"))
     ranks = graph_channel(ordered, symbols.select(F.col("id").alias("node")), edges, seeds=1 << 30)
-    at = ranks.join(symbols, "id").select("q_id", "score", "file_path", F.col("start_line").alias("a"), F.col("end_line").alias("z"))
-    lines = bounded(found).join(chunks.select("id", "file_path", "start_line", "end_line"), "id")
-    both = lines.join(at, ["q_id", "file_path"]).where("start_line <= z and a <= end_line")
-    return both.groupBy("q_id", "id").agg(F.max("score").alias("score")).where("score > 0")
+    at = ranks.join(symbols, "id").select(F.col("q_id").alias("key"), "score", "file", F.col("start_line").alias("a"), F.col("end_line").alias("z"))
+    lines = bounded(found).join(chunks.select("id", "file", "start_line", "end_line"), "id")
+    both = lines.join(at, ["key", "file"]).where("start_line <= z and a <= end_line")
+    return both.groupBy("key", "id").agg(F.max("score").alias("score")).where("score > 0")
+
+
+# How a query is served.
+HYBRID, FAST, LEXICAL, NONE = "hybrid_vector_bm25_ppr", "bm25_lexical_fast_path", "bm25_lexical_symbol_hydration", "no_serving_generation"
 
 
 def recall_code(
     chunks: DataFrame, symbols: DataFrame, relations: DataFrame, index: LexicalIndex, queries: DataFrame, vectors: DataFrame, symbol_vectors: DataFrame, query_vectors: DataFrame, limit: int,
-    filters: Filters = Filters(), weights: tuple[float, float, float] = CONFIG.code_weights, mapped: DataFrame | None = None, hybrid: bool = True, in_project: bool = True,
+    filters: Filters = Filters(), weights: tuple[float, float, float] = CONFIG.code_weights, mapped: DataFrame | None = None, served: DataFrame | None = None, in_project: bool = True, grams: GramIndex | None = None,
+    freshness: DataFrame | None = None,
 ) -> DataFrame:
-    """(q_id, id, score, rrf_score, lexical_score, exact_score, vector_score, bm25_score, ppr_score, rank).
-
-    Queries that are one long identifier take the lexical fast path: ``limit`` lexical candidates and no other channel.
-    ``hybrid`` False (no vectors or graph are served) leaves the vector and the graph channel out. Each channel is cut,
-    then filtered, before fusion; exact chunks that no channel found join it behind the lexical ones."""
+    """(q_id, by..., id, score, rrf_score, lexical_score, exact_score, vector_score, bm25_score, ppr_score, rank, path,
+    partial, reason[, freshness]).
+
+    With an ``index`` by project every query is put to every project in one job, and chunks, symbols and vectors have that
+    column; else there is one project. ``served``: (by..., structural, bm25, vector, graph, indexing, model_ready), the
+    generations that serve a project, one row each; without it all are there. What is served chooses the path: the whole
+    hybrid, the lexical fast path for queries that are one long identifier (``limit`` lexical candidates and no other
+    channel), the lexical channel and exact symbols where vectors or graph are missing, or nothing.
+
+    Each channel is cut, then filtered, before fusion; exact chunks that no channel found join it behind the lexical ones.
+    ``freshness``: (by..., path, freshness) of files; a result's is null where it is unavailable."""
+    by = list(index.by)
+    one = by[0] if by else None
     fetch, fast_fetch = code_overfetch(limit, filters.some, False), code_overfetch(limit, filters.some, True)
-    asked = queries.select("q_id", "query", F.lower("query").alias("low"), text.identifier_tokens(F.col("query")).alias("terms"), text.codeish(F.col("query")).alias("codeish"), (F.lit(hybrid) & text.single_identifier(F.col("query"))).alias("fast"))
-    asked = stored(asked, "code-queries")
-    slow = asked.where("not fast")
+    chunks, symbols = _file(chunks, by), _file(symbols, by)
+    asked = stored(queries.select("q_id", "query", F.lower("query").alias("low"), text.identifier_tokens(F.col("query")).alias("terms"), text.codeish(F.col("query")).alias("codeish"), text.single_identifier(F.col("query")).alias("single")), "code-queries")
     kept = chunks.where(filters.keep()).select("id")
-    lexical = top_k(bm25_scores(index, asked.select("q_id", F.col("query").alias("text"))), fetch, ["q_id"]).join(asked.select("q_id", "fast"), "q_id").where(~F.col("fast") | (F.col("rank") <= fast_fetch))
-    lexical = stored(lexical.join(kept, "id", "left_semi").select("q_id", "id", "score", "rank"), "code-lexical")
-    asks = query_vectors.join(slow.select("q_id"), "q_id", "left_semi")
-    vector = cosine_topk(vectors, asks, fetch) if hybrid else lexical.limit(0)
-    vector = stored(vector.join(kept, "id", "left_semi").select("q_id", "id", "score", "rank"), "code-vector")
-    seeds = stored(probe_symbols(slow, symbols, filters.path_prefix), "code-seeds")
-    found = vector.select("q_id", "id").unionByName(lexical.select("q_id", "id")).distinct()
-    exact = stored(exact_channel(slow, seeds, symbols, chunks, found, mapped, filters) if in_project else found.limit(0).withColumn("exact", F.lit(0.0)), "code-exact")
+    ready = served if served is not None else _all_served(chunks, by)
+    plans = ready.select(*by, *[serving_plan(*[F.col(c) for c in ("structural", "bm25", "vector", "graph", "indexing")], F.lit(i), F.col("model_ready")).alias(n) for i, n in ((False, "plain"), (True, "ident"))])
+    plans = stored(plans, "code-plans")
+
+    def planned(df):
+        """Rows (q_id, by...) with the query's key and columns and the plan by which it is served."""
+        at = df.join(asked, "q_id")
+        at = at.join(F.broadcast(plans), by) if by else at.crossJoin(F.broadcast(plans))  # one row of plans
+        at = at.withColumn("plan", F.when(F.col("single"), F.col("ident")).otherwise(F.col("plain")))
+        return _keyed(at, by).drop("plain", "ident").withColumn("route", F.col("plan.path"))
+
+    lexical = planned(top_k(bm25_scores(index, asked.select("q_id", F.col("query").alias("text"))), fetch, ["q_id", *by]))
+    lexical = lexical.where((F.col("route") != NONE) & ((F.col("route") != FAST) | (F.col("rank") <= fast_fetch)))
+    lexical = stored(lexical.join(kept, "id", "left_semi").select("key", "q_id", *by, "id", "score", "rank"), "code-lexical")
+    hybrid = plans.where(F.col("plain.path") == HYBRID).limit(1).count() > 0
+    vector = planned(cosine_topk(vectors, query_vectors, fetch, one)).where(F.col("route") == HYBRID) if hybrid else lexical.limit(0)
+    vector = stored(vector.join(kept, "id", "left_semi").select("key", "q_id", *by, "id", "score", "rank"), "code-vector")
+    grams = gram_index(symbols, ("name",)) if grams is None else grams
+    seeds = planned(probe_symbols(asked, grams, filters.path_prefix, by)).where(F.col("route").isin(HYBRID, LEXICAL))
+    seeds = stored(seeds.select("key", "q_id", *by, "id", "pos"), "code-seeds")
+    # the queries of the keys that some channel has met
+    met = lexical.select("q_id", *by).unionByName(vector.select("q_id", *by)).unionByName(seeds.select("q_id", *by)).distinct()
+    keyed = stored(planned(met), "code-keys")
+    slow = keyed.where(F.col("route") != FAST)
+    lexical, vector, seeds = (df.drop("q_id", *by) for df in (lexical, vector, seeds))
+    found = vector.select("key", "id").unionByName(lexical.select("key", "id")).distinct()
+    facts = symbols.select("id", "name", "signature", "file", "start_line", "end_line")
+    exact = stored(exact_channel(slow.select("key", "low", "terms", "codeish"), seeds, facts, chunks, found, mapped, filters) if in_project else found.limit(0).withColumn("exact", F.lit(0.0)), "code-exact")
     # exact chunks that were not found stand behind the lexical ones, without a score
-    more = exact.join(found, ["q_id", "id"], "left_anti").withColumn("n", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("exact"), "id"))).where(F.col("n") <= EXACT_ADDED)
-    lexical = stored(lexical.unionByName(more.select("q_id", "id", F.lit(0.0).alias("score"), (F.col("n") + (1 << 20)).cast("int").alias("rank"))), "code-lexical")
-    found = stored(vector.select("q_id", "id").unionByName(lexical.select("q_id", "id")).distinct(), "code-found")
-    channel = lambda df, c: df.select("q_id", F.lit(c).alias("channel"), "id", "score", F.row_number().over(Window.partitionBy("q_id").orderBy("rank", "id")).alias("r"))
+    more = exact.join(found, ["key", "id"], "left_anti").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("exact"), "id"))).where(F.col("n") <= EXACT_ADDED)
+    lexical = stored(lexical.unionByName(more.select("key", "id", F.lit(0.0).alias("score"), (F.col("n") + (1 << 20)).cast("int").alias("rank"))), "code-lexical")
+    found = stored(vector.select("key", "id").unionByName(lexical.select("key", "id")).distinct(), "code-found")
+    channel = lambda df, c: df.select("key", F.lit(c).alias("channel"), "id", "score", F.row_number().over(Window.partitionBy("key").orderBy("rank", "id")).alias("r"))
     every = channel(vector, "vector").unionByName(channel(lexical, "bm25"))
     if hybrid and weights[2] > 0:
-        near = cosine_topk(symbol_vectors, asks, SYMBOL_SEEDS)
-        ppr = symbol_graph_channel(seeds, near, symbols, relations, found.join(slow.select("q_id"), "q_id", "left_semi"), chunks)
-        every = every.unionByName(channel(ppr.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "id"))), "ppr"))
+        near = planned(cosine_topk(symbol_vectors, query_vectors, SYMBOL_SEEDS, one)).where(F.col("route") == HYBRID).select("key", "id", "rank")
+        whole = keyed.where(F.col("route") == HYBRID).select("key")
+        ppr = symbol_graph_channel(seeds.join(whole, "key"), near, facts, relations, found.join(whole, "key", "left_semi"), chunks)
+        every = every.unionByName(channel(ppr.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id"))), "ppr"))
     weight = F.create_map(*[x for c, v in zip(("vector", "bm25", "ppr"), weights) for x in (F.lit(c), F.lit(v))])
-    fused = every.groupBy("q_id", "id").agg(
+    fused = every.groupBy("key", "id").agg(
         F.round(F.sum(weight[F.col("channel")] / (CONFIG.rrf_k + F.col("r"))), 8).alias("rrf_score"),
         *[F.coalesce(F.max(F.when(F.col("channel") == c, F.col("score"))), F.lit(0.0)).alias(f"{c}_score") for c in ("vector", "bm25", "ppr")],
     )
-    cut = top_k(fused, fetch, ["q_id"], "rrf_score").drop("rank")
+    cut = top_k(fused, fetch, ["key"], "rrf_score").drop("rank")
     # an exact chunk is reranked even if the fusion cut it off, then without its channels' scores
-    left = exact.join(found, ["q_id", "id"], "left_semi").join(cut, ["q_id", "id"], "left_anti").select("q_id", "id", *[F.lit(0.0).alias(c) for c in ("rrf_score", "vector_score", "bm25_score", "ppr_score")])
-    rows = cut.unionByName(left).join(chunks, "id").join(asked, "q_id").join(exact, ["q_id", "id"], "left")
+    left = exact.join(found, ["key", "id"], "left_semi").join(cut, ["key", "id"], "left_anti").select("key", "id", *[F.lit(0.0).alias(c) for c in ("rrf_score", "vector_score", "bm25_score", "ppr_score")])
+    rows = cut.unionByName(left).join(chunks.drop(*by), "id").join(keyed, "key").join(exact, ["key", "id"], "left")
     lex = text.lexical_rerank(F.col("low"), F.col("terms"), F.col("file_path"), F.col("name"), F.col("context_path"), F.col("content"), F.col("codeish"))
     pick = lambda pair: F.when(F.col("codeish"), pair[0]).otherwise(pair[1])
     rows = rows.withColumn("lexical_score", lex).withColumn("exact_score", F.coalesce("exact", F.lit(0.0)))
     rows = rows.withColumn("score", F.round(F.col("rrf_score") + F.col("lexical_score") * pick(LEXICAL_WEIGHT) + F.col("exact_score") * pick(EXACT_WEIGHT), 8))
-    out = top_k(rows, limit, ["q_id"])
-    return out.select("q_id", "id", "score", "rrf_score", "lexical_score", "exact_score", "vector_score", "bm25_score", "ppr_score", "rank")
+    out = top_k(rows, min(limit, PROJECT_LIMIT) if by else limit, ["key"])
+    cols = ["q_id", *by, "id", "score", "rrf_score", "lexical_score", "exact_score", "vector_score", "bm25_score", "ppr_score", "rank", "plan.path", "plan.partial", "plan.reason"]
+    if freshness is None:
+        return out.select(*cols)
+    known = freshness.select(F.concat_ws("\t", *by, "path").alias("file"), F.when(F.col("freshness") != "unavailable", F.col("freshness")).alias("freshness"))
+    return out.join(known, "file", "left").select(*cols, "freshness")
+
+
+#: Results of a project where every project is asked.
+PROJECT_LIMIT = 50
 
 
-def across_projects(run, projects: list[str], limit: int) -> DataFrame:
-    """(project, ...): ``run(project, limit)`` of every served project, one after the other; 50 results of each at most."""
-    parts = [run(p, min(limit, 50)).withColumn("project", F.lit(p)) for p in projects]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def _all_served(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """Every project as if one generation served it whole."""
+    one = chunks.select(*by).distinct() if by else chunks.sparkSession.range(1).select()
+    state = {c: F.lit(1) for c in ("structural", "bm25", "vector", "graph")} | {"indexing": F.lit(None).cast("int"), "model_ready": F.lit(True)}
+    return one.select(*by, *[v.alias(k) for k, v in state.items()])
 
 
 # ---------------------------------------------------------------- serving
@@ -179,12 +224,12 @@ def serving_plan(structural: Column, bm25: Column, vector: Column, graph: Column
     own = F.coalesce(bm25, vector, graph).isNotNull()
     of = lambda g: F.when(own, g).otherwise(structural)
     path = (
-        F.when(of(vector).isNotNull() & of(bm25).isNotNull() & of(graph).isNotNull() & model_ready, F.when(identifier, "bm25_lexical_fast_path").otherwise("hybrid_vector_bm25_ppr"))
-        .when(of(bm25).isNotNull(), "bm25_lexical_symbol_hydration").otherwise("no_serving_generation")
+        F.when(of(vector).isNotNull() & of(bm25).isNotNull() & of(graph).isNotNull() & model_ready, F.when(identifier, FAST).otherwise(HYBRID))
+        .when(of(bm25).isNotNull(), LEXICAL).otherwise(NONE)
     )
     behind = F.coalesce(indexing > structural, F.lit(False))
-    weak = path.isin("bm25_lexical_symbol_hydration", "no_serving_generation")
-    reason = F.when(path == "bm25_lexical_symbol_hydration", "semantic_or_graph_unavailable").when(path == "no_serving_generation", "no_serving_generation").when(behind, "stale_serving_generation")
+    weak = path.isin(LEXICAL, NONE)
+    reason = F.when(path == LEXICAL, "semantic_or_graph_unavailable").when(path == NONE, NONE).when(behind, "stale_serving_generation")
     return F.struct(path.alias("path"), (behind | weak).alias("partial"), reason.alias("reason"))
 
 

@@ -91,57 +91,74 @@ def _matrix(column, dim: int | None = None):
     return use, flat.astype(np.float64).reshape(len(use), dim) if use else np.zeros((0, dim))
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(q_id, id, score, rank): exact. ``vectors``: (id, v); ``queries``: (q_id, qv), a stated set, against all rows.
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """(q_id[, by], id, score, rank): exact. ``vectors``: (id, v); ``queries``: (q_id, qv), a stated set, against all rows;
+    with ``by``, a column of the vectors, the nearest ``k`` of each of its values.
 
     Up to ``QUERY_BLOCK`` counted queries are sent to each task; more are dealt to blocks, as the rows are, and each
     block of rows meets each block of queries. Blocks are matrix products that keep their nearest ``k``."""
     import numpy as np
 
     spark = vectors.sparkSession
-    vs, qs = vectors.select("id", F.col("v").cast("array<double>").alias("v")), queries.select("q_id", F.col("qv").cast("array<double>").alias("qv"))
-    schema = f"q_id {qs.schema['q_id'].dataType.simpleString()}, id {vs.schema['id'].dataType.simpleString()}, score double"
+    part = F.lit(0) if by is None else F.col(by)
+    vs = vectors.select("id", F.col("v").cast("array<double>").alias("v"), part.alias("part"))
+    qs = queries.select("q_id", F.col("qv").cast("array<double>").alias("qv"))
+    schema = f"q_id {qs.schema['q_id'].dataType.simpleString()}, part {vs.schema['part'].dataType.simpleString()}, id {vs.schema['id'].dataType.simpleString()}, score double"
+
+    def meet(ids, v, parts, by_dim):
+        """Columns (q_id, part, id, score) of a block of rows and queries by dimension."""
+        import pyarrow as pa
+
+        out: list[list] = [[], [], [], []]
+        for dim, (q_ids, q) in by_dim.items():
+            use, m = _matrix(v, dim)
+            names = parts.take(pa.array(use, pa.int64())).to_pylist()
+            mine = ids.take(pa.array(use, pa.int64())).to_pylist()
+            for name in set(names):
+                at = [i for i, n in enumerate(names) if n == name] if by is not None else range(len(names))
+                got = _nearest([mine[i] for i in at], m[list(at)], q_ids, q, k)
+                for c, x in zip(out, (got[0], [name] * len(got[0]), got[1], got[2])):
+                    c += x
+        return out
+
+    ranked = lambda df: top_k(df.drop("part") if by is None else df.withColumnRenamed("part", by), k, ["q_id"] + ([] if by is None else [by]))
     few = qs.limit(QUERY_BLOCK + 1).collect() if qs.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK else None  # at most a block
     if few is not None:
-        held = [r for r in few if r["qv"]]
         by_dim: dict[int, list] = {}
-        for r in held:
-            by_dim.setdefault(len(r["qv"]), []).append(r)
+        for r in few:
+            if r["qv"]:
+                by_dim.setdefault(len(r["qv"]), []).append(r)
         shared = spark.sparkContext.broadcast({d: ([r["q_id"] for r in rs], np.array([r["qv"] for r in rs])) for d, rs in by_dim.items()})
 
         def search(batches):
             import pyarrow as pa
 
             for b in batches:
-                for dim, (q_ids, q) in shared.value.items():
-                    use, m = _matrix(b.column(1), dim)
-                    ids = b.column(0).take(pa.array(use, pa.int64())).to_pylist()
-                    got = _nearest(ids, m, q_ids, q, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(got, kinds)], ["q_id", "id", "score"])
+                got = meet(b.column(0), b.column(1), b.column(2), shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(got, kinds)], ["q_id", "part", "id", "score"])
 
         from pyspark.sql.pandas.types import to_arrow_type
 
-        kinds = [to_arrow_type(qs.schema["q_id"].dataType), to_arrow_type(vs.schema["id"].dataType), to_arrow_type(qs.selectExpr("0D as x").schema["x"].dataType)]
-        return top_k(vs.mapInArrow(search, schema), k, ["q_id"])
+        kinds = [to_arrow_type(spark_schema(schema)[c].dataType) for c in ("q_id", "part", "id", "score")]
+        return ranked(vs.mapInArrow(search, schema))
     rows, asked = max(1, -(-vs.count() // ROW_BLOCK)), -(-qs.count() // QUERY_BLOCK)
-    left = vs.select(F.pmod(F.xxhash64("id"), F.lit(rows)).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked - 1).cast("long"))).alias("q"), "id", "v")
+    left = vs.select(F.pmod(F.xxhash64("id"), F.lit(rows)).alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked - 1).cast("long"))).alias("q"), "id", "v", "part")
     right = qs.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("r"), F.pmod(F.xxhash64("q_id"), F.lit(asked)).alias("q"), "q_id", "qv")
 
     def cell(a, b):
         import pyarrow as pa
 
         a, b = a.combine_chunks(), b.combine_chunks()
-        out: list[list] = [[], [], []]
-        qv, v = b.column("qv").combine_chunks(), a.column("v").combine_chunks()
+        qv, one = b.column("qv").combine_chunks(), lambda t, c: t.column(c).combine_chunks()
+        by_dim = {}
         for dim in {n for n in qv.value_lengths().to_pylist() if n}:
-            uq, q = _matrix(qv, dim)
-            ur, m = _matrix(v, dim)
-            got = _nearest(a.column("id").take(pa.array(ur, pa.int64())).to_pylist(), m, b.column("q_id").take(pa.array(uq, pa.int64())).to_pylist(), q, k)
-            for c, x in zip(out, got):
-                c += x
-        return pa.table({"q_id": pa.array(out[0], b.schema.field("q_id").type), "id": pa.array(out[1], a.schema.field("id").type), "score": pa.array(out[2], pa.float64())})
+            use, q = _matrix(qv, dim)
+            by_dim[dim] = (b.column("q_id").take(pa.array(use, pa.int64())).to_pylist(), q)
+        got = meet(one(a, "id"), one(a, "v"), one(a, "part"), by_dim) if a.num_rows else [[], [], [], []]
+        kinds = (b.schema.field("q_id").type, a.schema.field("part").type, a.schema.field("id").type, pa.float64())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("q_id", "part", "id", "score"), got, kinds)})
 
-    return top_k(left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(cell, schema), k, ["q_id"])
+    return ranked(left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(cell, schema))
 
 
 def rrf(channels: DataFrame, weights: dict[str, float], limit: int, k: int = CONFIG.rrf_k) -> DataFrame:
@@ -218,12 +235,16 @@ def spark_schema(text_schema: str):
     return _parse_datatype_string(text_schema)
 
 
-def single_channel(ranked: DataFrame, mem: DataFrame, limit: int, min_score: float | None = None) -> DataFrame:
-    """Search by one channel: (q_id, id, score, rank) without repeats of a content, weak ones cut after the limit.
+def single_channel(ranked: DataFrame, mem: DataFrame, limit: int, as_of: Column, min_score: float | None = None) -> DataFrame:
+    """Search by one channel: (q_id, id, base, score, rank) without repeats of a content; the channel's score (above 1: 1)
+    times decay and reinforcement orders them anew, weak ones are cut after the limit.
 
-    ``ranked``: (q_id, id, score), already filtered; scores above 1 count as 1."""
-    rows = ranked.join(mem.select("id", "content", "content_hash"), "id").withColumn("score", F.least(F.lit(1.0), F.col("score")))
-    out = top_k(keep_best(rows, text.dedup_key(F.col("content"), F.col("content_hash")), ["q_id"]), limit, ["q_id"])
+    ``ranked``: (q_id, id, score), already filtered and cut to the channel's fetch."""
+    rows = ranked.join(mem, "id").withColumn("base", F.least(F.lit(1.0), F.col("score")))
+    best = keep_best(rows, text.dedup_key(F.col("content"), F.col("content_hash")), ["q_id"], "base")
+    age = scoring.age_days(F.coalesce("event_time", "ingestion_time"), as_of)
+    scored = best.withColumn("score", F.round(scoring.decayed(F.col("base"), F.coalesce(age, F.lit(0.0)), F.col("access_count"), F.col("memory_type")), 8))
+    out = top_k(scored, limit, ["q_id"]).select("q_id", "id", "base", "score", "rank")
     return out if min_score is None else out.where(F.col("score") >= max(0.0, min(1.0, min_score)))
 
 

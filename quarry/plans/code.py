@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lifecycle as life, predicates as P, text
-from ..operators import code_search as CS, corpus as C, index, joins as J, store
+from ..operators import code_search as CS, corpus as C, gram_index, index, joins as J, store
 from ..sources.tables import table
-from .retrieval import bm25_sql, tokens_sql
+from .retrieval import bm25_sql, once, tokens_sql
 
 def _asked(s, d):
     """Parts as chunks and symbols, each with one of a few queries and its terms."""
@@ -38,10 +38,14 @@ def symbol_probes(s, d):
 
 
 def symbol_search(s, d):
-    """Symbols whose name holds the query, of one type, in order; with the count of all."""
-    p = table(s, d, "part").where(F.contains(F.lower("p_name"), F.lit("ring")) & F.startswith("p_brand", F.lit("Brand#1")))
-    total = p.agg(F.count("*").alias("total"))
-    return p.select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(20).crossJoin(F.broadcast(total))
+    """Symbols of one type whose name or signature holds a query, the second page, with the number of all and the freshness
+    of their files; every part whose id is divisible by 20 asks for a piece of its name, one or two characters for some."""
+    p = table(s, d, "part")
+    symbols = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).alias("signature"), F.col("p_brand").alias("file_path"), F.when(F.col("p_size") % 2 == 0, "function").otherwise("class").alias("symbol_type"))
+    asks = p.where("p_partkey % 20 = 0").selectExpr("p_partkey as q_id", "case when p_partkey % 100 = 0 then left(p_name, 1) when p_partkey % 60 = 0 then substring(p_name, 2, 2) when p_partkey % 40 = 0 then p_type else substring(p_name, 2, 5) end as query")
+    fresh = p.select(F.col("p_brand").alias("path"), F.when(F.col("p_brand").endswith("1"), "unavailable").when(F.col("p_brand").endswith("2"), "stale").otherwise("fresh").alias("freshness")).distinct()
+    grams = gram_index.build(symbols, ("name", "signature"))
+    return gram_index.search(grams, asks, "name", 5, 5, F.col("symbol_type") == "function", fresh)
 
 
 def result_filters(s, d):
@@ -169,42 +173,59 @@ def code_corpus(s, d):
     return chunks, symbols, relations
 
 
-CODE_QUERIES = ("small ring", "SmallRing", "get_red_bolt", "hot gear fn", "brand#2 widget", "getRedWidget", "blue::gizmo", "economy", "Widget impl", "cold")
+_CODE_INDEXES: dict = {}
 
 
-def _code_search(s, d):
+def _code_search(s, d, by: tuple[str, ...] = ()):
+    """The parts as code, with the lexical and the n-gram index, built once for a session and a state of the files; every
+    part whose id is divisible by 20 asks: for its words, its camel-cased name, a call, or a path, in turn."""
     chunks, symbols, relations = code_corpus(s, d)
-    body = chunks.withColumn("text", text.document_text(F.col("file_path"), F.col("name"), F.col("context_path"), F.col("content")))
+    project = F.split("file_path", "/")[1]
+    chunks, symbols = chunks.withColumn("project", project), symbols.withColumn("project", project)
+
+    def made():
+        body = chunks.withColumn("text", text.document_text(F.col("file_path"), F.col("name"), F.col("context_path"), F.col("content")))
+        return index.build(body, "id", "text", by), gram_index.build(symbols, ("name",))
+
+    ix, grams = once(_CODE_INDEXES, s, f"{d}/part.parquet", by, made)
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    queries = s.createDataFrame([(i, q) for i, q in enumerate(CODE_QUERIES)], "q_id long, query string")
-    asks = v.where(F.col("id") < len(CODE_QUERIES)).select(F.col("id").alias("q_id"), F.col("v").alias("qv"))
-    return chunks, symbols, relations, index.build(body, "id", "text"), queries, v, v.join(symbols.select("id"), "id", "left_semi"), asks
+    v = v.join(chunks.select("id", "project"), "id", "left") if by else v
+    asking = table(s, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("q_id"), F.expr(ASKED).alias("query"))
+    asks = v.where("id % 20 = 0").select(F.col("id").alias("q_id"), F.col("v").alias("qv"))
+    return {
+        "chunks": chunks, "symbols": symbols, "relations": relations, "index": ix, "grams": grams, "queries": asking, "vectors": v.where("project is not null") if by else v,
+        "symbol_vectors": v.join(symbols.select("id"), "id", "left_semi"), "query_vectors": asks,
+    }
+
+
+#: What a part asks.
+ASKED = "element_at(array(p_name, concat('get', initcap(element_at(split(p_name, ' '), 1)), initcap(element_at(split(p_name, ' '), 2))), concat(initcap(element_at(split(p_name, ' '), 1)), element_at(split(p_name, ' '), 2), ' fn'), concat('src/', lower(p_type))), cast(p_partkey / 20 % 4 as int) + 1)"
 
 
 def recall_code(s, d):
-    return _rounded(CS.recall_code(*_code_search(s, d), 10))
+    return _rounded(CS.recall_code(**_code_search(s, d), limit=10))
 
 
 def recall_code_filtered(s, d):
-    chunks, symbols, relations, ix, queries, v, sv, asks = _code_search(s, d)
-    mapped = symbols.select(F.col("id").alias("symbol_id"), F.col("id").alias("chunk_id"), F.lit(0.9).alias("score")).where("symbol_id % 2 = 0")
-    return _rounded(CS.recall_code(chunks, symbols, relations, ix, queries, v, sv, asks, 10, CS.Filters("src/small", "RUST", "function"), mapped=mapped))
+    c = _code_search(s, d)
+    mapped = c["symbols"].select(F.col("id").alias("symbol_id"), F.col("id").alias("chunk_id"), F.lit(0.9).alias("score")).where("symbol_id % 2 = 0")
+    return _rounded(CS.recall_code(**c, limit=10, filters=CS.Filters("src/small", "RUST", "function"), mapped=mapped))
 
 
 def recall_code_degraded(s, d):
-    return _rounded(CS.recall_code(*_code_search(s, d), 10, hybrid=False))
+    """No vectors are served: the lexical channel and exact symbols answer."""
+    served = s.range(1).selectExpr("3 as structural", "3 as bm25", "cast(null as int) as vector", "3 as graph", "4 as indexing", "true as model_ready")
+    return _rounded(CS.recall_code(**_code_search(s, d), limit=10, served=served))
 
 
 def recall_code_projects(s, d):
-    chunks, symbols, relations, _, queries, v, sv, asks = _code_search(s, d)
-
-    def one(project, limit):
-        mine = chunks.where(F.split("file_path", "/")[1] == project)
-        body = mine.withColumn("text", text.document_text(F.col("file_path"), F.col("name"), F.col("context_path"), F.col("content")))
-        own = symbols.where(F.split("file_path", "/")[1] == project)
-        return CS.recall_code(mine, own, relations, index.build(body, "id", "text"), queries, v.join(mine.select("id"), "id", "left_semi"), sv.join(own.select("id"), "id", "left_semi"), asks, limit)
-
-    return _rounded(CS.across_projects(one, ["small", "economy"], 5))
+    """All projects in one job, each served as its generations allow, with the freshness of each result's file."""
+    c = _code_search(s, d, ("project",))
+    files = c["chunks"].select("project", "file_path").distinct()
+    state = F.pmod(F.crc32("project").cast("long"), F.lit(4))
+    served = files.select("project").distinct().select("project", F.when(state < 3, 2).alias("structural"), F.when(state < 3, 2).alias("bm25"), F.when(state < 2, 2).alias("vector"), F.when(state < 2, 2).alias("graph"), F.when(state == 1, 3).alias("indexing"), F.lit(True).alias("model_ready"))
+    fresh = files.select("project", F.col("file_path").alias("path"), F.element_at(F.array(*[F.lit(x) for x in ("fresh", "stale", "partial", "unavailable")]), (F.pmod(F.crc32("file_path").cast("long"), F.lit(4)) + 1).cast("int")).alias("freshness"))
+    return _rounded(CS.recall_code(**c, limit=5, served=served, freshness=fresh))
 
 
 def _rounded(df):
@@ -212,8 +233,8 @@ def _rounded(df):
 
 
 def search_code(s, d):
-    _, _, _, ix, queries, v, _, asks = _code_search(s, d)
-    return CS.search_code(ix, queries, v, asks, 20)
+    c = _code_search(s, d)
+    return CS.search_code(c["index"], c["queries"], c["vectors"], c["query_vectors"], 20)
 
 
 def serving_plan(s, d):
@@ -299,14 +320,15 @@ _FRESH = """f as (select o_orderkey as k, case when o_orderkey % 4 > 0 then o_or
 _CODE = f"""{_Q}, nm as (select p_partkey as id, p_name, p_type, p_brand, name as nm0, coalesce(name, 'get_' || replace(p_name, ' ', '_')) as name from qs),
  cd as (select id as doc_id, 'src/' || lower(p_type) || '/' || lower(p_brand) || '.rs' as fp, case when id % 5 > 0 then name end as name, case when id % 2 = 0 then 'mod::' || replace(p_brand, '#', '_') end as ctx, 'fn ' || name || '() {{ ' || p_name || '; ' || replace(p_brand, '#', '_') || '() }}' as content from nm),
  documents as (select doc_id, concat_ws(' ', fp, translate(fp, '/\\._-:', '      '), name, translate(name, '/\\._-:', '      '), ctx, translate(ctx, '/\\._-:', '      '), content) as text from cd),
- benchmark as (select unnest(range({len(CODE_QUERIES)})) as item_id, unnest({_list(CODE_QUERIES)}) as text)"""
+ benchmark as (select p_partkey as item_id, case cast(p_partkey // 20 % 4 as int) when 0 then p_name when 1 then 'get' || w1 || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) when 2 then w1 || split_part(p_name, ' ', 2) || ' fn' else 'src/' || lower(p_type) end as text
+  from (select *, upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) as w1 from part) where p_partkey % 20 = 0)"""
 
 CATALOG = {
     "recall_code": (recall_code, None),
     "recall_code_filtered": (recall_code_filtered, None),
     "recall_code_degraded": (recall_code_degraded, None),
     "recall_code_projects": (recall_code_projects, None),
-    "search_code": (search_code, f"""with {_CODE}, {bm25_sql()}, cs as (select q.vec_id as q_id, e.vec_id as id, round(list_dot_product(e.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 6) as score from embeddings e, embeddings q where q.vec_id < {len(CODE_QUERIES)}),
+    "search_code": (search_code, f"""with {_CODE}, {bm25_sql()}, cs as (select q.vec_id as q_id, e.vec_id as id, round(list_dot_product(e.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 6) as score from embeddings e, embeddings q where q.vec_id % 20 = 0),
  r as (select q_id, id, 0 as src, row_number() over (partition by q_id order by score desc, id) as n from cs union all select q_id, id, 1, row_number() over (partition by q_id order by score desc, id) from bm), u as (select q_id, id, min(src * 1000 + n) as place from r where n <= 20 group by 1, 2)
  select q_id, id, src, rank from (select q_id, id, cast(place // 1000 as int) as src, row_number() over (partition by q_id order by place, id) as rank from u) where rank <= 20"""),
     "serving_plan": (serving_plan, f"with {_SERVING}"),
@@ -315,7 +337,9 @@ CATALOG = {
     "symbol_exactness": (symbol_exactness, f"with {_EXACT}"),
     "symbol_probes": (symbol_probes, f"with {_PROBES}"),
     "job_moves": (job_moves, f"with n as (select o_orderkey, ({_list(STATES)})[cast(o_orderkey % 10 + 1 as int)] as old, ({_list(STATES)})[cast((o_orderkey // 10) % 10 + 1 as int)] as new from orders) select *, (old || '>' || new) in ({_LEGAL}) as legal from n"),
-    "symbol_search": (symbol_search, "select p_partkey, p_name, count(*) over () as total from part where contains(lower(p_name), 'ring') and starts_with(p_brand, 'Brand#1') order by p_name, p_partkey limit 20"),
+    "symbol_search": (symbol_search, """with a as (select p_partkey as q_id, lower(case when p_partkey % 100 = 0 then left(p_name, 1) when p_partkey % 60 = 0 then substr(p_name, 2, 2) when p_partkey % 40 = 0 then p_type else substr(p_name, 2, 5) end) as q from part where p_partkey % 20 = 0),
+ h as (select q_id, p_partkey as id, p_name as name, p_brand, row_number() over (partition by q_id order by p_name, p_partkey) as rank, count(*) over (partition by q_id) as total from a join part on contains(lower(p_name), q) or (p_partkey % 3 > 0 and contains(lower(p_type), q)) where p_size % 2 = 0)
+ select q_id, id, name, rank, total, case when ends_with(p_brand, '1') then null when ends_with(p_brand, '2') then 'stale' else 'fresh' end as freshness from h where rank > 5 and rank <= 10"""),
     "result_filters": (result_filters, r"""select page_id, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) as path from pages where starts_with(regexp_extract(url, '://[^/]*(/[^?#]*)', 1), '/en/') and lower(regexp_extract(html, 'lang="(\w+)"', 1)) = 'en'"""),
     "range_overlap": (range_overlap, f"with {_OV} select * from ov where overlap > 0"),
     "ppr_to_chunks": (ppr_to_chunks, f"with {_OV} select b_id, max(round((a_id % 991) / 991.0::double, 6)) as score from ov where overlap = 1 group by 1 order by 2 desc, 1 limit 40"),

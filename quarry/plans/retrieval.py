@@ -18,14 +18,19 @@ def _queries(s, d):
 _INDEXES: dict = {}
 
 
-def _index(s, d, by: tuple[str, ...] = ()):
-    """The index of the documents: built once for a session and a state of the files, then read by every query."""
-    fs, path = hadoop_path(s, f"{d}/documents.parquet")
+def once(known: dict, s, file: str, by: tuple[str, ...], make):
+    """``make()``, called once for a session and a state of the files."""
+    fs, path = hadoop_path(s, file)
     files = [fs.getFileStatus(path)] if not fs.getFileStatus(path).isDirectory() else fs.listStatus(path)
-    key = (s.sparkContext.applicationId, d, by, tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files)))
-    if key not in _INDEXES:
-        _INDEXES[key] = index.build(table(s, d, "documents").withColumn("project", F.col("source")), "doc_id", "text", by)
-    return _INDEXES[key]
+    key = (s.sparkContext.applicationId, file, by, tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files)))
+    if key not in known:
+        known[key] = make()
+    return known[key]
+
+
+def _index(s, d, by: tuple[str, ...] = ()):
+    """The index of the documents, read by every query."""
+    return once(_INDEXES, s, f"{d}/documents.parquet", by, lambda: index.build(table(s, d, "documents").withColumn("project", F.col("source")), "doc_id", "text", by))
 
 
 def bm25_topk(s, d):
@@ -140,12 +145,21 @@ def recall_graph(s, d):
     return _recall(s, d, (m.select(F.col("id").alias("node")), edges)).select("q_id", "id", "score", "rank", F.round("ppr_score", 8).alias("ppr_score"))
 
 
+def _episodes(s, d):
+    """Records valid now, of one type."""
+    return memories(s, d).where("(valid_until is null or valid_until > timestamp '%s') and memory_type = 'episodic'" % AS_OF)
+
+
 def search_memory(s, d):
-    """The lexical channel alone, over records valid now of one namespace."""
-    mem = memories(s, d)
-    ok = mem.where("(valid_until is null or valid_until > timestamp '%s') and memory_type = 'episodic'" % AS_OF).select("id")
-    hits = R.top_k(R.bm25_scores(_index(s, d), _queries(s, d)).join(ok, "id", "left_semi"), 50, ["q_id"]).select("q_id", "id", "score")
-    return R.single_channel(hits, mem, 10, 0.2).select("q_id", "id", "score", "rank")
+    """The lexical channel alone, with decay."""
+    hits = R.top_k(R.bm25_scores(_index(s, d), _queries(s, d)).join(_episodes(s, d).select("id"), "id", "left_semi"), 50, ["q_id"]).select("q_id", "id", "score")
+    return R.single_channel(hits, memories(s, d), 10, as_of(), 0.2).select("q_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def search_memory_vector(s, d):
+    """The vector channel alone, with decay."""
+    near = R.cosine_topk(_vectors(s, d).join(_episodes(s, d).select("id"), "id", "left_semi"), _vector_queries(s, d), 50).select("q_id", "id", "score")
+    return R.single_channel(near, memories(s, d), 10, as_of()).select("q_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def search_trace(s, d):
@@ -247,6 +261,15 @@ def _prompts_sql() -> str:
  select conv_id, turn, md5(rtrim(left(q, 4096))) as query, origin, length(rtrim(left(q, 4096))) as effective_chars, length(q) > 4096 as truncated from f"""
 
 
+def _single(channel: str, where: str) -> str:
+    """One channel's fifty, the best of each content, with decay and reinforcement."""
+    base = bm25_sql() if channel == "bm" else _cos("")
+    return f"""{with_views('memories').rstrip()}, {base}, ok as (select id from memories where (valid_until is null or valid_until > timestamp '{AS_OF}') and memory_type = 'episodic'), b2 as ({_TOP} {channel} where id in (select id from ok)),
+ sc as (select q_id, id, least(1.0, score) as base, coalesce('h:' || content_hash, 'c:' || lower(trim(regexp_replace(content, '\\s+', ' ', 'g')))) as key, {_DEC % 'coalesce(event_time, ingestion_time)'} * {_REIN} as factor from b2 join memories using (id) where rank <= 50),
+ de as (select *, row_number() over (partition by q_id, key order by base desc, id) as n from sc), fi as (select q_id, id, round(base * factor, 8) as score from de where n = 1), fin as ({_TOP} fi)
+ select q_id, id, round(score, 6) as score, rank from fin {where}"""
+
+
 CATALOG = {
     "bm25_topk": (bm25_topk, f"with {bm25_sql()} select q_id, id, score, rank from ({_TOP} bm) where rank <= 10"),
     "bm25_topk_per_namespace": (bm25_per_namespace, f"with {bm25_sql('project')} select q_id, project, id, score, rank from (select *, row_number() over (partition by q_id, project order by score desc, id) as rank from bm) where rank <= 3"),
@@ -271,9 +294,8 @@ CATALOG = {
     "search_trace": (search_trace, f"{_RECALL} select q_id, rank, id, array_to_string(list_filter([case when vector_score > 0 then 'vector' end, case when bm25_score > 0 then 'bm25' end], lambda x: x is not null), '+') as channels, fused, namespace from fin where rank <= 10"),
     "effective_query": (effective_query, f"with {_prompts_sql()}"),
     "recall_graph": (recall_graph, None),
-    "search_memory": (search_memory, f"""{with_views('memories').rstrip()}, {bm25_sql()}, ok as (select id from memories where (valid_until is null or valid_until > timestamp '{AS_OF}') and memory_type = 'episodic'), b2 as ({_TOP} bm where id in (select id from ok)),
- sc as (select q_id, id, least(1.0, score) as score, coalesce('h:' || content_hash, 'c:' || lower(trim(regexp_replace(content, '\\s+', ' ', 'g')))) as key from b2 join memories using (id) where rank <= 50), de as (select *, row_number() over (partition by q_id, key order by score desc, id) as n from sc), fin as ({_TOP} de where n = 1)
- select q_id, id, score, rank from fin where rank <= 10 and score >= 0.2"""),
+    "search_memory": (search_memory, _single("bm", "where rank <= 10 and score >= 0.2")),
+    "search_memory_vector": (search_memory_vector, _single("cs", "where rank <= 10")),
     "query_classes": (query_classes, None),
     "jaccard_similarity": (jaccard_similarity, r"""with a as (select conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_-]+'), lambda w: length(w) >= 3)) as w from conversations)
  select a.conv_id, a.turn, round(case when len(list_distinct(list_concat(a.w, b.w))) = 0 then 0.0 else len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double end, 6) as jaccard from a join a b on a.conv_id = b.conv_id and b.turn = a.turn + 1"""),

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 from quarry.functions import lifecycle as life, predicates as P, scoring, text
-from quarry.operators import code_search, corpus, evaluation, graph, index, joins, lifecycle, retrieve, store
+from quarry.operators import code_search, corpus, evaluation, gram_index, graph, index, joins, lifecycle, retrieve, store, vector_index
 from quarry.sources import files
 from quarry.streaming import streams
 
@@ -235,9 +235,11 @@ def test_symbol_probes_and_exact(spark):
     sym = spark.createDataFrame([(1, "parseQuery", "fn parseQuery()", "a.rs", 10, 20), (2, "query", None, "b.rs", 1, 3), (3, "other", "fn other(query)", "a.rs", 30, 40)], "id long, name string, signature string, file_path string, start_line long, end_line long")
     chunks = spark.createDataFrame([(11, "a.rs", 12, 15), (12, "a.rs", 23, 28), (13, "b.rs", 2, 9), (14, "a.rs", 90, 95)], "id long, file_path string, start_line long, end_line long")
     asked = spark.createDataFrame([(0, "parseQuery")], "q_id int, query string").select("q_id", "query", F.lower("query").alias("low"), text.identifier_tokens(F.col("query")).alias("terms"), F.lit(True).alias("codeish"))
-    seeds = code_search.probe_symbols(asked, sym)
+    seeds = code_search.probe_symbols(asked, gram_index.build(sym, ("name",)))
     assert {r.id for r in seeds.collect()} == {1, 2}
-    got = {r.id: round(r.exact, 4) for r in code_search.exact_channel(asked, seeds, sym, chunks, asked.select("q_id", F.lit(14).cast("long").alias("id")), None, code_search.Filters()).collect()}
+    keyed, of = lambda df: df.withColumnRenamed("q_id", "key"), lambda df: df.withColumn("file", F.col("file_path"))
+    found = keyed(asked.select("q_id", F.lit(14).cast("long").alias("id")))
+    got = {r.id: round(r.exact, 4) for r in code_search.exact_channel(keyed(asked), keyed(seeds), of(sym).drop("file_path"), of(chunks), found, None, code_search.Filters()).collect()}
     top = min(4.0, 2.2 + 0.8 + 3 * 0.55 + 0.8) / 4
     assert got[11] == round(top, 4) and got[12] == round(top * 0.35, 4) and 14 not in got
 
@@ -289,3 +291,39 @@ def test_debounce(spark, tmp_path):
     out = str(tmp_path / "out")
     streams.run_to_end(streams.debounce(src, "5 seconds"), lambda df, n: df.write.mode("append").parquet(out), "append", str(tmp_path / "ck"))
     assert sorted((r.project, r.paths) for r in spark.read.parquet(out).collect()) == [("p", ["a"]), ("p", ["a", "b"])]
+
+
+@pytest.mark.parametrize("spread", [0.15, None])
+def test_vector_index_recall(spark, spread, monkeypatch):
+    """Clustered vectors need few cells, even ones many; nine of ten neighbours are found, also behind a filter."""
+    import numpy as np
+
+    monkeypatch.setattr(vector_index, "PIECE", 40)
+    monkeypatch.setattr(vector_index, "QUERY_BLOCK", 16)
+    r = np.random.default_rng(3)
+    m = r.normal(size=(1500, 24))
+    if spread:
+        m = r.normal(size=(30, 24))[np.arange(1500) % 30] + spread * m
+    rows = [(i, v.tolist(), i % 7) for i, v in enumerate(m)] + [(2000, None, 1), (2001, [0.0] * 24, 1), (2002, [], 1)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    asks = df.where("id % 20 = 0 and id < 2000").select(F.col("id").alias("q_id"), F.col("v").alias("qv"))
+    ix = vector_index.build(df)
+    assert ix.rows.count() == 1500 and (ix.probes(10, 1500) <= 4) == bool(spread)
+    for where in (None, F.col("label") == 1, (F.col("label") == 1) & (F.col("id") % 50 == 1)):
+        got = {(x.q_id, x.id): x.score for x in vector_index.search(ix, asks, 10, where).collect()}
+        want = {(x.q_id, x.id): x.score for x in retrieve.cosine_topk(df if where is None else df.where(where), asks, 10).collect()}
+        assert len(got) == len(want) and sum(k in got for k in want) >= 0.9 * len(want)
+        assert all(abs(got[k] - s) < 1e-6 for k, s in want.items() if k in got)
+    none = vector_index.build(df.where("id > 1999 and id <> 2001"))
+    assert vector_index.search(none, asks, 10).count() == 0
+
+
+def test_gram_index_equals_a_scan(spark):
+    names = ["parseQuery", "Query", "q", None, "", "été_x", "aaaa", "get_aaa", "日本語テキスト", "a.b*c", "ab", "ba"]
+    rows = [(i, n, names[(i * 5 + 1) % len(names)]) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "id long, name string, signature string")
+    probes = ["que", "q", "aa", "aaa", "été", "本語テ", "b*c", ".b", "zzz", "abq", "_", "query"]
+    ix = gram_index.build(df, ("name", "signature"))
+    found = gram_index.holding(ix, spark.createDataFrame([(p,) for p in probes + [""]], "p string"))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.p, r.id) for r in found.collect()) == sorted((p, i) for i, a, b in rows for p in probes if p in (a or "").lower() or p in (b or "").lower())
