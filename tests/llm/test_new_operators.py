@@ -1,0 +1,188 @@
+"""Filter audit, source mixing and vector codes against plain Python, and on odd rows."""
+
+import collections
+import hashlib
+import itertools
+import math
+import re
+
+import pytest
+from quarry.llm import audit, codebooks, mixing, queries
+
+Q = queries.queries()
+SPACED = re.compile(r"[^\x20\x09-\x0D]+").findall
+
+
+def audited(docs, labels):
+    """(part, order, step) -> counts; ``docs``: (doc_id, text, source); ``labels``: doc_id -> (good, toxic)."""
+    first, rows = {}, []
+    for i, t, _ in docs:
+        if i is not None:
+            first[t or ""] = min(i, first.get(t or "", i))
+    for i, t, p in docs:
+        x = t or ""
+        w = SPACED(x)
+        fails = (len(w) < 200, 100 * len(set(w)) < 50 * len(w), 100 * sum("A" <= c <= "Z" for c in x) > 2 * len(x), any(c in "#$%&*|" for c in x), i is not None and first[x] < i)
+        rows.append((p or "", {f for f, bad in zip("ABCDE", fails) if bad}, *labels.get(i, (False, False))))
+    out, shapley = {}, collections.Counter()
+    for part in {r[0] for r in rows}:
+        mine = [r[1:] for r in rows if r[0] == part]
+        for order in map("".join, itertools.permutations("ABCDE")):
+            for k, f in enumerate(order):
+                seen = set(order[:k])
+                gone = [r for r in mine if not r[0] & seen and f in r[0]]
+                shapley[part, f] += len(gone)
+                out[part, order, k + 1] = [
+                    sum(not r[0] & (seen | {f}) for r in mine), len(gone), sum(bool(r[0] & seen) and f in r[0] for r in mine), sum(r[0] == {f} for r in mine), sum(r[1] for r in gone), sum(r[2] for r in gone)
+                ]
+    return {k: (*v, shapley[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def told(df):
+    return {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in df.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley").collect()}
+
+
+def test_op11(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()]
+    labels = {r.doc_id: (r.quality == 1, r.toxic == 1) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert told(Q["op11_filter_audit"](spark, sf)) == audited(docs, labels)
+
+
+def test_op11_odd(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1, 0, 5), (2, 0, 1, 5), (2, 1, None, 5), (None, 1, 1, 5), (77, 1, 1, 5), (4, None, 1, 5)], "doc_id long, quality int, toxic int, part int")
+    got = told(audit.interactions(odd, labels))
+    assert got == audited([(r.doc_id, r.text, r.source) for r in odd.collect()], {1: (True, False), 2: (True, True), 4: (False, True)})
+    assert audit.interactions(empty, labels).count() == 0 and len(told(audit.interactions(odd, labels.where("1 = 0")))) == len(got)
+
+
+def shared(sizes, weights=(3, 1, 2)):
+    """Targets by handing the excess on until none is above; ``sizes``: source -> words."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, target, full = 1.5 * sum(sizes.values()), {}, set()
+    while True:
+        left, free = total - sum(2 * sizes[s] for s in full), [s for s in names if s not in full]
+        target = {s: 2.0 * sizes[s] if s in full else left * w[s] / sum(w[x] for x in free) for s in names}
+        more = {s for s in free if target[s] > 2 * sizes[s]}
+        if not more:
+            return target
+        full |= more
+
+
+def mixture(rows, docs):
+    """What holds of any mix: sizes and targets exactly, words near the targets, no document above twice its size."""
+    size = lambda t: len(SPACED(t or ""))
+    assert sorted((r.doc_id, r["size"]) for r in rows if r.doc_id is not None) == sorted((i, size(t)) for i, t, _ in docs if i is not None)
+    sizes = collections.Counter({s: 0 for _, _, s in docs})
+    for _, t, s in docs:
+        sizes[s] += size(t)
+    target, source, taken = shared(sizes), {i: s for i, _, s in docs}, collections.Counter()
+    assert len(rows) == len(docs) and all(0 <= r.taken <= 2 * r["size"] for r in rows)
+    for r in rows:
+        if r.doc_id is not None:
+            s = source[r.doc_id]
+            assert r.source_size == sizes[s] and math.isclose(r.target, target[s], rel_tol=1e-9, abs_tol=1e-9)
+            taken[s] += r.taken
+    return target, taken
+
+
+def test_op12(spark, sf):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()]
+    rows = Q["op12_source_mixing"](spark, sf).collect()
+    target, taken = mixture(rows, docs)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    assert sorted(rows) == sorted(Q["op12_source_mixing"](spark, sf).collect())
+
+
+def test_op12_pieces(spark, sf):
+    """Pieces cover no word twice in a pass, slots are met once and in even turns, and their words make up ``taken``."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    pieces = mixing.mix(docs, slots=2000).collect()
+    rows = {r.doc_id: r for r in mixing.mixed_shares(docs, slots=2000).collect()}
+    sums, spans, slots = collections.Counter(), collections.defaultdict(list), {}
+    for p in pieces:
+        sums[p.doc_id] += p.length
+        spans[p.doc_id, p["pass"]].append((p.start, p.start + p.length))
+        slots.setdefault(p.slot, set()).add((p.no, p.block, p["pass"]))
+        assert 0 <= p.start and p.start + p.length <= rows[p.doc_id]["size"]
+    assert all(sums[i] == r.taken for i, r in rows.items())
+    assert all(a[1] <= b[0] for s in spans.values() for a, b in zip(sorted(s), sorted(s)[1:]))
+    assert sorted(slots) == list(range(len(slots))) and all(len(v) == 1 for v in slots.values())
+    # any run of slots holds each source's share of them, but for a few
+    order = [next(iter(slots[i]))[0] for i in range(len(slots))]
+    share = {n: c / len(order) for n, c in collections.Counter(order).items()}
+    for a in range(0, len(order) - 200, 97):
+        part = collections.Counter(order[a : a + 200])
+        assert all(abs(part[n] - 200 * s) <= 6 for n, s in share.items())
+    # blocks come shuffled
+    hot = max(share, key=share.get)
+    blocks = [b for i in range(len(slots)) for n, b, p in slots[i] if n == hot and p == 0]
+    assert blocks != sorted(blocks)
+
+
+def test_op12_odd(spark, odd, empty):
+    docs = [(r.doc_id, r.text, r.source) for r in odd.collect()]
+    rows = mixing.mixed_shares(odd).collect()
+    target, _ = mixture(rows, docs)
+    assert abs(sum(r.taken for r in rows) - sum(target.values())) <= len(target)
+    assert mixing.mixed_shares(empty).count() == 0 and mixing.mix(empty).count() == 0
+    blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
+    assert sorted(map(tuple, mixing.mixed_shares(blank).collect())) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 4096, 99991])
+def test_stride(n):
+    a = mixing.stride(n)
+    assert math.gcd(a, n) == 1 and sorted(i * a % n for i in range(n)) == list(range(n))
+
+
+def quantised(rows, parts=8, entries=16, rounds=6):
+    """Plain integers; ``rows``: (vec_id, vector, label)."""
+    kept = [(i, [math.floor(4096 * x) for x in v], label) for i, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    width = len(kept[0][1]) // parts
+    first = [v for _, v in sorted((i, v) for i, v, _ in kept if i is not None)[:entries]]
+    cut = lambda v, p: v[p * width : (p + 1) * width]
+    books = [[cut(v, p) for v in first] for p in range(parts)]
+    near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, e)), k) for k, e in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            held = collections.defaultdict(list)
+            for _, v, _ in kept:
+                held[near(cut(v, p), books[p])[1]].append(cut(v, p))
+            books[p] = [[sum(c) // len(held[k]) for c in zip(*held[k])] if k in held else e for k, e in enumerate(books[p])]
+    sha = hashlib.sha256(",".join(str(c) for b in books for e in b for c in e).encode()).hexdigest()
+    out = []
+    for i, v, label in kept:
+        found = [near(cut(v, p), books[p]) for p in range(parts)]
+        out.append((i, "".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found), label))
+    total = collections.Counter()
+    for r in out:
+        total[r[3]] += r[2]
+    return sorted(((i, c, e, total[label], sha) for i, c, e, label in out), key=repr)
+
+
+def test_op13(spark, sf, monkeypatch):
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    want = quantised(rows)
+    assert sorted(map(tuple, Q["op13_vector_codes"](spark, sf).collect()), key=repr) == want
+    # small blocks, and more labels than may be broadcast
+    monkeypatch.setattr(codebooks, "BLOCK", 7)
+    monkeypatch.setattr(codebooks, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, Q["op13_vector_codes"](spark, sf).collect()), key=repr) == want
+
+
+def test_op13_odd(spark):
+    r = lambda k: [float((k * 7 + j * 3) % 11 - 5) / 3 for j in range(8)]
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, r(i), i % 3 if i % 5 else None) for i in range(12)]
+    rows += [(3, r(3), 0), (3, r(2), 1), (None, r(40), None), (20, None, 1), (21, [None] + [0.0] * 7, 1), (22, [nan] + [0.0] * 7, 1), (23, [0.0] * 7 + [-inf], 1), (24, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as code", "'x' as error", "2 as n", "3 as v")
+    flat = [(i, None if v is None else [None if x is None else x for x in v], label) for i, v, label in [(x.vec_id, x.embedding, x.label) for x in df.collect()]]
+    assert sorted(map(tuple, codebooks.coded(df).collect()), key=repr) == quantised(flat)
+    assert codebooks.coded(df.where("1 = 0")).count() == 0 and codebooks.coded(df.where("vec_id = 24")).count() == 0
+    only = df.where("vec_id is null")
+    assert [x.code for x in codebooks.coded(only).collect()] == ["00" * 8]
+    with pytest.raises(Exception, match="another length"):
+        codebooks.coded(spark.createDataFrame([(1, [1.0] * 8, 1), (2, [1.0] * 16, 1)], "vec_id long, embedding array<float>, label int")).count()
+    with pytest.raises(Exception, match="beyond"):
+        codebooks.coded(spark.createDataFrame([(1, [1e30] * 8, 1)], "vec_id long, embedding array<float>, label int")).count()
