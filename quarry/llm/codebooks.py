@@ -7,8 +7,7 @@ its entry, and the tensors (a few KB, whatever the table) merge through a reduct
 neither the order of blocks nor a lost executor changes a result.
 
 Defined results: a row is dropped if its vector is null, is empty or holds a null or non-finite component. The smallest
-vec_ids lend the first entries (of equal ids the smaller vector; a null id lends none and is coded); fewer vectors make
-fewer entries. Repeated rows count and are coded each. Errors of null labels are summed together. An empty table gives
+vec_ids lend the first entries (of equal ids the smaller vector; null ids come last); fewer vectors make fewer entries. Repeated rows count and are coded each. Errors of null labels are summed together. An empty table gives
 none. Vectors of unequal length, of a length that the parts don't divide, or with a component beyond ``LARGEST`` are an
 error. Extra columns are ignored.
 """
@@ -138,15 +137,13 @@ def compress(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
     v = whole(rows)
     label = v.schema["label"].dataType.simpleString()
     # a bounded number of rows: as many as a codebook has entries
-    first = np.array([r["v"] for r in v.where("vec_id is not null").orderBy("vec_id", "v").limit(entries).collect()], np.int64)
-    if not len(first):
-        some = v.limit(1).collect()
-        if not some:
-            return v.select("vec_id", "label", F.lit("").alias("code"), F.lit(0).cast("long").alias("error")), np.zeros((parts, 0, 0), np.int64)
-        first = np.array([some[0]["v"]], np.int64)
-    dim = first.shape[1]
-    if dim % parts:
-        raise ValueError(f"{parts} parts do not divide vectors of length {dim}")
+    lent = [r["v"] for r in v.orderBy(F.asc_nulls_last("vec_id"), "v").limit(entries).select("vec_id", "v").collect()]
+    if not lent:
+        return v.select("vec_id", "label", F.lit("").alias("code"), F.lit(0).cast("long").alias("error")), np.zeros((parts, 0, 0), np.int64)
+    dim = len(lent[0])
+    if dim % parts or any(len(x) != dim for x in lent):
+        raise ValueError(f"{parts} parts do not divide vectors of length {dim}, or some have another length")
+    first = np.array(lent, np.int64)
     book = np.ascontiguousarray(first.reshape(len(first), parts, dim // parts).transpose(1, 0, 2))
     blocks = stored(v.mapInArrow(tidy(_blocked(dim, BLOCK)), f"ids array<bigint>, labels array<{label}>, n int, block binary"), "vector-blocks")
     book = fit(blocks, book, rounds)

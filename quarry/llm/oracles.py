@@ -72,7 +72,7 @@ def _vector_codes() -> str:
     width = "len(v) // 8"
     q = f"""with recursive k as (select vec_id, label, list_transform(embedding, lambda x: cast(floor({codebooks.SCALE} * cast(x as double)) as bigint)) as v, row_number() over () as r from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
  p as (select r, p, list_slice(v, p * ({width}) + 1, (p + 1) * ({width})) as x from k, (select unnest(range(8)) as p)),
- b0 as (select p, e, x from (select r, row_number() over (order by vec_id, v) - 1 as e from k where vec_id is not null) join p using (r) where e < {codebooks.ENTRIES})"""
+ b0 as (select p, e, x from (select r, row_number() over (order by vec_id nulls last, v) - 1 as e from k) join p using (r) where e < {codebooks.ENTRIES})"""
     near = "select r, p, arg_min(e, d * 256 + e) as e, min(d) as d from (select r, p.p, e, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from p join {0} b using (p)) group by 1, 2"
     for i in range(codebooks.ROUNDS):
         q += f""", a{i} as materialized ({near.format(f'b{i}')}), m{i} as (select p, e, i, cast(floor_sum as bigint) as x from (select p, e, i, (s - ((s % n) + n) % n) // n as floor_sum from (select p, e, i, cast(sum(x[i]) as bigint) as s, count(*) as n from a{i} join p using (r, p), (select unnest(range(1, 1 + (select max({width}) // 1 from k))) as i) group by 1, 2, 3))),

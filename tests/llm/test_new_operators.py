@@ -140,7 +140,7 @@ def quantised(rows, parts=8, entries=16, rounds=6):
     """Plain integers; ``rows``: (vec_id, vector, label)."""
     kept = [(i, [math.floor(4096 * x) for x in v], label) for i, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v)]
     width = len(kept[0][1]) // parts
-    first = [v for _, v in sorted((i, v) for i, v, _ in kept if i is not None)[:entries]]
+    first = [v for *_, v in sorted((i is None, i or 0, v) for i, v, _ in kept)[:entries]]
     cut = lambda v, p: v[p * width : (p + 1) * width]
     books = [[cut(v, p) for v in first] for p in range(parts)]
     near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, e)), k) for k, e in enumerate(book))
