@@ -1,12 +1,18 @@
-"""Secret scans: Boolean trigram queries choose the documents on which a rule's regular expression runs.
-
-From each rule's pattern a trigram query is derived (an AND of ORs of trigrams that any match must hold). The index is
-partitioned by document: one pass marks in each row which of the rules' trigrams it holds, and a rule's postings are
-intersected as bits of that mark. Candidates are verified by the regular expression; a rule without mandatory trigrams
-scans every text. All of it is one projection without a shuffle.
-
-Positions come from the texts between matches: ``split`` keeps them, ``regexp_extract_all`` keeps the matches, and a
-running sum of both lengths gives code-point spans. Matches are leftmost and do not overlap within a kind.
+"""Secret scans: a trigram inverted index chooses the texts on which a rule's regular expression runs.
+
+1. *Queries.* From each rule's pattern a Boolean trigram query is derived: an AND of ORs of trigrams that any match must
+   hold.
+2. *Postings.* Each trigram that some rule asks for has a list of the texts that hold it, by the text's hash; copies of a
+   text are one entry. Texts are dealt to blocks of about ``BLOCK_TEXTS`` by their hash, and a block's lists are a row, so
+   no list grows with the corpus.
+3. *Candidates.* In each block the lists are intersected and united rule by rule. A rule without mandatory trigrams scans
+   every text.
+4. *Verification.* Candidates meet the texts by hash (equal hashes of different texts only add candidates), and the rule's
+   regular expression runs there.
+
+Positions come from the texts between matches: ``split`` keeps them, ``regexp_extract_all`` keeps the matches, and running
+sums of both lengths, made in as many passes as the number of matches has bits, give spans in code points. Matches are
+leftmost and do not overlap within a kind.
 
 Defined results: null text is empty and has no span. Each row gives one row, repeated ones too. Extra columns are
 ignored.
@@ -19,6 +25,9 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
+from ._common import bounded, partitions_for, stored
+
 try:
     from re import _parser as sre
 except ImportError:  # pragma: no cover
@@ -119,44 +128,76 @@ def trigram_query(pattern: str) -> list[frozenset[frozenset[str]]]:
     return [frozenset(grams(s) for s in c) for c in clauses]
 
 
-def _candidate(query, bit: dict[str, int], mark: Column) -> Column | None:
-    def held(trigrams) -> Column:
-        out = None
-        for word in sorted({bit[t] // 63 for t in trigrams}):
-            need = sum(1 << (bit[t] % 63) for t in trigrams if bit[t] // 63 == word)
-            c = mark[word].bitwiseAND(F.lit(need).cast("long")) == F.lit(need).cast("long")
-            out = c if out is None else out & c
-        return out
+#: Texts of a block of postings, about.
+BLOCK_TEXTS = 1 << 15
 
+
+def _asked(query, lists: Column, number: dict[str, int]) -> Column:
+    """The texts of a block that meet a rule's query, by its lists (a map from a trigram's number to texts)."""
+    none = F.array().cast("array<bigint>")
+    held = lambda t: F.coalesce(F.element_at(lists, F.lit(number[t])), none)
     total = None
     for clause in query:
         either = None
         for alternative in sorted(clause, key=sorted):
-            c = held(alternative)
-            either = c if either is None else either | c
-        total = either if total is None else total & either
+            both = None
+            for t in sorted(alternative):
+                both = held(t) if both is None else F.array_intersect(both, held(t))
+            either = both if either is None else F.array_union(either, both)
+        total = either if total is None else F.array_intersect(total, either)
     return total
 
 
+def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
+    """(block, lists): for each block of texts the trigrams' lists; ``texts``: (key, low), the lower-cased texts."""
+    blocks = partitions_for(texts.sparkSession, texts.count(), BLOCK_TEXTS)
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
+    each = texts.select("key", F.explode(held).alias("gram")).distinct()
+    lists = each.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "gram").agg(F.collect_list("key").alias("keys"))
+    return lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "keys"))).alias("lists"))
+
+
+def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(of, rules): the texts, by key, on which rules with mandatory trigrams must run, as bits of the rules' numbers."""
+    queries = [trigram_query(r.pattern) for r in rules]
+    trigrams = sorted({t for q in queries for c in q for a in c for t in a})
+    number = {t: i for i, t in enumerate(trigrams)}
+    index = stored(postings(texts, trigrams), "secret-postings")
+    hits = [F.transform(_asked(q, F.col("lists"), number), _numbered(i)) for i, q in enumerate(queries) if q]
+    found = index.select(F.explode(F.flatten(F.array(*hits))).alias("x"))
+    return found.groupBy(F.col("x.key").alias("of")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.rule"))).alias("rules"))
+
+
+def _numbered(i: int):
+    return lambda key: F.struct(key.alias("key"), F.lit(i).alias("rule"))
+
+
 # ---------------------------------------------------------------- spans
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<s, o, e>> of the kept matches of a rule, in order."""
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    between = F.split(text, rule.pattern, -1)
-    tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    pairs = F.zip_with(whole, F.slice(between, 1, F.size(whole)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    steps = F.zip_with(pairs, tested, lambda z, t: F.struct(z["m"].alias("m"), z["b"].alias("b"), t.alias("t")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,o:int,e:int>>").alias("out"))
+def running(values: Column, join) -> Column:
+    """The values of an array joined from its start to each place (sums, largest), by doubling steps: the work is the
+    length times its number of bits."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int"))
+
+    def step(acc, k):
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= back, join(x, F.get(acc, i - back))).otherwise(x))
+
+    return F.aggregate(steps, values, step)
 
-    def add(acc, x):
-        start = acc["at"] + F.char_length(x["b"])
-        end = start + F.char_length(x["m"])
-        mine = F.array(F.struct(start.alias("s"), F.lit(order).alias("o"), end.alias("e")))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["t"]) >= rule.least, F.concat(acc["out"], mine)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(steps, zero, add, lambda acc: acc["out"])
+def _spans(text: Column, rule: Rule, order: int, length) -> Column:
+    """array<struct<s, o, e>> of the kept matches of a rule, in order; ``length`` measures texts."""
+    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    between = F.split(text, rule.pattern, -1)
+    tested = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole, lambda t: F.char_length(t))
+    wide = F.transform(whole, lambda m: length(m))
+    steps = F.zip_with(wide, F.slice(between, 1, F.size(whole)), lambda m, b: m + length(b))
+    ends = running(steps, lambda a, b: a + b)
+    spans = F.zip_with(ends, wide, lambda e, m: F.struct((e - m).alias("s"), F.lit(order).alias("o"), e.alias("e")))
+    kept = F.filter(F.arrays_zip(spans.alias("x"), tested.alias("n")), lambda z: z["n"] >= rule.least)
+    return F.transform(kept, lambda z: z["x"])
 
 
 def _digest(spans: Column, kinds: list[str]) -> Column:
@@ -164,28 +205,22 @@ def _digest(spans: Column, kinds: list[str]) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(names, x["o"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
-    """All columns of ``docs`` and ``_spans``: array<struct<s, o, e>>, o the number of the rule, unsorted."""
-    queries = [trigram_query(r.pattern) for r in rules]
-    trigrams = sorted({t for q in queries for c in q for a in c for t in a})
-    bit = {t: i for i, t in enumerate(trigrams)}
-    text, low = F.coalesce(F.col("text"), F.lit("")), F.lower(F.coalesce(F.col("text"), F.lit("")))
-    marks = []
-    for word in range(0, len(trigrams), 63):
-        acc = F.lit(0).cast("long")
-        for t in trigrams[word : word + 63]:
-            acc = acc.bitwiseOR(F.when(F.contains(F.col("_low"), F.lit(t)), F.lit(1 << (bit[t] - word)).cast("long")).otherwise(F.lit(0).cast("long")))
-        marks.append(acc)
+def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, length=F.char_length) -> DataFrame:
+    """All columns of ``docs`` and ``_spans``: array<struct<s, o, e>>, o the number of the rule, unsorted.
+
+    ``length`` is what positions count: code points, or bytes by ``octet_length``."""
     keep = docs.columns
-    marked = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_text"), low.alias("_low"))
-    marked = marked.select(*[F.col(f"`{c}`") for c in keep], "_text", F.array(*marks).alias("_mark") if marks else F.array().cast("array<long>").alias("_mark"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_text"), F.xxhash64(text).alias("_key"))
+    found = stored(candidates(docs.select(F.xxhash64(text).alias("key"), F.lower(text).alias("low")), rules), "secret-candidates")
+    rows = rows.join(bounded(found), F.col("_key") == F.col("of"), "left").withColumn("_rules", F.coalesce("rules", F.lit(0).cast("long")))
     none = F.array().cast("array<struct<s:int,o:int,e:int>>")
-    found = []
+    spans = []
     for i, r in enumerate(rules):
-        cand = _candidate(queries[i], bit, F.col("_mark"))
         hit = F.regexp_like(F.col("_text"), F.lit(r.pattern))
-        found.append(F.when(hit if cand is None else cand & hit, _spans(F.col("_text"), r, i)).otherwise(none))
-    return marked.select(*[F.col(f"`{c}`") for c in keep], F.concat(*found).alias("_spans"))
+        asked = F.col("_rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0
+        spans.append(F.when(asked & hit if trigram_query(r.pattern) else hit, _spans(F.col("_text"), r, i, length)).otherwise(none))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], F.concat(*spans).alias("_spans"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
@@ -204,16 +239,18 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, m
     """``docs`` with every found span of ``text`` replaced by ``mask`` (overlapping spans by one); same columns."""
     # by position: any column names pass through
     plain = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
-    found = find_spans(plain, rules)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def add(acc, x):
-        fresh = x["s"] >= acc["at"]
-        piece = F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece, F.lit(mask)))).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(F.array_sort("_spans"), zero, add)
-    tail = F.expr("substring(text, _done.at + 1)")
-    clean = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.concat(F.array_join(F.col("_done")["out"], ""), tail))
-    out = found.withColumn("_done", done)
-    return out.select(*[clean.alias(c) if c == "text" else F.col(c) for c in plain.columns]).toDF(*docs.columns)
+    # in bytes: a piece of a byte string is cut without counting what stands before it
+    found = find_spans(plain, rules, F.octet_length)
+
+    def masked(v, upto):
+        """``v``: the text's bytes and sorted spans; ``upto``: where each span and those before it end."""
+        piece = lambda at, n: F.substring(v["bytes"], at + 1, n).cast("string")
+        before = F.transform(v["spans"], lambda x, i: F.struct(x["s"].alias("s"), F.when(i > 0, F.get(upto, i - 1)).otherwise(0).alias("at")))
+        parts = F.transform(F.filter(before, lambda x: x["s"] >= x["at"]), lambda x: F.concat(piece(x["at"], x["s"] - x["at"]), F.lit(mask)))
+        return F.concat(F.array_join(parts, ""), piece(F.element_at(upto, -1), F.octet_length(v["bytes"])))
+
+    # bound once: what a lambda refers to by a column would be computed again for each span
+    bound = F.struct(F.col("text").cast("binary").alias("bytes"), F.array_sort("_spans").alias("spans"))
+    clean = let(bound, lambda v: let(running(F.transform(v["spans"], lambda x: x["e"]), F.greatest), lambda upto: masked(v, upto)))
+    clean = F.when(F.size("_spans") == 0, F.col("text")).otherwise(clean)
+    return found.select(*[clean.alias(c) if c == "text" else F.col(c) for c in plain.columns]).toDF(*docs.columns)
