@@ -1,8 +1,8 @@
 """N-gram Jaccard join: exact links between shingle sets, found with signature trees.
 
 1. *Routing*. The sets of linked documents differ in few shingles, so of enough hash-range parts of the sets at least
-   one is equal (pigeonhole, by size band). Each distinct set sends the hashes of its parts to buckets; sets with an
-   equal part form a group. Groups of the same members are one.
+   one is equal (pigeonhole, by size band) and holds shingles. Each distinct set sends the hashes of its parts to buckets;
+   sets with an equal part form a group. Groups of the same members are one.
 2. *Signature trees*. The members of a group are leaves of a tree whose nodes hold OR-combined token bitmaps and size
    ranges. A dual traversal drops node pairs whose largest possible overlap is below the required one. What is left
    ties sets into coarse components, so sets that share no more than a passage stay apart. Large groups go in blocks:
@@ -72,27 +72,37 @@ def band_plan(band: int, num: int, den: int) -> tuple[int, int, int]:
     raise AssertionError
 
 
+#: Splits of a set into parts, each by another hash, before single shingles are its keys.
+SPLITS = 3
+
+
 def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the parts of a sorted set; any two linked sets have a key in common."""
+    """Keys of the parts of a sorted set; any two linked sets have a key in common.
+
+    Of a split's parts, as many as ``spare`` and one more are equal in two linked sets. A set with no more than ``spare``
+    weak parts (of fewer than ``least`` shingles) files only its strong ones, and then one of the equal ones is among
+    them; what is strong in one set is so in the other, so a pair meets as soon as either is such a set. A set with more
+    weak parts files its strong ones too, and goes on to the next split; two sets that both went through all splits meet
+    by their first shingles in hash order (prefix filter). No key stands for an empty part, so none is met by chance."""
     n = len(s)
     band = int(np.searchsorted(_STARTS, n, "right")) - 1
-    out = []
+    out, last = [], False
     while band < len(_STARTS) - 1 and int(_STARTS[band]) <= max(n, n * den // num):
         m, spare, least = band_plan(band, num, den)
-        part = ((s >> U(32)) * U(m)) >> U(32)
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        size = np.diff(np.append(first, n))
-        ids = part[first]
-        sums = np.add.reduceat(mix(s), first, dtype=U)
-        strong = size >= least
-        # at least spare + 1 parts agree: leaving out no more than spare of one's own weak parts keeps one of them
-        if m - int(strong.sum()) <= spare:
-            ids, sums = ids[strong], sums[strong]
-        elif len(ids) < m:
-            empty = np.setdiff1d(np.arange(m, dtype=U), ids)
-            ids, sums = np.concatenate((ids, empty)), np.concatenate((sums, np.zeros(len(empty), U)))
-        out.append(mix(sums ^ mix(ids + U(mix_int(band + 1)))))
+        for split in range(SPLITS):
+            x = np.sort(mix(s ^ U(mix_int(split)))) if split else s
+            part = ((x >> U(32)) * U(m)) >> U(32)
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            strong = np.diff(np.append(first, n)) >= least
+            ids, sums = part[first][strong], np.add.reduceat(mix(x), first, dtype=U)[strong]
+            out.append(mix(sums ^ mix(ids + U(mix_int(band + 1 + (split << 32))))))
+            if m - int(strong.sum()) <= spare:
+                break
+        else:
+            last = True
         band += 1
+    if last:
+        out.append(mix(s[: n - -(-num * n // den) + 1] ^ U(mix_int(1 << 48))))
     return np.concatenate(out)
 
 
