@@ -158,11 +158,6 @@ def abandoned_generations(tables: list[DataFrame], active: DataFrame) -> DataFra
     return every.where("generation is not null").distinct().join(active.select("project_id", "generation"), ["project_id", "generation"], "left_anti")
 
 
-def promote(chunks: DataFrame, path: str) -> None:
-    """Publish a generation: partitions by project and generation, so readers prune and old ones are dropped whole."""
-    chunks.write.mode("append").partitionBy("project_id", "generation").parquet(path)
-
-
 def progress(files_done: Column, files: Column, embedded: Column, chunks: Column) -> Column:
     """Percent done: parsing, of which 30 parts in 100 wait for the vectors."""
     share = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
@@ -174,27 +169,36 @@ def progress(files_done: Column, files: Column, embedded: Column, chunks: Column
 MAX_FILE_BYTES = 1_000_000
 
 
-def index_project(files: DataFrame, known: DataFrame | None = None) -> dict[str, DataFrame]:
-    """One generation of a project from its files (file_path, language, content): ``files`` with what became of each,
-    ``chunks``, ``symbols``, ``references`` and ``relations`` between symbols.
+def extract(files: DataFrame) -> dict[str, DataFrame]:
+    """``files`` with what became of each of (file_path, language, content, further columns), and the ``chunks``,
+    ``symbols`` and ``references`` of those indexed; generated files are skipped and oversized ones fail.
 
-    Generated files are skipped and oversized ones fail; the others are stored once, then chunked; their symbols and
-    references are stored too, as relations read them several times. ``known``: symbols (id, name, file_path) of earlier
-    generations."""
+    Files are stored once; their symbols and references are stored too, as relations read them several times."""
     from ..functions.predicates import generated_header
     from ..functions.text import symbol_id
     from ..workspace import stored
-    from .joins import resolve_relations
 
     state = F.when(generated_header(F.col("content")), "skipped").when(F.octet_length("content") > MAX_FILE_BYTES, "failed").otherwise("indexed")
     # what isn't indexed keeps its state only
     marked = files.withColumn("state", state).withColumn("content", F.when(F.col("state") == "indexed", F.col("content")))
-    marked = stored(marked.select("file_path", "language", "content", "state"), "index-files")
+    marked = stored(marked, "index-files")
     good = marked.where("state = 'indexed'").select("file_path", "language", "content")
     chunks = structural_chunks(good, "file_path", "content").withColumnRenamed("id", "file_path")
     symbols = stored(extract_symbols(good).withColumn("id", symbol_id(F.lit("project"), F.col("file_path"), F.col("name"), F.col("start_line").cast("string"))), "index-symbols")
     refs = extract_references(good, symbols).withColumn("ref_id", F.xxhash64("file_path", "line_number", "relation_type", "to_name", "owner")).withColumn("name", F.col("to_name"))
-    refs = stored(refs, "index-references")
+    return {"files": marked.drop("content", "language"), "chunks": chunks, "symbols": symbols, "references": stored(refs, "index-references")}
+
+
+def relate(symbols: DataFrame, refs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """References with the symbols that they mean, of this run before ``known`` ones (id, name, file_path)."""
+    from .joins import resolve_relations
+
     fresh = symbols.select("id", "name", "file_path")
-    relations = resolve_relations(refs.select("ref_id", "name", "file_path").distinct(), fresh, fresh.limit(0) if known is None else known)
-    return {"files": marked.select("file_path", "state"), "chunks": chunks, "symbols": symbols, "references": refs, "relations": relations}
+    return resolve_relations(refs.select("ref_id", "name", "file_path").distinct(), fresh, fresh.limit(0) if known is None else known)
+
+
+def index_project(files: DataFrame, known: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One generation of a project from its files (file_path, language, content): ``files`` with what became of each,
+    ``chunks``, ``symbols``, ``references`` and ``relations`` between symbols. ``known``: symbols of earlier generations."""
+    got = extract(files)
+    return got | {"relations": relate(got["symbols"], got["references"], known)}

@@ -15,11 +15,14 @@ _KNOWN = 200_000
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``postings``: (term, by..., id, dl, tf), dealt and sorted by term; ``stats``: (by..., n, avgdl)."""
+    """``postings``: (term, by..., id, dl, tf), dealt and sorted by term; ``stats``: (by..., n, avgdl); ``terms``: (by...,
+    term, df). ``dead``: (id, upto), of a living index whose postings have a ``segment``: those before ``upto`` are dead."""
 
     postings: DataFrame
     stats: DataFrame
+    terms: DataFrame
     by: tuple[str, ...]
+    dead: DataFrame | None = None
 
 
 def _terms_of():
@@ -68,15 +71,20 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dl, pa.int64()), pa.ListArray.from_arrays(at, pa.array(names, pa.string())), pa.ListArray.from_arrays(at, pa.array(tfs, pa.int64()))], ["row", "dl", "terms", "tfs"])
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """(row, dl, terms, tfs) of ``rows(row, text)``."""
+    return rows.mapInArrow(_count, f"row {rows.schema['row'].dataType.simpleString()}, dl long, terms array<string>, tfs array<long>")
+
+
 def build(docs: DataFrame, id_col: str, text_col: str, by: tuple[str, ...] = ()) -> LexicalIndex:
     """Null texts have no term but count as documents; repeated ids are documents each."""
     key = F.struct(F.col(id_col).alias("id"), *by)
-    rows = docs.select(key.alias("row"), F.col(text_col).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
     # each document's counts, once: statistics and postings are read from them
-    counted = stored(rows.mapInArrow(_count, f"row {kind}, dl long, terms array<string>, tfs array<long>"), "index-documents")
-    stats = counted.groupBy(*[F.col(f"row.{b}").alias(b) for b in by]).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(CONFIG.empty_avgdl)).alias("avgdl"))
-    flat = counted.select("row", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+    each = stored(counted(docs.select(key.alias("row"), F.col(text_col).alias("text"))), "index-documents")
+    stats = each.groupBy(*[F.col(f"row.{b}").alias(b) for b in by]).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(CONFIG.empty_avgdl)).alias("avgdl"))
+    flat = each.select("row", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
     flat = flat.select(F.col("x.terms").alias("term"), *[f"row.{b}" for b in by], "row.id", "dl", F.col("x.tfs").alias("tf"))
     # by term: a query reads the row groups of its terms
-    return LexicalIndex(stored(flat.repartition("term").sortWithinPartitions("term"), "index-postings"), stored(stats, "index-stats"), tuple(by))
+    postings = stored(flat.repartition("term").sortWithinPartitions("term"), "index-postings")
+    terms = stored(postings.groupBy(*by, "term").agg(F.count("*").alias("df")), "index-terms")
+    return LexicalIndex(postings, stored(stats, "index-stats"), terms, tuple(by))

@@ -25,15 +25,16 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = CONFIG.k1,
     each ``by`` group), whatever is filtered afterwards. ``queries``: (q_id, text); repeated query terms count again."""
     by = list(index.by)
     wanted = queries.select("q_id", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("q_id", "term").agg(F.count("*").alias("qtf"))
-    post = index.postings.join(bounded(wanted.select("term").distinct()), "term")
-    df = post.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    df = df.join(index.stats, by) if by else df.crossJoin(F.broadcast(index.stats))  # one row of statistics
+    df = index.terms.join(index.stats, by) if by else index.terms.crossJoin(F.broadcast(index.stats))  # one row of statistics
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # a query's terms carry their weights: postings meet them once, and scores are summed before they are shuffled
+    # a query's terms carry their weights: postings are read once, and scores are summed before they are shuffled
     keys = [*by, "term"]
-    weights = bounded(wanted.join(df, "term").select("q_id", *keys, (idf * F.col("qtf") * (k1 + 1.0)).alias("w"), "avgdl"))
+    weights = stored(wanted.join(df, "term").select("q_id", *keys, (idf * F.col("qtf") * (k1 + 1.0)).alias("w"), "avgdl"), "query-terms")
+    met = index.postings.join(bounded(weights), keys)
+    if index.dead is not None:
+        met = met.join(bounded(index.dead), "id", "left").where("upto is null or segment >= upto")
     part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
-    return index.postings.join(weights, keys).groupBy("q_id", *by, "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return met.groupBy("q_id", *by, "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def tf_search(docs: DataFrame, query: str, limit: int, id_col: str, text_col: str) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import Window, functions as F
 
 from ..config import CONFIG
 from ..functions import scoring, text
-from ..operators import index, retrieve as R
+from ..operators import index, living_index, retrieve as R, vector_index
 from ..sources.tables import AS_OF, as_of, memories, table, with_views
-from ..workspace import hadoop_path
+from ..workspace import fresh_path, hadoop_path
 
 
 def _queries(s, d):
@@ -47,6 +47,18 @@ def bm25_allowed_ids(s, d):
     return R.top_k(scored, 5, ["q_id"]).select("q_id", "id", "score", F.least(F.lit(1.0), "score").alias("clamped"), "rank")
 
 
+def bm25_living(s, d):
+    """BM25 of an index that grew by inserts, patches and deletes, none of them followed by a rebuild."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    root = fresh_path(s, "living")
+    changed = docs.where("doc_id % 10 = 1").withColumn("text", F.concat(F.reverse("text"), F.lit(" "), F.substring("text", 1, 200)))
+    for batch in (docs.where("doc_id % 3 > 0"), docs.where("doc_id % 3 = 0"), changed):
+        living_index.upsert(s, root, batch, "doc_id", "text")
+    living_index.delete(s, root, docs.where("doc_id % 11 = 0").select(F.col("doc_id").alias("id")))
+    living_index.upsert(s, root, docs.where("doc_id % 33 = 0"), "doc_id", "text")
+    return R.top_k(R.bm25_scores(living_index.opened(s, root), _queries(s, d)), 10, ["q_id"]).select("q_id", "id", "score", "rank")
+
+
 def tf_search(s, d):
     return R.tf_search(table(s, d, "documents"), "the of thand", 20, "doc_id", "text")
 
@@ -76,6 +88,22 @@ def cosine_topk_filtered(s, d):
     return R.cosine_topk(_vectors(s, d).where("label = 1"), _vector_queries(s, d), 10)
 
 
+def _vector_index(s, d):
+    return once(_VECTORS, s, f"{d}/embeddings.parquet", (), lambda: vector_index.build(_vectors(s, d)))
+
+
+_VECTORS: dict = {}
+
+
+def ann_topk(s, d):
+    """Neighbours by the inverted-file index: similarities are exact, and nine of ten neighbours are found at least."""
+    return vector_index.search(_vector_index(s, d), _vector_queries(s, d), 10)
+
+
+def ann_topk_filtered(s, d):
+    return vector_index.search(_vector_index(s, d), _vector_queries(s, d), 10, F.col("label") == 1)
+
+
 def mrl_truncate(s, d):
     v = _vectors(s, d).withColumn("t", scoring.truncated(F.col("v"), 16))
     return v.select("id", F.round(scoring.norm(F.col("t")), 6).alias("norm"), F.round(F.element_at("t", 1), 6).alias("first"), F.round(F.element_at("t", 16), 6).alias("last"))
@@ -203,10 +231,10 @@ def tokens_sql(col: str) -> str:
     return rf"flatten(list_transform(list_filter(string_split_regex({col}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: {_DTOK}))"
 
 
-def bm25_sql(by: str = "", limit_q: str = "") -> str:
+def bm25_sql(by: str = "", limit_q: str = "", docs: str = "documents") -> str:
     p = f"{by}, " if by else ""
     on = f" and d2.{by} = po.{by}" if by else ""
-    return f"""tok as (select doc_id as id, {'source as ' + by + ', ' if by else ''}{tokens_sql('text')} as t from documents),
+    return f"""tok as (select doc_id as id, {'source as ' + by + ', ' if by else ''}{tokens_sql('text')} as t from {docs}),
  qt as (select q_id, term, count(*) as qtf from (select item_id as q_id, unnest({tokens_sql('text')}) as term from benchmark {limit_q}) group by 1, 2),
  st as (select {p}count(*) as n, avg(len(t)) as avgdl from tok {'group by ' + by if by else ''}),
  po as (select {p}id, dl, term, count(*) as tf from (select {p}id, len(t) as dl, unnest(t) as term from tok) where term in (select term from qt) group by all),
@@ -274,12 +302,16 @@ CATALOG = {
     "bm25_topk": (bm25_topk, f"with {bm25_sql()} select q_id, id, score, rank from ({_TOP} bm) where rank <= 10"),
     "bm25_topk_per_namespace": (bm25_per_namespace, f"with {bm25_sql('project')} select q_id, project, id, score, rank from (select *, row_number() over (partition by q_id, project order by score desc, id) as rank from bm) where rank <= 3"),
     "bm25_allowed_ids": (bm25_allowed_ids, f"with {bm25_sql()} select q_id, id, score, least(1.0, score) as clamped, rank from ({_TOP} bm where id % 3 = 1) where rank <= 5"),
+    "bm25_living": (bm25_living, f"""with dc as (select doc_id, case when doc_id % 10 = 1 and doc_id % 33 <> 0 then reverse(text) || ' ' || substr(text, 1, 200) else text end as text from documents where doc_id % 11 <> 0 or doc_id % 33 = 0),
+ {bm25_sql(docs='dc')} select q_id, id, score, rank from ({_TOP} bm) where rank <= 10"""),
     "tf_search": (tf_search, """select doc_id as id, round(greatest(0.01, least(1.0, ((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3.0 + (length(lower(text)) - length(replace(lower(text), 'of', ''))) / 2.0 + (length(lower(text)) - length(replace(lower(text), 'thand', ''))) / 5.0) / (strlen(text) + 1) * 1000)), 6) as score
  from documents where contains(lower(text), 'the') and contains(lower(text), 'of') and contains(lower(text), 'thand') order by score desc, id limit 20"""),
     "camel_tokens": (camel_tokens, f"select page_id, array_to_string({tokens_sql('url')}, ' ') as tokens from pages"),
-    "identifier_tokens": (identifier_tokens, None),
+    "identifier_tokens": (identifier_tokens, f"with t as (select p_partkey, list_sort(list_distinct({tokens_sql('p_name || array_to_string(list_transform(string_split(p_type, chr(32)), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), chr(32)) || p_brand')})) as t from part) select p_partkey, array_to_string(t, ' ') as tokens from t"),
     "cosine_topk": (cosine_topk, f"with {_cos('')} select q_id, id, score, rank from cr where rank <= 10"),
     "cosine_topk_filtered": (cosine_topk_filtered, f"with {_cos('and e.label = 1')} select q_id, id, score, rank from cr where rank <= 10"),
+    "ann_topk": (ann_topk, None),
+    "ann_topk_filtered": (ann_topk_filtered, None),
     "mrl_truncate": (mrl_truncate, """with t as (select vec_id as id, embedding[1:16]::double[] as v from embeddings), n as (select id, v, sqrt(list_dot_product(v, v)) as n from t)
  select id, round(sqrt(list_sum(list_transform(v, lambda x: (x / n) * (x / n)))), 6) as norm, round(v[1] / n, 6) as first, round(v[16] / n, 6) as last from n"""),
     "rrf_weighted": (rrf_weighted, f"{_CH}, {_rrf_sql(0.40, 0.15)} select q_id, id, score, vector_score, bm25_score, rank from fr where rank <= 10"),
@@ -296,7 +328,9 @@ CATALOG = {
     "recall_graph": (recall_graph, None),
     "search_memory": (search_memory, _single("bm", "where rank <= 10 and score >= 0.2")),
     "search_memory_vector": (search_memory_vector, _single("cs", "where rank <= 10")),
-    "query_classes": (query_classes, None),
+    "query_classes": (query_classes, r"""with h as (select page_id, url, string_split(regexp_extract(url, '://([^/]*)', 1), '.')[-2] as w from pages), i as (select *, 'get' || upper(left(w, 1)) || lower(substr(w, 2)) as ident from h)
+ select page_id, regexp_matches(url, '_|::|/|\.') or regexp_matches(url, '[a-z][A-Z]') or list_has_any(string_split_regex(lower(url), '\s+'), ['fn', 'function', 'class', 'struct', 'trait', 'impl', 'method', 'module', 'import', 'enum', 'interface']) as codeish,
+  length(ident) >= 8 and regexp_matches(ident, '^[A-Za-z0-9_:.]+$') and regexp_matches(ident, '[a-z][A-Z]') as identifier, false as plain from i"""),
     "jaccard_similarity": (jaccard_similarity, r"""with a as (select conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_-]+'), lambda w: length(w) >= 3)) as w from conversations)
  select a.conv_id, a.turn, round(case when len(list_distinct(list_concat(a.w, b.w))) = 0 then 0.0 else len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double end, 6) as jaccard from a join a b on a.conv_id = b.conv_id and b.turn = a.turn + 1"""),
 }

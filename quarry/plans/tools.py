@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lifecycle as life
-from ..operators import corpus as C, lifecycle as L, retrieve as R, store
+from ..operators import corpus as C, generations, lifecycle as L, retrieve as R, store
 from ..sources.tables import AS_OF, as_of, memories, table, with_views
+from ..workspace import fresh_path
 from .lifecycle import _A, _RV, DAYS
 
 
@@ -55,30 +56,57 @@ def reset_project(s, d):
     return store.reset(table(s, d, "documents").select("doc_id", F.col("source").alias("project_id")), "src1")
 
 
-def index_project(s, d):
-    """A generated source tree, a file a supplier: what becomes of each file, and how much is read from it.
-
-    Every seventh file is generated, every eleventh too large; every third class is the base of the next."""
+def _tree(s, d, changed=None):
+    """A source tree, a file a supplier: every seventh file is generated, every eleventh too large; every third class is
+    the base of the next. Files for which ``changed`` holds have a function more."""
     k = F.col("s_suppkey")
     # from the row, so that no constant of a megabyte stands in the plan
     filler = F.repeat(F.concat(F.lit("# filler "), F.substring("s_name", 1, 4), F.lit("\n")), 80_000)
     head = F.when(k % 7 == 0, "# @generated\n").when(k % 11 == 0, filler).otherwise("")
-    body = F.concat(head, F.lit("import os\nclass C"), k, F.when(k % 3 == 0, F.concat(F.lit("(C"), k + 1, F.lit(")"))).otherwise(""), F.lit(":\n    def run_"), k, F.lit("(self):\n        return run_"), k + 1, F.lit("(1)\n\ndef main():\n    C"), k, F.lit("().close()\n"))
-    files = table(s, d, "supplier").select(F.concat(F.lit("src/s"), k, F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), body.alias("content"))
-    got = C.index_project(files)
+    more = F.when(changed, "def extra():\n    main()\n").otherwise("") if changed is not None else F.lit("")
+    body = F.concat(head, F.lit("import os\nclass C"), k, F.when(k % 3 == 0, F.concat(F.lit("(C"), k + 1, F.lit(")"))).otherwise(""), F.lit(":\n    def run_"), k, F.lit("(self):\n        return run_"), k + 1, F.lit("(1)\n\ndef main():\n    C"), k, F.lit("().close()\n"), more)
+    return table(s, d, "supplier").select(F.concat(F.lit("src/s"), k, F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), body.alias("content"))
+
+
+def _by_file(got):
+    """How much each file of an index holds."""
     n = lambda t, c: got[t].groupBy("file_path").agg(F.count("*").alias(c))
     lines = got["symbols"].groupBy("file_path").agg(F.sum(F.col("end_line") - F.col("start_line") + 1).cast("long").alias("symbol_lines"))
     owned = got["references"].groupBy("file_path").agg(F.count_if(F.col("owner") != "global").alias("owned"))
     met = got["references"].select("file_path", "ref_id").distinct().join(got["relations"], "ref_id")
     met = met.groupBy("file_path").agg(*[F.count_if(F.col("relation_class") == c).alias(c) for c in ("observed", "inferred", "unresolved")])
-    out = got["files"]
+    out = got["files"].select("file_path", "state")
     for t in (n("chunks", "chunks"), n("symbols", "symbols"), lines, n("references", "refs"), owned, met):
         out = out.join(t, "file_path", "left")
     return out.na.fill(0)
 
 
+def index_project(s, d):
+    """What becomes of each file, and how much is read from it."""
+    return _by_file(C.index_project(_tree(s, d)))
+
+
+def reindex_project(s, d):
+    """The second generation of a project: a fifth of its files are new, a quarter changed, some gone, the rest taken over
+    from the first generation."""
+    root = fresh_path(s, "generations")
+    k = F.regexp_extract("file_path", "[0-9]+", 0).cast("int")
+    generations.build(s, root, "first", _tree(s, d).where(k % 5 > 0), parts=2)
+    second = generations.build(s, root, "second", _tree(s, d, F.col("s_suppkey") % 4 == 0).where(k % 9 > 0), parts=2)
+    return _by_file(generations.served(s, root, second)).withColumn("generation", F.lit(second))
+
+
 _M = with_views("memories").rstrip()
 
+
+def _index_sql(files: str, changed: str) -> str:
+    """The tree's files by their numbers alone."""
+    return f"""with k as (select s_suppkey as k, s_suppkey % 7 = 0 as g, s_suppkey % 7 <> 0 and s_suppkey % 11 = 0 as f, case when s_suppkey % 3 = 0 then 1 else 0 end as sub, case when {changed} then 1 else 0 end as more from {files}),
+ n as (select k.*, case when not g and not f then 1 else 0 end as ok, case when k + 1 in (select k from k where not g and not f) then 1 else 0 end as next from k)
+ select 'src/s' || k || '.py' as file_path, case when g then 'skipped' when f then 'failed' else 'indexed' end as state, ok as chunks, ok * (3 + more) as symbols, ok * (4 + 3 + 3 + 2 * more) as symbol_lines, ok * (6 + 2 * sub + 2 * more) as refs, ok * (4 + sub + more) as owned,
+  ok * (3 + sub + 2 * more) as observed, ok * next * (1 + sub) as inferred, ok * (2 + (1 - next) * (1 + sub)) as unresolved from n"""
+
+
 CATALOG = {
     "insert_memories": (insert_memories, f"""{_M} select id, case when id % 2 = 0 then memory_type when id % 3 = 0 then 'semantic' when id % 3 = 1 then 'episodic' else 'procedural' end as memory_type,
  round(case when id % 2 = 0 then importance_score when id % 5 = 0 then 1.0 else greatest(0.1, least(5.0, importance_score * 3 - 1)) end, 6) as importance_score, case when id % 2 = 0 then content_hash else sha256(content) end as content_hash, epoch_us(case when id % 2 = 0 then valid_from else timestamp '{AS_OF}' end) as from_us from memories"""),
@@ -91,8 +119,6 @@ CATALOG = {
     "status": (status, f"{_M}, {_RV} select r.*, t.*, p.* from (select invalidation_reason as reason, count(*) as count from memories where valid_until is not null group by 1) r, (select count(*) as total, count(*) filter (valid_until is null or valid_until > {_A}) as valid, count(*) filter (valid_until is not null) as invalidated from memories) t, (select count(*) as purge_eligible from rv where eligible) p"),
     "readiness": (readiness, "select count(*) as known_projects, count(*) filter (m % 2 = 0) as ready_projects from (select source, max(doc_id) as m from documents group by 1)"),
     "reset_project": (reset_project, "select doc_id, source as project_id from documents where source is distinct from 'src1'"),
-    "index_project": (index_project, """with k as (select s_suppkey as k, s_suppkey % 7 = 0 as g, s_suppkey % 7 <> 0 and s_suppkey % 11 = 0 as f, case when s_suppkey % 3 = 0 then 1 else 0 end as sub from supplier),
- n as (select k.*, case when not g and not f then 1 else 0 end as ok, case when k + 1 in (select k from k where not g and not f) then 1 else 0 end as next from k)
- select 'src/s' || k || '.py' as file_path, case when g then 'skipped' when f then 'failed' else 'indexed' end as state, ok as chunks, ok * 3 as symbols, ok * (4 + 3 + 3) as symbol_lines, ok * (6 + 2 * sub) as refs, ok * (4 + sub) as owned,
-  ok * (3 + sub) as observed, ok * next * (1 + sub) as inferred, ok * (2 + (1 - next) * (1 + sub)) as unresolved from n"""),
+    "index_project": (index_project, _index_sql("supplier", "false")),
+    "reindex_project": (reindex_project, f"select *, cast(2 as int) as generation from ({_index_sql('(select * from supplier where s_suppkey % 9 > 0)', 's_suppkey % 4 = 0')})"),
 }
