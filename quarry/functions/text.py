@@ -119,6 +119,19 @@ def word_set(content: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(content, F.lit(""))), r"[^\p{L}\p{N}_-]+"), lambda w: F.char_length(w) >= 3))
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """Overlap of the word sets of two texts; 0 where either has no word."""
+    return jaccard(word_set(a), word_set(b))
+
+
+# What marks a record as an operational detail.
+DETAIL_MARKS = ("command:", "path:", "current:", "verification", "failed", "blocker", "updated:", "todo", "continue", "`", "/")
+
+
+def operational(content: Column) -> Column:
+    return let(F.lower(content), lambda low: F.exists(F.array(*[F.lit(m) for m in DETAIL_MARKS]), lambda m: F.contains(low, m)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)

@@ -100,7 +100,8 @@ def resolve_relations(refs: DataFrame, fresh: DataFrame, known: DataFrame) -> Da
 
 
 def duplicates(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """(new_id, id, matched_by): records of equal hash or equal content."""
+    """(new_id, id, matched_by): records of equal hash or equal content, a row a match; ``lifecycle.consolidation_plan``
+    has their numbers and digests without the pairs."""
     n = new.select(F.col("id").alias("new_id"), F.col("content").alias("_c"), F.col("content_hash").alias("_h"))
     by_hash = n.join(existing, F.col("_h") == F.col("content_hash")).select("new_id", "id", F.lit("content_hash").alias("m"))
     by_text = n.join(existing, F.col("_c") == F.col("content")).select("new_id", "id", F.lit("content").alias("m"))

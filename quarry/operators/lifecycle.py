@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lifecycle as life, scoring, text
 from ..functions.predicates import protected
-from .joins import duplicates
+from ..workspace import stored
+from .retrieve import bounded
 from .store import first_rows
 
 
@@ -50,10 +51,28 @@ def capacity_archive(mem: DataFrame, as_of: Column, soft_limit: int, ratio: floa
     return low.where(~F.coalesce(grace, F.lit(False))).select("id", "score")
 
 
+def _mark(key: Column) -> Column:
+    """A number of an id that adds up: 60 bits of its MD5."""
+    return F.conv(F.left(F.md5(key.cast("string")), F.lit(15)), 16, 10).cast("decimal(38,0)")
+
+
 def consolidation_plan(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """(new_id, supersedes, fingerprint): what each new record replaces, and a digest that a later apply must match."""
-    hit = duplicates(new, existing)
-    return hit.groupBy("new_id").agg(F.count("*").alias("supersedes"), F.md5(F.array_join(F.array_sort(F.collect_list(F.lpad(F.col("id").cast("string"), 20, "0"))), ",")).alias("fingerprint"))
+    """(new_id, supersedes, fingerprint): how many records of equal hash or equal content each new one replaces, and a
+    digest of them that a later apply must match; new records that replace nothing are left out.
+
+    Records are summed by hash, by text and by both, and a new one reads three sums (the first two less the third, less
+    itself): no pair of records is ever made, however many are equal. The digest is the sum of the ids' marks."""
+    rows = existing.select(F.col("content_hash").alias("h"), F.sha2("content", 256).alias("t"), _mark(F.col("id")).alias("m"))
+    total = lambda by, p: rows.where(" and ".join(f"{c} is not null" for c in by)).groupBy(*by).agg(F.count("*").alias(f"n{p}"), F.sum("m").alias(f"m{p}"))
+    mine = new.select(F.col("id").alias("new_id"), F.col("content_hash").alias("h"), F.sha2("content", 256).alias("t"))
+    own = existing.select(F.col("id").alias("new_id"), F.col("content_hash").alias("oh"), F.sha2("content", 256).alias("ot"))
+    at = mine.join(total(["h"], 1), "h", "left").join(total(["t"], 2), "t", "left").join(total(["h", "t"], 3), ["h", "t"], "left")
+    # a record that is stored already does not replace itself
+    itself = own.join(mine, "new_id").where("h = oh or t = ot").groupBy("new_id").agg(F.count("*").alias("n4"))
+    at = at.join(itself, "new_id", "left").na.fill(0)
+    n, m = (F.col(f"{c}1") + F.col(f"{c}2") - F.col(f"{c}3") for c in ("n", "m"))
+    out = at.select("new_id", (n - F.col("n4")).alias("supersedes"), (m - F.col("n4") * _mark(F.col("new_id"))).cast("decimal(38,0)").cast("string").alias("fingerprint"))
+    return out.where("supersedes > 0")
 
 
 def audit(mem: DataFrame, as_of: Column, days: int) -> DataFrame:
@@ -84,30 +103,68 @@ def readiness(statuses: DataFrame) -> DataFrame:
     return statuses.agg(F.count("*").alias("known_projects"), F.count_if(F.col("status") == "completed").alias("ready_projects"))
 
 
+#: A group of more rows than these is not gathered into one list.
+LIST_ROWS = 10_000
+
+
 def budgeted(rows: DataFrame, group: str, order: list[str], tokens: str, budget: int, limit: int, key: str = "id") -> DataFrame:
     """(group, id, tokens): in order, rows that still fit the budget; one that doesn't is skipped; at most ``limit``.
 
-    A row's fate depends on those taken before it, so each group is folded in order. Rows that exceed the budget alone
-    are dropped first, and beyond ``limit`` + what the budget can hold nothing is taken: the fold reads a bounded list
-    only if groups are; the caller bounds them by a top-k."""
-    item = F.struct(*[F.col(c) for c in order], F.col(tokens).cast("long").alias("_t"), F.col(key).alias("_id"))
-    lists = rows.where(F.col(tokens) <= budget).groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    kind = rows.schema[key].dataType.simpleString()
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<id:{kind},tokens:bigint>>").alias("picked"))
+    A group of up to ``LIST_ROWS`` rows is folded as a list. Of a larger one each pick is the first row behind the last
+    pick that fits what is left: a minimum that is pre-aggregated, at most ``limit`` of them, whatever the group's size."""
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("id"))
+    fit = rows.where(F.col(tokens) <= budget).select(F.col(group).alias("g"), place.alias("at"), F.col(tokens).cast("long").alias("t"))
+    fit = stored(fit, "budget-rows")
+    big = stored(fit.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS).select("g"), "budget-big")
+    some = big.limit(1).count() > 0
+    small = fit.join(bounded(big), F.col("g").eqNullSafe(big["g"]), "left_anti") if some else fit
+    lists = small.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("at", "t"))).alias("xs"))
+    kind = lists.schema["xs"].dataType.elementType.simpleString()
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("picked"))
 
     def add(s, x):
-        take = (F.size(s["picked"]) < limit) & (s["used"] + x["_t"] <= budget)
-        return F.when(take, F.struct((s["used"] + x["_t"]).alias("used"), F.concat(s["picked"], F.array(F.struct(x["_id"].alias("id"), x["_t"].alias("tokens")))).alias("picked"))).otherwise(s)
-
-    out = lists.select(group, F.explode(F.aggregate("xs", zero, add, lambda s: s["picked"])).alias("p"))
-    return out.select(group, F.col("p.id").alias(key), F.col("p.tokens").alias("tokens"))
-
-
-def bootstrap(mem: DataFrame, as_of: Column, budget: int, group_limit: int = 10) -> DataFrame:
-    """Context for a session: active tasks (half the budget), then each stable prefix group (a third each)."""
+        take = (F.size(s["picked"]) < limit) & (s["used"] + x["t"] <= budget)
+        return F.when(take, F.struct((s["used"] + x["t"]).alias("used"), F.concat(s["picked"], F.array(x)).alias("picked"))).otherwise(s)
+
+    out = lists.select("g", F.explode(F.aggregate("xs", zero, add, lambda s: s["picked"])).alias("p")).select("g", "p.at", "p.t")
+    if some:
+        state = big.select(F.col("g").alias("of"), F.lit(budget).cast("long").alias("left"), F.lit(None).cast(fit.schema["at"].dataType).alias("last"))
+        for _ in range(limit):
+            open_ = fit.join(bounded(state), F.col("g").eqNullSafe(F.col("of"))).where((F.col("t") <= F.col("left")) & (F.col("last").isNull() | (F.col("at") > F.col("last"))))
+            pick = stored(open_.groupBy("g", "left").agg(F.min(F.struct("at", "t")).alias("p")), "budget-picks")
+            if not pick.limit(1).count():
+                break
+            out = out.unionByName(pick.select("g", "p.at", "p.t"))
+            state = pick.select(F.col("g").alias("of"), (F.col("left") - F.col("p.t")).alias("left"), F.col("p.at").alias("last"))
+    return out.select(F.col("g").alias(group), F.col("at.id").alias(key), F.col("t").alias("tokens"))
+
+
+# Newest records that a session starts from and that are searched for active tasks, the most results and the
+# tokens of a group at least; likeness of a detail to the prompt, and to a summary that already tells it.
+RECENT, TASK_SCAN, MOST_RESULTS, LEAST_TOKENS, GROUP_TOKENS, PROMPT_LIKE, SUMMARY_LIKE = 200, 1000, 25, 256, 128, 0.12, 0.72
+
+
+def bootstrap(mem: DataFrame, as_of: Column, budget: int = 4000, limit: int = 10, prompt: str | None = None, summary: str | None = None) -> DataFrame:
+    """(section, id, tokens): context for a session from the newest valid records: active tasks (half the budget), each
+    stable prefix group (a third each), and operational details (a third) that ``summary`` doesn't tell already.
+
+    Active tasks come from the newest ``TASK_SCAN`` records, most urgent first; all else from the newest ``RECENT`` ones
+    and these tasks. Both windows are constants, so what is selected from is small whatever the corpus."""
+    limit, budget = max(1, min(MOST_RESULTS, limit)), max(LEAST_TOKENS, min(20_000, budget))
     live = mem.where(F.col("valid_until").isNull() | (F.col("valid_until") > as_of))
-    rows = live.select("id", F.col("content"), text.prefix_of(F.col("content")).alias("grp"), text.token_estimate(F.col("content")).alias("tokens"), text.task_priority(F.col("content")).alias("prio"), "ingestion_time")
-    tasks = rows.where("grp = 'TASK' and prio > 0").withColumn("ord", -F.col("prio"))
-    rest = rows.where("grp not in ('', 'TASK')").withColumn("ord", F.lit(0))
-    pick = lambda df, b: budgeted(df.withColumn("age", -F.unix_micros("ingestion_time")), "grp", ["ord", "age", "id"], "tokens", b, group_limit)
-    return pick(tasks, budget // 2).unionByName(pick(rest, budget // 3))
+    recent = max(RECENT, limit * 8)
+    newest = live.select("id", "content", "ingestion_time").orderBy(F.desc("ingestion_time"), "id").limit(max(TASK_SCAN, recent))
+    newest = newest.withColumn("n", F.row_number().over(Window.orderBy(F.desc("ingestion_time"), "id")))  # a bounded number of rows
+    rows = stored(newest.select("id", "content", "n", text.prefix_of(F.col("content")).alias("prefix"), text.token_estimate(F.col("content")).alias("tokens")), "bootstrap-window")
+    active = (F.col("prefix") == "TASK") & text.active_task(F.col("content"))
+    urgency = -text.task_priority(F.col("content"))
+    # the newest ones first, then tasks that only the wider window holds, by urgency
+    pool = rows.where((F.col("n") <= recent) | active).withColumns({"late": F.when(F.col("n") <= recent, 0).otherwise(1), "urgent": F.when(F.col("n") <= recent, 0).otherwise(urgency)})
+    tasks = rows.where(active).select(F.lit("active_tasks").alias("section"), F.lit(0).alias("late"), urgency.alias("urgent"), "n", "id", "tokens")
+    stable = pool.where("prefix not in ('', 'TASK')").select(F.lower("prefix").alias("section"), "late", "urgent", "n", "id", "tokens")
+    like = lambda t: text.likeness(F.col("content"), F.lit(t))
+    detail = text.operational(F.col("content")) if prompt is None else text.operational(F.col("content")) | (like(prompt) > PROMPT_LIKE)
+    told = F.lit(False) if summary is None else like(summary) >= SUMMARY_LIKE
+    recovery = pool.where(detail & ~told).select(F.lit("recovery").alias("section"), "late", "urgent", "n", "id", "tokens")
+    pick = lambda df, b: budgeted(df, "section", ["late", "urgent", "n"], "tokens", b, limit)
+    return pick(tasks, budget // 2).unionByName(pick(stable, max(GROUP_TOKENS, budget // 3))).unionByName(pick(recovery, budget // 3))

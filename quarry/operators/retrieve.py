@@ -37,6 +37,29 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = CONFIG.k1,
     return met.groupBy("q_id", *by, "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def holding_documents(index: LexicalIndex, docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(q_id, id): documents (id, text) whose text holds a passage (q_id, passage), by the index of these documents.
+
+    A whole word of the passage (not its first or last, which may be part of a longer one) is a term of every document
+    that holds it: the rarest such term's postings are the candidates, and only they are searched. For passages of one or
+    two words all terms that hold their longest word stand in for it. A passage without a letter or digit has none."""
+    from . import gram_index
+
+    words = text.raw_words(F.lower("passage"))
+    asked = stored(passages.select("q_id", "passage", words.alias("words")).where(F.size("words") > 0), "passages")
+    rare = asked.where(F.size("words") > 2).select("q_id", F.explode(F.slice("words", 2, F.size("words") - 2)).alias("term")).distinct()
+    rare = rare.join(index.terms, "term").groupBy("q_id").agg(F.min(F.struct("df", "term")).alias("x")).select("q_id", "x.term")
+    short = asked.where(F.size("words") <= 2)
+    if short.limit(1).count():
+        grams = gram_index.build(index.terms.select(F.col("term").alias("id"), "term"), ("term",))
+        longest = F.array_max(F.transform("words", lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+        part = short.select("q_id", longest.alias("p"))
+        rare = rare.unionByName(part.join(gram_index.holding(grams, part.select("p")), "p").select("q_id", F.col("id").alias("term")))
+    met = index.postings.join(bounded(stored(rare, "passage-terms")), "term").select("q_id", "id").distinct()
+    found = met.join(asked.select("q_id", "passage"), "q_id").join(docs, "id")
+    return found.where(F.contains("text", F.col("passage"))).select("q_id", "id").distinct()
+
+
 def tf_search(docs: DataFrame, query: str, limit: int, id_col: str, text_col: str) -> DataFrame:
     """Documents that hold every word of the query, by term frequency."""
     from ..functions.predicates import all_words

@@ -10,12 +10,12 @@ from . import retrieval
 
 
 def _labels(s, d):
-    """Documents that hold an item verbatim: items are a stated, small set; texts are scanned once."""
-    from ..operators.retrieve import bounded
+    """Documents that hold an item verbatim."""
+    from ..operators.retrieve import holding_documents
 
-    b = bounded(table(s, d, "benchmark").select("item_id", F.col("text").alias("passage")))
-    docs = table(s, d, "documents").select("doc_id", "text")
-    return docs.join(b, F.contains("text", F.col("passage"))).select(F.col("item_id").alias("q_id"), F.col("doc_id").alias("id"))
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = table(s, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("passage"))
+    return holding_documents(retrieval._index(s, d), docs, items)
 
 
 def _metrics(s, d):

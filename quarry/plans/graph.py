@@ -43,7 +43,7 @@ def callees(s, d):
 
 
 def bfs_depth3(s, d):
-    e = supply(s, d).where("weight >= 20")
+    e = supply(s, d)
     return G.bfs(e, e.agg(F.min("src").alias("node")), 3).select("node", "depth")
 
 
@@ -114,7 +114,7 @@ CATALOG = {
     "touching_subgraph": (touching_subgraph, f"{_T.rstrip()}, {_SEED} select src, dst, weight from edges where src in (from seed) or dst in (from seed) order by src, dst limit 500"),
     "callers": (callers, f"{_T.rstrip()}, {_SEED} select distinct src as id from edges where dst in (from seed)"),
     "callees": (callees, f"{_T.rstrip()}, {_SEED} select distinct dst as id from edges where src in (from seed)"),
-    "bfs_depth3": (bfs_depth3, f"""{_S.rstrip()}, e as (select * from edges where weight >= 20), b as (select src as a, dst as b from e union select dst, src from e), s0 as (select min(src) as node from e),
+    "bfs_depth3": (bfs_depth3, f"""{_S.rstrip()}, e as (select * from edges), b as (select src as a, dst as b from e union select dst, src from e), s0 as (select min(src) as node from e),
  l1 as (select distinct b as node from b where a in (from s0) and b not in (from s0)), l2 as (select distinct b as node from b where a in (from l1) and b not in (from s0) and b not in (from l1)),
  l3 as (select distinct b as node from b where a in (from l2) and b not in (from s0) and b not in (from l1) and b not in (from l2))
  select node, 0 as depth from s0 union all select node, 1 from l1 union all select node, 2 from l2 union all select node, 3 from l3"""),
@@ -124,7 +124,7 @@ CATALOG = {
  select node, 0 as depth, false as deferred from s0 union all select node, 1, deferred from t1 union all select node, 2, deferred from t2"""),
     "ppr_fixed15": (ppr_fixed15, _ppr_sql(False, 8)),
     "ppr_hub_dampened": (ppr_hub_dampened, _ppr_sql(True, 8)),
-    "ppr_converged": (ppr_converged, None),
+    "ppr_converged": (ppr_converged, _ppr_sql(True, 4)),
     "lineage_chain": (lineage_chain, """with recursive l as (select doc_id as id, case when doc_id % 5 <> 0 then doc_id - 1 when doc_id % 100 = 0 then doc_id + 4 end as nxt from documents),
  c as (select id as start, 0 as depth, id, [id] as path, false as cycle from l where id % 5 = 4 union all select c.start, c.depth + 1, l.nxt, list_append(path, l.nxt), list_contains(path, l.nxt) from c join l using (id) where not c.cycle and l.nxt is not null and c.depth < 16)
  select start, depth, id, cycle from c"""),

@@ -61,9 +61,11 @@ def bootstrap_budget(s, d):
 
 
 def bootstrap_context(s, d):
-    pre = F.element_at(F.array(*[F.lit(p + ": ") for p in ("TASK", "DECISION", "CONTEXT", "PROJECT", "USER", "RESEARCH")]), (F.col("id") % 6 + 1).cast("int"))
-    m = memories(s, d).withColumn("content", F.concat(pre, F.when(F.col("id") % 12 == 0, "[ ] current: in_progress ").otherwise("[ ] "), F.col("content")))
-    return L.bootstrap(m, as_of(), 6000)
+    """Records with every prefix, some with urgent tasks, details and the words of the prompt or of the summary."""
+    pre = F.element_at(F.array(*[F.lit(p + ": ") for p in ("TASK", "DECISION", "CONTEXT", "PROJECT", "USER", "RESEARCH", "EPIC", "NOTE")]), (F.col("id") % 8 + 1).cast("int"))
+    head = F.when(F.col("id") % 12 == 0, "[ ] current: in_progress ").when(F.col("id") % 16 == 0, "[ ] ").when(F.col("id") % 5 == 0, "verification `x` ").otherwise("")
+    m = memories(s, d).withColumn("content", F.concat(pre, head, F.substring("content", 1, 40 + 1)))
+    return L.bootstrap(m, as_of(), 600, 4, prompt="research verification of the project", summary="verification of a decision")
 
 
 def task_priority(s, d):
@@ -170,6 +172,23 @@ def _class_sql(allowed: list[str] | None = None) -> str:
 
 _ERRORS = """case when id % 3 <> 1 then 'schema_version' end, case when id % 6 = 5 then 'kind' end, case when id % 7 = 6 then 'status' end, case when id % 13 > 10 then 'confidence' end, case when id % 4 not in (1, 2) then 'scope' end, case when id % 5 = 0 then 'source' end"""
 
+def _bootstrap_sql() -> str:
+    """The windows, the candidates of each section, and a fold in order with its budget."""
+    pre = "['TASK', 'DECISION', 'CONTEXT', 'PROJECT', 'USER', 'RESEARCH', 'EPIC', 'NOTE'][cast(id % 8 + 1 as int)]"
+    ws = lambda c: rf"list_distinct(list_filter(string_split_regex(lower({c}), '[^\p{{L}}\p{{N}}_-]+'), lambda w: length(w) >= 3))"
+    like = lambda t: f"case when len(w) = 0 then 0 else len(list_intersect(w, {ws(t)})) / len(list_distinct(list_concat(w, {ws(t)})))::double end"
+    marks = " or ".join(f"contains(low, '{m}')" for m in text.DETAIL_MARKS)
+    return f"""{with_views('memories').rstrip().replace('with ', 'with recursive ', 1)}, c as (select id, ingestion_time, {pre} as prefix, {pre} || ': ' || case when id % 12 = 0 then '[ ] current: in_progress ' when id % 16 = 0 then '[ ] ' when id % 5 = 0 then 'verification `x` ' else '' end || substr(content, 1, 41) as content from memories where valid_until is null or valid_until > timestamp '{AS_OF}'),
+ n as (select *, lower(content) as low, {ws('content')} as w, greatest(1, length(content) // 4) as tokens, row_number() over (order by ingestion_time desc, id) as n from c), v as (select *, case when contains(low, 'in_progress') then 4 else 0 end + case when contains(low, 'current:') then 2 else 0 end + case when contains(low, '[ ]') then 1 else 0 end as p from n where n <= 1000),
+ t as (select * from v where prefix = 'TASK' and p > 0), pool as (select *, 0 as late, 0 as urgent from v where n <= 200 union all select *, 1, -p from t where n > 200),
+ x as (select 'active_tasks' as section, 0 as late, -p as urgent, n, id, tokens, 300 as b from t union all select lower(prefix), late, urgent, n, id, tokens, 200 from pool where prefix not in ('TASK', 'NOTE')
+  union all select 'recovery', late, urgent, n, id, tokens, 200 from pool where ({marks} or {like("'research verification of the project'")} > 0.12) and {like("'verification of a decision'")} < 0.72),
+ o as (select *, row_number() over (partition by section order by late, urgent, n, id) as r from x where tokens <= b),
+ f as (select section, 0::bigint as r, 0::bigint as used, 0 as k, false as take, -1::bigint as id, 0::bigint as tokens from o group by 1
+  union all select f.section, o.r, case when f.k < 4 and f.used + o.tokens <= o.b then f.used + o.tokens else f.used end, case when f.k < 4 and f.used + o.tokens <= o.b then f.k + 1 else f.k end, f.k < 4 and f.used + o.tokens <= o.b, o.id, o.tokens from f join o on o.section = f.section and o.r = f.r + 1)
+ select section, id, tokens from f where take"""
+
+
 CATALOG = {
     "retention_view": (retention_view, f"{_M.rstrip()}, {_RV} select id, namespace, state, state = 'active' as visible, pinned, missing_valid_until, epoch_us(ea) as eligible_after, eligible from rv"),
     "purge_plan": (purge_plan, f"{_M.rstrip()}, {_RV}, {_PURGE} from pl"),
@@ -177,7 +196,7 @@ CATALOG = {
     "capacity_archive": (capacity_archive, f"""{_M.rstrip()}, live as (select id, round(importance_score * {_DECAY} * (1 + least(0.5 * ln(1 + access_count::double), 3.0)), 8) as score, coalesce(event_time, ingestion_time) as a, last_accessed_at as l from memories where valid_until is null or valid_until > {_A}),
  lo as (select * from (select *, row_number() over (order by score, a, id) as r, count(*) over () as n from live) where r <= n - 80) select id, score from lo where l <= {_A} - interval 5 minute"""),
     "duplicate_matches": (duplicate_matches, f"{_M.rstrip()}, {_DUP} select new_id, id, matched_by from du"),
-    "consolidation_plan": (consolidation_plan, f"{_M.rstrip()}, {_DUP} select new_id, count(*) as supersedes, md5(array_to_string(list_sort(list(lpad(cast(id as varchar), 20, '0'))), ',')) as fingerprint from du group by 1"),
+    "consolidation_plan": (consolidation_plan, f"{_M.rstrip()}, {_DUP} select new_id, count(*) as supersedes, cast(sum(cast('0x' || left(md5(cast(id as varchar)), 15) as hugeint)) as varchar) as fingerprint from du group by 1"),
     "audit_counts": (audit_counts, f"""{_M.rstrip()}, st as (select *, {_STATE} as state from memories) select count(*) as total, count(*) filter (state = 'active') as active, count(*) filter (state = 'candidate') as candidate, count(*) filter (state = 'unknown') as unknown, count(*) filter (state = 'superseded') as superseded, count(*) filter (state = 'archived') as archived, count(*) filter (state = 'rejected') as rejected, count(*) filter (state = 'invalidated') as invalidated,
  count(*) filter (valid_until + to_days({DAYS}) <= {_A}) as purge_ready, count(*) filter (superseded_by is not null and valid_until is null) as replacement_without_invalidation, count(*) filter (length(content) > 8000) as oversized, count(*) filter (content_hash is null) as missing_hash from st"""),
     "observation_counts": (observation_counts, "select role as source, case when turn = 0 then 'opened' else 'continued' end as event_type, count(*) as n from conversations group by 1, 2"),
@@ -186,7 +205,7 @@ CATALOG = {
  f as (select conv_id, 0::bigint as r, 0::bigint as used, 0 as n, false as take, -1::bigint as turn, 0::bigint as tokens from o group by 1
   union all select f.conv_id, o.r, case when f.n < 5 and f.used + o.tokens <= 150 then f.used + o.tokens else f.used end, case when f.n < 5 and f.used + o.tokens <= 150 then f.n + 1 else f.n end, f.n < 5 and f.used + o.tokens <= 150, o.turn, o.tokens from f join o on o.conv_id = f.conv_id and o.r = f.r + 1)
  select conv_id, turn as id, tokens from f where take"""),
-    "bootstrap_context": (bootstrap_context, None),
+    "bootstrap_context": (bootstrap_context, _bootstrap_sql()),
     "task_priority": (task_priority, f"{_M} select id, case when id % 2 = 0 then 4 else 0 end + case when id % 3 = 0 then 2 else 0 end + case when id % 5 = 0 then 1 else 0 end as priority, greatest(1, length(content) // 4) as tokens from memories"),
     "learning_rank": (learning_rank, f"""{_M.rstrip()}, {_LEARN}, sc as (select id % 7 as q_id, id, status, round(round((id % 97) / 97.0::double, 6) * case status when 'rule' then 1.3 when 'confirmed' then 1.1 when 'candidate' then 0.9 else 0.5 end::double * case when namespace = 'src1' then 1.2 else 1.0 end::double * greatest(0.5, least(2.0, 0.5 + confidence)) * greatest(0.5, least(2.0, 0.5 + 1.5 * importance / 5.0)), 6) as score from le where valid and status in ('candidate','confirmed','rule'))
  select * from (select *, row_number() over (partition by q_id order by score desc, id) as rank from sc) where rank <= 10"""),

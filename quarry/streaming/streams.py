@@ -28,9 +28,11 @@ def merge_access(records: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def debounce(changes: DataFrame, gap: str = "500 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """(project, started, ended, paths): the changed paths of a project once it has been quiet for ``gap``."""
+    """(project, started, ended, paths, n): the changed paths of a project once it has been quiet for ``gap``, and the
+    number of changes."""
     s = changes.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "project")
-    return s.agg(F.sort_array(F.collect_set("path")).alias("paths")).select("project", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "paths")
+    both = s.agg(F.sort_array(F.collect_set("path")).alias("paths"), F.count("*").alias("n"))
+    return both.select("project", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "paths", "n")
 
 
 def coalesce_changes(changes: DataFrame, window: str = "5 seconds", late: str = "10 seconds") -> DataFrame:
@@ -67,6 +69,33 @@ def flush_batches(changes: DataFrame, batch_size: int, debounce_ms: int) -> Data
     return changes.groupBy("project").applyInPandasWithState(step, "project string, n long, paths array<string>, reason string", "paths array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def merge_batches(table: str, ledger: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that adds each micro-batch's (id, accesses, last_accessed_at) to the records stored under
+    ``table``, exactly once: the new snapshot and the number of the batch that it holds are one version under ``ledger``,
+    so a batch that comes again after a restart is known and adds nothing."""
+    from ..sources import versions
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        have, value = versions.latest(spark, ledger)
+        if value.get("batch", -1) >= number:
+            return
+        records = spark.read.parquet(value.get("path", table))
+        counted = batch.groupBy("id").agg(F.sum("accesses").alias("accesses"), F.max("last_accessed_at").alias("last_accessed_at"))
+        path = f"{ledger}/records-{number}-{have + 1}"
+        merge_access(records, counted).write.mode("overwrite").parquet(path)
+        versions.publish(spark, ledger, have + 1, {"batch": number, "path": path})
+
+    return sink
+
+
+def merged(spark, table: str, ledger: str) -> DataFrame:
+    """The records as of the last merged batch."""
+    from ..sources import versions
+
+    return spark.read.parquet(versions.latest(spark, ledger)[1].get("path", table))
+
+
 def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str, checkpoint: str) -> None:
     """Drain what is there, each micro-batch to ``sink``; a restart resumes from ``checkpoint``."""
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
