@@ -115,9 +115,9 @@ def budgeted(rows: DataFrame, group: str, order: list[str], tokens: str, budget:
     place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("id"))
     fit = rows.where(F.col(tokens) <= budget).select(F.col(group).alias("g"), place.alias("at"), F.col(tokens).cast("long").alias("t"))
     fit = stored(fit, "budget-rows")
-    big = stored(fit.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS).select("g"), "budget-big")
+    big = stored(fit.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > LIST_ROWS).select(F.col("g").alias("of")), "budget-big")
     some = big.limit(1).count() > 0
-    small = fit.join(bounded(big), F.col("g").eqNullSafe(big["g"]), "left_anti") if some else fit
+    small = fit.join(bounded(big), F.col("g").eqNullSafe(F.col("of")), "left_anti") if some else fit
     lists = small.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("at", "t"))).alias("xs"))
     kind = lists.schema["xs"].dataType.elementType.simpleString()
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("picked"))
@@ -128,7 +128,7 @@ def budgeted(rows: DataFrame, group: str, order: list[str], tokens: str, budget:
 
     out = lists.select("g", F.explode(F.aggregate("xs", zero, add, lambda s: s["picked"])).alias("p")).select("g", "p.at", "p.t")
     if some:
-        state = big.select(F.col("g").alias("of"), F.lit(budget).cast("long").alias("left"), F.lit(None).cast(fit.schema["at"].dataType).alias("last"))
+        state = big.select("of", F.lit(budget).cast("long").alias("left"), F.lit(None).cast(fit.schema["at"].dataType).alias("last"))
         for _ in range(limit):
             open_ = fit.join(bounded(state), F.col("g").eqNullSafe(F.col("of"))).where((F.col("t") <= F.col("left")) & (F.col("last").isNull() | (F.col("at") > F.col("last"))))
             pick = stored(open_.groupBy("g", "left").agg(F.min(F.struct("at", "t")).alias("p")), "budget-picks")
