@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import CONFIG
-from ..workspace import stored
+from ..workspace import discard, stored
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -163,18 +163,26 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return label.select("node", F.col("c").alias("component"))
 
 
+#: Edges that one task sweeps in node order; a larger graph is moved by rounds over all tasks.
+SWEEP_EDGES = 200_000
+
+
 def communities(edges: DataFrame, resolution: float = 1.0, sweeps: int = 20) -> DataFrame:
-    """(node, community): single-level local moving on the undirected weighted graph.
+    """(node, community): single-level local moving on the undirected weighted graph; the community is named after its
+    smallest node. Modularity uses the whole graph's weight.
 
-    Moves depend on their order, so each connected component is swept in one task, in node order; the community is
-    named after its smallest node. Modularity uses the whole graph's weight."""
-    comp = components(edges)
+    Moves in node order depend on each other, so a graph of up to ``SWEEP_EDGES`` counted edges is swept by one task; of a
+    larger one, ``community_rounds`` moves the nodes."""
+    if edges.limit(SWEEP_EDGES + 1).count() > SWEEP_EDGES:
+        return community_rounds(edges, resolution)
     total = edges.agg(F.sum("weight")).first()[0] or 0.0
-    rows = edges.join(comp, edges.src == comp.node).select("component", "src", "dst", "weight")
 
-    def sweep(table):
+    def sweep(batches):
         import pyarrow as pa
 
+        table = pa.Table.from_batches(list(batches))
+        if not table.num_rows:
+            return
         src, dst, w = (table.column(c).to_pylist() for c in ("src", "dst", "weight"))
         adj: dict = {}
         for a, b, x in zip(src, dst, w):
@@ -207,10 +215,59 @@ def communities(edges: DataFrame, resolution: float = 1.0, sweeps: int = 20) ->
         name: dict = {}
         for n in nodes:
             name.setdefault(home[n], n)
-        return pa.table({"node": nodes, "community": [name[home[n]] for n in nodes]})
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([name[home[n]] for n in nodes])], ["node", "community"])
 
     kind = edges.schema["src"].dataType.simpleString()
-    return rows.groupBy("component").applyInArrow(sweep, f"node {kind}, community {kind}")
+    return edges.select("src", "dst", "weight").coalesce(1).mapInArrow(sweep, f"node {kind}, community {kind}")
+
+
+def modularity(both: DataFrame, home: DataFrame, weight: float, resolution: float = 1.0) -> float:
+    """Of communities ``home(node, c, k)`` of a graph ``both(a, b, w)`` whose edges stand in both directions."""
+    at = lambda n, c: home.select(F.col("node").alias(n), F.col("c").alias(c))
+    inner = both.join(at("a", "ca"), "a").join(at("b", "cb"), "b").where("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    mass = home.groupBy("c").agg(F.sum("k").alias("m")).agg(F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0.0))).first()[0]
+    return inner / (2 * weight) - resolution * mass / (4 * weight * weight) if weight else 0.0
+
+
+def community_rounds(edges: DataFrame, resolution: float = 1.0, most: int = 40, trace: list | None = None) -> DataFrame:
+    """(node, community) by rounds: in each, of the nodes that gain by a move a share, chosen by hash, moves to the
+    neighbouring community of the largest gain; masses, weights into communities and modularity are pre-aggregated sums, so
+    neither a hub nor a giant community is gathered. A round that doesn't raise the modularity is undone and the share
+    halved; rounds end when no node gains, or after ``most``. ``trace`` receives (modularity, share) of each round kept."""
+    one = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").cast("double").alias("w"))
+    both = stored(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")), "community-edges")
+    weight = float(edges.agg(F.sum("weight")).first()[0] or 0.0)
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    home = stored(nodes.join(both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")), "node", "left").select("node", F.col("node").alias("c"), F.coalesce("k", F.lit(0.0)).alias("k")), "community-home")
+    now, share = modularity(both, home, weight, resolution), 2
+    for r in range(most):
+        mass = home.groupBy("c").agg(F.sum("k").alias("mass"))
+        into = both.join(home.select(F.col("node").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
+        # a node's own community is an option even if no neighbour is in it
+        into = into.unionByName(home.select(F.col("node").alias("a"), "c", F.lit(0.0).alias("w"))).groupBy("a", "c").agg(F.sum("w").alias("w"))
+        own = home.select(F.col("node").alias("a"), F.col("c").alias("own"), "k")
+        options = into.join(own, "a").join(mass, "c")
+        gain = F.col("w") - resolution * F.col("k") * (F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / (2 * weight)
+        best = options.withColumn("gain", gain).groupBy("a", "own").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"), F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("top"))
+        moves = best.where((-F.col("top.g") > F.col("stay") + 1e-10) & (F.col("top.c") != F.col("own"))).select(F.col("a").alias("node"), F.col("top.c").alias("to"))
+        moves = stored(moves, "community-moves")
+        if not moves.limit(1).count():
+            discard(moves)
+            break
+        some = moves.where(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(share)) == 0)
+        new = stored(home.join(some, "node", "left").select("node", F.coalesce("to", "c").alias("c"), "k"), "community-home")
+        then = modularity(both, new, weight, resolution)
+        discard(moves)
+        if then > now + 1e-12:
+            discard(home)
+            home, now = new, then
+            if trace is not None:
+                trace.append((now, 1 / share))
+        else:
+            discard(new)
+            share = min(64, 2 * share)
+    name = home.groupBy("c").agg(F.min("node").alias("community"))
+    return home.join(name, "c").select("node", "community")
 
 
 def projection(nodes: DataFrame, edges: DataFrame, types: list[str] | None, prune: bool = True) -> tuple[DataFrame, DataFrame]:
