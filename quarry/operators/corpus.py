@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import tightest_parent
 
@@ -60,44 +60,153 @@ EXTENDS = r"\b(?:extends|implements|:\s*public)\s+(\w+)|class\s+\w+\(([\w.]+)\)|
 KEYWORDS = ("if", "for", "while", "switch", "match", "return", "fn", "def", "func", "function", "class", "catch", "sizeof", "fun", "elif", "and", "or", "not", "print")
 
 
+# What opens a scope without being a symbol; kinds whose inner definitions are chunks too; their labels in a
+# context path.
+SCOPES = {"rust": (("impl", r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(\w+)"),)}
+OPEN_KINDS = ("impl", "trait", "module", "class", "interface", "namespace", "enum")
+LABELS = {"module": "mod", "impl": "impl", "trait": "trait", "class": "class", "function": "fn", "method": "fn", "namespace": "ns", "interface": "iface"}
+MIN_OTHER_LINES = 3
+
+
 def _defined(line: Column, language: Column) -> Column:
-    """struct(symbol_type, name) of the definition on a line, by its language's patterns alone; null if there is none."""
+    """struct(kind, name) of the definition on a line, by its language's patterns alone; null if there is none."""
     out = None
     for lang, rules in DEFINITIONS.items():
-        found = [F.when(F.regexp_extract(line, p, 1) != "", F.struct(F.lit(kind).alias("symbol_type"), F.regexp_extract(line, p, 1).alias("name"))) for kind, p in rules]
+        found = [F.when(F.regexp_extract(line, p, 1) != "", F.struct(F.lit(kind).alias("kind"), F.regexp_extract(line, p, 1).alias("name"))) for kind, p in (*SCOPES.get(lang, ()), *rules)]
         out = F.when(language == lang, F.coalesce(*found)) if out is None else out.when(language == lang, F.coalesce(*found))
     return out
 
 
-def _ends(batches):
-    """(row, n, starts, indents) -> (row, ends): each start's last line, before the next one at its indentation or less."""
+def _code_lines(language: str, content: str) -> list[str]:
+    """The lines without what is inside strings and comments; their number stays."""
+    import re
+
+    if language == "python":
+        inside = r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|#[^\n]*|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
+    else:
+        # a quoted character, or where quotes hold strings a string; raw strings between backticks
+        single = r"'(?:\\.|[^'\\\n])*'" if language in ("javascript", "typescript", "dart") else r"'(?:\\.|[^'\\\n])'"
+        raw = r"|`[^`]*`" if language in ("javascript", "typescript", "go") else ""
+        inside = r'/\*[\s\S]*?\*/|//[^\n]*|"(?:\\.|[^"\\])*"|' + single + raw
+    keep = lambda m: "\n" * m.group().count("\n") or '""' * (m.group()[0] in "\"'`")
+    return re.sub(inside, keep, content).split("\n")
+
+
+def _block_end(lines: list[str], depth: list[int], start: int, language: str, indent: int, starts: dict[int, int]) -> int:
+    """The last line of the definition on line ``start`` (both from 0). By indentation in Python; else by brackets: where
+    the depth is back at what it was, or at a semicolon or another definition before any bracket opens."""
+    if language == "python":
+        end = start
+        for j in range(start + 1, len(lines)):
+            x = lines[j]
+            if x.strip():
+                # a closing bracket of a declaration over several lines may stand as far out as its beginning
+                if len(x) - len(x.lstrip()) <= indent and x.lstrip()[0] not in ")]}":
+                    break
+                end = j
+        return end
+    if language == "objective_c" and lines[start].lstrip().startswith("@"):
+        return next((j for j in range(start, len(lines)) if lines[j].lstrip().startswith("@end")), len(lines) - 1)
+    before, opened, full = depth[start - 1] if start else 0, False, start
+    for j in range(start, len(lines)):
+        # no body: another definition comes, or the bracket around closes
+        if j > start and not opened and (starts.get(j, indent + 1) <= indent or depth[j] < before):
+            return full
+        full = j if lines[j].strip() else full
+        opened |= "{" in lines[j]
+        if opened and depth[j] <= before:
+            return j
+        if not opened and lines[j].rstrip().endswith(";"):
+            return j
+    return len(lines) - 1
+
+
+def _nodes(batches):
+    """(row, language, content, defs) -> (row, nodes): the definitions with their ends, the scopes around them and whether
+    they are chunks; and runs of other lines outside all of them."""
     import pyarrow as pa
 
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("path", pa.string()), ("chunk", pa.bool_())])
     for b in batches:
-        ends, at = [], [0]
-        for n, starts, indents in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-            mine, open_ = [n] * len(starts), []
-            for i, (s, w) in enumerate(zip(starts, indents)):
-                while open_ and indents[open_[-1]] >= w:
-                    mine[open_.pop()] = s - 1
-                open_.append(i)
-            ends += mine
-            at.append(len(ends))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ends, pa.int32()))], ["row", "ends"])
+        out = []
+        for language, content, defs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            lines = _code_lines(language, content)
+            depth, d = [], 0
+            for x in lines:
+                d += x.count("{") - x.count("}")
+                depth.append(d)
+            # a definition inside a comment or a string is none
+            defs = [x for x in defs if lines[x["line"] - 1].strip()]
+            starts = {x["line"] - 1: x["indent"] for x in defs}
+            nodes, around, covered = [], [], -1
+            for x in defs:
+                at = x["line"] - 1
+                while around and around[-1][1] < at:
+                    around.pop()
+                end = _block_end(lines, depth, at, language, x["indent"], starts)
+                if around:
+                    end = min(end, around[-1][1])
+                path = " > ".join(f"{LABELS[k]}:{n}" for _, _, k, n in around if k in LABELS)
+                if at > covered + 1:
+                    nodes += _others(lines, covered + 1, at)
+                nodes.append((at + 1, end + 1, x["kind"], x["name"], path or None, all(k in OPEN_KINDS for _, _, k, _ in around)))
+                around.append((at, end, x["kind"], x["name"]))
+                covered = max(covered, end)
+            out.append([dict(zip(("start", "end", "kind", "name", "path", "chunk"), n)) for n in nodes + _others(lines, covered + 1, len(lines))])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(kind))], ["row", "nodes"])
+
+
+def _others(lines: list[str], low: int, high: int) -> list[tuple]:
+    """Runs of lines that are not blank, ``MIN_OTHER_LINES`` of them at least."""
+    out, begin = [], None
+    for j in range(low, high + 1):
+        full = j < high and lines[j].strip() != ""
+        if full and begin is None:
+            begin = j
+        elif not full and begin is not None:
+            if j - begin >= MIN_OTHER_LINES:
+                out.append((begin + 1, j, "other", None, None, True))
+            begin = None
+    return out
 
 
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """(file_path, name, symbol_type, start_line, end_line, signature): a symbol reaches to the line before the next
-    definition at its indentation or less.
+def nodes(files: DataFrame) -> DataFrame:
+    """(file_path, content, start, end, kind, name, path, chunk) of ``files(file_path, language, content)``: definitions at
+    any depth and other stretches of code, in order.
 
-    A file is a row from end to end: its definitions are an array, whose ends a stack finds in one pass; nothing is
-    shuffled."""
-    each = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("line"), _defined(x, F.col("language")).alias("d"), F.char_length(F.regexp_extract(x, r"^(\s*)", 1)).alias("indent"), signature(x).alias("signature")))
-    row = files.select("file_path", F.size(F.split("content", "\n")).alias("n"), F.filter(each, lambda x: x["d"].isNotNull()).alias("defs")).where(F.size("defs") > 0)
-    kept = row.select(F.struct("file_path", "defs").alias("row"), "n", F.transform("defs", lambda x: x["line"]).alias("starts"), F.transform("defs", lambda x: x["indent"]).alias("indents"))
-    out = kept.mapInArrow(_ends, f"row {kept.schema['row'].dataType.simpleString()}, ends array<int>")
-    flat = out.select("row.file_path", F.explode(F.arrays_zip(F.col("row.defs").alias("def"), F.col("ends").alias("end"))).alias("x"))
-    return flat.select("file_path", "x.def.d.name", "x.def.d.symbol_type", F.col("x.def.line").alias("start_line"), F.col("x.end").alias("end_line"), "x.def.signature")
+    A file is a row from end to end; its definitions are an array, whose ends one pass finds. Nothing is shuffled."""
+    each = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("line"), _defined(x, F.col("language")).alias("d"), F.char_length(F.regexp_extract(x, r"^(\s*)", 1)).alias("indent")))
+    defs = F.transform(F.filter(each, lambda x: x["d"].isNotNull()), lambda x: F.struct(x["line"].alias("line"), x["indent"].alias("indent"), x["d"]["kind"].alias("kind"), x["d"]["name"].alias("name")))
+    row = files.where("content is not null").select(F.struct("file_path", "content").alias("row"), "language", "content", defs.alias("defs"))
+    out = row.mapInArrow(_nodes, f"row {row.schema['row'].dataType.simpleString()}, nodes array<struct<start:int,end:int,kind:string,name:string,path:string,chunk:boolean>>")
+    return out.select("row.file_path", "row.content", F.explode("nodes").alias("x")).select("file_path", "content", "x.*")
+
+
+def extract_symbols(files: DataFrame) -> DataFrame:
+    """(file_path, name, symbol_type, start_line, end_line, signature): definitions and the lines of their blocks."""
+    n = nodes(files).where("name is not null and kind <> 'impl'")
+    return n.select("file_path", "name", F.col("kind").alias("symbol_type"), F.col("start").alias("start_line"), F.col("end").alias("end_line"), signature(F.get(F.split("content", "\n"), F.col("start") - 1)).alias("signature"))
+
+
+def definition_chunks(files: DataFrame, most: int = MAX_CHUNK, least: int = MIN_CHUNK, lines: int = WINDOW_LINES) -> DataFrame:
+    """(file_path, chunk, start_line, end_line, content, chunk_type, name, context_path): a chunk a definition, also inside
+    classes, modules and the like, with the scopes around it as its path; other code in runs of ``MIN_OTHER_LINES`` lines.
+
+    A definition of more than ``most`` bytes is cut every ``lines`` lines; files without any chunk are cut by paragraphs.
+    Chunks are numbered by start, then end."""
+    n = nodes(files).where("chunk")
+    body = F.slice(F.split("content", "\n"), F.col("start"), F.col("end") - F.col("start") + 1)
+    n = n.select("file_path", "start", "end", "kind", "name", "path", body.alias("body")).withColumn("text", F.array_join("body", "\n")).where(F.octet_length("text") >= least)
+    step = F.when(F.octet_length("text") > most, F.lit(lines)).otherwise(F.size("body"))
+    n = n.withColumn("step", step).withColumn("k", F.explode(F.expr("sequence(0, (size(body) - 1) div step)")))
+    cut = n.select(
+        "file_path", (F.col("start") + F.col("k") * F.col("step")).cast("int").alias("start_line"), F.least(F.col("end"), F.col("start") + (F.col("k") + 1) * F.col("step") - 1).cast("int").alias("end_line"),
+        F.array_join(F.slice("body", (F.col("k") * F.col("step") + 1).cast("int"), F.col("step")), "\n").alias("content"), F.when(F.octet_length("text") > most, "other").otherwise(F.col("kind")).alias("chunk_type"), "name", F.col("path").alias("context_path"),
+    ).where(F.octet_length("content") >= least)
+    rest = files.join(cut.select("file_path").distinct(), "file_path", "left_anti")
+    plain = structural_chunks(rest, "file_path", "content", most, least).select(F.col("id").alias("file_path"), "start_line", "end_line", "content", F.lit("other").alias("chunk_type"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("context_path"))
+    number = Window.partitionBy("file_path").orderBy("start_line", "end_line", "chunk_type")
+    return cut.unionByName(plain).withColumn("chunk", (F.row_number().over(number) - 1).cast("int")).select("file_path", "chunk", "start_line", "end_line", "content", "chunk_type", "name", "context_path")
 
 
 def signature(line: Column) -> Column:
@@ -183,7 +292,7 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
     marked = files.withColumn("state", state).withColumn("content", F.when(F.col("state") == "indexed", F.col("content")))
     marked = stored(marked, "index-files")
     good = marked.where("state = 'indexed'").select("file_path", "language", "content")
-    chunks = structural_chunks(good, "file_path", "content").withColumnRenamed("id", "file_path")
+    chunks = definition_chunks(good)
     symbols = stored(extract_symbols(good).withColumn("id", symbol_id(F.lit("project"), F.col("file_path"), F.col("name"), F.col("start_line").cast("string"))), "index-symbols")
     refs = extract_references(good, symbols).withColumn("ref_id", F.xxhash64("file_path", "line_number", "relation_type", "to_name", "owner")).withColumn("name", F.col("to_name"))
     return {"files": marked.drop("content", "language"), "chunks": chunks, "symbols": symbols, "references": stored(refs, "index-references")}

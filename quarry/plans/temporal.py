@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import store
+from ..sources import files
 from ..sources.tables import AS_OF, as_of, memories, records, table, with_views
+from ..workspace import fresh_path
 
 T = "2024-01-20 00:00:00"
 _us = lambda c: F.unix_micros(c).alias(f"{c}_us")
@@ -138,6 +140,27 @@ def jsonl_export_import(s, d):
     return got.where("error is null").select("row.id", "row.quality", "row.toxic")
 
 
+def jsonl_errors(s, d):
+    """Turns written as lines of a few files, some of them bad; each line with its number over all files."""
+    path = fresh_path(s, "turns")
+    c = table(s, d, "conversations").withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
+    good = F.to_json(F.struct(F.concat(F.lit("t"), F.col("k")).alias("id"), F.when(F.col("k") % 5 > 0, F.col("role")).alias("content")))
+    line = F.when(F.col("k") % 7 == 0, F.concat(F.lit("{bad "), F.col("k"))).when(F.col("k") % 11 == 0, "").otherwise(good)
+    c.select("k", line.alias("value")).repartitionByRange(8, "k").sortWithinPartitions("k").select("value").write.text(path)
+    got = store.parse_jsonl(files.jsonl_lines(s, path, 64 << 10), "id string, content string", ["id", "content"])
+    return got.select("line_no", "error", "row.id")
+
+
+def ignored_paths(s, d):
+    """Paths under ignore files at the root and in two folders: negated, folder-only, tied and deep rules."""
+    k = F.col("page_id")
+    ends = F.element_at(F.array(*[F.lit(x) for x in ("py", "log", "rs")]), (k % 3 + 1).cast("int"))
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("", "src/", "src/build/", "docs/", "docs/gen/", "keep/")]), (k % 6 + 1).cast("int"))
+    paths = table(s, d, "pages").select(F.concat(folder, F.lit("f"), k % 10, F.lit("_"), k, F.lit("."), ends).alias("file_path"))
+    rules = files.ignore_rules(s.createDataFrame([(".gitignore", "*.log\nbuild/\n/f1_*\n**/gen/f2*\n"), ("src/.gitignore", "!f3*.log\n"), ("keep/.gitignore", "*\n!*.py\n")], "file_path string, content string"))
+    return files.ignored(paths, rules)
+
+
 _M, _R = with_views("memories"), with_views("records")
 _ASOF = f"timestamp '{AS_OF}'"
 _T = f"timestamp '{T}'"
@@ -169,5 +192,9 @@ CATALOG = {
  count(l.doc_id) as labelled, count(*) filter (l.quality = 1) as good from documents d left join labels l using (doc_id) group by 1"""),
     "generation_visibility": (generation_visibility, "select doc_id as id, case when doc_id % 4 < 3 then doc_id % 4 end as generation from documents where doc_id % 4 in (1, 3)"),
     "unembedded_scan": (unembedded_scan, "select doc_id as id from documents where doc_id % 3 <> 0 and length(text) >= 50"),
+    "jsonl_errors": (jsonl_errors, """with c as (select conv_id * 1000 + turn as k, role, row_number() over (order by conv_id * 1000 + turn) as line_no from conversations)
+ select line_no, case when k % 7 = 0 then 'malformed' when k % 5 = 0 or role is null then 'missing: content' end as error, case when k % 7 > 0 and k % 5 > 0 and role is not null then 't' || k end as id from c where k % 7 = 0 or k % 11 > 0"""),
+    "ignored_paths": (ignored_paths, r"""with p as (select page_id as k, ['', 'src/', 'src/build/', 'docs/', 'docs/gen/', 'keep/'][cast(page_id % 6 + 1 as int)] as f, 'f' || (page_id % 10) || '_' || page_id || '.' || ['py', 'log', 'rs'][cast(page_id % 3 + 1 as int)] as n from pages)
+ select distinct f || n as file_path from p where f = 'src/build/' or (f = 'keep/' and not ends_with(n, '.py')) or (f in ('', 'docs/', 'docs/gen/') and ends_with(n, '.log')) or (f = 'src/' and ends_with(n, '.log') and not starts_with(n, 'f3')) or (f = '' and starts_with(n, 'f1_')) or (f = 'docs/gen/' and starts_with(n, 'f2'))"""),
     "jsonl_export_import": (jsonl_export_import, "select doc_id as id, quality, toxic from labels"),
 }

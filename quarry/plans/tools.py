@@ -103,7 +103,7 @@ def _index_sql(files: str, changed: str) -> str:
     """The tree's files by their numbers alone."""
     return f"""with k as (select s_suppkey as k, s_suppkey % 7 = 0 as g, s_suppkey % 7 <> 0 and s_suppkey % 11 = 0 as f, case when s_suppkey % 3 = 0 then 1 else 0 end as sub, case when {changed} then 1 else 0 end as more from {files}),
  n as (select k.*, case when not g and not f then 1 else 0 end as ok, case when k + 1 in (select k from k where not g and not f) then 1 else 0 end as next from k)
- select 'src/s' || k || '.py' as file_path, case when g then 'skipped' when f then 'failed' else 'indexed' end as state, ok as chunks, ok * (3 + more) as symbols, ok * (4 + 3 + 3 + 2 * more) as symbol_lines, ok * (6 + 2 * sub + 2 * more) as refs, ok * (4 + sub + more) as owned,
+ select 'src/s' || k || '.py' as file_path, case when g then 'skipped' when f then 'failed' else 'indexed' end as state, ok * (3 + more) as chunks, ok * (3 + more) as symbols, ok * (3 + 2 + 2 + 2 * more) as symbol_lines, ok * (6 + 2 * sub + 2 * more) as refs, ok * (4 + sub + more) as owned,
   ok * (3 + sub + 2 * more) as observed, ok * next * (1 + sub) as inferred, ok * (2 + (1 - next) * (1 + sub)) as unresolved from n"""
 
 
