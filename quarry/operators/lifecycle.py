@@ -168,3 +168,18 @@ def bootstrap(mem: DataFrame, as_of: Column, budget: int = 4000, limit: int = 10
     recovery = pool.where(detail & ~told).select(F.lit("recovery").alias("section"), "late", "urgent", "n", "id", "tokens")
     pick = lambda df, b: budgeted(df, "section", ["late", "urgent", "n"], "tokens", b, limit)
     return pick(tasks, budget // 2).unionByName(pick(stable, max(GROUP_TOKENS, budget // 3))).unionByName(pick(recovery, budget // 3))
+
+
+def truth(mem: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """(id, status, invalidated, has_replacement, lifecycle_state, visible, pinned, purge_eligible, eligible_after,
+    lineage_depth, terminal_replacement): what a search tells about a record beside its score, from the record alone."""
+    view = retention_view(mem, as_of, days).select("id", F.col("state").alias("lifecycle_state"), "visible", "pinned", F.col("eligible").alias("purge_eligible"), "eligible_after")
+    gone, linked = F.col("valid_until").isNotNull() | F.col("invalidation_reason").isNotNull(), F.col("superseded_by").isNotNull()
+    status = F.when(gone & linked, "superseded").when(gone, "invalidated").when(linked, "replacement_linked").otherwise("active")
+    own = mem.select("id", status.alias("status"), gone.alias("invalidated"), linked.alias("has_replacement"), F.when(linked, 1).otherwise(0).alias("lineage_depth"), F.col("superseded_by").alias("terminal_replacement"))
+    return own.join(view, "id")
+
+
+def enriched(results: DataFrame, mem: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """Search results (id, ...) with the truth of their records; the records are cut to the results first."""
+    return results.join(truth(mem.join(results.select("id").distinct(), "id", "left_semi"), as_of, days), "id")

@@ -138,3 +138,22 @@ def import_plan(payload: DataFrame, existing: DataFrame, mode: str = "remap") ->
 def cached_embeddings(rows: DataFrame, cache: DataFrame) -> DataFrame:
     """Rows with vectors reused by content hash; a null vector is still to be made."""
     return rows.join(cache, "content_hash", "left")
+
+
+def insert_entities(base: DataFrame, new: DataFrame) -> DataFrame:
+    """``base`` and new entities (id, name, entity_type, description, user_id): a missing type is unknown; the hash is that
+    of the name and description, which a vector is made of."""
+    row = new.withColumn("entity_type", F.coalesce("entity_type", F.lit("unknown"))).withColumn("content_hash", text.content_hash(F.concat("name", F.lit(": "), F.coalesce("description", F.lit("")))))
+    return base.unionByName(row.select(*[c for c in base.columns if c in row.columns]), allowMissingColumns=True)
+
+
+def insert_relations(base: DataFrame, new: DataFrame, entities: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(``base`` and the new relations (src, dst, relation_type, weight) between known entities, the new ones without):
+    observed by hand, valid from now on; a missing weight is 1, others are kept within 0 and 1."""
+    known = lambda c: entities.select(F.col("id").alias(c)).distinct()
+    met = new.join(known("src").withColumn("_a", F.lit(True)), "src", "left").join(known("dst").withColumn("_b", F.lit(True)), "dst", "left")
+    ok = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    row = met.where(ok).withColumns({
+        "weight": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("weight", F.lit(1.0)))), "relation_class": F.lit("observed"), "provenance": F.lit("imported_manual"), "valid_from": now,
+    })
+    return base.unionByName(row.select(*[c for c in base.columns if c in row.columns]), allowMissingColumns=True), met.where(~ok).select(*new.columns)

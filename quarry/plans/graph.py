@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph as G
-from ..sources.tables import memories, supply, table, transitions, with_views
+from ..operators import graph as G, store
+from ..sources.tables import as_of, memories, supply, table, transitions, with_views
 
 
 def _seeds(s, d):
@@ -90,6 +90,21 @@ def entity_search(s, d):
     return table(s, d, "customer").where(F.contains(F.lower("c_name"), F.lit("00012"))).select("c_custkey", "c_name").orderBy("c_custkey").limit(20)
 
 
+def insert_graph(s, d):
+    """Customers as entities, half of them new, and an order as a relation to the next customer: what is stored of each, and
+    the relations whose ends are unknown."""
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("entity_type"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("user_id"))
+    base = store.insert_entities(c.limit(0).withColumn("content_hash", F.lit("")), c.where("id % 2 = 0"))
+    ents = store.insert_entities(base, c.where("id % 2 = 1"))
+    new = table(s, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + F.col("o_orderkey") % 3).alias("dst"), F.col("o_orderstatus").alias("relation_type"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_totalprice") / 200000.0 - 0.1).alias("weight"))
+    shape = new.limit(0).withColumns({"relation_class": F.lit(""), "provenance": F.lit(""), "valid_from": as_of(), "valid_until": as_of()})
+    kept, bad = store.insert_relations(shape, new, ents, as_of())
+    e = ents.select(F.lit("entity").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("entity_type").alias("t"), F.lit(None).cast("double").alias("w"), F.col("content_hash").alias("more"))
+    r = kept.select(F.lit("relation").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("relation_type").alias("t"), F.round("weight", 6).alias("w"), F.concat_ws(" ", "relation_class", "provenance").alias("more"))
+    x = bad.select(F.lit("unknown").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("relation_type").alias("t"), F.round("weight", 6).alias("w"), F.lit(None).cast("string").alias("more"))
+    return e.unionByName(r).unionByName(x)
+
+
 _T, _S = with_views("transitions"), with_views("supply")
 _SEED = "seed as (select distinct src as node from edges where src like 'view_1%')"
 _SYM = "sym as (select src as id from edges union select dst from edges)"
@@ -107,7 +122,11 @@ def _ppr_sql(dampen: bool, digits: int) -> str:
  {', '.join(steps)} select node, round({score}, {digits}) as score from r15 join nd using (node)"""
 
 
+_RELATED = "n as (select o_custkey as a, o_custkey + o_orderkey % 3 as b, o_orderstatus as t, case when o_orderkey % 4 > 0 then o_totalprice / 200000.0 - 0.1 end as w, o_custkey in (select c_custkey from customer) and o_custkey + o_orderkey % 3 in (select c_custkey from customer) as ok from orders)"
+
 CATALOG = {
+    "insert_graph": (insert_graph, f"""with {_RELATED} select 'entity' as kind, c_custkey as a, null::bigint as b, case when c_custkey % 3 > 0 then c_mktsegment else 'unknown' end as t, null::double as w, sha256(c_name || ': ') as more from customer
+ union all select 'relation', a, b, t, round(greatest(0.0, least(1.0, coalesce(w, 1.0))), 6), 'observed imported_manual' from n where ok union all select 'unknown', a, b, t, round(w, 6), null from n where not ok"""),
     "node_degree": (node_degree, f"{_T} select node, count(*) as degree from (select src as node from edges union all select dst from edges) group by 1"),
     "neighbors_both": (neighbors_both, f"{_T.rstrip()}, {_SEED} select src as node, dst as neighbor, weight, 'out' as direction from edges where src in (from seed) union all select dst, src, weight, 'in' from edges where dst in (from seed)"),
     "induced_subgraph": (induced_subgraph, f"{_T.rstrip()}, n as (select distinct src from edges where weight >= 5) select src, dst, weight from edges where src in (from n) and dst in (from n)"),

@@ -52,6 +52,14 @@ def observation_prefix(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.md5(life.with_observation_prefix(F.col("text"))).alias("digest"))
 
 
+def search_truth(s, d):
+    """The lexical search's results with what is true of their records."""
+    from .retrieval import search_memory
+
+    out = L.enriched(search_memory(s, d), memories(s, d), as_of(), DAYS)
+    return out.withColumn("eligible_after", F.unix_micros("eligible_after"))
+
+
 def _turns(s, d):
     return table(s, d, "conversations").selectExpr("conv_id", "turn as id", "text as content").withColumn("tokens", text.token_estimate(F.col("content")))
 
@@ -172,6 +180,14 @@ def _class_sql(allowed: list[str] | None = None) -> str:
 
 _ERRORS = """case when id % 3 <> 1 then 'schema_version' end, case when id % 6 = 5 then 'kind' end, case when id % 7 = 6 then 'status' end, case when id % 13 > 10 then 'confidence' end, case when id % 4 not in (1, 2) then 'scope' end, case when id % 5 = 0 then 'source' end"""
 
+def _truth_sql() -> str:
+    from .retrieval import search_memory_sql
+
+    return f"""{_M.rstrip()}, {_RV}, r as ({search_memory_sql()}) select r.*, case when valid_until is not null or invalidation_reason is not null then case when superseded_by is not null then 'superseded' else 'invalidated' end when superseded_by is not null then 'replacement_linked' else 'active' end as status,
+ valid_until is not null or invalidation_reason is not null as invalidated, superseded_by is not null as has_replacement, case when superseded_by is not null then 1 else 0 end as lineage_depth, superseded_by as terminal_replacement,
+ state as lifecycle_state, state = 'active' as visible, pinned, eligible as purge_eligible, epoch_us(ea) as eligible_after from r join memories using (id) join rv using (id)"""
+
+
 def _bootstrap_sql() -> str:
     """The windows, the candidates of each section, and a fold in order with its budget."""
     pre = "['TASK', 'DECISION', 'CONTEXT', 'PROJECT', 'USER', 'RESEARCH', 'EPIC', 'NOTE'][cast(id % 8 + 1 as int)]"
@@ -201,6 +217,7 @@ CATALOG = {
  count(*) filter (valid_until + to_days({DAYS}) <= {_A}) as purge_ready, count(*) filter (superseded_by is not null and valid_until is null) as replacement_without_invalidation, count(*) filter (length(content) > 8000) as oversized, count(*) filter (content_hash is null) as missing_hash from st"""),
     "observation_counts": (observation_counts, "select role as source, case when turn = 0 then 'opened' else 'continued' end as event_type, count(*) as n from conversations group by 1, 2"),
     "observation_prefix": (observation_prefix, r"select conv_id, turn, md5(case when regexp_matches(text, '^\s*(TASK|DECISION|CONTEXT|PROJECT|USER|EPIC|RESEARCH):') then text else 'CONTEXT: ' || text end) as digest from conversations"),
+    "search_truth": (search_truth, _truth_sql()),
     "bootstrap_budget": (bootstrap_budget, """with recursive t as (select conv_id, turn, greatest(1, length(text) // 4) as tokens from conversations), o as (select *, row_number() over (partition by conv_id order by turn) as r from t where tokens <= 150),
  f as (select conv_id, 0::bigint as r, 0::bigint as used, 0 as n, false as take, -1::bigint as turn, 0::bigint as tokens from o group by 1
   union all select f.conv_id, o.r, case when f.n < 5 and f.used + o.tokens <= 150 then f.used + o.tokens else f.used end, case when f.n < 5 and f.used + o.tokens <= 150 then f.n + 1 else f.n end, f.n < 5 and f.used + o.tokens <= 150, o.turn, o.tokens from f join o on o.conv_id = f.conv_id and o.r = f.r + 1)

@@ -298,6 +298,10 @@ def _single(channel: str, where: str) -> str:
  select q_id, id, round(score, 6) as score, rank from fin {where}"""
 
 
+def search_memory_sql() -> str:
+    return _single("bm", "where rank <= 10 and score >= 0.2")
+
+
 CATALOG = {
     "bm25_topk": (bm25_topk, f"with {bm25_sql()} select q_id, id, score, rank from ({_TOP} bm) where rank <= 10"),
     "bm25_topk_per_namespace": (bm25_per_namespace, f"with {bm25_sql('project')} select q_id, project, id, score, rank from (select *, row_number() over (partition by q_id, project order by score desc, id) as rank from bm) where rank <= 3"),
@@ -326,7 +330,7 @@ CATALOG = {
     "search_trace": (search_trace, f"{_RECALL} select q_id, rank, id, array_to_string(list_filter([case when vector_score > 0 then 'vector' end, case when bm25_score > 0 then 'bm25' end], lambda x: x is not null), '+') as channels, fused, namespace from fin where rank <= 10"),
     "effective_query": (effective_query, f"with {_prompts_sql()}"),
     "recall_graph": (recall_graph, None),
-    "search_memory": (search_memory, _single("bm", "where rank <= 10 and score >= 0.2")),
+    "search_memory": (search_memory, search_memory_sql()),
     "search_memory_vector": (search_memory_vector, _single("cs", "where rank <= 10")),
     "query_classes": (query_classes, r"""with h as (select page_id, url, string_split(regexp_extract(url, '://([^/]*)', 1), '.')[-2] as w from pages), i as (select *, 'get' || upper(left(w, 1)) || lower(substr(w, 2)) as ident from h)
  select page_id, regexp_matches(url, '_|::|/|\.') or regexp_matches(url, '[a-z][A-Z]') or list_has_any(string_split_regex(lower(url), '\s+'), ['fn', 'function', 'class', 'struct', 'trait', 'impl', 'method', 'module', 'import', 'enum', 'interface']) as codeish,

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..streaming import streams as S
-from ..workspace import folder
+from ..workspace import fresh_path
 
 
 def _stream(s, d):
@@ -21,7 +19,7 @@ def _is_dir(s, path):
 
 
 def _drain(s, stream, mode):
-    base = f"{folder(s)}/quarry/stream-{uuid.uuid4().hex}"
+    base = fresh_path(s, "stream")
     S.run_to_end(stream, lambda df, n: df.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{base}/out"), mode, f"{base}/state")
     return s.read.parquet(f"{base}/out")
 
@@ -42,7 +40,7 @@ def debounce_sessions(s, d):
     """The streaming debounce, drained: a marker far behind the last event moves the watermark past every session."""
     gap, late = "10 minutes", "10 seconds"
     e = _stream(s, d).select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("project"), F.col("event_type").alias("path"))
-    mark = f"{folder(s)}/quarry/marker-{uuid.uuid4().hex}"
+    mark = fresh_path(s, "marker")
     table(s, d, "events").agg((F.max("ts").cast("timestamp") + F.expr("interval 1 day")).alias("ts")).select("ts", F.lit(None).cast("long").alias("project"), F.lit("marker").alias("path")).write.parquet(mark)
     marked = s.readStream.schema("ts timestamp, project long, path string").parquet(mark)
     # the marker is left out of the drained rows: a filter in the stream would be pushed before the watermark

@@ -129,11 +129,8 @@ def unembedded_scan(s, d):
 
 
 def jsonl_export_import(s, d):
-    from ..workspace import folder
-    import uuid
-
     rows = table(s, d, "labels").selectExpr("doc_id as id", "quality", "toxic")
-    path = f"{folder(s)}/quarry/export-{uuid.uuid4().hex}"
+    path = fresh_path(s, "export")
     store.export_jsonl(rows, path)
     back = s.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("raw"))
     got = store.parse_jsonl(back, "id long, quality int, toxic int", ["id", "quality"])

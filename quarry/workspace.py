@@ -23,7 +23,13 @@ def folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/quarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every stored table of this application; results that were not written elsewhere can't be read afterwards."""
+    fs, p = hadoop_path(spark, f"{folder(spark)}/quarry/{spark.sparkContext.applicationId}")
+    fs.delete(p, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
