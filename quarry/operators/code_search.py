@@ -17,7 +17,7 @@ from ..workspace import stored
 from .gram_index import GramIndex, build as gram_index, holding
 from .index import LexicalIndex
 from .joins import overlap_score
-from .retrieve import bm25_scores, bounded, cosine_topk, graph_channel, ordered_union, top_k
+from .retrieve import bm25_topk, bounded, cosine_topk, graph_channel, ordered_union, top_k
 
 # Least exactness and number of exact symbols, files opened for them, mapped chunks, chunks added, seeds.
 EXACT_LEAST, EXACT_SYMBOLS, EXACT_FILES, EXACT_MAPPED, EXACT_ADDED, PROBE_HITS, SYMBOL_SEEDS = 0.45, 20, 8, 80, 40, 20, 20
@@ -49,7 +49,7 @@ def search_code(index: LexicalIndex, queries: DataFrame, vectors: DataFrame, que
     """(q_id, id, src, rank): the nearest chunks in order, then lexical ones that they lack, ``limit`` in all.
 
     ``src`` is 0 for a chunk of the vector channel and 1 for one of the lexical channel."""
-    lexical = top_k(bm25_scores(index, queries.withColumnRenamed("query", "text")), limit, ["q_id"])
+    lexical = bm25_topk(index, queries.withColumnRenamed("query", "text"), limit)
     both = ordered_union(cosine_topk(vectors, query_vectors, limit), lexical, ["q_id"])
     return both.where(F.col("rank") <= limit)
 
@@ -79,30 +79,36 @@ def probe_symbols(asked: DataFrame, grams: GramIndex, path_prefix: str | None =
     return mine.select("q_id", *by, "id", F.row_number().over(Window.partitionBy("q_id", *by).orderBy("at", "id")).alias("pos"))
 
 
-def exact_channel(asked: DataFrame, seeds: DataFrame, symbols: DataFrame, chunks: DataFrame, found: DataFrame, mapped: DataFrame | None, filters: Filters) -> DataFrame:
+def exact_channel(asked: DataFrame, seeds: DataFrame, symbols: DataFrame, chunks: DataFrame, found: DataFrame, mapped: DataFrame | None, filters: Filters, most: int | None = None) -> DataFrame:
     """(key, id, exact): the best of exactness times overlap of the exact symbols with chunks of their files.
 
-    ``found``: (key, id), chunks of the other channels; ``mapped``: (symbol_id, chunk_id, score) made when indexing.
-    Chunks of the first ``EXACT_FILES`` files are opened; of other files only those found count."""
-    scored = seeds.join(asked.where("codeish"), "key").join(symbols, "id")
+    ``asked``: (key[, text], low, terms, codeish), where ``text`` is the first key of one text: what depends on the text
+    alone is made once for it. ``found``: (key, id), chunks of the other channels, ``most`` for a key if given; ``mapped``:
+    (symbol_id, chunk_id, score) made when indexing. Chunks of the first ``EXACT_FILES`` files are opened, of which a key
+    gets those that it can use, ``EXACT_ADDED`` beside ``most`` that it may have found; of other files only those found
+    count."""
+    asked = (asked if "text" in asked.columns else asked.withColumn("text", F.col("key"))).where("codeish")
+    scored = seeds.join(asked.where("key = text"), "key").join(symbols, "id")
     score = text.symbol_exactness(F.col("low"), F.col("terms"), F.col("name"), F.col("signature"))
     scored = scored.withColumn("exactness", score).where(F.col("exactness") >= EXACT_LEAST)
-    w = Window.partitionBy("key").orderBy(F.desc("exactness"), "pos")
-    best = stored(scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= EXACT_SYMBOLS).select("key", F.col("id").alias("symbol_id"), "exactness", "file", "start_line", "end_line"), "exact-symbols")
-    files = best.select("key", "file").distinct().withColumn("f", F.row_number().over(Window.partitionBy("key").orderBy("file"))).where(F.col("f") <= EXACT_FILES)
+    w = Window.partitionBy("text").orderBy(F.desc("exactness"), "pos")
+    best = stored(scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= EXACT_SYMBOLS).select("text", F.col("id").alias("symbol_id"), "exactness", "file", "start_line", "end_line"), "exact-symbols")
+    # the exact symbols of a text in a file: at most EXACT_SYMBOLS
+    marks = best.groupBy("text", "file").agg(F.collect_list(F.struct("exactness", "start_line", "end_line")).alias("marks"))
+    marks = stored(marks.withColumn("f", F.row_number().over(Window.partitionBy("text").orderBy("file"))), "exact-files")
     body = chunks.where(filters.keep()).select("id", "file", F.col("start_line").alias("a"), F.col("end_line").alias("z"))
-    pool = bounded(files).join(body, "file").select("key", "id", "file", "a", "z")
-    pool = pool.unionByName(bounded(found).join(body, "id").select("key", "id", "file", "a", "z"))
+    exact = F.array_max(F.transform("marks", lambda m: F.least(F.lit(1.0), m["exactness"] * overlap_score(m["start_line"], m["end_line"], F.col("a"), F.col("z"))))).alias("exact")
+    opened = body.join(bounded(marks.where(F.col("f") <= EXACT_FILES)), "file").select("text", "id", exact).where("exact > 0")
+    whole = opened if most is None else top_k(opened, EXACT_ADDED + most, ["text"], "exact").select("text", "id", "exact")
+    texts = asked.select("key", "text")
+    mine = bounded(found).join(body, "id").join(texts, "key").join(marks, ["text", "file"]).select("key", "id", exact)
     if mapped is not None:
-        near = best.join(mapped, "symbol_id").select("key", F.col("chunk_id").alias("id"), F.col("score").alias("m"))
-        near = near.groupBy("key", "id").agg(F.max("m").alias("m"))
-        near = near.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("m"), "id"))).where(F.col("n") <= EXACT_MAPPED).drop("n")
+        near = best.join(mapped, "symbol_id").select("text", F.col("chunk_id").alias("id"), F.col("score").alias("m"))
+        near = near.groupBy("text", "id").agg(F.max("m").alias("m"))
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("m"), "id"))).where(F.col("n") <= EXACT_MAPPED).drop("n")
         near = near.join(body, "id")
-        pool = pool.unionByName(near.select("key", "id", "file", "a", "z"))
-    both = pool.distinct().join(best, ["key", "file"])
-    both = both.withColumn("exact", F.least(F.lit(1.0), F.col("exactness") * overlap_score(F.col("start_line"), F.col("end_line"), F.col("a"), F.col("z")))).select("key", "id", "exact")
-    if mapped is not None:
-        both = both.unionByName(near.select("key", "id", F.col("m").alias("exact")))
+        whole = whole.unionByName(near.select("text", "id", F.col("m").alias("exact"))).unionByName(near.join(marks, ["text", "file"]).select("text", "id", exact))
+    both = stored(whole, "exact-opened").join(texts, "text").select("key", "id", "exact").unionByName(mine)
     return both.where("exact > 0").groupBy("key", "id").agg(F.max("exact").alias("exact"))
 
 
@@ -139,9 +145,15 @@ def recall_code(
     ``freshness``: (by..., path, freshness) of files; a result's is null where it is unavailable."""
     by = list(index.by)
     one = by[0] if by else None
+    # queries of one text without a vector have one result: the first of them is answered for all
+    own = queries.join(query_vectors.select("q_id", F.lit(True).alias("near")).distinct(), "q_id", "left")
+    firsts = own.groupBy(F.col("query").alias("text")).agg(F.min("q_id").alias("first"), F.min(F.when(F.col("near").isNull(), F.col("q_id"))).alias("far"))
+    own = own.join(bounded(firsts), F.col("query").eqNullSafe(F.col("text")))
+    members = stored(own.select("q_id", "query", "first", F.when(F.col("near"), F.col("q_id")).otherwise(F.col("far")).alias("of")), "code-members")
+    queries = members.where("q_id = of or q_id = first").select("q_id", "query", "first").distinct()
     fetch, fast_fetch = code_overfetch(limit, filters.some, False), code_overfetch(limit, filters.some, True)
     chunks, symbols = _file(chunks, by), _file(symbols, by)
-    asked = stored(queries.select("q_id", "query", F.lower("query").alias("low"), text.identifier_tokens(F.col("query")).alias("terms"), text.codeish(F.col("query")).alias("codeish"), text.single_identifier(F.col("query")).alias("single")), "code-queries")
+    asked = stored(queries.select("q_id", "first", "query", F.lower("query").alias("low"), text.identifier_tokens(F.col("query")).alias("terms"), text.codeish(F.col("query")).alias("codeish"), text.single_identifier(F.col("query")).alias("single")), "code-queries")
     kept = chunks.where(filters.keep()).select("id")
     ready = served if served is not None else _all_served(chunks, by)
     plans = ready.select(*by, *[serving_plan(*[F.col(c) for c in ("structural", "bm25", "vector", "graph", "indexing")], F.lit(i), F.col("model_ready")).alias(n) for i, n in ((False, "plain"), (True, "ident"))])
@@ -154,7 +166,7 @@ def recall_code(
         at = at.withColumn("plan", F.when(F.col("single"), F.col("ident")).otherwise(F.col("plain")))
         return _keyed(at, by).drop("plain", "ident").withColumn("route", F.col("plan.path"))
 
-    lexical = planned(top_k(bm25_scores(index, asked.select("q_id", F.col("query").alias("text"))), fetch, ["q_id", *by]))
+    lexical = planned(bm25_topk(index, asked.select("q_id", F.col("query").alias("text")), fetch))
     lexical = lexical.where((F.col("route") != NONE) & ((F.col("route") != FAST) | (F.col("rank") <= fast_fetch)))
     lexical = stored(lexical.join(kept, "id", "left_semi").select("key", "q_id", *by, "id", "score", "rank"), "code-lexical")
     hybrid = plans.where(F.col("plain.path") == HYBRID).limit(1).count() > 0
@@ -170,7 +182,9 @@ def recall_code(
     lexical, vector, seeds = (df.drop("q_id", *by) for df in (lexical, vector, seeds))
     found = vector.select("key", "id").unionByName(lexical.select("key", "id")).distinct()
     facts = symbols.select("id", "name", "signature", "file", "start_line", "end_line")
-    exact = stored(exact_channel(slow.select("key", "low", "terms", "codeish"), seeds, facts, chunks, found, mapped, filters) if in_project else found.limit(0).withColumn("exact", F.lit(0.0)), "code-exact")
+    # the key of the first query of the text
+    slow = slow.withColumn("text", F.concat_ws("\t", F.col("first").cast("string"), *by) if by else F.col("first"))
+    exact = stored(exact_channel(slow.select("key", "text", "low", "terms", "codeish"), seeds, facts, chunks, found, mapped, filters, 2 * fetch) if in_project else found.limit(0).withColumn("exact", F.lit(0.0)), "code-exact")
     # exact chunks that were not found stand behind the lexical ones, without a score
     more = exact.join(found, ["key", "id"], "left_anti").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("exact"), "id"))).where(F.col("n") <= EXACT_ADDED)
     lexical = stored(lexical.unionByName(more.select("key", "id", F.lit(0.0).alias("score"), (F.col("n") + (1 << 20)).cast("int").alias("rank"))), "code-lexical")
@@ -196,6 +210,7 @@ def recall_code(
     rows = rows.withColumn("lexical_score", lex).withColumn("exact_score", F.coalesce("exact", F.lit(0.0)))
     rows = rows.withColumn("score", F.round(F.col("rrf_score") + F.col("lexical_score") * pick(LEXICAL_WEIGHT) + F.col("exact_score") * pick(EXACT_WEIGHT), 8))
     out = top_k(rows, min(limit, PROJECT_LIMIT) if by else limit, ["key"])
+    out = out.withColumnRenamed("q_id", "of").join(members.select("q_id", "of"), "of")
     cols = ["q_id", *by, "id", "score", "rrf_score", "lexical_score", "exact_score", "vector_score", "bm25_score", "ppr_score", "rank", "plan.path", "plan.partial", "plan.reason"]
     if freshness is None:
         return out.select(*cols)

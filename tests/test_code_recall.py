@@ -206,3 +206,24 @@ def test_recall_code_projects(spark, sf, corpus):
     for r in df.collect():
         assert r.freshness == names[zlib.crc32(chunks[r.id].file_path.encode()) % 4]
         assert r.partial == (state[r.project] in (1, 2)) and (r.reason is None) == (state[r.project] == 0)
+
+
+def test_equal_texts_are_answered_once(spark, sf, monkeypatch):
+    """Queries of one text share what depends on the text: lexical hits of distinct texts only, and of opened files only the
+    best chunks; each still has its own answer."""
+    from quarry.operators import retrieve
+
+    asked = []
+    real = retrieve._weights
+    monkeypatch.setattr(retrieve, "_weights", lambda ix, qs, k1: asked.append(qs.count()) or real(ix, qs, k1))
+    c = code._code_search(spark, sf)
+    many = c["queries"].crossJoin(spark.range(40).withColumnRenamed("id", "copy"))
+    many = many.select((F.col("q_id") + F.col("copy") * 100_000).alias("q_id"), "query")
+    rows = CS.recall_code(**{**c, "queries": many}, limit=10).collect()
+    assert asked == [c["queries"].select("query").distinct().count()]
+    # a copy has no vector, and is answered as one alone is
+    no_vectors = {**c, "query_vectors": c["query_vectors"].limit(0)}
+    alone = {(r.q_id, r.rank): (r.id, r.score) for r in CS.recall_code(**no_vectors, limit=10).collect()}
+    got = {(r.q_id, r.rank): (r.id, r.score) for r in rows}
+    for k in (1, 39):
+        assert {(q - k * 100_000, r): x for (q, r), x in got.items() if q // 100_000 == k} == alone

@@ -327,3 +327,30 @@ def test_gram_index_equals_a_scan(spark):
     found = gram_index.holding(ix, spark.createDataFrame([(p,) for p in probes + [""]], "p string"))
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.p, r.id) for r in found.collect()) == sorted((p, i) for i, a, b in rows for p in probes if p in (a or "").lower() or p in (b or "").lower())
+
+
+def test_bm25_topk_is_the_best_of_all_scores(spark, monkeypatch):
+    """Scoring where documents lie gives what all scores, ranked, give: by groups, behind a filter, in small blocks, for
+    queries of one text, for repeated ids, and beyond the bound of weights."""
+    words = "red blue ring plate hotGear x2Y the of and old".split()
+    docs = [(i, " ".join(words[(i * j * 7 + j) % len(words)] for j in range(i % 9)), None if i % 31 == 0 else f"p{i % 3}") for i in range(400)]
+    d = spark.createDataFrame(docs, "id long, t string, project string").repartition(5)
+    q = spark.createDataFrame([(1, "red ring"), (2, "the of and"), (3, "red ring"), (4, "nothing"), (5, None), (6, "gear gear hotGear"), (7, "")], "q_id int, text string")
+    some = spark.range(0, 400, 3).toDF("id")
+    told = lambda df: sorted(tuple(r) for r in df.collect())
+    repeated = d.unionByName(d.where("id % 50 = 0"))
+    for scores, triples, hits in ((2_000_000, 2_000_000, 1_000_000), (30, 40, 20)):
+        for name, value in (("SCORES", scores), ("TRIPLES", triples), ("HITS", hits)):
+            monkeypatch.setattr(retrieve, name, value)
+        for rows, by in ((d, ()), (d, ("project",)), (repeated, ())):
+            ix = index.build(rows, "id", "t", by)
+            for ids in (None, some):
+                every = retrieve.bm25_scores(ix, q)
+                every = every if ids is None else every.join(ids, "id", "left_semi")
+                want = told(retrieve.top_k(every, 7, ["q_id", *by]).select("q_id", *by, "id", "score", "rank"))
+                assert want and told(retrieve.bm25_topk(ix, q, 7, ids)) == want
+    names = index.build(d.withColumn("id", F.concat(F.lit("é"), "id")), "id", "t")
+    want = told(retrieve.top_k(retrieve.bm25_scores(names, q), 7, ["q_id"]).select("q_id", "id", "score", "rank"))
+    assert told(retrieve.bm25_topk(names, q, 7)) == want
+    monkeypatch.setattr(retrieve, "WEIGHTS", 3)
+    assert told(retrieve.bm25_topk(names, q, 7)) == want
