@@ -99,9 +99,11 @@ def insert_graph(s, d):
     new = table(s, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + F.col("o_orderkey") % 3).alias("dst"), F.col("o_orderstatus").alias("relation_type"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_totalprice") / 200000.0 - 0.1).alias("weight"))
     shape = new.limit(0).withColumns({"relation_class": F.lit(""), "provenance": F.lit(""), "valid_from": as_of(), "valid_until": as_of()})
     kept, bad = store.insert_relations(shape, new, ents, as_of())
+    # on the scaled number, as SQL rounds: a decimal rounding puts halves that a double can't hold elsewhere
+    rounded = (F.round(F.col("weight") * 1e6) / 1e6).alias("w")
     e = ents.select(F.lit("entity").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("entity_type").alias("t"), F.lit(None).cast("double").alias("w"), F.col("content_hash").alias("more"))
-    r = kept.select(F.lit("relation").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("relation_type").alias("t"), F.round("weight", 6).alias("w"), F.concat_ws(" ", "relation_class", "provenance").alias("more"))
-    x = bad.select(F.lit("unknown").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("relation_type").alias("t"), F.round("weight", 6).alias("w"), F.lit(None).cast("string").alias("more"))
+    r = kept.select(F.lit("relation").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("relation_type").alias("t"), rounded, F.concat_ws(" ", "relation_class", "provenance").alias("more"))
+    x = bad.select(F.lit("unknown").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("relation_type").alias("t"), rounded, F.lit(None).cast("string").alias("more"))
     return e.unionByName(r).unionByName(x)
 
 

@@ -131,3 +131,13 @@ def test_ann(spark, sf, label):
     want = {(r.q_id, r.id): r.score for r in (retrieval.cosine_topk if label is None else retrieval.cosine_topk_filtered)(spark, sf).collect()}
     assert len(got) == len(want) and sum(k in got for k in want) >= 0.9 * len(want)
     assert all(abs(got[k] - s) < 1e-6 for k, s in want.items() if k in got)
+
+
+def test_insert_graph_rounds_as_sql(spark):
+    """The weights of relations at a half of the last digit, which the smallest tables lack, are rounded as in SQL."""
+    import parity
+    from quarry.plans.graph import CATALOG
+
+    sf = "/root/testdata/sf0.01"
+    query, sql = CATALOG["insert_graph"]
+    assert parity.differ(query(spark, sf), parity.connect(sf), sql) is None
