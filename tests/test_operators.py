@@ -354,3 +354,25 @@ def test_bm25_topk_is_the_best_of_all_scores(spark, monkeypatch):
     assert told(retrieve.bm25_topk(names, q, 7)) == want
     monkeypatch.setattr(retrieve, "WEIGHTS", 3)
     assert told(retrieve.bm25_topk(names, q, 7)) == want
+
+
+def test_nearest_holds_few_likenesses_at_once():
+    """A block of 2,000 queries and 20,000 rows, 320 MB of likenesses, is met in steps; ties go by id."""
+    import tracemalloc
+
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    rows = np.round(g.normal(size=(20_000, 4)), 1)
+    queries, ids = rows[:2000], list(range(20_000, 0, -1))
+    tracemalloc.start()
+    q_ids, found, likes = retrieve._nearest(ids, rows, list(range(2000)), queries, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    size = np.sqrt((rows * rows).sum(1))
+    for q in (0, 255, 256, 1999):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sim = np.round(rows @ queries[q] / (size * size[q]), 6)
+        want = sorted((-s, i) for s, i in zip(sim.tolist(), ids) if s == s)[:5]
+        assert [(-s, i) for a, i, s in zip(q_ids, found, likes) if a == q] == want
