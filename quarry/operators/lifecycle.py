@@ -51,28 +51,32 @@ def capacity_archive(mem: DataFrame, as_of: Column, soft_limit: int, ratio: floa
     return low.where(~F.coalesce(grace, F.lit(False))).select("id", "score")
 
 
-def _mark(key: Column) -> Column:
-    """A number of an id that adds up: 60 bits of its MD5."""
-    return F.conv(F.left(F.md5(key.cast("string")), F.lit(15)), 16, 10).cast("decimal(38,0)")
+#: Lists of ids of more bytes are not broadcast.
+LIST_BYTES = 64_000_000
 
 
 def consolidation_plan(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """(new_id, supersedes, fingerprint): how many records of equal hash or equal content each new one replaces, and a
-    digest of them that a later apply must match; new records that replace nothing are left out.
-
-    Records are summed by hash, by text and by both, and a new one reads three sums (the first two less the third, less
-    itself): no pair of records is ever made, however many are equal. The digest is the sum of the ids' marks."""
-    rows = existing.select(F.col("content_hash").alias("h"), F.sha2("content", 256).alias("t"), _mark(F.col("id")).alias("m"))
-    total = lambda by, p: rows.where(" and ".join(f"{c} is not null" for c in by)).groupBy(*by).agg(F.count("*").alias(f"n{p}"), F.sum("m").alias(f"m{p}"))
+    """(new_id, supersedes, fingerprint): how many records of equal hash or equal content each new one replaces, and the
+    MD5 of their sorted ids (20 characters each, with zeros before them), which a later apply must match; new records that
+    replace nothing are left out. Ids are numbers, those of new records unique.
+
+    The ids that equal a hash and a text are listed once for all new records that have both, as one text; a new record
+    takes itself out of it. No pair of records is ever made, however many are equal; the digest of a new record reads its
+    whole list."""
+    padded = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
+    rows = existing.select(F.col("id"), F.col("content_hash").alias("eh"), F.sha2("content", 256).alias("et"))
     mine = new.select(F.col("id").alias("new_id"), F.col("content_hash").alias("h"), F.sha2("content", 256).alias("t"))
-    own = existing.select(F.col("id").alias("new_id"), F.col("content_hash").alias("oh"), F.sha2("content", 256).alias("ot"))
-    at = mine.join(total(["h"], 1), "h", "left").join(total(["t"], 2), "t", "left").join(total(["h", "t"], 3), ["h", "t"], "left")
+    kinds = bounded(stored(mine.select("h", "t").distinct(), "consolidation-kinds"))
+    equal = rows.join(kinds, F.col("eh") == F.col("h")).select("h", "t", "id").unionByName(rows.join(kinds, F.col("et") == F.col("t")).select("h", "t", "id"))
+    listed = equal.distinct().select("h", "t", padded("id").alias("p")).groupBy("h", "t").agg(F.count("*").alias("n"), F.expr("listagg(p, ',') within group (order by p)").alias("ids"))
+    lists = stored(listed.withColumnsRenamed({"h": "lh", "t": "lt"}), "consolidation-lists")
+    few = (lists.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) <= LIST_BYTES
+    at = mine.join(bounded(lists) if few else lists, F.col("h").eqNullSafe(F.col("lh")) & F.col("t").eqNullSafe(F.col("lt")))
     # a record that is stored already does not replace itself
-    itself = own.join(mine, "new_id").where("h = oh or t = ot").groupBy("new_id").agg(F.count("*").alias("n4"))
-    at = at.join(itself, "new_id", "left").na.fill(0)
-    n, m = (F.col(f"{c}1") + F.col(f"{c}2") - F.col(f"{c}3") for c in ("n", "m"))
-    out = at.select("new_id", (n - F.col("n4")).alias("supersedes"), (m - F.col("n4") * _mark(F.col("new_id"))).cast("decimal(38,0)").cast("string").alias("fingerprint"))
-    return out.where("supersedes > 0")
+    at = at.where((F.col("n") > 1) | (F.col("ids") != padded("new_id")))
+    whole, own = F.concat("ids", F.lit(",")), F.concat(padded("new_id"), F.lit(","))
+    rest = at.select("new_id", "n", F.octet_length("ids").alias("size"), F.replace(whole, own, F.lit("")).alias("rest"))
+    return rest.select("new_id", F.when(F.octet_length("rest") <= F.col("size"), F.col("n") - 1).otherwise(F.col("n")).alias("supersedes"), F.md5(F.rtrim("rest", F.lit(","))).alias("fingerprint"))
 
 
 def audit(mem: DataFrame, as_of: Column, days: int) -> DataFrame:

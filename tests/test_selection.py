@@ -46,6 +46,24 @@ def test_consolidation_of_many_equal_records(spark):
     assert "collect" not in plan
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_consolidation_digest_is_of_the_sorted_list(spark, monkeypatch, most):
+    """The digest is the MD5 of the sorted ids of all that a record replaces, by hash or by text, but itself; lists broadcast or not."""
+    import hashlib
+
+    monkeypatch.setattr(lifecycle, "LIST_BYTES", most)
+    rows = [(i, t, h) for i, (t, h) in enumerate([("a", "h"), ("a", None), ("b", "h"), ("b", "g"), (None, "g"), (None, None), ("c", None), ("a", "h"), ("a", "h")])]
+    new = [*rows[:7], (100, "a", "g"), (101, "c", None), (102, "d", "x")]
+    make = lambda xs: spark.createDataFrame(xs, "id long, content string, content_hash string")
+    got = {r.new_id: (r.supersedes, r.fingerprint) for r in lifecycle.consolidation_plan(make(new), make(rows)).collect()}
+    want = {}
+    for n, t, h in new:
+        ids = sorted(i for i, x, g in rows if i != n and (t is not None and t == x or h is not None and h == g))
+        if ids:
+            want[n] = (len(ids), hashlib.md5(",".join(f"{i:020}" for i in ids).encode()).hexdigest())
+    assert got == want
+
+
 def test_holding_documents(spark):
     docs = ["The red ring, the blue ring", "xred ringy", "red", None, "", "a-b c!", "Red ring the", "é à ü"]
     passages = ["red ring", "red ring, the", "ring", "d r", "the blue", "-b c", "!!", "", None, "é à", "The red ring"]
