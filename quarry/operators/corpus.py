@@ -278,24 +278,27 @@ def progress(files_done: Column, files: Column, embedded: Column, chunks: Column
 MAX_FILE_BYTES = 1_000_000
 
 
+def marked(files: DataFrame) -> DataFrame:
+    """``files`` with the state of each; what isn't indexed keeps its state only, not its content."""
+    from ..functions.predicates import generated_header
+
+    state = F.when(generated_header(F.col("content")), "skipped").when(F.octet_length("content") > MAX_FILE_BYTES, "failed").otherwise("indexed")
+    return files.withColumn("state", state).withColumn("content", F.when(F.col("state") == "indexed", F.col("content")))
+
+
 def extract(files: DataFrame) -> dict[str, DataFrame]:
-    """``files`` with what became of each of (file_path, language, content, further columns), and the ``chunks``,
-    ``symbols`` and ``references`` of those indexed; generated files are skipped and oversized ones fail.
+    """What became of each of the ``marked`` files (file_path, language, content, state, further columns), and the
+    ``chunks``, ``symbols`` and ``references`` of those indexed; generated files are skipped and oversized ones fail.
 
-    Files are stored once; their symbols and references are stored too, as relations read them several times."""
-    from ..functions.predicates import generated_header
+    Stored files are best, as they are read several times; symbols and references are stored, as relations read them."""
     from ..functions.text import symbol_id
     from ..workspace import stored
 
-    state = F.when(generated_header(F.col("content")), "skipped").when(F.octet_length("content") > MAX_FILE_BYTES, "failed").otherwise("indexed")
-    # what isn't indexed keeps its state only
-    marked = files.withColumn("state", state).withColumn("content", F.when(F.col("state") == "indexed", F.col("content")))
-    marked = stored(marked, "index-files")
-    good = marked.where("state = 'indexed'").select("file_path", "language", "content")
+    good = files.where("state = 'indexed'").select("file_path", "language", "content")
     chunks = definition_chunks(good)
     symbols = stored(extract_symbols(good).withColumn("id", symbol_id(F.lit("project"), F.col("file_path"), F.col("name"), F.col("start_line").cast("string"))), "index-symbols")
     refs = extract_references(good, symbols).withColumn("ref_id", F.xxhash64("file_path", "line_number", "relation_type", "to_name", "owner")).withColumn("name", F.col("to_name"))
-    return {"files": marked.drop("content", "language"), "chunks": chunks, "symbols": symbols, "references": stored(refs, "index-references")}
+    return {"files": files.drop("content", "language"), "chunks": chunks, "symbols": symbols, "references": stored(refs, "index-references")}
 
 
 def relate(symbols: DataFrame, refs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -309,5 +312,7 @@ def relate(symbols: DataFrame, refs: DataFrame, known: DataFrame | None = None)
 def index_project(files: DataFrame, known: DataFrame | None = None) -> dict[str, DataFrame]:
     """One generation of a project from its files (file_path, language, content): ``files`` with what became of each,
     ``chunks``, ``symbols``, ``references`` and ``relations`` between symbols. ``known``: symbols of earlier generations."""
-    got = extract(files)
+    from ..workspace import stored
+
+    got = extract(stored(marked(files), "index-files"))
     return got | {"relations": relate(got["symbols"], got["references"], known)}

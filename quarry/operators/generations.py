@@ -14,8 +14,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import versions
-from ..workspace import hadoop_path
-from .corpus import extract, relate
+from ..workspace import discard, fresh_path, hadoop_path
+from .corpus import extract, marked, relate
 
 BY_FILE = ("files", "chunks", "symbols", "references")
 TABLES = (*BY_FILE, "relations")
@@ -37,9 +37,20 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int
     return number
 
 
-def _parts(spark: SparkSession, base: str, files: DataFrame, parts: int) -> dict[str, DataFrame]:
-    """The tables of ``files(file_path, language, content, hash)``, part by part; done parts are not done again."""
-    dealt = files.withColumn("part", F.pmod(F.xxhash64("file_path"), F.lit(parts)))
+def _dealt(files: DataFrame, parts: int) -> DataFrame:
+    """``files`` with their states, hashes and parts, stored by part: contents are read once, and only those that are
+    indexed go on."""
+    spark = files.sparkSession
+    each = marked(files.withColumn("hash", F.sha2("content", 256))).withColumn("part", F.pmod(F.xxhash64("file_path"), F.lit(parts)))
+    path = fresh_path(spark, "generation-files")
+    each.write.partitionBy("part").parquet(path)
+    out = spark.read.schema(each.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def _parts(spark: SparkSession, base: str, dealt: DataFrame) -> dict[str, DataFrame]:
+    """The tables of ``dealt(file_path, language, content, hash, state, part)``, part by part; done parts are not done again."""
     marks = dealt.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.xxhash64("file_path", "hash").cast("decimal(20,0)")).alias("sum")).collect()  # a row a part
     out: dict[str, DataFrame] = {}
     for m in sorted(marks):
@@ -61,7 +72,7 @@ def build(spark: SparkSession, root: str, job: str, files: DataFrame, parts: int
 
     ``job`` names the attempt: the same name resumes it. Unchanged files are taken over from the served generation;
     relations are drawn anew, as a symbol of one file may resolve a reference of another."""
-    now = files.withColumn("hash", F.sha2("content", 256))
+    dealt = now = _dealt(files, parts)
     old = served(spark, root)
     tables: dict[str, DataFrame] = {}
     if old:
@@ -69,11 +80,13 @@ def build(spark: SparkSession, root: str, job: str, files: DataFrame, parts: int
         same = now.select("file_path", "hash").join(known, ["file_path", "hash"], "left_semi").select("file_path")
         tables = {t: old[t].join(same, "file_path", "left_semi") for t in BY_FILE}
         now = now.join(known, ["file_path", "hash"], "left_anti").select(*now.columns)
-    fresh = _parts(spark, f"{root}/building/{job}", now, parts)
+    fresh = _parts(spark, f"{root}/building/{job}", now)
     tables = {t: tables[t].unionByName(fresh[t]) if t in tables and t in fresh else tables.get(t, fresh.get(t)) for t in BY_FILE}
     if tables["files"] is None:
         raise ValueError("no files")
-    return publish(spark, root, tables | {"relations": relate(tables["symbols"], tables["references"])})
+    number = publish(spark, root, tables | {"relations": relate(tables["symbols"], tables["references"])})
+    discard(dealt)
+    return number
 
 
 def clean(spark: SparkSession, root: str, protected: Iterable[int] = (), orphans_before_ms: int = 0) -> list[int]:

@@ -56,6 +56,10 @@ def reset_project(s, d):
     return store.reset(table(s, d, "documents").select("doc_id", F.col("source").alias("project_id")), "src1")
 
 
+#: Files that a task of the tree makes.
+TREE_FILES = 1024
+
+
 def _tree(s, d, changed=None):
     """A source tree, a file a supplier: every seventh file is generated, every eleventh too large; every third class is
     the base of the next. Files for which ``changed`` holds have a function more."""
@@ -65,7 +69,9 @@ def _tree(s, d, changed=None):
     head = F.when(k % 7 == 0, "# @generated\n").when(k % 11 == 0, filler).otherwise("")
     more = F.when(changed, "def extra():\n    main()\n").otherwise("") if changed is not None else F.lit("")
     body = F.concat(head, F.lit("import os\nclass C"), k, F.when(k % 3 == 0, F.concat(F.lit("(C"), k + 1, F.lit(")"))).otherwise(""), F.lit(":\n    def run_"), k, F.lit("(self):\n        return run_"), k + 1, F.lit("(1)\n\ndef main():\n    C"), k, F.lit("().close()\n"), more)
-    return table(s, d, "supplier").select(F.concat(F.lit("src/s"), k, F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), body.alias("content"))
+    # a small table is one split; its files are a megabyte each where there is filler
+    rows = table(s, d, "supplier")
+    return rows.repartition(1 + rows.count() // TREE_FILES, k).select(F.concat(F.lit("src/s"), k, F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), body.alias("content"))
 
 
 def _by_file(got):

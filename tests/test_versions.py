@@ -115,3 +115,20 @@ def test_generations(spark, monkeypatch):
     assert generations.clean(spark, root, protected=[1], orphans_before_ms=1 << 62) == [2, 3]
     assert versions.numbers(spark, root) == [1, 4] and len(fs.listStatus(base)) == 2
     assert rows(generations.served(spark, root, 1)) == first
+
+
+def test_generation_reads_contents_once(spark):
+    """A build makes each file's content once, also beside a served generation, and goes on with what is indexed only."""
+    root, made = fresh_path(spark, "generations"), spark.sparkContext.accumulator(0)
+
+    def text(t):
+        made.add(1)
+        return t
+
+    make = F.udf(text).asNondeterministic()
+    files = {**TREE, "big.py": "x" * 1_000_001}
+    for n, more in enumerate(({}, {"b.py": "def go(x, y):\n    return start()\n"}), 1):
+        generations.build(spark, root, str(n), tree(spark, files | more).withColumn("content", make("content")), parts=2)
+        assert made.value == n * len(files)
+    states = {r.file_path: r.state for r in generations.served(spark, root)["files"].collect()}
+    assert states == {"a.py": "indexed", "b.py": "indexed", "c.py": "skipped", "d.rs": "indexed", "big.py": "failed"}
