@@ -102,3 +102,23 @@ def test_merged_stream_equals_batch(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
         streams.run_to_end(stream, streams.merge_batches(table, ledger), "append", state)
         assert streams.merged(spark, table, ledger).agg(F.sum("access_count")).first()[0] == sent
+
+
+def test_terms_are_counted_in_bounded_slices(spark, monkeypatch):
+    """Words of a slice are counted together, as the tokens of each text alone; a slice has a bounded number of bytes."""
+    import pyarrow as pa
+    from collections import Counter
+    from quarry.functions import text
+
+    texts = ["getUserName HTTPServer2go x_y-z", "", None, "É2a aÉ Ünï½ 漢字abc parseHTMLParserX", "!!!", "İstanbul Straße the The", "x\n\nThe1a2B", "long " * 50, "the"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "row int, text string")
+    want = {r.row: Counter(r.t or []) for r in frame.select("row", text.tokens(F.col("text")).alias("t")).collect()}
+    monkeypatch.setattr(index, "_TEXTS", 4)
+    monkeypatch.setattr(index, "_BYTES", 60)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "text"])
+    out = list(index._count([batch]))
+    assert all(b.num_rows <= 4 for b in out) and len(out) > 3
+    got = [r for b in out for r in b.to_pylist()]
+    assert [r["row"] for r in got] == list(range(len(texts)))
+    assert {r["row"]: Counter(dict(zip(r["terms"], r["tfs"]))) for r in got} == want
+    assert all(r["dl"] == sum(r["tfs"]) and len(set(r["terms"])) == len(r["terms"]) for r in got)
