@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import CONFIG, code_overfetch
 from ..functions import text
 from ..workspace import stored
-from .gram_index import GramIndex, build as gram_index, holding
+from .gram_index import GramIndex, build as gram_index, first_holding
 from .index import LexicalIndex
 from .joins import overlap_score
 from .retrieve import bm25_topk, bounded, cosine_topk, graph_channel, ordered_union, top_k
@@ -71,10 +71,8 @@ def probe_symbols(asked: DataFrame, grams: GramIndex, path_prefix: str | None =
     ``asked``: (q_id, query, terms); ``grams``: the index of the symbols' names."""
     by = by or []
     rows = asked.select("q_id", F.posexplode(text.symbol_probes(F.col("query"), F.col("terms"))).alias("n", "probe"))
-    hits = holding(grams, rows.select(F.lower("probe").alias("p")))
-    hits = hits if path_prefix is None else hits.where(F.col("file_path").startswith(path_prefix))
-    w = Window.partitionBy("p", *by).orderBy("name", "id")
-    first = hits.select("p", *by, "id", "name").withColumn("k", F.row_number().over(w)).where(F.col("k") <= PROBE_HITS)
+    where = None if path_prefix is None else F.col("file_path").startswith(path_prefix)
+    first = first_holding(grams, rows.select(F.lower("probe").alias("p")), "name", PROBE_HITS, where, tuple(by)).select("p", *by, "id", F.col("rank").alias("k"))
     mine = rows.join(first, F.lower("probe") == F.col("p")).groupBy("q_id", *by, "id").agg(F.min(F.struct("n", "k")).alias("at"))
     return mine.select("q_id", *by, "id", F.row_number().over(Window.partitionBy("q_id", *by).orderBy("at", "id")).alias("pos"))
 

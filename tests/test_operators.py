@@ -376,3 +376,25 @@ def test_nearest_holds_few_likenesses_at_once():
             sim = np.round(rows @ queries[q] / (size * size[q]), 6)
         want = sorted((-s, i) for s, i in zip(sim.tolist(), ids) if s == s)[:5]
         assert [(-s, i) for a, i, s in zip(q_ids, found, likes) if a == q] == want
+
+
+def test_gram_index_files_equal_texts_once(spark):
+    """Postings and hits are of distinct texts; the page, the total and the first rows of a project are of all rows."""
+    names = ["red ring", "blue ring", None, "Ring", "plate"]
+    rows = [(i, names[i % 5], "Big" if i % 2 else None, f"p{i % 3}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, name string, signature string, project string").repartition(4)
+    ix = gram_index.build(df, ("name", "signature"))
+    assert ix.texts.count() == 10 and ix.postings.select("text").distinct().count() <= 10 and ix.texts.agg(F.sum("n")).first()[0] == 600
+    asks = spark.createDataFrame([(1, "ring"), (2, "RING"), (3, "i"), (4, "zz"), (5, "big")], "q_id int, query string")
+    got = sorted(tuple(r) for r in gram_index.search(ix, asks, "name", 5, 3, F.col("id") % 4 < 3).collect())
+    want, firsts = [], []
+    for q, p in ((1, "ring"), (2, "ring"), (3, "i"), (5, "big")):
+        hits = sorted(((n is not None, n or "", i, n) for i, n, s, _ in rows if i % 4 < 3 and (p in (n or "").lower() or p in (s or "").lower())))
+        want += [(q, i, n, k + 1, len(hits)) for k, (_, _, i, n) in enumerate(hits) if 3 <= k < 8]
+    assert got == sorted(want)
+    for p in ("ring", "big"):
+        for g in ("p0", "p1", "p2"):
+            hits = sorted((n is not None, n or "", i) for i, n, s, x in rows if x == g and (p in (n or "").lower() or p in (s or "").lower()))
+            firsts += [(p, g, i, k + 1) for k, (_, _, i) in enumerate(hits[:7])]
+    first = gram_index.first_holding(ix, spark.createDataFrame([("ring",), ("big",)], "p string"), "name", 7, by=("project",))
+    assert sorted(tuple(r) for r in first.select("p", "project", "id", "rank").collect()) == sorted(firsts)
