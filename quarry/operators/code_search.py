@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import CONFIG, code_overfetch
 from ..functions import text
-from ..workspace import stored
+from ..workspace import stored, together
 from .gram_index import GramIndex, build as gram_index, first_holding
 from .index import LexicalIndex
 from .joins import overlap_score
@@ -110,11 +110,15 @@ def exact_channel(asked: DataFrame, seeds: DataFrame, symbols: DataFrame, chunks
     return both.where("exact > 0").groupBy("key", "id").agg(F.max("exact").alias("exact"))
 
 
-def symbol_graph_channel(lexical: DataFrame, near: DataFrame, symbols: DataFrame, relations: DataFrame, found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(key, id, score): PageRank over the symbols near a query, best of those whose lines a found chunk shares."""
+def symbol_ranks(lexical: DataFrame, near: DataFrame, symbols: DataFrame, relations: DataFrame) -> DataFrame:
+    """(q_id, id, score), where q_id is the key: PageRank over the symbols near a query."""
     ordered = ordered_union(near.withColumnRenamed("key", "q_id"), lexical.select(F.col("key").alias("q_id"), "id", F.col("pos").alias("rank")), ["q_id"])
     edges = relations.select("src", "dst", F.lit(1.0).alias("weight"))
-    ranks = graph_channel(ordered, symbols.select(F.col("id").alias("node")), edges, seeds=1 << 30)
+    return graph_channel(ordered, symbols.select(F.col("id").alias("node")), edges, seeds=1 << 30)
+
+
+def symbol_graph_channel(ranks: DataFrame, symbols: DataFrame, found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(key, id, score): the best rank of the symbols whose lines a found chunk shares."""
     at = ranks.join(symbols, "id").select(F.col("q_id").alias("key"), "score", "file", F.col("start_line").alias("a"), F.col("end_line").alias("z"))
     lines = bounded(found).join(chunks.select("id", "file", "start_line", "end_line"), "id")
     both = lines.join(at, ["key", "file"]).where("start_line <= z and a <= end_line")
@@ -164,15 +168,29 @@ def recall_code(
         at = at.withColumn("plan", F.when(F.col("single"), F.col("ident")).otherwise(F.col("plain")))
         return _keyed(at, by).drop("plain", "ident").withColumn("route", F.col("plan.path"))
 
-    lexical = planned(bm25_topk(index, asked.select("q_id", F.col("query").alias("text")), fetch))
-    lexical = lexical.where((F.col("route") != NONE) & ((F.col("route") != FAST) | (F.col("rank") <= fast_fetch)))
-    lexical = stored(lexical.join(kept, "id", "left_semi").select("key", "q_id", *by, "id", "score", "rank"), "code-lexical")
     hybrid = plans.where(F.col("plain.path") == HYBRID).limit(1).count() > 0
-    vector = planned(cosine_topk(vectors, query_vectors, fetch, one)).where(F.col("route") == HYBRID) if hybrid else lexical.limit(0)
-    vector = stored(vector.join(kept, "id", "left_semi").select("key", "q_id", *by, "id", "score", "rank"), "code-vector")
-    grams = gram_index(symbols, ("name",)) if grams is None else grams
-    seeds = planned(probe_symbols(asked, grams, filters.path_prefix, by)).where(F.col("route").isin(HYBRID, LEXICAL))
-    seeds = stored(seeds.select("key", "q_id", *by, "id", "pos"), "code-seeds")
+    graph = hybrid and weights[2] > 0
+
+    def by_words():
+        df = planned(bm25_topk(index, asked.select("q_id", F.col("query").alias("text")), fetch))
+        df = df.where((F.col("route") != NONE) & ((F.col("route") != FAST) | (F.col("rank") <= fast_fetch)))
+        return stored(df.join(kept, "id", "left_semi").select("key", "q_id", *by, "id", "score", "rank"), "code-lexical")
+
+    def by_vectors():
+        if hybrid:
+            df = planned(cosine_topk(vectors, query_vectors, fetch, one)).where(F.col("route") == HYBRID)
+            return stored(df.join(kept, "id", "left_semi").select("key", "q_id", *by, "id", "score", "rank"), "code-vector")
+
+    def by_names():
+        df = planned(probe_symbols(asked, gram_index(symbols, ("name",)) if grams is None else grams, filters.path_prefix, by)).where(F.col("route").isin(HYBRID, LEXICAL))
+        return stored(df.select("key", "q_id", *by, "id", "pos"), "code-seeds")
+
+    def near_symbols():
+        if graph:
+            return stored(planned(cosine_topk(symbol_vectors, query_vectors, SYMBOL_SEEDS, one)).where(F.col("route") == HYBRID).select("key", "id", "rank"), "code-near")
+
+    lexical, vector, seeds, near = together(by_words, by_vectors, by_names, near_symbols)
+    vector = lexical.limit(0) if vector is None else vector
     # the queries of the keys that some channel has met
     met = lexical.select("q_id", *by).unionByName(vector.select("q_id", *by)).unionByName(seeds.select("q_id", *by)).distinct()
     keyed = stored(planned(met), "code-keys")
@@ -182,17 +200,24 @@ def recall_code(
     facts = symbols.select("id", "name", "signature", "file", "start_line", "end_line")
     # the key of the first query of the text
     slow = slow.withColumn("text", F.concat_ws("\t", F.col("first").cast("string"), *by) if by else F.col("first"))
-    exact = stored(exact_channel(slow.select("key", "text", "low", "terms", "codeish"), seeds, facts, chunks, found, mapped, filters, 2 * fetch) if in_project else found.limit(0).withColumn("exact", F.lit(0.0)), "code-exact")
+
+    def of_symbols():
+        return stored(exact_channel(slow.select("key", "text", "low", "terms", "codeish"), seeds, facts, chunks, found, mapped, filters, 2 * fetch) if in_project else found.limit(0).withColumn("exact", F.lit(0.0)), "code-exact")
+
+    def of_graph():
+        if graph:
+            return stored(symbol_ranks(seeds.join(whole, "key"), near, facts, relations), "code-ranks")
+
+    whole = keyed.where(F.col("route") == HYBRID).select("key")
+    exact, ranks = together(of_symbols, of_graph)
     # exact chunks that were not found stand behind the lexical ones, without a score
     more = exact.join(found, ["key", "id"], "left_anti").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("exact"), "id"))).where(F.col("n") <= EXACT_ADDED)
     lexical = stored(lexical.unionByName(more.select("key", "id", F.lit(0.0).alias("score"), (F.col("n") + (1 << 20)).cast("int").alias("rank"))), "code-lexical")
     found = stored(vector.select("key", "id").unionByName(lexical.select("key", "id")).distinct(), "code-found")
     channel = lambda df, c: df.select("key", F.lit(c).alias("channel"), "id", "score", F.row_number().over(Window.partitionBy("key").orderBy("rank", "id")).alias("r"))
     every = channel(vector, "vector").unionByName(channel(lexical, "bm25"))
-    if hybrid and weights[2] > 0:
-        near = planned(cosine_topk(symbol_vectors, query_vectors, SYMBOL_SEEDS, one)).where(F.col("route") == HYBRID).select("key", "id", "rank")
-        whole = keyed.where(F.col("route") == HYBRID).select("key")
-        ppr = symbol_graph_channel(seeds.join(whole, "key"), near, facts, relations, found.join(whole, "key", "left_semi"), chunks)
+    if graph:
+        ppr = symbol_graph_channel(ranks, facts, found.join(whole, "key", "left_semi"), chunks)
         every = every.unionByName(channel(ppr.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id"))), "ppr"))
     weight = F.create_map(*[x for c, v in zip(("vector", "bm25", "ppr"), weights) for x in (F.lit(c), F.lit(v))])
     fused = every.groupBy("key", "id").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lifecycle as life, predicates as P, text
 from ..operators import code_search as CS, corpus as C, gram_index, index, joins as J, store
 from ..sources.tables import table
+from ..workspace import together
 from .retrieval import bm25_sql, once, tokens_sql
 
 def _asked(s, d):
@@ -185,7 +186,8 @@ def _code_search(s, d, by: tuple[str, ...] = ()):
 
     def made():
         body = chunks.withColumn("text", text.document_text(F.col("file_path"), F.col("name"), F.col("context_path"), F.col("content")))
-        return index.build(body, "id", "text", by), gram_index.build(symbols, ("name",))
+        # a file of parts is much smaller than what is made of it: dealt to all tasks
+        return tuple(together(lambda: index.build(body.select("id", *by, "text").repartition("id"), "id", "text", by), lambda: gram_index.build(symbols, ("name",))))
 
     ix, grams = once(_CODE_INDEXES, s, f"{d}/part.parquet", by, made)
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))

@@ -398,3 +398,24 @@ def test_gram_index_files_equal_texts_once(spark):
             firsts += [(p, g, i, k + 1) for k, (_, _, i) in enumerate(hits[:7])]
     first = gram_index.first_holding(ix, spark.createDataFrame([("ring",), ("big",)], "p string"), "name", 7, by=("project",))
     assert sorted(tuple(r) for r in first.select("p", "project", "id", "rank").collect()) == sorted(firsts)
+
+
+def test_channels_run_side_by_side(spark, monkeypatch):
+    """The lexical channel, the vectors and the names of a code search wait for each other here: one after the other they never would."""
+    import threading
+
+    gate = threading.Barrier(3, timeout=60)
+    for name in ("bm25_topk", "probe_symbols", "cosine_topk"):
+        def met(*a, _of=getattr(code_search, name), _n=[0], **k):
+            _n[0] += 1
+            if _n[0] == 1:
+                gate.wait()
+            return _of(*a, **k)
+
+        monkeypatch.setattr(code_search, name, met)
+    chunks = spark.createDataFrame([(i, f"src/f{i % 3}.rs", f"fn run{i}() {{ red ring }}", "rust", i, i + 5, "function", f"run{i}", None) for i in range(9)], "id long, file_path string, content string, language string, start_line long, end_line long, chunk_type string, name string, context_path string")
+    symbols = chunks.select("id", "name", F.concat(F.lit("fn "), "name").alias("signature"), "file_path", "start_line", "end_line")
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "id long, v array<double>")
+    q = spark.createDataFrame([(3, "red ring run3")], "q_id long, query string")
+    df = code_search.recall_code(chunks, symbols, symbols.selectExpr("id as src", "id as dst"), index.build(chunks, "id", "content"), q, v, v, v.where("id = 3").selectExpr("id as q_id", "v as qv"), 4)
+    assert [r.id for r in df.orderBy("rank").collect()][0] == 3 and gate.n_waiting == 0 and not gate.broken
