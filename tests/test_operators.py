@@ -419,3 +419,24 @@ def test_channels_run_side_by_side(spark, monkeypatch):
     q = spark.createDataFrame([(3, "red ring run3")], "q_id long, query string")
     df = code_search.recall_code(chunks, symbols, symbols.selectExpr("id as src", "id as dst"), index.build(chunks, "id", "content"), q, v, v, v.where("id = 3").selectExpr("id as q_id", "v as qv"), 4)
     assert [r.id for r in df.orderBy("rank").collect()][0] == 3 and gate.n_waiting == 0 and not gate.broken
+
+
+def test_vector_blocks_are_small(spark):
+    """A block of rows and one of queries, met, need a few MB: no list of its hits, no second copy of its numbers."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    g = np.random.default_rng(8)
+    v = pa.array(list(g.normal(size=(retrieve.ROW_BLOCK, 64)).astype(np.float64)))
+    _, q = retrieve._matrix(pa.array(list(g.normal(size=(retrieve.QUERY_BLOCK, 64)))))
+    assert retrieve.ROW_BLOCK * 64 * 8 <= 4 << 20 and retrieve.QUERY_STEP * retrieve.ROW_STEP * 8 <= 2 << 20
+    tracemalloc.start()
+    use, m = retrieve._matrix(v, 64)
+    who, near, likes = retrieve._closest(np.arange(len(use)), m, q, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(who) == 50 * len(q) and peak < 30e6
+    s = np.round(m @ q[77] / (np.sqrt((m * m).sum(1)) * np.sqrt(q[77] @ q[77])), 6)
+    assert near[who == 77].tolist() == sorted(range(len(s)), key=lambda i: (-s[i], i))[:50]
