@@ -440,3 +440,15 @@ def test_vector_blocks_are_small(spark):
     assert len(who) == 50 * len(q) and peak < 30e6
     s = np.round(m @ q[77] / (np.sqrt((m * m).sum(1)) * np.sqrt(q[77] @ q[77])), 6)
     assert near[who == 77].tolist() == sorted(range(len(s)), key=lambda i: (-s[i], i))[:50]
+
+
+def test_passages_never_sort_texts(spark):
+    """Beyond the broadcast bound candidates are hashed and texts streamed past them, with the same result."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} red ring of plate{i % 5} and more") for i in range(120)], "id long, text string")
+    asked = spark.createDataFrame([(q, f"red ring of plate{q} and") for q in range(6)], "q_id int, passage string")
+    ix = index.build(docs, "id", "text")
+    want = {(q, i) for q in range(5) for i in range(120) if i % 5 == q}
+    for most in (None, 3):
+        found = retrieve.holding_documents(ix, docs, asked, most)
+        assert {tuple(r) for r in found.collect()} == want
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
